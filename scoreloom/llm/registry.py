@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import mixing, neardup, quality, repeats, sharding
 
 QUERIES = {
+    "op1_near_duplicates": neardup.op1_near_duplicates,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op7_repeated_strings": repeats.op7_repeated_strings,
     "op8_minimax_shards": sharding.op8_minimax_shards,
     "op10_quality_rules": quality.op10_quality_rules,
 }
