@@ -59,7 +59,7 @@ def budgets(sized: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
+def thresholds(sized: DataFrame, plan: DataFrame, owner: str = "mixing") -> DataFrame:
     """``plan`` with ``below``: documents whose hash is smaller are taken once more.
 
     Six nested histograms.  Only the documents of each source's boundary bucket reach the next one.
@@ -86,7 +86,7 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
             F.coalesce(F.shiftleft("_edge", width), F.lit((1 << HASH_BITS)).cast("long")).alias("below"),
         )
         # The tables are tiny (a row per source); writing them keeps each plan one histogram deep.
-        state = scratch.written(state, "mixing")
+        state = scratch.written(state, owner)
     return state
 
 
@@ -94,7 +94,7 @@ def mixed(docs: DataFrame, owner: str = "mixing", keep: tuple[str, ...] = ()) ->
     """doc_id, source, size, source_size, target, copies, taken for every document, with ``keep`` columns added."""
     sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("hash"), *keep)
     light = scratch.written(sized, owner)
-    plan = thresholds(light, scratch.written(budgets(light), owner))
+    plan = thresholds(light, scratch.written(budgets(light), owner), owner)
     right = plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "below")
     out = light.join(right, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     copies = (F.col("whole") + (F.col("hash") < F.col("below")).cast("long")).alias("copies")
@@ -102,6 +102,20 @@ def mixed(docs: DataFrame, owner: str = "mixing", keep: tuple[str, ...] = ()) ->
     return out.withColumn("copies", F.least("copies", F.lit(MOST_COPIES))).withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def repeated(docs: DataFrame, owner: str = "mixing") -> DataFrame:
+    """``docs`` with each row 0 to 3 times, as the mix takes it.
+
+    The hash and size of a row decide, so the plan is joined to the rows by source and nothing but the plan moves.
+    """
+    sized = docs.select("source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("hash"))
+    light = scratch.written(sized, owner)
+    plan = thresholds(light, scratch.written(budgets(light), owner), owner)
+    right = plan.select(F.col("source").alias("_s"), F.col("whole").alias("_whole"), F.col("below").alias("_below"))
+    joined = docs.join(right, F.col("source").eqNullSafe(F.col("_s")))
+    copies = F.least(F.col("_whole") + (hash_of(F.col("doc_id")) < F.col("_below")).cast("long"), F.lit(MOST_COPIES))
+    return joined.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
+
+
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = scratch.table(spark, sf_dir, "documents")
     return mixed(docs, "op3").select("doc_id", "size", "source_size", "target", "taken")
