@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-TABLES, HASHES, WIDTH, PROBES = 6, 12, 2.5, 700
+TABLES, HASHES, WIDTH, PROBES = 8, 12, 2.5, 1000
 NEIGHBOURS = 20
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
