@@ -3,7 +3,7 @@
 The frequent words of the corpus, with the ids that the merges give them, are compiled into a minimal acyclic
 automaton: words with equal rests share states, each arc carries how many words end before it, and adding those up
 along a word gives the word's number, which finds its ids.  The automaton is a few flat integer arrays in one file
-that the workers memory-map.  Words outside the lexicon are merged exactly by rank.
+that the workers memory-map.  Words outside the lexicon are merged exactly by rank, many side by side.
 
 Defined results: null text is empty (no ids, empty decoding); repeated rows are encoded alike; an empty table gives
 an empty result; extra columns are untouched by ``encoded`` and ``decoded``.
@@ -32,7 +32,9 @@ from . import scratch
 #: Words in the lexicon at most; every other word is merged exactly.
 LEXICON_WORDS = 50_000
 #: Words that a worker remembers at most before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Texts whose new words are looked up together.
+TOGETHER = 256
 END = "</w>"
 
 
@@ -65,10 +67,19 @@ class Rules:
         self.ranks = {(m[0], m[1]) if isinstance(m, list) else tuple(m.split(" ")): k for k, m in enumerate(spec["model"]["merges"])}
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
+        self.numbers = {i: str(i) for i in self.tokens}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.specials = regex.compile("|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         self.letters = byte_letters()
+        # The same as arrays, for many words at once.
+        self.base = max(self.vocab.values()) + 1
+        self.first_ids = np.array([self.vocab[c] for c in self.letters], np.int64)
+        self.last_ids = np.array([self.vocab[c + END] for c in self.letters], np.int64)
+        pairs = np.array([self.vocab[a] * self.base + self.vocab[b] for a, b in self.ranks], np.int64)
+        order = np.argsort(pairs)
+        self.pair_keys, self.pair_ranks = pairs[order], order
+        self.merged_ids = np.array([self.vocab[a + b] for a, b in self.ranks], np.int64)
 
     def normalized(self, text: str) -> str:
         # The tokenizer also turns runs of white space into one space; no word holds any, so that has no effect here.
@@ -87,6 +98,51 @@ class Rules:
                 at = m.end()
         yield self.words.findall(self.normalized(text[at:])), None
 
+    def merged_many(self, words: list[str]) -> list[list[int]]:
+        """``merged`` of many words at once: one merge per word and round, all words side by side in a matrix."""
+        out: list[list[int]] = [[]] * len(words)
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        for low, high in ((0, 8), (8, 16), (16, 32)):
+            at = np.flatnonzero((sizes > low) & (sizes <= high))
+            for k in range(0, len(at), 4096):
+                part = at[k : k + 4096]
+                flat = np.frombuffer(b"".join([raw[i] for i in part]), np.uint8)
+                n = sizes[part]
+                ids = np.full((len(part), high), -1, np.int64)
+                ids[np.arange(high) < n[:, None]] = self.first_ids[flat]
+                ids[np.arange(len(part)), n - 1] = self.last_ids[flat[np.cumsum(n) - 1]]
+                done = self._merge_rows(ids)
+                counts = (done >= 0).sum(1)
+                for i, row, c in zip(part.tolist(), done.tolist(), counts.tolist(), strict=True):
+                    out[i] = row[:c]
+        for i in np.flatnonzero(sizes > 32).tolist():
+            out[i] = self.merged(words[i])
+        return out
+
+    def _merge_rows(self, ids: np.ndarray) -> np.ndarray:
+        """Merge the leftmost pair of least rank of every row until no row has one."""
+        active, columns = np.arange(len(ids)), np.arange(ids.shape[1])
+        while len(active):
+            rows = ids[active]
+            key = rows[:, :-1] * self.base + rows[:, 1:]
+            key[rows[:, 1:] < 0] = -1
+            place = np.searchsorted(self.pair_keys, key)
+            place[place == len(self.pair_keys)] = 0
+            rank = np.where(self.pair_keys[place] == key, self.pair_ranks[place], len(self.pair_keys))
+            best = rank.argmin(1)
+            least = rank[np.arange(len(rows)), best]
+            go = least < len(self.pair_keys)
+            active, rows, best, least = active[go], rows[go], best[go], least[go]
+            if not len(active):
+                break
+            moved = np.minimum(columns + (columns > best[:, None]), ids.shape[1] - 1)
+            new = np.take_along_axis(rows, moved, 1)
+            new[:, -1] = -1
+            new[np.arange(len(rows)), best] = self.merged_ids[least]
+            ids[active] = new
+        return ids
+
     def merged(self, word: str) -> list[int]:
         """Ids of one word: merge the neighbours of least rank, leftmost first, until none can be merged.
 
@@ -171,7 +227,7 @@ def compile_lexicon(words: Iterable[str], rules: Rules) -> bytes:
             skips.append(passed)
             passed += below[t]
         first.append(len(labels))
-    ids = [rules.merged(w.decode()) for w in words]
+    ids = rules.merged_many([w.decode() for w in words])
     starts = np.cumsum([0, *map(len, ids)])
     arrays = [first, labels, targets, skips, final, starts, [i for x in ids for i in x]]
     head = np.array([number[0], *map(len, arrays)], np.int32)
@@ -194,29 +250,42 @@ class Lexicon:
         self.root = int(head[0])
         at, views = 32, []
         for n in head[1:]:
-            views.append(memoryview(self._map)[at : at + 4 * int(n)].cast("i"))
+            views.append(np.frombuffer(self._map, np.int32, int(n), at))
             at += 4 * int(n)
-        self.first, self.labels, self.targets, self.skips, self.final, self.starts, self.all_ids = views
+        first, labels, self.targets, self.skips, self.final, self.starts, self.all_ids = views
+        # Arcs lie in order of state and label, so one sorted array finds the arc of any (state, label).
+        self.arcs = np.repeat(np.arange(len(first) - 1, dtype=np.int64), np.diff(first)) * 256 + labels
+
+    def ids_many(self, words: list[str]) -> list[list[int] | None]:
+        """The ids of each word, or None: all words walk side by side, one byte a step."""
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        begin = np.cumsum(sizes) - sizes
+        state, number = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        alive = np.arange(len(words)) if len(self.arcs) else np.zeros(0, np.int64)
+        if not len(alive):
+            return [None] * len(words)
+        found = np.zeros(len(words), bool)
+        step = 0
+        while len(alive):
+            ended = sizes[alive] == step
+            stop = alive[ended]
+            found[stop] = self.final[state[stop]] == 1
+            alive = alive[~ended]
+            key = state[alive] * 256 + flat[begin[alive] + step]
+            arc = np.searchsorted(self.arcs, key)
+            arc[arc == len(self.arcs)] = 0
+            hit = self.arcs[arc] == key
+            alive, arc = alive[hit], arc[hit]
+            number[alive] += self.skips[arc]
+            state[alive] = self.targets[arc]
+            step += 1
+        from_, to = self.starts[np.where(found, number, 0)].tolist(), self.starts[np.where(found, number + 1, 1)].tolist()
+        return [self.all_ids[f:t].tolist() if ok else None for ok, f, t in zip(found.tolist(), from_, to, strict=True)]
 
     def ids(self, word: str) -> list[int] | None:
-        state, number = self.root, 0
-        labels = self.labels
-        for b in word.encode():
-            low, high = self.first[state], self.first[state + 1]
-            end = high
-            while low < high:
-                mid = (low + high) >> 1
-                if labels[mid] < b:
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == end or labels[low] != b:
-                return None
-            number += self.skips[low]
-            state = self.targets[low]
-        if not self.final[state]:
-            return None
-        return list(self.all_ids[self.starts[number] : self.starts[number + 1]])
+        return self.ids_many([word])[0]
 
 
 class Codec:
@@ -224,36 +293,52 @@ class Codec:
 
     def __init__(self, path: str, image: bytes):
         self.rules, self.lexicon = Rules(path), Lexicon(image)
-        self.known: dict[str, tuple[str, str, int]] = {}
-
-    def word(self, word: str) -> tuple[str, str, int]:
-        found = self.known.get(word)
-        if found is None:
-            ids = self.lexicon.ids(word)
-            if ids is None:
-                ids = self.rules.merged(word)
-            found = (" ".join(map(str, ids)), " ".join(self.rules.tokens[i] for i in ids), len(ids))
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        self.ids_of: dict[str, str] = {}
+        self.tokens_of: dict[str, str] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Look up words not yet known: in the lexicon, and what it lacks by merging."""
+        new = list(words - self.ids_of.keys())
+        if not new:
+            return
+        if len(self.ids_of) + len(new) > REMEMBERED:
+            self.ids_of.clear()
+            self.tokens_of.clear()
+            new = list(words)
+        found = self.lexicon.ids_many(new)
+        unseen = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(unseen, self.rules.merged_many([new[k] for k in unseen]), strict=True):
+            found[k] = ids
+        tokens, numbers = self.rules.tokens, self.rules.numbers
+        for w, ids in zip(new, found, strict=True):
+            if len(ids) == 1:
+                self.ids_of[w], self.tokens_of[w] = numbers[ids[0]], tokens[ids[0]]
+            else:
+                self.ids_of[w] = " ".join([numbers[i] for i in ids])
+                self.tokens_of[w] = " ".join([tokens[i] for i in ids])
+
+    def encode_many(self, texts: list[str]) -> Iterator[tuple[str, str, int]]:
+        """For each text the decimal ids joined by a space, the decoded text, and how many ids."""
+        pieces = [list(self.rules.pieces(t)) for t in texts]
+        needed: set[str] = set()
+        for text in pieces:
+            for words, _ in text:
+                needed.update(words)
+        self.learn(needed)
+        for text in pieces:
+            ids, tokens = [], []
+            for words, special in text:
+                if words:
+                    ids.append(" ".join(map(self.ids_of.__getitem__, words)))
+                    tokens.append(" ".join(map(self.tokens_of.__getitem__, words)))
+                if special is not None:
+                    ids.append(str(self.rules.added[special]))
+                    tokens.append(special)
+            joined = " ".join(ids)
+            yield joined, " ".join(tokens), joined.count(" ") + 1 if joined else 0
 
     def encode(self, text: str) -> tuple[str, str, int]:
-        """Decimal ids joined by a space, the decoded text, and how many ids."""
-        ids, tokens, n = [], [], 0
-        known, word = self.known, self.word
-        for words, special in self.rules.pieces(text):
-            for w in words:
-                found = known.get(w) or word(w)
-                if found[2]:
-                    ids.append(found[0])
-                    tokens.append(found[1])
-                    n += found[2]
-            if special is not None:
-                ids.append(str(self.rules.added[special]))
-                tokens.append(special)
-                n += 1
-        return " ".join(ids), " ".join(tokens), n
+        return next(self.encode_many([text]))
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(t for i in ids if (t := self.rules.tokens.get(i)) is not None)
@@ -265,7 +350,7 @@ _CODECS: dict[tuple[str, bytes], Codec] = {}
 def codec(path: str, image: bytes) -> Codec:
     key = (path, sha256(image).digest())
     if key not in _CODECS:
-        _CODECS.clear()
+        _CODECS.clear()  # one lexicon at a time
         _CODECS[key] = Codec(path, image)
     return _CODECS[key]
 
@@ -327,9 +412,10 @@ def digests(docs: DataFrame, image: bytes, path: str | None = None) -> DataFrame
         c = codec(path, shared.value)
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids, tokens, n = c.encode(text or "")
-                rows.append((doc, n, sha256(ids.encode()).hexdigest(), sha256(tokens.encode()).hexdigest()))
+            docs, texts = pdf["doc_id"].tolist(), [t or "" for t in pdf["text"]]
+            for i in range(0, len(docs), TOGETHER):
+                for doc, (ids, tokens, n) in zip(docs[i : i + TOGETHER], c.encode_many(texts[i : i + TOGETHER]), strict=True):
+                    rows.append((doc, n, sha256(ids.encode()).hexdigest(), sha256(tokens.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
