@@ -163,10 +163,10 @@ def trained(docs: DataFrame, labels: DataFrame, owner: str = "toxicity") -> Mode
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     texts = scratch.written(texts, owner)
     sums = texts.mapInArrow(_count, "counts binary, docs binary").groupBy().applyInArrow(_add, "counts binary, docs binary").first()
-    if sums is None:
+    n_clean, n_toxic = (int(x) for x in np.frombuffer(sums["docs"], np.int64)) if sums is not None else (0, 0)
+    if not n_clean + n_toxic:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3), np.int32), np.zeros(0, np.int64))
     clean, toxic = np.frombuffer(sums["counts"], np.int64).reshape(2, -1)
-    n_clean, n_toxic = (int(x) for x in np.frombuffer(sums["docs"], np.int64))
     chosen = _chosen(toxic, clean, n_toxic, n_clean) if n_toxic and n_clean else np.zeros(0, np.int64)
     bags = texts.mapInArrow(lambda b: _bags(b, chosen), "labels binary, sentences binary, hits binary").collect()
     label = [np.frombuffer(r["labels"], np.int32) for r in bags]
