@@ -120,27 +120,38 @@ class Rules:
             out[i] = self.merged(words[i])
         return out
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids; the number of merges where a pair has none (or an id is missing, -1)."""
+        key = left * self.base + right
+        key[right < 0] = -1
+        place = np.searchsorted(self.pair_keys, key)
+        place[place == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[place] == key, self.pair_ranks[place], len(self.pair_keys))
+
     def _merge_rows(self, ids: np.ndarray) -> np.ndarray:
         """Merge the leftmost pair of least rank of every row until no row has one."""
-        active, columns = np.arange(len(ids)), np.arange(ids.shape[1])
+        none, columns = len(self.pair_keys), np.arange(ids.shape[1])
+        active, rows, rank = np.arange(len(ids)), ids, self._ranks(ids[:, :-1], ids[:, 1:])
         while len(active):
-            rows = ids[active]
-            key = rows[:, :-1] * self.base + rows[:, 1:]
-            key[rows[:, 1:] < 0] = -1
-            place = np.searchsorted(self.pair_keys, key)
-            place[place == len(self.pair_keys)] = 0
-            rank = np.where(self.pair_keys[place] == key, self.pair_ranks[place], len(self.pair_keys))
             best = rank.argmin(1)
-            least = rank[np.arange(len(rows)), best]
-            go = least < len(self.pair_keys)
-            active, rows, best, least = active[go], rows[go], best[go], least[go]
+            least = rank[np.arange(len(rank)), best]
+            go = least < none
+            ids[active[~go]] = rows[~go]
+            active, rows, rank, best, least = active[go], rows[go], rank[go], best[go], least[go]
             if not len(active):
                 break
-            moved = np.minimum(columns + (columns > best[:, None]), ids.shape[1] - 1)
-            new = np.take_along_axis(rows, moved, 1)
-            new[:, -1] = -1
-            new[np.arange(len(rows)), best] = self.merged_ids[least]
-            ids[active] = new
+            # The right half of each pair goes; only the pairs beside the new id get another rank.
+            moved = columns + (columns > best[:, None])
+            rows = np.take_along_axis(rows, np.minimum(moved, ids.shape[1] - 1), 1)
+            rows[:, -1] = -1
+            rank = np.take_along_axis(rank, np.minimum(moved[:, :-1], ids.shape[1] - 2), 1)
+            rank[:, -1] = none
+            at = np.arange(len(rows))
+            rows[at, best] = self.merged_ids[least]
+            before = np.maximum(best - 1, 0)
+            rank[at, before] = np.where(best > 0, self._ranks(rows[at, before], rows[at, before + 1]), rank[at, before])
+            after = np.minimum(best, ids.shape[1] - 2)
+            rank[at, after] = self._ranks(rows[at, after], rows[at, after + 1])
         return ids
 
     def merged(self, word: str) -> list[int]:
@@ -356,7 +367,7 @@ def codec(path: str, image: bytes) -> Codec:
 
 
 def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all documents: counted per task, summed in a shuffle, the top ``limit`` returned."""
+    """The most frequent words of all documents, at most ``limit``: counted per task and summed in a shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rules, seen = Rules(path), Counter()
@@ -372,7 +383,17 @@ def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> li
             yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
 
     counts = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.filter("n > 1").orderBy(F.desc("n"), "word").limit(limit).collect()]
+    counts = scratch.written(counts.filter("n > 1").withColumn("level", F.floor(16 * F.log2("n")).cast("int")), "lexicon")
+    # Levels of frequency instead of a sort: a few hundred rows say which levels fit, and only their words are fetched.
+    levels = sorted(((r["level"], r["words"]) for r in counts.groupBy("level").agg(F.count("*").alias("words")).collect()), reverse=True)
+    room, lowest = limit, None
+    for level, words in levels:
+        if words > room:
+            break
+        room, lowest = room - words, level
+    if lowest is None:
+        return []
+    return sorted(r["word"] for r in counts.filter(F.col("level") >= lowest).select("word").collect())
 
 
 def lexicon(docs: DataFrame, path: str | None = None) -> bytes:

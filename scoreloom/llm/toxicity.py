@@ -158,7 +158,10 @@ def fit(label: np.ndarray, sentences: np.ndarray, hits: np.ndarray, chosen: np.n
 def trained(docs: DataFrame, labels: DataFrame, owner: str = "toxicity") -> Model:
     """``docs``: doc_id, text; ``labels``: doc_id, toxic (only rows that may be learned from)."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIT_DOCS)
+    # A share of the hash range holds about FIT_DOCS rows, so what is ordered and cut is no more than that.
+    share = FIT_DOCS / max(1, known.count())
+    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+    sample = some.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIT_DOCS)
     # FIT_DOCS rows of 16 bytes at most: a proven bound.
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     texts = scratch.written(texts, owner)
