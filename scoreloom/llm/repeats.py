@@ -1,11 +1,12 @@
 """Suffix-array dedup of 50-byte strings across documents (operator 7).
 
 Every 50-byte window of a text belongs to the piece around its minimizer (the smallest hash of a 16-byte string in
-it), so equal windows meet in the task of that minimizer: one shuffle of packed pieces, no pairs of documents.  Each
-task keeps the minimizers seen in two or more documents, joins equal pieces, and builds the Burrows-Wheeler
-transform of the distinct ones.  Breadth-first backward extension then derives the common prefixes of neighbouring
-suffixes by increasing value and stops at 50: neighbours not parted by then share 50 bytes, and of such a run of
-suffixes all but those in the smallest document are marked.  The marks go back to the documents by doc_id.
+it), so equal windows have equal minimizers.  First only the minimizers move, packed: those that two or more
+documents have are sent back to their documents.  Then the pieces around these, and no others, move to the task of
+their minimizer.  Each task joins equal pieces and builds the Burrows-Wheeler transform of the distinct ones.
+Breadth-first backward extension then derives the common prefixes of neighbouring suffixes by increasing value and
+stops at 50: neighbours not parted by then share 50 bytes, and of such a run of suffixes all but those in the
+smallest document are marked.  The marks go back to the documents by doc_id.  No pairs of documents are made.
 
 Defined results: null text is empty; a text under 50 bytes keeps everything; of rows with equal doc_id none removes
 from another (only a smaller doc_id does); a null doc_id counts as larger than any other; empty tables give empty
@@ -30,13 +31,12 @@ WINDOW = 50
 ANCHOR = 16
 SPAN = WINDOW - ANCHOR + 1
 #: Bytes of packed pieces that one task should hold; the number of parts follows from the input.
-PART_BYTES = 10_000_000
+PART_BYTES = 4_000_000
 LAST_DOC = np.int64(2**63 - 1)
-PACKED = "part int, docs binary, anchors binary, places binary, bytes binary"
+#: Minimizers are small: a task takes those of this many parts of pieces.
+ANCHOR_PARTS = 12
 #: Bytes of text whose pieces are packed together.
 PACK_BYTES = 8_000_000
-#: Text, start and length of a piece, as differences to the piece before: they compress to a few bytes.
-PLACE = np.dtype([("text", np.int32), ("start", np.int32), ("length", np.uint8)])
 
 
 def minimizers(data: np.ndarray) -> np.ndarray:
@@ -89,82 +89,169 @@ def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
     return data[np.repeat(start - begin, length) + np.arange(total)]
 
 
-def _differences(at: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
-    """Columns of PLACE one after another; starts wrap at 2**32, which adding up undoes for texts under 4 GB."""
-    return b"".join(
-        [np.diff(at, prepend=0).astype(np.int32).tobytes(), np.diff(start, prepend=0).astype(np.int32).tobytes(), length.astype(np.uint8).tobytes()]
-    )
+def _differences(at: np.ndarray, start: np.ndarray, length: np.ndarray | None = None) -> bytes:
+    """Texts and starts as differences, which compress to a few bytes, and lengths where wanted."""
+    parts = [np.diff(at, prepend=0).astype(np.int32).tobytes(), np.diff(start, prepend=0).astype(np.int32).tobytes()]
+    return b"".join([*parts, length.astype(np.uint8).tobytes()] if length is not None else parts)
 
 
-def _places(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(raw) // PLACE.itemsize
+def _places(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at, start = (np.cumsum(np.frombuffer(raw, np.int32, n, 4 * n * k), dtype=np.int64) for k in (0, 1))
-    return at, start, np.frombuffer(raw, np.uint8, n, 8 * n).astype(np.int64)
+    return at, start, np.frombuffer(raw, np.uint8, -1, 8 * n).astype(np.int64) if len(raw) > 8 * n else np.zeros(n, np.int64)
 
 
-def packed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Packed pieces by part: one row per block of texts and part, compressed."""
-    shrink = zstandard.ZstdCompressor(level=3)
-    schema = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("docs", "anchors", "places", "bytes")]])
+def _found(ids: np.ndarray, data: np.ndarray, off: np.ndarray):
+    """Pieces of a pack of texts: text, start in the pack, length, anchor."""
+    found = [pieces(data[off[a] : off[b]], off[a : b + 1] - off[a]) + (off[a], a) for a, b, _, _ in textnum.blocks(data, off)]
+    return (
+        np.concatenate([f[0] + f[5] for f in found]), np.concatenate([f[1] + f[4] for f in found]),
+        np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found]),
+    )
+
+
+def _packs(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        ids = batch.column(0).fill_null(int(LAST_DOC)).to_numpy(zero_copy_only=False).astype(np.int64)
-        raw, off = textnum.buffers(batch.column(1))
+        ids = batch.column("_doc").to_numpy()
+        raw, off = textnum.buffers(batch.column("text"))
         for i, j, data, own in textnum.blocks(raw, off, PACK_BYTES):
-            found = [pieces(data[own[a]: own[b]], own[a : b + 1] - own[a]) + (own[a], a) for a, b, _, _ in textnum.blocks(data, own)]
-            text = np.concatenate([f[0] + f[5] for f in found])
-            start = np.concatenate([f[1] + f[4] for f in found])
-            length = np.concatenate([f[2] for f in found])
-            anchor = np.concatenate([f[3] for f in found])
-            part = (anchor >> np.uint64(32)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            text, start, length, anchor, part = text[order], start[order], length[order], anchor[order], part[order]
-            edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
-            rows: dict[str, list] = {f.name: [] for f in schema}
-            docs = ids[i:j]
-            for a, b in zip(edges, np.append(edges[1:], len(part)), strict=True):
-                used, at = np.unique(text[a:b], return_inverse=True)
-                rows["part"].append(int(part[a]))
-                rows["docs"].append(docs[used].tobytes())
-                rows["anchors"].append(anchor[a:b].astype(np.uint32).tobytes())
-                rows["places"].append(shrink.compress(_differences(at, start[a:b] - own[text[a:b]], length[a:b])))
-                rows["bytes"].append(shrink.compress(_gather(data, start[a:b], length[a:b]).tobytes()))
-            yield pa.RecordBatch.from_pydict(rows, schema)
+            yield batch.slice(i, j - i), ids[i:j], data, own, *_found(ids[i:j], data, own)
+
+
+def _by_part(anchor: np.ndarray, parts: int):
+    """Order that puts pieces together by part, and (part, from, to) of each."""
+    part = (anchor >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    sorted_ = part[order]
+    edges = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(part) else np.zeros(0, np.int64)
+    return order, list(zip(sorted_[edges].tolist(), edges.tolist(), np.append(edges[1:], len(part)).tolist(), strict=True)) if len(part) else []
+
+
+_BINARY = pa.binary()
+ANCHORS_SCHEMA = pa.schema([("part", pa.int32()), ("docs", _BINARY), ("anchors", _BINARY), ("places", _BINARY)])
+PIECES_SCHEMA = ANCHORS_SCHEMA.append(pa.field("bytes", _BINARY))
+
+
+def packed_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Minimizers by part: one row per pack of texts and part."""
+    shrink = zstandard.ZstdCompressor(level=3)
+    for _, docs, _, own, text, start, _, anchor in _packs(batches):
+        order, groups = _by_part(anchor, parts)
+        text, start, anchor = text[order], start[order], anchor[order]
+        rows: dict[str, list] = {n: [] for n in ANCHORS_SCHEMA.names}
+        for part, a, b in groups:
+            used, at = np.unique(text[a:b], return_inverse=True)
+            rows["part"].append(part)
+            rows["docs"].append(docs[used].tobytes())
+            rows["anchors"].append(anchor[a:b].astype(np.uint32).tobytes())
+            rows["places"].append(shrink.compress(_differences(at, start[a:b] - own[text[a:b]])))
+        yield pa.RecordBatch.from_pydict(rows, ANCHORS_SCHEMA)
+
+
+def packed_pieces(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Pieces around shared minimizers by part.  Column ``starts``: packed starts."""
+    shrink = zstandard.ZstdCompressor(level=3)
+    for batch, docs, data, own, text, start, length, anchor in _packs(batches):
+        wanted = [
+            np.frombuffer(x, np.uint32).astype(np.int64) + own[k] for k, x in enumerate(batch.column("starts").to_pylist()) if x
+        ]
+        keep = np.isin(start, np.concatenate(wanted)) if wanted else np.zeros(len(start), bool)
+        text, start, length, anchor = text[keep], start[keep], length[keep], anchor[keep]
+        order, groups = _by_part(anchor, parts)
+        text, start, length, anchor = text[order], start[order], length[order], anchor[order]
+        rows: dict[str, list] = {n: [] for n in PIECES_SCHEMA.names}
+        for part, a, b in groups:
+            used, at = np.unique(text[a:b], return_inverse=True)
+            rows["part"].append(part)
+            rows["docs"].append(docs[used].tobytes())
+            rows["anchors"].append(anchor[a:b].astype(np.uint32).tobytes())
+            rows["places"].append(shrink.compress(_differences(at, start[a:b] - own[text[a:b]], length[a:b])))
+            rows["bytes"].append(shrink.compress(_gather(data, start[a:b], length[a:b]).tobytes()))
+        yield pa.RecordBatch.from_pydict(rows, PIECES_SCHEMA)
+
+
+def _unpacked(rows: list[dict]):
+    """doc, anchor, start and length of the pieces of a part."""
+    grow = zstandard.ZstdDecompressor()
+    places = [_places(grow.decompress(r["places"]), len(r["anchors"]) // 4) for r in rows]
+    return (
+        np.concatenate([np.frombuffer(r["docs"], np.int64)[p[0]] for r, p in zip(rows, places, strict=True)]),
+        np.concatenate([np.frombuffer(r["anchors"], np.uint32) for r in rows]),
+        np.concatenate([p[1] for p in places]), np.concatenate([p[2] for p in places]),
+    )
+
+
+def _shared(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Places, ascending, of the pieces whose minimizer more than one document has (32 bits: a clash keeps more)."""
+    order = np.lexsort((doc, anchor))
+    new = np.append(True, anchor[order][1:] != anchor[order][:-1])
+    group = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order)) - 1
+    return np.sort(order[(doc[order][first] != doc[order][last])[group]])
+
+
+def _by_bucket(doc: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
+    """One row per bucket of documents: documents and values packed."""
+    bucket = (textnum.mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, doc, values = bucket[order], doc[order], values[order]
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(doc) else np.zeros(0, np.int64)
+    pieces_ = list(zip(edges, np.append(edges[1:], len(doc)), strict=True)) if len(doc) else []
+    return pa.table({
+        "bucket": pa.array(bucket[edges], pa.int32()), "docs": pa.array([doc[a:b].tobytes() for a, b in pieces_], _BINARY),
+        "values": pa.array([values[a:b].tobytes() for a, b in pieces_], _BINARY),
+    })
+
+
+def _per_document(rows: pa.Table, dtype: type, width: int, name: str) -> pa.Table:
+    """One row per document of a bucket: its values packed."""
+    doc = np.frombuffer(b"".join(rows.column("docs").to_pylist()), np.int64)
+    values = np.frombuffer(b"".join(rows.column("values").to_pylist()), dtype).reshape(-1, width)
+    order = np.argsort(doc, kind="stable")
+    doc, values = doc[order], values[order]
+    edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    return pa.table({"_doc": pa.array(doc[edges], pa.int64()), name: pa.array([values[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(doc)), strict=True)], _BINARY)})
+
+
+def _shared_of_part(rows: pa.Table, buckets: int) -> pa.Table:
+    doc, anchor, start, _ = _unpacked(rows.to_pylist())
+    keep = _shared(doc, anchor)
+    return _by_bucket(doc[keep], start[keep].astype(np.uint32), buckets)
 
 
 def suffix_order(data: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling.  ``data``: symbols, every piece ended by a 0; equal suffixes that run to the
-    end of their pieces are ordered by place, which stands for terminators that all differ."""
+    """Suffix array by prefix doubling.  ``data``: symbols, every piece ended by a 0.
+
+    Suffixes that are equal to the ends of their pieces stay in any order: what lies between two of them is equal too,
+    so no boundary below their length is moved by it.
+    """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, data.dtype)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, data.dtype)])
     ends = np.flatnonzero(data == 0)
-    room = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols before the terminator
+    room = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # symbols before the terminator
     key = np.zeros(n, np.uint64)
     for k in range(7):
-        key = (key << np.uint64(8)) | np.where(room > k, padded[k : k + n], np.uint64(0))
-    # Low byte: how many symbols count, so that a shorter piece sorts first and zeros are never real symbols.
+        key <<= np.uint64(8)
+        key |= np.where(room > k, padded[k : k + n] - 1, 0).astype(np.uint64)
+    # Low byte: how many symbols count, so that a shorter piece sorts first.
     key = (key << np.uint64(8)) | np.minimum(room, 7).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = _ranks(key[order], order)
-    h = 7
-    # A suffix that ended already is told apart by its place: suffixes with room < h get distinct ranks.
-    longest = int(room.max()) if n else 0
-    while h <= longest and rank.max() < n - 1:
-        follow = np.arange(n) + h
-        second = np.where(room >= h, rank[np.minimum(follow, n - 1)] + 1, 0).astype(np.uint64)
-        key = (rank.astype(np.uint64) << np.uint64(32)) | second
-        order = np.argsort(key, kind="stable")
+    h, longest = 7, int(room.max()) if n else 0
+    while h <= longest and int(rank.max()) < n - 1:
+        follow = np.minimum(np.arange(n) + h, n - 1)
+        key = (rank.astype(np.uint64) << np.uint64(32)) | np.where(room >= h, rank[follow] + 1, 0).astype(np.uint64)
+        order = np.argsort(key)
         rank = _ranks(key[order], order)
         h *= 2
-    return order
+    return order.astype(np.int32)
 
 
 def _ranks(sorted_key: np.ndarray, order: np.ndarray) -> np.ndarray:
-    new = np.ones(len(order), np.int64)
+    new = np.zeros(len(order), np.int32)
     new[1:] = sorted_key[1:] != sorted_key[:-1]
-    if len(new):
-        new[0] = 0
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
     return rank
 
 
@@ -178,8 +265,8 @@ def common_prefix_classes(data: np.ndarray, least: int = WINDOW) -> tuple[np.nda
     """
     sa = suffix_order(data)
     n = len(sa)
-    inverse = np.empty(n, np.int64)
-    inverse[sa] = np.arange(n)
+    inverse = np.empty(n, np.int32)
+    inverse[sa] = np.arange(n, dtype=np.int32)
     symbol = data[sa]
     psi = inverse[np.minimum(sa + 1, n - 1)]
     parted = np.ones(n, bool)
@@ -202,22 +289,10 @@ def repeated(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ``rows``: the packed pieces of one part.
     """
     grow = zstandard.ZstdDecompressor()
-    places = [_places(grow.decompress(r["places"])) for r in rows]
-    doc = np.concatenate([np.frombuffer(r["docs"], np.int64)[p[0]] for r, p in zip(rows, places, strict=True)])
-    anchor = np.concatenate([np.frombuffer(r["anchors"], np.uint32) for r in rows])
-    start = np.concatenate([p[1] for p in places])
-    length = np.concatenate([p[2] for p in places])
-    del places
+    doc, anchor, start, length = _unpacked(rows)
     data = np.concatenate([np.frombuffer(grow.decompress(r["bytes"]), np.uint8) for r in rows])
     begin = np.cumsum(length) - length
-    # Minimizers that only one document has cannot hold a repeated window (32 bits of hash: a clash keeps more, not less).
-    order = np.lexsort((doc, anchor))
-    new = np.append(True, anchor[order][1:] != anchor[order][:-1])
-    group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(order)) - 1
-    shared = doc[order][first] != doc[order][last]
-    keep = np.sort(order[shared[group]])
+    keep = _shared(doc, anchor)
     none = np.zeros(0, np.int64)
     if not len(keep):
         return none, none, none
@@ -260,24 +335,14 @@ def repeated(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[owner[runs]], start[owner[runs]] + offset[runs], ends - runs + WINDOW - 1
 
 
-def _spans_of_part(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+def _spans_of_part(rows: pa.Table, buckets: int) -> pa.Table:
     doc, start, length = repeated(rows.to_pylist())
-    order = np.argsort(doc, kind="stable")
-    doc, start, length = doc[order], start[order], length[order]
-    edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    ends = np.append(edges[1:], len(doc)) if len(doc) else edges
-    # One row per document and part; spans as packed pairs.
-    return pa.table(
-        {
-            "_doc": pa.array(doc[edges], pa.int64()),
-            "spans": pa.array([np.stack([start[a:b], length[a:b]], 1).tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary()),
-        }
-    )
+    return _by_bucket(doc, np.stack([start, length], 1), buckets)
 
 
-def union(spans: list[bytes], n: int) -> list[tuple[int, int]]:
+def union(spans: bytes) -> list[tuple[int, int]]:
     """Maximal runs [a, b) covered by the packed spans."""
-    pairs = np.concatenate([np.frombuffer(s, np.int64).reshape(-1, 2) for s in spans])
+    pairs = np.frombuffer(spans, np.int64).reshape(-1, 2)
     start = pairs[:, 0]
     order = np.argsort(start, kind="stable")
     start, end = start[order], np.maximum.accumulate((pairs[:, 0] + pairs[:, 1])[order])
@@ -295,18 +360,37 @@ def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def spans(docs: DataFrame, owner: str, parts: int | None = None) -> DataFrame:
-    """(_doc, spans): for each document with something to remove, the packed spans, one array entry per part.
+def spans(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(_doc, spans): for each document with something to remove, the packed spans.
 
-    ``docs``: doc_id and text.  The number of parts follows the bytes of the texts.
+    ``docs``: _doc (not null), text, and whatever else the caller joins the spans to: as both joins then read the
+    same columns, Spark shuffles the texts once.  The number of parts follows the bytes of the texts.
     """
     if parts is None:
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(size) * 35 // 10 // PART_BYTES))
-    rows = docs.select("doc_id", "text").mapInArrow(lambda b: packed(b, parts), PACKED)
-    rows = rows.repartition(parts, "part")
-    found = rows.groupBy("part").applyInArrow(_spans_of_part, "_doc long, spans binary")
-    return found.groupBy("_doc").agg(F.collect_list("spans").alias("spans"))
+        parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(size) * 4 // PART_BYTES))
+    few = max(1, parts // ANCHOR_PARTS)
+    packed, bucketed = "part int, docs binary, anchors binary, places binary", "bucket int, docs binary, values binary"
+
+    def shared_of_part(rows: pa.Table) -> pa.Table:
+        return _shared_of_part(rows, few)
+
+    def spans_of_part(rows: pa.Table) -> pa.Table:
+        return _spans_of_part(rows, few)
+
+    def starts_of(rows: pa.Table) -> pa.Table:
+        return _per_document(rows, np.uint32, 1, "starts")
+
+    def spans_of(rows: pa.Table) -> pa.Table:
+        return _per_document(rows, np.int64, 2, "spans")
+
+    anchors = docs.select("_doc", "text").mapInArrow(lambda b: packed_anchors(b, few), packed)
+    shared = anchors.repartition(few, "part").groupBy("part").applyInArrow(shared_of_part, bucketed)
+    starts = shared.groupBy("bucket").applyInArrow(starts_of, "_doc long, starts binary")
+    rows = docs.join(starts, "_doc")
+    cut = rows.mapInArrow(lambda b: packed_pieces(b, parts), f"{packed}, bytes binary")
+    found = cut.repartition(parts, "part").groupBy("part").applyInArrow(spans_of_part, bucketed)
+    return found.groupBy("bucket").applyInArrow(spans_of, "_doc long, spans binary")
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,7 +398,7 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for doc, text, found in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
             raw = (text or "").encode()
-            runs = union(list(found), len(raw)) if found is not None and len(found) else []
+            runs = union(found) if found else []
             kept = cut(raw, runs)
             out.append((doc, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
         yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -323,23 +407,22 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _kept_text(text: pd.Series, found: pd.Series) -> pd.Series:
     """Texts without their repeated bytes; a character that is cut in two goes whole."""
     return pd.Series(
-        [cut(t.encode(), union(list(f), 0)).decode("utf-8", "ignore") if t is not None and f is not None and len(f) else t for t, f in zip(text, found, strict=True)],
+        [cut(t.encode(), union(f)).decode("utf-8", "ignore") if t is not None and f else t for t, f in zip(text, found, strict=True)],
         dtype=object,
     )
 
 
-def with_spans(docs: DataFrame, owner: str) -> DataFrame:
+def with_spans(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` and ``_spans``, packed spans to remove or null."""
-    found = spans(docs, owner)
-    right = found.withColumnRenamed("spans", "_spans")
-    key = F.coalesce(docs["doc_id"], F.lit(int(LAST_DOC)))
-    return docs.join(right, key == right["_doc"], "left").drop("_doc")
+    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_DOC))))
+    found = spans(keyed)
+    return keyed.join(found.withColumnRenamed("spans", "_spans"), "_doc", "left").drop("_doc")
 
 
-def deduplicated(docs: DataFrame, owner: str = "repeats") -> DataFrame:
+def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated 50-byte strings cut from ``text``; all rows and columns stay, n_chars follows the text."""
     text = F.pandas_udf(_kept_text, "string")
-    out = with_spans(docs, owner).withColumn("text", text("text", "_spans"))
+    out = with_spans(docs).withColumn("text", text("text", "_spans"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -347,5 +430,5 @@ def deduplicated(docs: DataFrame, owner: str = "repeats") -> DataFrame:
 
 def op7_repeated_strings(spark, sf_dir: str) -> DataFrame:
     docs = scratch.table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = with_spans(docs, "op7").select("doc_id", "text", F.col("_spans").alias("spans"))
+    marked = with_spans(docs).select("doc_id", "text", F.col("_spans").alias("spans"))
     return marked.mapInPandas(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
