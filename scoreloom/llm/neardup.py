@@ -1,18 +1,20 @@
 """Near-duplicate classes by consistent weighted sampling over TF-IDF shingles (operator 1).
 
 1. Document frequencies of 5-word shingles go into a counter table of fixed size (2**20 counters, 4 MB whatever the
-   input), summed per task before it moves.  A shingle weighs tf * idf; idf lies between 1 and 2.
+   input), summed per task before it moves.  A shingle weighs tf * idf; idf lies between 1 and 1.25.
 2. Improved consistent weighted sampling draws 36 samples per text: two texts agree in a sample with a probability
    equal to their weighted Jaccard similarity.  Three samples make a band; 12 bands.  At similarity 0.8 a pair
    shares no band with probability 1.8e-4, at 0.9 with 2e-7.
-3. Equal texts are one node.  In each bucket the smallest node is compared with every other one; pairs that reach
-   a weighted Jaccard similarity of 0.8 over the full texts are links, and links make classes.  Buckets that still
-   hold two classes go on with their next nodes (2nd to 8th, 9th to 64th, ...) against all nodes of other classes,
-   until every two nodes of a bucket have been compared or are in one class.  A group of k near copies so costs
-   about k comparisons, no bucket is capped, and nothing is collected.
+3. Equal texts are one node.  In large buckets the pairs that share shingles which few nodes have are found by those;
+   all other pairs can only share the rest, and those whose rest cannot come to 0.8 are left out (exactly).
+4. In each bucket the first node, in an order of the bucket's own, is compared with
+   every other one; pairs that reach a weighted Jaccard similarity of 0.8 over the full texts are links, and links
+   make classes.  Buckets that still hold two classes go on with their next nodes (2nd to 8th, 9th to 64th, ...)
+   against all nodes of other classes, until every two nodes of a bucket have been compared or are in one class.  A
+   group of k near copies so costs about k comparisons, no bucket is capped, and nothing is collected.
 
 Defined results: null text is empty; a text without words is its own class; a text of 1 to 4 words is one shingle;
-a null doc_id is replaced by a negative hash of the text; rows with one doc_id are one document; empty tables give
+a null doc_id is replaced by 2**62 and more, from a hash of the text; rows with one doc_id are one document; empty tables give
 empty results; ties go to the smaller id.
 """
 
@@ -33,12 +35,16 @@ COUNTER_BITS = 20
 SLICES = 64
 #: Growth of the range of leaders from one round to the next.
 ROUND_GROWTH = 8
+#: From this size on a bucket is worth counting what its nodes share.  Shingles that so many nodes have are rare.
+LARGE, RARE = 8, 4
+#: idf lies between 1 and 1 + this: wider, and one changed word would weigh more than the words around it.
+IDF_RANGE = 0.25
 _KEYS = np.random.default_rng(77).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64)
 _TINY = np.float32(2.0**-33)
 
 
 def node_id(doc_id: Column, text: Column) -> Column:
-    hashed = -1 - F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 62))
+    hashed = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 61))
     return F.coalesce(doc_id.cast("long"), hashed)
 
 
@@ -66,19 +72,19 @@ def _sum_slices(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """idf by counter: 1 + ln((n + 1) / (df + 1)) / ln(n + 2), df less the table's background of rare shingles.
+    """idf by counter: 1 + IDF_RANGE * ln((n + 1) / (df + 1)) / ln(n + 2), df less the table's background of rare shingles.
 
     What comes to the driver is the counter table, 8 MB for any input.
     """
     parts = docs.select("text").mapInArrow(_count_shingles, "slice int, counts binary")
     rows = parts.groupBy("slice").applyInArrow(_sum_slices, "slice int, counts binary").collect()
     if not rows:
-        return np.full(1 << COUNTER_BITS, 2, np.float32)
+        return np.full(1 << COUNTER_BITS, 1 + IDF_RANGE, np.float32)
     by = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in rows}
     counts = np.concatenate([by[k] for k in range(SLICES)])
     n = int(by[SLICES][0])
     seen = np.clip(counts - np.median(counts), 0, n)
-    return (1 + np.log((n + 1) / (seen + 1)) / np.log(n + 2)).astype(np.float32)
+    return (1 + IDF_RANGE * np.log((n + 1) / (seen + 1)) / np.log(n + 2)).astype(np.float32)
 
 
 def _weighted(data: np.ndarray, off: np.ndarray, idf: np.ndarray):
@@ -191,15 +197,23 @@ def classes(docs: DataFrame, owner: str = "neardup", similarity: float = SIMILAR
     reps = signed.join(nodes, (signed["digest"] == nodes["digest"]) & (signed["id"] == nodes["node"])).filter("weight > 0")
     keys = reps.select("node", "weight", F.explode("bands").alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    order = Window.partitionBy("key").orderBy("node")
-    ranked = scratch.written(keys.join(shared, "key").withColumn("pos", F.row_number().over(order) - 1), owner)
-    wanted = ranked.select(F.col("node").alias("id")).distinct()
+    sized = scratch.written(keys.join(shared, "key"), owner)
+    wanted = sized.select(F.col("node").alias("id")).distinct()
     texts = scratch.written(base.select("id", "text").join(wanted, "id").dropDuplicates(["id"]), owner)
-    largest = ranked.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    # own: weight of what few other nodes of large buckets have; it bounds every similarity inside large buckets.
+    own, near = _rare(sized, texts, idf, owner, similarity)
+    rows = sized.join(own, "node", "left").withColumn("own", F.when(F.col("size") >= LARGE, F.coalesce("own", F.lit(0.0))).otherwise(0.0))
+    left = rows.filter(F.col("weight") - F.col("own") >= (similarity - 1e-6) * F.col("weight"))
+    # Leaders: those with little of their own first, in a random order that differs from bucket to bucket.
+    order = Window.partitionBy("key").orderBy(F.floor(10 * F.col("own") / F.col("weight")), F.xxhash64("key", "node"), "node")
+    ranked = scratch.written(left.select("key", "node", "weight", "own", (F.row_number().over(order) - 1).alias("pos")), owner)
+    largest = ranked.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
     tested = links = roots = None
     low, high = 0, 1
     while low < largest - 1 or (low == 0 and largest > 1):
         pairs = _candidates(ranked, roots, low, high, similarity)
+        if low == 0:
+            pairs = pairs.union(near).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.written(pairs, owner)
@@ -216,10 +230,42 @@ def classes(docs: DataFrame, owner: str = "neardup", similarity: float = SIMILAR
     return _by_document(spark, base.select("id", "digest", "doc_id"), nodes, roots, links)
 
 
+def _rare(sized: DataFrame, texts: DataFrame, idf, owner: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """For nodes in large buckets: (node, own), the weight of their shingles that at most RARE such nodes have, and
+    (a, b), the pairs that share such shingles and may be similar.  A shingle makes at most RARE (RARE - 1) / 2 pairs.
+    """
+    large = sized.filter(F.col("size") >= LARGE).select("node", "weight").distinct()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            raw, off = textnum.buffers(batch.column(1))
+            for i, _, data, own in textnum.blocks(raw, off):
+                h, t, w = _weighted(data, own, idf.value)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + t]), pa.array(h.view(np.int64)), pa.array(w.astype(np.float64))], ["node", "h", "w"])
+
+    held = texts.join(large.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(spread, "node long, h long, w double")
+    held = scratch.written(held, owner)
+    counted = held.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w"))
+    alone = counted.filter("n = 1").select("node", "w")
+    some = held.join(counted.filter(F.col("n").between(2, RARE)).select("h"), "h").select("h", "node", "w")
+    own = scratch.written(alone.union(some.select("node", "w")).groupBy("node").agg(F.sum("w").alias("own")), owner)
+    other = some.select("h", F.col("node").alias("b"), F.col("w").alias("v"))
+    both = some.join(other, "h").filter(F.col("node") < F.col("b")).groupBy(F.col("node").alias("a"), "b").agg(F.sum(F.least("w", "v")).alias("shared"))
+    full = large.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    left = full.select(F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("own").alias("oa"))
+    right = full.select(F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("own").alias("ob"))
+    most = F.col("shared") + F.least(F.col("wa") - F.col("oa"), F.col("wb") - F.col("ob"))
+    may = most >= (similarity - 1e-6) * (F.col("wa") + F.col("wb") - most)
+    return own, both.join(left, "a").join(right, "b").filter(may).select("a", "b")
+
+
 def _candidates(ranked: DataFrame, roots: DataFrame | None, low: int, high: int, similarity: float) -> DataFrame:
     """Pairs of a leader (position low to high - 1 of its bucket) with the later nodes of other classes.
 
-    The similarity of two texts is at most the ratio of their total weights, so clearly unequal ones are left out.
+    Two texts that share nothing rare share at most m, the smaller of what either has beside its rare shingles, and so
+    have a similarity of at most m / (weight + weight - m): pairs that this keeps below the threshold are left out.
+    Those that do share rare shingles come from ``_rare``.
     """
     if roots is None:
         known = ranked.withColumn("root", F.col("node"))
@@ -228,13 +274,14 @@ def _candidates(ranked: DataFrame, roots: DataFrame | None, low: int, high: int,
         mixed = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
         known = known.join(mixed, "key", "left_semi")
     lead = known.filter(F.col("pos").between(low, high - 1)).select(
-        "key", F.col("node").alias("a"), F.col("pos").alias("p"), F.col("weight").alias("w"), F.col("root").alias("r")
+        "key", F.col("node").alias("a"), F.col("pos").alias("p"), F.col("weight").alias("w"), F.col("own").alias("o"), F.col("root").alias("r")
     )
+    most = F.least(F.col("weight") - F.col("own"), F.col("w") - F.col("o"))
     joined = known.join(lead, "key").filter(
         (F.col("pos") > F.col("p")) & (F.col("root") != F.col("r"))
-        & (F.least("weight", "w") >= (similarity - 1e-6) * F.greatest("weight", "w"))
+        & (most >= (similarity - 1e-6) * (F.col("weight") + F.col("w") - most))
     )
-    return joined.select("a", F.col("node").alias("b")).distinct()
+    return joined.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
 def _by_document(spark: SparkSession, base: DataFrame, nodes: DataFrame, roots: DataFrame | None, links: DataFrame | None) -> DataFrame:
