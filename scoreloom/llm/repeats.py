@@ -6,7 +6,8 @@ documents have are sent back to their documents.  Then the pieces around these,
 their minimizer.  Each task joins equal pieces and builds the Burrows-Wheeler transform of the distinct ones.
 Breadth-first backward extension then derives the common prefixes of neighbouring suffixes by increasing value and
 stops at 50: neighbours not parted by then share 50 bytes, and of such a run of suffixes all but those in the
-smallest document are marked.  The marks go back to the documents by doc_id.  No pairs of documents are made.
+smallest document are marked.  The marks go back to the rows by doc_id and a digest of the text: rows that share a
+doc_id, or have none, keep their marks apart.  No pairs of documents are made.
 
 Defined results: null text is empty; a text under 50 bytes keeps everything; of rows with equal doc_id none removes
 from another (only a smaller doc_id does); a null doc_id counts as larger than any other; empty tables give empty
@@ -33,6 +34,8 @@ SPAN = WINDOW - ANCHOR + 1
 #: Bytes of packed pieces that one task should hold; the number of parts follows from the input.
 PART_BYTES = 4_000_000
 LAST_DOC = np.int64(2**63 - 1)
+#: What a row is known by: its document, which alone decides who is smaller, and a digest of its text.
+ROW = ["_doc", "_row"]
 #: Minimizers are small: a task takes those of this many parts of pieces.
 ANCHOR_PARTS = 12
 #: Bytes of text whose pieces are packed together.
@@ -100,7 +103,7 @@ def _places(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, start, np.frombuffer(raw, np.uint8, -1, 8 * n).astype(np.int64) if len(raw) > 8 * n else np.zeros(n, np.int64)
 
 
-def _found(ids: np.ndarray, data: np.ndarray, off: np.ndarray):
+def _found(data: np.ndarray, off: np.ndarray):
     """Pieces of a pack of texts: text, start in the pack, length, anchor."""
     found = [pieces(data[off[a] : off[b]], off[a : b + 1] - off[a]) + (off[a], a) for a, b, _, _ in textnum.blocks(data, off)]
     return (
@@ -111,10 +114,10 @@ def _found(ids: np.ndarray, data: np.ndarray, off: np.ndarray):
 
 def _packs(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        ids = batch.column("_doc").to_numpy()
+        ids = np.stack([batch.column(c).to_numpy() for c in ROW], 1)
         raw, off = textnum.buffers(batch.column("text"))
         for i, j, data, own in textnum.blocks(raw, off, PACK_BYTES):
-            yield batch.slice(i, j - i), ids[i:j], data, own, *_found(ids[i:j], data, own)
+            yield batch.slice(i, j - i), ids[i:j], data, own, *_found(data, own)
 
 
 def _by_part(anchor: np.ndarray, parts: int):
@@ -170,11 +173,11 @@ def packed_pieces(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
 
 
 def _unpacked(rows: list[dict]):
-    """doc, anchor, start and length of the pieces of a part."""
+    """row (doc, digest), anchor, start and length of the pieces of a part."""
     grow = zstandard.ZstdDecompressor()
     places = [_places(grow.decompress(r["places"]), len(r["anchors"]) // 4) for r in rows]
     return (
-        np.concatenate([np.frombuffer(r["docs"], np.int64)[p[0]] for r, p in zip(rows, places, strict=True)]),
+        np.concatenate([np.frombuffer(r["docs"], np.int64).reshape(-1, 2)[p[0]] for r, p in zip(rows, places, strict=True)]),
         np.concatenate([np.frombuffer(r["anchors"], np.uint32) for r in rows]),
         np.concatenate([p[1] for p in places]), np.concatenate([p[2] for p in places]),
     )
@@ -190,33 +193,41 @@ def _shared(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return np.sort(order[(doc[order][first] != doc[order][last])[group]])
 
 
-def _by_bucket(doc: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
-    """One row per bucket of documents: documents and values packed."""
-    bucket = (textnum.mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket, doc, values = bucket[order], doc[order], values[order]
-    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(doc) else np.zeros(0, np.int64)
-    pieces_ = list(zip(edges, np.append(edges[1:], len(doc)), strict=True)) if len(doc) else []
+def _by_bucket(ids: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
+    """One row per bucket of rows: their ids and values packed, without repeats (rows alike in id and text)."""
+    bucket = (textnum.mix((ids[:, 0] ^ ids[:, 1]).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    columns = [*values.reshape(len(ids), -1).T, ids[:, 1], ids[:, 0], bucket]
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for column in columns:
+        new[1:] |= column[order][1:] != column[order][:-1]
+    bucket, ids, values = bucket[order][new], ids[order][new], values[order][new]
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(ids) else np.zeros(0, np.int64)
+    pieces_ = list(zip(edges, np.append(edges[1:], len(ids)), strict=True)) if len(ids) else []
     return pa.table({
-        "bucket": pa.array(bucket[edges], pa.int32()), "docs": pa.array([doc[a:b].tobytes() for a, b in pieces_], _BINARY),
+        "bucket": pa.array(bucket[edges], pa.int32()), "docs": pa.array([ids[a:b].tobytes() for a, b in pieces_], _BINARY),
         "values": pa.array([values[a:b].tobytes() for a, b in pieces_], _BINARY),
     })
 
 
-def _per_document(rows: pa.Table, dtype: type, width: int, name: str) -> pa.Table:
-    """One row per document of a bucket: its values packed."""
-    doc = np.frombuffer(b"".join(rows.column("docs").to_pylist()), np.int64)
+def _per_row(rows: pa.Table, dtype: type, width: int, name: str) -> pa.Table:
+    """One row per row of a bucket: its values packed."""
+    ids = np.frombuffer(b"".join(rows.column("docs").to_pylist()), np.int64).reshape(-1, 2)
     values = np.frombuffer(b"".join(rows.column("values").to_pylist()), dtype).reshape(-1, width)
-    order = np.argsort(doc, kind="stable")
-    doc, values = doc[order], values[order]
-    edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    return pa.table({"_doc": pa.array(doc[edges], pa.int64()), name: pa.array([values[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(doc)), strict=True)], _BINARY)})
+    order = np.lexsort((ids[:, 1], ids[:, 0]))
+    ids, values = ids[order], values[order]
+    edges = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(1)))
+    return pa.table({
+        "_doc": pa.array(ids[edges, 0], pa.int64()), "_row": pa.array(ids[edges, 1], pa.int64()),
+        name: pa.array([values[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(ids)), strict=True)], _BINARY),
+    })
 
 
 def _shared_of_part(rows: pa.Table, buckets: int) -> pa.Table:
-    doc, anchor, start, _ = _unpacked(rows.to_pylist())
-    keep = _shared(doc, anchor)
-    return _by_bucket(doc[keep], start[keep].astype(np.uint32), buckets)
+    ids, anchor, start, _ = _unpacked(rows.to_pylist())
+    keep = _shared(ids[:, 0], anchor)
+    return _by_bucket(ids[keep], start[keep].astype(np.uint32), buckets)
 
 
 def suffix_order(data: np.ndarray) -> np.ndarray:
@@ -284,19 +295,20 @@ def common_prefix_classes(data: np.ndarray, least: int = WINDOW) -> tuple[np.nda
 
 
 def repeated(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, length) of the spans covered by 50-byte strings that also start in a smaller document.
+    """(row, start, length) of the spans covered by 50-byte strings that also start in a smaller document.
 
     ``rows``: the packed pieces of one part.
     """
     grow = zstandard.ZstdDecompressor()
-    doc, anchor, start, length = _unpacked(rows)
+    ids, anchor, start, length = _unpacked(rows)
     data = np.concatenate([np.frombuffer(grow.decompress(r["bytes"]), np.uint8) for r in rows])
     begin = np.cumsum(length) - length
-    keep = _shared(doc, anchor)
+    keep = _shared(ids[:, 0], anchor)
     none = np.zeros(0, np.int64)
     if not len(keep):
-        return none, none, none
-    doc, anchor, length, start, begin = doc[keep], anchor[keep], length[keep], start[keep], begin[keep]
+        return none.reshape(0, 2), none, none
+    ids, anchor, length, start, begin = ids[keep], anchor[keep], length[keep], start[keep], begin[keep]
+    doc = ids[:, 0]
     data = _gather(data, begin, length)
     begin = np.cumsum(length) - length
     # Equal pieces become one, with the smallest document that has it.
@@ -332,12 +344,12 @@ def repeated(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.append(runs[1:], total)
     good = hit[runs]
     runs, ends = runs[good], ends[good]
-    return doc[owner[runs]], start[owner[runs]] + offset[runs], ends - runs + WINDOW - 1
+    return ids[owner[runs]], start[owner[runs]] + offset[runs], ends - runs + WINDOW - 1
 
 
 def _spans_of_part(rows: pa.Table, buckets: int) -> pa.Table:
-    doc, start, length = repeated(rows.to_pylist())
-    return _by_bucket(doc, np.stack([start, length], 1), buckets)
+    ids, start, length = repeated(rows.to_pylist())
+    return _by_bucket(ids, np.stack([start, length], 1), buckets)
 
 
 def union(spans: bytes) -> list[tuple[int, int]]:
@@ -361,9 +373,9 @@ def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def spans(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """(_doc, spans): for each document with something to remove, the packed spans.
+    """(_doc, _row, spans): for each row with something to remove, the packed spans.
 
-    ``docs``: _doc (not null), text, and whatever else the caller joins the spans to: as both joins then read the
+    ``docs``: _doc and _row (not null), text, and whatever else the caller joins the spans to: as both joins then read the
     same columns, Spark shuffles the texts once.  The number of parts follows the bytes of the texts.
     """
     if parts is None:
@@ -379,18 +391,18 @@ def spans(docs: DataFrame, parts: int | None = None) -> DataFrame:
         return _spans_of_part(rows, few)
 
     def starts_of(rows: pa.Table) -> pa.Table:
-        return _per_document(rows, np.uint32, 1, "starts")
+        return _per_row(rows, np.uint32, 1, "starts")
 
     def spans_of(rows: pa.Table) -> pa.Table:
-        return _per_document(rows, np.int64, 2, "spans")
+        return _per_row(rows, np.int64, 2, "spans")
 
-    anchors = docs.select("_doc", "text").mapInArrow(lambda b: packed_anchors(b, few), packed)
+    anchors = docs.select(*ROW, "text").mapInArrow(lambda b: packed_anchors(b, few), packed)
     shared = anchors.repartition(few, "part").groupBy("part").applyInArrow(shared_of_part, bucketed)
-    starts = shared.groupBy("bucket").applyInArrow(starts_of, "_doc long, starts binary")
-    rows = docs.join(starts, "_doc")
+    starts = shared.groupBy("bucket").applyInArrow(starts_of, "_doc long, _row long, starts binary")
+    rows = docs.join(starts, ROW)
     cut = rows.mapInArrow(lambda b: packed_pieces(b, parts), f"{packed}, bytes binary")
     found = cut.repartition(parts, "part").groupBy("part").applyInArrow(spans_of_part, bucketed)
-    return found.groupBy("bucket").applyInArrow(spans_of, "_doc long, spans binary")
+    return found.groupBy("bucket").applyInArrow(spans_of, "_doc long, _row long, spans binary")
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -414,9 +426,9 @@ def _kept_text(text: pd.Series, found: pd.Series) -> pd.Series:
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` and ``_spans``, packed spans to remove or null."""
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_DOC))))
+    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_DOC)))).withColumn("_row", F.xxhash64("text"))
     found = spans(keyed)
-    return keyed.join(found.withColumnRenamed("spans", "_spans"), "_doc", "left").drop("_doc")
+    return keyed.join(found.withColumnRenamed("spans", "_spans"), ROW, "left").drop(*ROW)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -243,6 +243,17 @@ def test_repeats_edges(spark):
     assert repeats.deduplicated(empty(spark)).count() == 0
 
 
+def test_repeats_of_rows_that_share_an_id(spark):
+    rng = random.Random(5)
+    fresh = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage = fresh(100)
+    data = [(5, passage + fresh(300)), (None, fresh(200) + passage), (None, fresh(400)), (9, fresh(150) + passage), (9, fresh(400)), (9, fresh(60) + passage)]
+    data += [data[1]] * 3
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(r["text"] for r in repeats.deduplicated(df).collect())
+    assert got == sorted(t if i == 5 else t.replace(passage, "") for i, t in data)
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(4)
     text = bytes(rng.choices(b"ab", k=300)) + b"a" * 70 + bytes(rng.choices(b"ab", k=60))
