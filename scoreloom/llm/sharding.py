@@ -6,12 +6,13 @@ wanted number of shards.  Greedy filling only asks for "the last prefix sum up t
 tested at once by one aggregate over the stored prefix sums, and no ordered list reaches the driver.
 
 Defined results: a null text counts as empty (size 1, CRC 0) and groups with empty ones; repeated doc_ids stay
-separate rows; an empty table gives an empty result; one group larger than the fair share makes one large shard.
+separate rows, and different texts with one smallest doc_id separate groups, in order of their digests; a text all
+of whose rows have a null doc_id comes after those with ids; an empty table gives an empty result; one group larger than the fair share makes one large shard.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -21,24 +22,26 @@ SHARDS = 8
 TESTED = 16
 
 
-def _ranged(df: DataFrame, order: list[str], owner: str) -> DataFrame:
+def _ranged(df: DataFrame, order: list[str | Column], owner: str) -> DataFrame:
     """``df`` written in range partitions of ``order``, with the partition's number in ``_part``."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return scratch.written(ranged.withColumn("_part", F.spark_partition_id()), owner)
 
 
 def prefix_sums(groups: DataFrame, owner: str) -> DataFrame:
-    """``groups`` (first_doc, bytes) with ``upto``, the running sum of bytes in order of first_doc.
+    """``groups`` (first_doc, key, bytes) with ``upto``, the running sum of bytes in order of first_doc (nulls last)
+    and key.
 
     Sums run inside range partitions; each partition then adds the total of those before it.
     """
-    ranged = _ranged(groups, ["first_doc"], owner)
-    inside = Window.partitionBy("_part").orderBy("first_doc", "key").rowsBetween(Window.unboundedPreceding, 0)
+    order = [F.col("first_doc").asc_nulls_last(), F.col("key").asc()]
+    ranged = _ranged(groups, order, owner)
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     parts = ranged.groupBy("_part").agg(F.sum("bytes").alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     summed = ranged.withColumn("_upto", F.sum("bytes").over(inside)).join(parts, "_part")
-    return scratch.written(summed.select("first_doc", "bytes", (F.col("_upto") + F.col("_before")).alias("upto")), owner)
+    return scratch.written(summed.select("key", "bytes", (F.col("_upto") + F.col("_before")).alias("upto")), owner)
 
 
 def _fill(sums: DataFrame, capacities: list[int], shards: int) -> list[list[int]]:
@@ -85,7 +88,7 @@ def sharded(docs: DataFrame, owner: str = "sharding", shards: int = SHARDS) -> D
     sums = prefix_sums(groups, owner)
     _, cuts = smallest_capacity(sums, shards)
     shard = sum([(F.col("upto") > c).cast("int") for c in cuts[:-1]], F.lit(0))
-    of_group = groups.join(sums.select("first_doc", shard.alias("shard")), "first_doc").select("key", "shard")
+    of_group = sums.select("key", shard.alias("shard"))
     placed = scratch.written(rows.join(of_group, "key").drop("key"), owner)
     # Slots: number the rows inside (range partition, shard), then add what earlier partitions put into the shard.
     counts = placed.groupBy("shard", "_part").agg(F.count("*").alias("_n"))

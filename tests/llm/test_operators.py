@@ -297,6 +297,18 @@ def test_shards(spark):
     assert sharding.sharded(empty(spark)).count() == 0
 
 
+def test_shards_of_rows_that_share_an_id(spark):
+    data = [(1, "a" * 40), (1, "b" * 70), (2, "c" * 50), (2, "a" * 40), (3, "d" * 90), (3, "e" * 10), (None, "f" * 60), (None, "f" * 60), (None, "g" * 30)]
+    out = sharding.sharded(spark.createDataFrame(data, "doc_id long, text string"), shards=3).collect()
+    crc = lambda t: zlib.crc32(t.encode())
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in out) == Counter((i, crc(t)) for i, t in data)
+    of_text = defaultdict(set)
+    for r in out:
+        of_text[r["text_crc32"]].add(r["shard"])
+    assert all(len(s) == 1 for s in of_text.values())
+    assert min(of_text[crc("f" * 60)] | of_text[crc("g" * 30)]) >= max(max(of_text[crc(c * n)]) for c, n in [("a", 40), ("b", 70), ("c", 50), ("d", 90), ("e", 10)])
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     fine = [f"w{k}" for k in range(80)]
