@@ -3,7 +3,9 @@
 Every 50-byte window of a text belongs to the piece around its minimizer (the smallest hash of a 16-byte string in
 it), so equal windows have equal minimizers.  First only the minimizers move, packed: those that two or more
 documents have are sent back to their documents.  Then the pieces around these, and no others, move to the task of
-their minimizer.  Each task joins equal pieces and builds the Burrows-Wheeler transform of the distinct ones.
+their minimizer.  What many documents share is summed up before it moves: of a minimizer that two documents of a pack
+of texts have, two places go to its task; of equal pieces in a pack, those in the smallest document, as that document
+already says that the others go whole.  Each task joins equal pieces and builds the Burrows-Wheeler transform of the distinct ones.
 Breadth-first backward extension then derives the common prefixes of neighbouring suffixes by increasing value and
 stops at 50: neighbours not parted by then share 50 bytes, and of such a run of suffixes all but those in the
 smallest document are marked.  The marks go back to the rows by doc_id and a digest of the text: rows that share a
@@ -38,12 +40,15 @@ LAST_DOC = np.int64(2**63 - 1)
 ROW = ["_doc", "_row"]
 #: Minimizers are small: a task takes those of this many parts of pieces.
 ANCHOR_PARTS = 12
+#: Places of known minimizers in one row.
+KNOWN_PLACES = 50_000
 #: Bytes of text whose pieces are packed together.
 PACK_BYTES = 8_000_000
 
 
-def minimizers(data: np.ndarray) -> np.ndarray:
-    """For each window start the position of the smallest 16-byte hash in it (the leftmost of equal ones)."""
+def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window start the position of the smallest 16-byte hash in it (the leftmost of equal ones), the hashes,
+    and the prefix hash of the data."""
     prefix = textnum.prefix_hash(data, textnum.BYTE_VALUES)
     inverse = textnum.powers(textnum.INVERSE, len(data))
     n = len(data) - ANCHOR + 1
@@ -62,16 +67,16 @@ def minimizers(data: np.ndarray) -> np.ndarray:
     base = np.arange(len(best), dtype=np.int64)
     place += (base >> 24) << 24
     place = np.where(place < base, place + (1 << 24), place)
-    return place, hashed
+    return place, hashed, prefix
 
 
-def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, length, anchor hash) of the pieces: runs of windows with the same minimizer, each as a string."""
+def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, start, length, anchor hash, hash) of the pieces: runs of windows with the same minimizer, each as a string."""
     lengths = np.diff(off)
     if len(data) < WINDOW or not (lengths >= WINDOW).any():
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64)
-    place, hashed = minimizers(data)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    place, hashed, prefix = minimizers(data)
     text = np.repeat(np.arange(len(lengths)), lengths)
     inside = text[: len(place)] == text[WINDOW - 1 :]
     new = np.ones(len(place), bool)
@@ -82,7 +87,12 @@ def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     bounds = np.flatnonzero((new & inside) | after)
     bounds = np.append(bounds, len(place))
     ends = bounds[np.searchsorted(bounds, starts, "right")]
-    return text[starts], starts, ends - starts + WINDOW - 1, hashed[place[starts]]
+    length = ends - starts + WINDOW - 1
+    return text[starts], starts, length, hashed[place[starts]], _ident(prefix, starts, length)
+
+
+def _ident(prefix: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return textnum.mix(textnum.substring_hash(prefix, start, start + length)) ^ length.astype(np.uint64)
 
 
 def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -104,11 +114,11 @@ def _places(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _found(data: np.ndarray, off: np.ndarray):
-    """Pieces of a pack of texts: text, start in the pack, length, anchor."""
+    """Pieces of a pack of texts: text, start in the pack, length, anchor, hash."""
     found = [pieces(data[off[a] : off[b]], off[a : b + 1] - off[a]) + (off[a], a) for a, b, _, _ in textnum.blocks(data, off)]
     return (
-        np.concatenate([f[0] + f[5] for f in found]), np.concatenate([f[1] + f[4] for f in found]),
-        np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found]),
+        np.concatenate([f[0] + f[6] for f in found]), np.concatenate([f[1] + f[5] for f in found]),
+        *(np.concatenate([f[k] for f in found]) for k in (2, 3, 4)),
     )
 
 
@@ -129,53 +139,119 @@ def _by_part(anchor: np.ndarray, parts: int):
     return order, list(zip(sorted_[edges].tolist(), edges.tolist(), np.append(edges[1:], len(part)).tolist(), strict=True)) if len(part) else []
 
 
+def _extremes(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the smallest and the largest document among those with its key."""
+    order = np.argsort(key)
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    out = np.empty((2, len(key)), np.int64)
+    out[:, order] = np.stack([np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)])[:, group]
+    return out[0], out[1]
+
+
+def _one_each(key: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """One of the places ``where`` for each key."""
+    return where[np.unique(key[where], return_index=True)[1]]
+
+
+def _any_part(row: np.ndarray, parts: int) -> int:
+    """A part for what is only passed on: by the row, so that no part gets more than its share."""
+    return int(textnum.mix((row[:1] ^ row[1:2]).view(np.uint64))[0] % np.uint64(parts))
+
+
 _BINARY = pa.binary()
-ANCHORS_SCHEMA = pa.schema([("part", pa.int32()), ("docs", _BINARY), ("anchors", _BINARY), ("places", _BINARY)])
+#: ``known``: rows that the part passes on to their documents, unlike those it has to compare.
+ANCHORS_SCHEMA = pa.schema([("part", pa.int32()), ("docs", _BINARY), ("anchors", _BINARY), ("places", _BINARY), ("known", pa.bool_())])
 PIECES_SCHEMA = ANCHORS_SCHEMA.append(pa.field("bytes", _BINARY))
 
 
 def packed_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Minimizers by part: one row per pack of texts and part."""
+    """Minimizers by part: one row per pack of texts and part.  Those of two documents of the pack are known to be
+    shared: the part gets one place in the smallest document and one in the largest, the others are passed on."""
     shrink = zstandard.ZstdCompressor(level=3)
-    for _, docs, _, own, text, start, _, anchor in _packs(batches):
+    for _, docs, _, own, text, start, _, anchor, _ in _packs(batches):
+        rows: dict[str, list] = {n: [] for n in ANCHORS_SCHEMA.names}
+        if not len(text):
+            continue
+        doc = docs[text, 0]
+        least, most = _extremes(anchor, doc)
+        sent = least == most
+        for end in (least, most):
+            sent[_one_each(anchor, np.flatnonzero((doc == end) & (least != most)))] = True
+        passed = np.flatnonzero(~sent)
+        for k in range(0, len(passed), KNOWN_PLACES):
+            one = passed[k : k + KNOWN_PLACES]
+            used, at = np.unique(text[one], return_inverse=True)
+            rows["part"].append(_any_part(docs[used[0]], parts))
+            rows["docs"].append(docs[used].tobytes())
+            rows["anchors"].append(b"")
+            rows["places"].append(shrink.compress(_differences(at, start[one] - own[text[one]])))
+            rows["known"].append(True)
+        text, start, anchor = text[sent], start[sent], anchor[sent]
         order, groups = _by_part(anchor, parts)
         text, start, anchor = text[order], start[order], anchor[order]
-        rows: dict[str, list] = {n: [] for n in ANCHORS_SCHEMA.names}
         for part, a, b in groups:
             used, at = np.unique(text[a:b], return_inverse=True)
             rows["part"].append(part)
             rows["docs"].append(docs[used].tobytes())
             rows["anchors"].append(anchor[a:b].astype(np.uint32).tobytes())
             rows["places"].append(shrink.compress(_differences(at, start[a:b] - own[text[a:b]])))
+            rows["known"].append(False)
         yield pa.RecordBatch.from_pydict(rows, ANCHORS_SCHEMA)
 
 
 def packed_pieces(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Pieces around shared minimizers by part.  Column ``starts``: packed starts."""
+    """Pieces around shared minimizers by part.  Column ``starts``: packed starts.
+
+    Of equal pieces in a pack, those in the smallest document go to the part: all windows of the others start in that
+    document too, so they are repeated from end to end and their spans are passed on."""
     shrink = zstandard.ZstdCompressor(level=3)
-    for batch, docs, data, own, text, start, length, anchor in _packs(batches):
+    for batch, docs, data, own, text, start, length, anchor, ident in _packs(batches):
         wanted = [
             np.frombuffer(x, np.uint32).astype(np.int64) + own[k] for k, x in enumerate(batch.column("starts").to_pylist()) if x
         ]
         keep = np.isin(start, np.concatenate(wanted)) if wanted else np.zeros(len(start), bool)
-        text, start, length, anchor = text[keep], start[keep], length[keep], anchor[keep]
+        text, start, length, anchor, ident = text[keep], start[keep], length[keep], anchor[keep], ident[keep]
+        if not len(text):
+            continue
+        rows: dict[str, list] = {n: [] for n in PIECES_SCHEMA.names}
+        doc = docs[text, 0]
+        sent = _extremes(ident, doc)[0] == doc
+        passed = np.flatnonzero(~sent)
+        if len(passed):
+            of, begin, end = _merged(text[passed], start[passed], start[passed] + length[passed])
+            rows["part"].append(_any_part(docs[of[0]], parts))
+            rows["docs"].append(docs[of].tobytes())
+            rows["anchors"].append(b"")
+            rows["places"].append(np.stack([begin - own[of], end - begin], 1).tobytes())
+            rows["known"].append(True)
+            rows["bytes"].append(b"")
+        text, start, length, anchor = text[sent], start[sent], length[sent], anchor[sent]
         order, groups = _by_part(anchor, parts)
         text, start, length, anchor = text[order], start[order], length[order], anchor[order]
-        rows: dict[str, list] = {n: [] for n in PIECES_SCHEMA.names}
         for part, a, b in groups:
             used, at = np.unique(text[a:b], return_inverse=True)
             rows["part"].append(part)
             rows["docs"].append(docs[used].tobytes())
             rows["anchors"].append(anchor[a:b].astype(np.uint32).tobytes())
             rows["places"].append(shrink.compress(_differences(at, start[a:b] - own[text[a:b]], length[a:b])))
+            rows["known"].append(False)
             rows["bytes"].append(shrink.compress(_gather(data, start[a:b], length[a:b]).tobytes()))
         yield pa.RecordBatch.from_pydict(rows, PIECES_SCHEMA)
 
 
+def _merged(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the runs that the spans cover."""
+    order = np.argsort(start, kind="stable")
+    text, start, end = text[order], start[order], np.maximum.accumulate(end[order])
+    at = np.flatnonzero(np.append(True, (start[1:] > end[:-1]) | (text[1:] != text[:-1])))
+    return text[at], start[at], np.append(end[at[1:] - 1], end[-1])
+
+
 def _unpacked(rows: list[dict]):
     """row (doc, digest), anchor, start and length of the pieces of a part."""
     grow = zstandard.ZstdDecompressor()
-    places = [_places(grow.decompress(r["places"]), len(r["anchors"]) // 4) for r in rows]
+    places = [_places(raw, len(r["anchors"]) // 4 or len(raw) // 8) for r in rows for raw in [grow.decompress(r["places"])]]
     return (
         np.concatenate([np.frombuffer(r["docs"], np.int64).reshape(-1, 2)[p[0]] for r, p in zip(rows, places, strict=True)]),
         np.concatenate([np.frombuffer(r["anchors"], np.uint32) for r in rows]),
@@ -196,7 +272,7 @@ def _shared(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
 def _by_bucket(ids: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
     """One row per bucket of rows: their ids and values packed, without repeats (rows alike in id and text)."""
     bucket = (textnum.mix((ids[:, 0] ^ ids[:, 1]).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-    columns = [*values.reshape(len(ids), -1).T, ids[:, 1], ids[:, 0], bucket]
+    columns = [*np.atleast_2d(values.T), ids[:, 1], ids[:, 0], bucket]
     order = np.lexsort(columns)
     new = np.zeros(len(order), bool)
     new[:1] = True
@@ -225,9 +301,14 @@ def _per_row(rows: pa.Table, dtype: type, width: int, name: str) -> pa.Table:
 
 
 def _shared_of_part(rows: pa.Table, buckets: int) -> pa.Table:
-    ids, anchor, start, _ = _unpacked(rows.to_pylist())
-    keep = _shared(ids[:, 0], anchor)
-    return _by_bucket(ids[keep], start[keep].astype(np.uint32), buckets)
+    packed = rows.to_pylist()
+    known, new = [r for r in packed if r["known"]], [r for r in packed if not r["known"]]
+    found = [(x[0], x[2]) for x in ([_unpacked(known)] if known else [])]
+    if new:
+        ids, anchor, start, _ = _unpacked(new)
+        keep = _shared(ids[:, 0], anchor)
+        found.append((ids[keep], start[keep]))
+    return _by_bucket(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).astype(np.uint32), buckets)
 
 
 def suffix_order(data: np.ndarray) -> np.ndarray:
@@ -313,7 +394,7 @@ def repeated(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begin = np.cumsum(length) - length
     # Equal pieces become one, with the smallest document that has it.
     prefix = textnum.prefix_hash(data, textnum.BYTE_VALUES)
-    ident = textnum.mix(textnum.substring_hash(prefix, begin, begin + length)) ^ length.astype(np.uint64)
+    ident = _ident(prefix, begin, length)
     del prefix
     _, at, inverse = np.unique(ident, return_index=True, return_inverse=True)
     least = np.full(len(at), LAST_DOC)
@@ -348,8 +429,15 @@ def repeated(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _spans_of_part(rows: pa.Table, buckets: int) -> pa.Table:
-    ids, start, length = repeated(rows.to_pylist())
-    return _by_bucket(ids, np.stack([start, length], 1), buckets)
+    packed = rows.to_pylist()
+    known = [r for r in packed if r["known"]]
+    ids = [np.frombuffer(r["docs"], np.int64).reshape(-1, 2) for r in known]
+    values = [np.frombuffer(r["places"], np.int64).reshape(-1, 2) for r in known]
+    if len(known) < len(packed):
+        row, start, length = repeated([r for r in packed if not r["known"]])
+        ids.append(row)
+        values.append(np.stack([start, length], 1))
+    return _by_bucket(np.concatenate(ids), np.concatenate(values), buckets)
 
 
 def union(spans: bytes) -> list[tuple[int, int]]:
@@ -382,7 +470,7 @@ def spans(docs: DataFrame, parts: int | None = None) -> DataFrame:
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(size) * 4 // PART_BYTES))
     few = max(1, parts // ANCHOR_PARTS)
-    packed, bucketed = "part int, docs binary, anchors binary, places binary", "bucket int, docs binary, values binary"
+    packed, bucketed = "part int, docs binary, anchors binary, places binary, known boolean", "bucket int, docs binary, values binary"
 
     def shared_of_part(rows: pa.Table) -> pa.Table:
         return _shared_of_part(rows, few)

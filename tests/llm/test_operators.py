@@ -254,6 +254,22 @@ def test_repeats_of_rows_that_share_an_id(spark):
     assert got == sorted(t if i == 5 else t.replace(passage, "") for i, t in data)
 
 
+def test_repeats_of_many_documents_are_summed_up():
+    """However many documents of a pack share a passage, the task of a minimizer gets two places and one piece."""
+    text = "".join(random.Random(6).choices("abcdefgh", k=300))
+    found = repeats.pieces(np.frombuffer(text.encode(), np.uint8), np.array([0, 300]))
+    n = 3000
+    batch = pa.record_batch({
+        "_doc": np.arange(n), "_row": np.zeros(n, np.int64), "text": pa.array([text] * n), "starts": pa.array([found[1].astype(np.uint32).tobytes()] * n),
+    })
+    for packed, most in (repeats.packed_anchors, 2), (repeats.packed_pieces, 1):
+        sent: Counter = Counter()
+        for out in packed(iter([batch]), 7):
+            for r in out.to_pylist():
+                sent.update(np.frombuffer(r["anchors"], np.uint32).tolist())
+        assert set(sent) == set(found[3].astype(np.uint32).tolist()) and max(sent.values()) <= most
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(4)
     text = bytes(rng.choices(b"ab", k=300)) + b"a" * 70 + bytes(rng.choices(b"ab", k=60))
