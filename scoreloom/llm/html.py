@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags; what stands in menus, headers, fo
 styles or in elements named as adverts, notices, sidebars or comments is boilerplate by its place.  The first pass
 calls the other blocks good, bad, short or near-good by stop-word density, length and link density; the second
 gives the undecided ones the label of the nearest decided neighbours.  A page's <article> or <main>, where it has
-one, is the page's own statement of what its text is: undecided blocks in it are good, others are bad.
+one, shifts the labels of the first pass: those of blocks in it one step up, those of undecided blocks outside one
+step down.  Its bounds are edges to the second pass, and what is boilerplate by place in it decides no neighbour.
 
 Defined results: null html is empty and gives an empty text; broken and unclosed markup is read as far as it goes;
 repeated rows are read alike; empty tables give empty results; extra columns are ignored.
@@ -185,27 +186,39 @@ def first_pass(block: Block) -> str:
     return "bad" if n <= LONG else "near"
 
 
+STEPS = ["bad", "short", "near", "good"]
+
+
+def shifted(block: Block, label: str) -> str:
+    """The label on a page with an article or main element."""
+    if block.boilerplate or block.linked > MOST_LINKS * len(block.text) or label == "good":
+        return label
+    return STEPS[min(STEPS.index(label) + 1, 3) if block.inside else max(STEPS.index(label) - 1, 0)]
+
+
+def _decided(found: list[Block], labels: list[str]) -> list[str | None]:
+    """For each block the last decided label before it, on its side of the bounds of article and main."""
+    out, last, inside = [], None, False
+    for b, x in zip(found, labels, strict=True):
+        if b.inside != inside:
+            last, inside = None, b.inside
+        out.append(last)
+        last = x if x in ("good", "bad") and not (b.inside and b.boilerplate) else last
+    return out
+
+
 def second_pass(found: list[Block], labels: list[str], has_main: bool) -> list[bool]:
     """Whether each block is kept.  Undecided blocks take the label of the nearest decided neighbours: good if either
     is, for near-good ones, and only if both are (or the page's edge is next to them) for short ones."""
     if has_main:
-        # The page says where its text is: there, only places and links make boilerplate.
-        return [b.inside and not b.boilerplate and (x != "bad" or b.linked <= MOST_LINKS * len(b.text)) for b, x in zip(found, labels, strict=True)]
-    before, last = [], None
-    for x in labels:
-        before.append(last)
-        last = x if x in ("good", "bad") else last
-    after, last = [], None
-    for x in reversed(labels):
-        after.append(last)
-        last = x if x in ("good", "bad") else last
-    after.reverse()
+        labels = [shifted(b, x) for b, x in zip(found, labels, strict=True)]
+    before, after = _decided(found, labels), _decided(found[::-1], labels[::-1])[::-1]
     kept = []
     for b, x, p, n in zip(found, labels, before, after, strict=True):
         if x in ("good", "bad"):
             kept.append(x == "good")
         elif b.heading:
-            kept.append(n == "good" or n is None and p == "good")
+            kept.append(n == "good" or n is None and (p == "good" or p is None and b.inside))
         elif x == "near":
             kept.append("good" in (p, n) or p is None and n is None)
         else:

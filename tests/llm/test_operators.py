@@ -141,6 +141,16 @@ def test_html(spark):
     assert html.extracted(df.limit(0)).count() == 0
 
 
+def test_html_beside_an_article():
+    body = "the cat and the dog of the house is in a garden " * 8
+    teaser = "<article><h2>Teaser</h2><p>Read this one as well.</p></article>"
+    text = html.main_text(f"{teaser}<div><p>{body}</p><p>{body}</p></div><div><p>Zzz qqq.</p></div>")
+    assert text.count(body.strip()) == 2 and "Zzz" not in text
+    advert = "Xylo Brumt Kwarz Plonk Vrest Drumb Splint Grotz Wreck Blast Crunch Flump Stomp"
+    text = html.main_text(f"<article><p>{body}</p><p>{advert}</p><div><a href=x>more Xylo Brumt Kwarz</a></div></article>")
+    assert text == body.strip()
+
+
 def brute_licences(text: str):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
     places, labels = [], set()
