@@ -32,11 +32,13 @@ BLOCKS = (
 ).split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 MAIN = "article main".split()
-NAMED = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar\w*|side|cookie\w*|notices?|consent|popup|modal|comments?|replies|"
-    r"disqus|discussion|nav\w*|menu\w*|breadcrumbs?|footer\w*|header|share|social|related|newsletter|subscribe|login|pagination|widgets?)(?:$|[-_ ])",
-    re.I,
+#: A class token or id is boilerplate as a whole: these words, joined or beside words that only say place or form.
+_NAMES = (
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|cookies?|notices?|consent|popup|modal|comments?|replies|"
+    r"disqus|discussion|nav\w*|menus?|breadcrumbs?|footer|share|sharing|social|related|newsletter|subscribe|login|pagination|widgets?)"
 )
+_NEUTRAL = r"(?:site|main|top|bottom|left|right|box|bar|block|area|list|wrap|wrapper|container|inner|primary|secondary|\d+)"
+NAMED = re.compile(rf"header|site[-_]header|(?:{_NEUTRAL}[-_]+)*{_NAMES}(?:[-_]+(?:{_NAMES}|{_NEUTRAL}))*", re.I)
 ROLES = "navigation banner contentinfo complementary search form dialog alert".split()
 # Frequent function words of the languages of the corpus.
 STOP_WORDS = frozenset(
@@ -50,7 +52,7 @@ STOP_LOW, STOP_HIGH = 0.15, 0.30
 SHORT, LONG = 70, 200
 MOST_LINKS = 0.33
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*>?", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _KINDS = {t: "drop" for t in DROPPED_WHOLE} | {t: "boilerplate" for t in BOILERPLATE}
 _BLOCKS, _VOID, _MAIN = frozenset(BLOCKS), frozenset(VOID), frozenset(MAIN)
 #: A start tag of the first ends an open element of the second, with no end tag between.
@@ -60,7 +62,7 @@ _ENDS = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr":
 @dataclass
 class Block:
     text: str
-    boilerplate: bool
+    boilerplate: int  # elements around it that make boilerplate
     inside: bool
     heading: bool
     linked: int = 0
@@ -68,21 +70,25 @@ class Block:
 
 def _named_boilerplate(attributes: str) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
-        if name in ("class", "id") and NAMED.search(value):
+        name, value = m.group(1).lower(), entities.unescape((m.group(2) or "").strip("\"'"))
+        if name in ("class", "id") and any(NAMED.fullmatch(token) for token in value.split()):
             return True
-        if name == "role" and value.lower() in ROLES:
+        if name == "role" and value.strip().lower() in ROLES:
             return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
             return True
     return False
 
 
-def blocks(page: str) -> tuple[list[Block], bool]:
-    """The blocks of a page in order, and whether it has an article or main element."""
+def blocks(page: str, lifted: bool = False) -> tuple[list[Block], bool]:
+    """The blocks of a page in order, and whether it has an article or main element.
+
+    Attributes do not make an element boilerplate that holds the page's article or main: where all of these are in
+    boilerplate, the page is read again, ``lifted``, and the attributes of the elements around them count for nothing.
+    """
     out: list[Block] = []
-    has_main = False
-    open_: list[tuple[str, bool]] = []  # element, whether it makes boilerplate
+    has_main = has_light = False
+    open_: list[tuple[str, bool, bool, int]] = []  # element, whether it makes boilerplate, only by attributes, blocks before
     dark = inside = links = 0
     parts: list[str] = []
     linked = 0
@@ -94,13 +100,13 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, dark > 0, inside > 0, bool(heading), linked))
+                out.append(Block(text, dark, inside > 0, bool(heading), linked))
             parts.clear()
         linked = 0
 
     def leave(k: int) -> None:
         nonlocal dark, inside, links, heading
-        for name, is_dark in reversed(open_[k:]):
+        for name, is_dark, _, _ in reversed(open_[k:]):
             dark -= is_dark
             inside -= name in _MAIN
             links -= name == "a"
@@ -155,17 +161,28 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                     break
         if name in _VOID:
             continue
-        is_dark = kind == "boilerplate" and not (name == "header" and inside) or (name not in ("html", "body", "article", "main") and bool(attributes) and _named_boilerplate(attributes))
-        dark += is_dark
+        by_place = kind == "boilerplate" and not (name == "header" and inside)
+        by_name = not by_place and name not in ("html", "body", "article", "main") and bool(attributes) and _named_boilerplate(attributes)
+        dark += by_place or by_name
         if name in _MAIN:
+            if lifted:
+                for k, (around, is_dark, only_name, first) in enumerate(open_):
+                    if is_dark and only_name:
+                        open_[k] = (around, False, False, first)
+                        dark -= 1
+                        for block in out[first:]:
+                            block.boilerplate -= 1
             inside += 1
             has_main = True
+            has_light |= not dark
         links += name == "a"
         if re.fullmatch("h[1-6]", name):
             heading = name
-        open_.append((name, bool(is_dark)))
+        open_.append((name, by_place or by_name, by_name, len(out)))
     parts.append(page[at:])
     end_block()
+    if has_main and not has_light and not lifted:
+        return blocks(page, lifted=True)
     return out, has_main
 
 

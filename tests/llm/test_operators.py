@@ -151,6 +151,22 @@ def test_html_beside_an_article():
     assert text == body.strip()
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    ['style="overflow:hidden"', 'title="The hidden cost"', 'href="/the/hidden/valley"', 'data-id="social"', 'class="site has-sidebar"', 'class="entry-header"', 'data-class=ad'],
+)
+def test_html_attributes_are_names_and_whole_tokens(attributes):
+    assert html.main_text(f"<article><div {attributes}><h1>The title</h1></div><p>One of the two.</p></article>") == "The title\nOne of the two."
+
+
+def test_html_named_boilerplate():
+    for attributes in ["hidden", "class='x ad'", "class=cookie-notice", "id=site-footer", "class=nav-menu", "aria-hidden=true", "ROLE=search"]:
+        assert html.main_text(f"<article><div {attributes}>Buy</div><p>One of the two.</p></article>") == "One of the two.", attributes
+        assert html.main_text(f"<div {attributes}><p>x</p><article><p>One of the two.</p></article></div>").endswith("One of the two."), attributes
+    comments = "<section class=comments><article><p>I think so.</p></article></section>"
+    assert html.main_text(f"<article><p>One of the two.</p></article>{comments}") == "One of the two."
+
+
 def brute_licences(text: str):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
     places, labels = [], set()
