@@ -22,8 +22,8 @@ def _begin(spark: SparkSession) -> None:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their group's fences."""
     _begin(spark)
-    columns = tuple(docs.columns)
-    return quality.judged(docs, OWNER, columns).filter("kept").select(*columns)
+    packed = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row"))
+    return quality.judged(packed, OWNER, ("lang", "source", "_row")).filter("kept").select("_row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -408,6 +408,17 @@ def test_quality_fences(spark):
     assert quality.judged(empty(spark)).count() == 0
 
 
+def test_pipeline_quality_keeps_clashing_columns(spark):
+    import corpus_pipeline
+
+    df = documents(spark)
+    more = df.withColumn("n_words", F.lit(-1)).withColumn("n_lines", F.lit("x")).withColumn("kept", F.lit(None).cast("boolean")).withColumn("_words", F.lit(2))
+    want = sorted(repr(tuple(r)) for r in corpus_pipeline.keep_good(spark, df, "").collect())
+    got = corpus_pipeline.keep_good(spark, more, "")
+    assert got.columns == more.columns and want
+    assert sorted(repr(tuple(r)[:5]) for r in got.collect()) == want and {tuple(r)[5:] for r in got.collect()} == {(-1, "x", None, 2)}
+
+
 def test_pipeline(spark, tmp_path):
     """Stage by stage against plain versions of what each may do."""
     pipeline = pytest.importorskip("corpus_pipeline")
