@@ -7,15 +7,19 @@
    shares no band with probability 1.8e-4, at 0.9 with 2e-7.
 3. Equal texts are one node.  In large buckets the pairs that share shingles which few nodes have are found by those;
    all other pairs can only share the rest, and those whose rest cannot come to 0.8 are left out (exactly).
-4. In each bucket the first node, in an order of the bucket's own, is compared with
-   every other one; pairs that reach a weighted Jaccard similarity of 0.8 over the full texts are links, and links
-   make classes.  Buckets that still hold two classes go on with their next nodes (2nd to 8th, 9th to 64th, ...)
-   against all nodes of other classes, until every two nodes of a bucket have been compared or are in one class.  A
-   group of k near copies so costs about k comparisons, no bucket is capped, and nothing is collected.
+4. In each bucket the node with the least of its own is compared with every other one; pairs that reach a weighted
+   Jaccard similarity of 0.8 over the full texts are links, and links make classes.  Buckets that still hold two
+   classes go on with more leaders (the share 8 / size of the bucket by hash, then 64 / size, ...) against all nodes
+   of other classes, until every two nodes of a bucket have been compared or are in one class.  A group of k near
+   copies so costs about k comparisons, no bucket is capped or ordered as a whole, and nothing is collected.
+5. Classes are joined by contraction: every node hooks to its smallest neighbour, links are rewritten to the roots,
+   and what became a loop or a copy goes, so that the rows of a step follow the nodes that are left.
 
 Defined results: null text is empty; a text without words is its own class; a text of 1 to 4 words is one shingle;
-a null doc_id is replaced by 2**62 and more, from a hash of the text; rows with one doc_id are one document; empty tables give
-empty results; ties go to the smaller id.
+a null doc_id is replaced by 2**62 and more, from a hash of the text, and comes after all others; rows that share
+doc_id and text are one document, of which ``deduplicated`` keeps one row; rows that share a doc_id but not the text
+are documents of their own; empty tables give empty results; the smallest id of a class stays, and of equal ids the
+text with the smaller digest; no column of the input clashes with a name used here.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, textnum
@@ -33,7 +37,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 COUNTER_BITS = 20
 SLICES = 64
-#: Growth of the range of leaders from one round to the next.
+#: Growth of the number of leaders of a bucket from one round to the next.
 ROUND_GROWTH = 8
 #: From this size on a bucket is worth counting what its nodes share.  Shingles that so many nodes have are rare.
 LARGE, RARE = 8, 4
@@ -162,72 +166,137 @@ def _similarities(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["a", "b", "similarity"])
 
 
-def components(links: DataFrame, owner: str) -> DataFrame:
-    """(node, root) of every linked node, root the smallest node of its class; labels spread until none changes."""
-    edges = scratch.written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), owner)
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    labels = scratch.written(labels, owner)
+def _hooked(edges: DataFrame, owner: str) -> DataFrame:
+    """(node, root): every node hooks to its smallest neighbour, then pointers are halved until all are at a root."""
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hooks = scratch.written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), owner)
     while True:
-        seen = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("m"))
-        near = labels.join(seen, labels["node"] == seen["n"]).select("node", F.least("root", "m").alias("next"), "root")
-        # Pointer jump: the root of the root.
-        up = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        new = near.join(up, near["next"] == up["_n"], "left").select(
-            "node", F.least("next", F.coalesce("_r", "next")).alias("root"), F.col("root").alias("old")
-        )
+        up = hooks.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        new = hooks.join(up, hooks["root"] == up["_n"]).select("node", F.col("_r").alias("root"), (F.col("_r") != F.col("root")).alias("moved"))
         new = scratch.written(new, owner)
-        changed = new.filter("root <> old").limit(1).count()
-        labels = new.select("node", "root")
-        if not changed:
-            return labels
+        hooks = new.select("node", "root")
+        if new.filter("moved").isEmpty():
+            return hooks
 
 
-def classes(docs: DataFrame, owner: str = "neardup", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document row: id, doc_id, class_id (the smallest id of its class), n_links (of its text)."""
-    spark = docs.sparkSession
+def _rewritten(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between the roots of their ends: no loops, each once."""
+    left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("_b"))
+    ends = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"))
+    return ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _composed(roots: DataFrame | None, hooks: DataFrame, owner: str) -> DataFrame:
+    """(node, root) after the roots themselves have got the roots ``hooks``."""
+    if roots is None:
+        return hooks
+    up = hooks.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    moved = roots.join(up, roots["root"] == up["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"))
+    return scratch.written(moved.union(hooks.join(roots, "node", "left_anti")), owner)
+
+
+def components(links: DataFrame, owner: str, roots: DataFrame | None = None) -> DataFrame:
+    """(node, root) of every linked node, root the smallest node of its class; ``roots``: the classes of earlier links."""
+    edges = _rewritten(links, roots) if roots is not None else links.select("a", "b").distinct()
+    edges = scratch.written(edges, owner)
+    while roots is None or not edges.isEmpty():
+        hooks = _hooked(edges, owner)
+        roots = _composed(roots, hooks, owner)
+        edges = scratch.written(_rewritten(edges, hooks), owner)
+    return roots
+
+
+def _nodes(signed: DataFrame, owner: str) -> DataFrame:
+    """(digest, first, node): every text with its smallest id; the node is that id, or where rows of other texts or
+    repeated rows share it, a hash of both."""
+    firsts = signed.groupBy("digest").agg(F.min("id").alias("first"))
+    twice = signed.groupBy(F.col("id").alias("first")).agg(F.count("*").alias("rows")).filter("rows > 1")
+    hashed = F.lit(1 << 62) + F.pmod(F.xxhash64("first", "digest"), F.lit(1 << 61))
+    return scratch.written(firsts.join(twice, "first", "left").select("digest", "first", F.when(F.col("rows").isNull(), F.col("first")).otherwise(hashed).alias("node")), owner)
+
+
+def _texts(base: DataFrame, wanted: DataFrame, repeats: bool, owner: str) -> DataFrame:
+    """(node, text), one row a node.  Rows that share id and text are summed up before they move."""
+    rows = base.select("id", "digest", "text")
+    rows = rows.dropDuplicates(["id", "digest"]) if repeats else rows
+    return scratch.written(rows.join(wanted, ["id", "digest"]).select("node", "text"), owner)
+
+
+def _repeats(signed: DataFrame, owner: str) -> DataFrame:
+    """(id, digest) that more than one row has."""
+    return scratch.written(signed.groupBy("id", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("id", "digest"), owner)
+
+
+def _base(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"), "doc_id")
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
-    signed = base.select("id", "digest", "text").mapInArrow(
+    return docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"), "doc_id")
+
+
+def _worded(text: Column) -> Column:
+    return text.rlike("[^\\x20\\x09-\\x0D]")
+
+
+def _signed(docs: DataFrame, idf, owner: str) -> DataFrame:
+    signed = _base(docs).select("id", "digest", "text").mapInArrow(
         lambda b: _signatures(b, idf.value), "id long, digest string, bands array<long>, weight double"
     )
-    signed = scratch.written(signed, owner)
-    nodes = signed.groupBy("digest").agg(F.min("id").alias("node"))
-    nodes = scratch.written(nodes, owner)
-    reps = signed.join(nodes, (signed["digest"] == nodes["digest"]) & (signed["id"] == nodes["node"])).filter("weight > 0")
+    return scratch.written(signed, owner)
+
+
+def classes(docs: DataFrame, owner: str = "neardup", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document row: id, doc_id, class_id (the smallest id of its class) and kept (it stands for its class)."""
+    return _classes(docs, owner, similarity)[0]
+
+
+def _classes(docs: DataFrame, owner: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with their class, and (id, digest) of those that come more than once."""
+    base = _base(docs)
+    idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs))
+    signed = _signed(docs, idf, owner)
+    repeats = _repeats(signed, owner)
+    nodes = _nodes(signed, owner)
+    reps = signed.filter("weight > 0").join(nodes, (signed["digest"] == nodes["digest"]) & (signed["id"] == nodes["first"]))
     keys = reps.select("node", "weight", F.explode("bands").alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     sized = scratch.written(keys.join(shared, "key"), owner)
-    wanted = sized.select(F.col("node").alias("id")).distinct()
-    texts = scratch.written(base.select("id", "text").join(wanted, "id").dropDuplicates(["id"]), owner)
+    roots = None
+    if not sized.isEmpty():
+        wanted = nodes.join(sized.select("node").distinct(), "node").select(F.col("first").alias("id"), "digest", "node")
+        texts = _texts(base, wanted, not repeats.isEmpty(), owner)
+        roots = _linked(sized, texts, idf, owner, similarity)
+    return _by_document(base.select("id", "digest", "doc_id", _worded(F.col("text")).alias("worded")), nodes, roots), repeats
+
+
+def _linked(sized: DataFrame, texts: DataFrame, idf, owner: str, similarity: float) -> DataFrame | None:
+    """(node, root) of the nodes that are linked to others, or None."""
     # own: weight of what few other nodes of large buckets have; it bounds every similarity inside large buckets.
     own, near = _rare(sized, texts, idf, owner, similarity)
     rows = sized.join(own, "node", "left").withColumn("own", F.when(F.col("size") >= LARGE, F.coalesce("own", F.lit(0.0))).otherwise(0.0))
     left = rows.filter(F.col("weight") - F.col("own") >= (similarity - 1e-6) * F.col("weight"))
-    # Leaders: those with little of their own first, in a random order that differs from bucket to bucket.
-    order = Window.partitionBy("key").orderBy(F.floor(10 * F.col("own") / F.col("weight")), F.xxhash64("key", "node"), "node")
-    ranked = scratch.written(left.select("key", "node", "weight", "own", (F.row_number().over(order) - 1).alias("pos")), owner)
-    largest = ranked.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
-    tested = links = roots = None
-    low, high = 0, 1
-    while low < largest - 1 or (low == 0 and largest > 1):
-        pairs = _candidates(ranked, roots, low, high, similarity)
-        if low == 0:
-            pairs = pairs.union(near).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.written(pairs, owner)
+    # u: a place in [0, 1) for each node of a bucket.
+    u = F.shiftrightunsigned(F.xxhash64("key", "node"), 1) / F.lit(float(1 << 63))
+    left = scratch.written(left.select("key", "size", "node", "weight", "own", u.alias("u")), owner)
+    tested = roots = None
+    leaders = 0
+    while True:
+        pairs = _first_pairs(left, similarity).union(near).distinct() if not leaders else _more_pairs(left, leaders, similarity)
+        pairs = scratch.written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), owner)
         if not pairs.isEmpty():
-            left, right = texts.withColumnsRenamed({"id": "a", "text": "text_a"}), texts.withColumnsRenamed({"id": "b", "text": "text_b"})
-            full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+            one, two = texts.withColumnsRenamed({"node": "a", "text": "text_a"}), texts.withColumnsRenamed({"node": "b", "text": "text_b"})
+            full = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
             scored = full.mapInArrow(lambda b: _similarities(b, idf.value), "a long, b long, similarity double")
-            found = scratch.written(scored.filter(F.col("similarity") >= similarity), owner)
+            found = scratch.written(scored.filter(F.col("similarity") >= similarity).select("a", "b"), owner)
             tested = pairs if tested is None else tested.union(pairs)
-            links = found if links is None else links.union(found)
             if not found.isEmpty():
-                roots = components(links, owner)
-        low, high = high, high * ROUND_GROWTH
-    return _by_document(spark, base.select("id", "digest", "doc_id"), nodes, roots, links)
+                roots = components(found, owner, roots)
+        # Go on with the nodes of buckets that hold two classes and have nodes that have not led.
+        left = left.drop("root").filter(F.col("size") > leaders)
+        known = left.withColumn("root", F.col("node")) if roots is None else left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+        left = scratch.written(known.join(mixed, "key", "left_semi"), owner)
+        if left.isEmpty():
+            return roots
+        leaders = max(1, leaders) * ROUND_GROWTH
 
 
 def _rare(sized: DataFrame, texts: DataFrame, idf, owner: str, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -244,7 +313,7 @@ def _rare(sized: DataFrame, texts: DataFrame, idf, owner: str, similarity: float
                 h, t, w = _weighted(data, own, idf.value)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i + t]), pa.array(h.view(np.int64)), pa.array(w.astype(np.float64))], ["node", "h", "w"])
 
-    held = texts.join(large.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(spread, "node long, h long, w double")
+    held = texts.join(large.select("node"), "node", "left_semi").mapInArrow(spread, "node long, h long, w double")
     held = scratch.written(held, owner)
     counted = held.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w"))
     alone = counted.filter("n = 1").select("node", "w")
@@ -260,52 +329,67 @@ def _rare(sized: DataFrame, texts: DataFrame, idf, owner: str, similarity: float
     return own, both.join(left, "a").join(right, "b").filter(may).select("a", "b")
 
 
-def _candidates(ranked: DataFrame, roots: DataFrame | None, low: int, high: int, similarity: float) -> DataFrame:
-    """Pairs of a leader (position low to high - 1 of its bucket) with the later nodes of other classes.
+def _may(own_a: str, weight_a: str, own_b: str, weight_b: str, similarity: float) -> Column:
+    """Whether two texts that share nothing rare may be similar.
 
-    Two texts that share nothing rare share at most m, the smaller of what either has beside its rare shingles, and so
-    have a similarity of at most m / (weight + weight - m): pairs that this keeps below the threshold are left out.
-    Those that do share rare shingles come from ``_rare``.
+    They share at most m, the smaller of what either has beside its rare shingles, and so have a similarity of at
+    most m / (weight + weight - m).  Those that do share rare shingles come from ``_rare``.
     """
-    if roots is None:
-        known = ranked.withColumn("root", F.col("node"))
-    else:
-        known = ranked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-        known = known.join(mixed, "key", "left_semi")
-    lead = known.filter(F.col("pos").between(low, high - 1)).select(
-        "key", F.col("node").alias("a"), F.col("pos").alias("p"), F.col("weight").alias("w"), F.col("own").alias("o"), F.col("root").alias("r")
-    )
-    most = F.least(F.col("weight") - F.col("own"), F.col("w") - F.col("o"))
-    joined = known.join(lead, "key").filter(
-        (F.col("pos") > F.col("p")) & (F.col("root") != F.col("r"))
-        & (most >= (similarity - 1e-6) * (F.col("weight") + F.col("w") - most))
+    most = F.least(F.col(weight_a) - F.col(own_a), F.col(weight_b) - F.col(own_b))
+    return most >= (similarity - 1e-6) * (F.col(weight_a) + F.col(weight_b) - most)
+
+
+def _ordered() -> list[Column]:
+    return [F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")]
+
+
+def _first_pairs(left: DataFrame, similarity: float) -> DataFrame:
+    """In each bucket the node with the least share of its own, beside every other one: one row a node."""
+    order = F.shiftleft(F.least(F.floor(10 * F.col("own") / F.col("weight")), F.lit(9)).cast("long"), 59) + F.shiftrightunsigned(F.xxhash64("key", "node"), 5)
+    lead = left.groupBy("key").agg(*[F.min_by(c, order).alias(n) for c, n in (("node", "a"), ("weight", "w"), ("own", "o"))])
+    return left.join(lead, "key").filter((F.col("node") != F.col("a")) & _may("own", "weight", "o", "w", similarity)).select(*_ordered())
+
+
+def _more_pairs(left: DataFrame, leaders: int, similarity: float) -> DataFrame:
+    """Pairs of a leader with the nodes of other classes that come after it: leaders are the nodes whose place lies in
+    the next range of about ``leaders`` nodes."""
+    since, upto = F.lit(leaders // ROUND_GROWTH if leaders > ROUND_GROWTH else 0), F.lit(leaders)
+    lead = left.filter((F.col("u") * F.col("size") >= since) & (F.col("u") * F.col("size") < upto)).select(
+        "key", F.col("node").alias("a"), F.col("u").alias("v"), F.col("weight").alias("w"), F.col("own").alias("o"), F.col("root").alias("r")
     )
-    return joined.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    after = (F.col("u") > F.col("v")) | ((F.col("u") == F.col("v")) & (F.col("node") > F.col("a")))
+    joined = left.join(lead, "key").filter(after & (F.col("root") != F.col("r")) & _may("own", "weight", "o", "w", similarity))
+    return joined.select(*_ordered()).distinct()
 
 
-def _by_document(spark: SparkSession, base: DataFrame, nodes: DataFrame, roots: DataFrame | None, links: DataFrame | None) -> DataFrame:
+def _by_document(base: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    own = F.struct("first", "digest")
     if roots is None:
-        of = nodes.select("digest", F.col("node").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+        of = nodes.select("digest", own.alias("best"))
     else:
-        ends = links.select(F.col("a").alias("n")).union(links.select(F.col("b").alias("n"))).groupBy("n").agg(F.count("*").alias("n_links"))
-        known = nodes.join(roots, "node", "left").join(ends, nodes["node"] == ends["n"], "left")
-        of = known.select("digest", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        linked = nodes.join(roots, "node")
+        best = linked.groupBy("root").agg(F.min(own).alias("best"))
+        of = nodes.join(roots, "node", "left").join(best, "root", "left").select("digest", F.coalesce("best", own).alias("best"))
     joined = base.join(of, "digest")
-    # Texts without words are equal, but no document of them stands for another.
-    blank = F.md5(F.lit("").cast("binary"))
-    alone = F.col("digest") == blank
-    return joined.select("id", "doc_id", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_links")
+    # Texts without words may be equal, but no document of them stands for another.
+    alone = ~F.col("worded")
+    stands = alone | ((F.col("id") == F.col("best.first")) & (F.col("digest") == F.col("best.digest")))
+    return joined.select("id", "digest", "doc_id", F.when(alone, F.col("id")).otherwise(F.col("best.first")).alias("class_id"), stands.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, owner: str = "neardup") -> DataFrame:
-    """``docs`` with one document of each class, the one with the smallest id; all columns stay."""
-    found = classes(docs, owner)
-    gone = scratch.written(found.filter("id <> class_id").select(F.col("id").alias("_gone")).distinct(), owner)
-    return docs.join(gone, node_id(docs["doc_id"], docs["text"]) == gone["_gone"], "left_anti")
+    """``docs`` with one row of each class, of the document with the smallest id; all columns stay."""
+    found, repeats = _classes(docs, owner, SIMILARITY)
+    gone = scratch.written(found.filter(~F.col("kept")).select("id", "digest").distinct(), owner)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), node_id(F.col("doc_id"), F.col("text")).alias("id"), F.md5(text.cast("binary")).alias("digest"))
+    rows = rows.join(gone, ["id", "digest"], "left_anti")
+    if not repeats.isEmpty():
+        once = rows.join(repeats, ["id", "digest"], "left_anti")
+        rows = once.unionByName(rows.join(repeats, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]))
+    return rows.select("row.*")
 
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:
     docs = scratch.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = classes(docs, "op1")
-    return found.select("doc_id", "class_id", "n_links", (F.col("id") == F.col("class_id")).alias("kept"))
+    return classes(docs, "op1").select("doc_id", "class_id", "kept")
