@@ -8,8 +8,8 @@ of texts have, two places go to its task; of equal pieces in a pack, those in th
 already says that the others go whole.  Each task joins equal pieces and builds the Burrows-Wheeler transform of the distinct ones.
 Breadth-first backward extension then derives the common prefixes of neighbouring suffixes by increasing value and
 stops at 50: neighbours not parted by then share 50 bytes, and of such a run of suffixes all but those in the
-smallest document are marked.  The marks go back to the rows by doc_id and a digest of the text: rows that share a
-doc_id, or have none, keep their marks apart.  No pairs of documents are made.
+smallest document are marked.  The marks go back to the rows by doc_id and, where rows share a doc_id or have none, a
+digest of the text, so that they keep their marks apart.  No pairs of documents are made.
 
 Defined results: null text is empty; a text under 50 bytes keeps everything; of rows with equal doc_id none removes
 from another (only a smaller doc_id does); a null doc_id counts as larger than any other; empty tables give empty
@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, textnum
@@ -46,28 +46,29 @@ KNOWN_PLACES = 50_000
 PACK_BYTES = 8_000_000
 
 
-def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def minimizers(data: np.ndarray, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window start the position of the smallest 16-byte hash in it (the leftmost of equal ones), the hashes,
-    and the prefix hash of the data."""
+    and the prefix hash of the data.  ``most``: windows at once, so that a place fits in 24 bits."""
     prefix = textnum.prefix_hash(data, textnum.BYTE_VALUES)
     inverse = textnum.powers(textnum.INVERSE, len(data))
     n = len(data) - ANCHOR + 1
     hashed = textnum.mix((prefix[ANCHOR:] - prefix[:-ANCHOR]) * inverse[:n])
-    # The leftmost smallest of SPAN neighbours, by doubling: the place is kept in the low bits of the hash.
+    windows = n - SPAN + 1
+    place = [a + _leftmost(hashed[a : min(a + most, windows) + SPAN - 1]) for a in range(0, windows, most)]
+    return np.concatenate(place), hashed, prefix
+
+
+def _leftmost(hashed: np.ndarray) -> np.ndarray:
+    """The place of the leftmost smallest of SPAN neighbours, by doubling: it is kept in the low bits of the hash."""
     low = np.uint64((1 << 24) - 1)
-    keyed = (hashed & ~low) | (np.arange(n, dtype=np.uint64) & low)
+    best = (hashed & ~low) | np.arange(len(hashed), dtype=np.uint64)
     width = 1
-    best = keyed
     while width * 2 <= SPAN:
         best = np.minimum(best[:-width], best[width:])
         width *= 2
     rest = SPAN - width
     best = np.minimum(best[: len(best) - rest], best[rest:]) if rest else best
-    place = (best & low).astype(np.int64)
-    base = np.arange(len(best), dtype=np.int64)
-    place += (base >> 24) << 24
-    place = np.where(place < base, place + (1 << 24), place)
-    return place, hashed, prefix
+    return (best & low).astype(np.int64)
 
 
 def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -183,7 +184,7 @@ def packed_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
             one = passed[k : k + KNOWN_PLACES]
             used, at = np.unique(text[one], return_inverse=True)
             rows["part"].append(_any_part(docs[used[0]], parts))
-            rows["docs"].append(docs[used].tobytes())
+            rows["docs"].append(shrink.compress(docs[used].tobytes()))
             rows["anchors"].append(b"")
             rows["places"].append(shrink.compress(_differences(at, start[one] - own[text[one]])))
             rows["known"].append(True)
@@ -193,7 +194,7 @@ def packed_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
         for part, a, b in groups:
             used, at = np.unique(text[a:b], return_inverse=True)
             rows["part"].append(part)
-            rows["docs"].append(docs[used].tobytes())
+            rows["docs"].append(shrink.compress(docs[used].tobytes()))
             rows["anchors"].append(anchor[a:b].astype(np.uint32).tobytes())
             rows["places"].append(shrink.compress(_differences(at, start[a:b] - own[text[a:b]])))
             rows["known"].append(False)
@@ -221,9 +222,9 @@ def packed_pieces(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
         if len(passed):
             of, begin, end = _merged(text[passed], start[passed], start[passed] + length[passed])
             rows["part"].append(_any_part(docs[of[0]], parts))
-            rows["docs"].append(docs[of].tobytes())
+            rows["docs"].append(shrink.compress(docs[of].tobytes()))
             rows["anchors"].append(b"")
-            rows["places"].append(np.stack([begin - own[of], end - begin], 1).tobytes())
+            rows["places"].append(shrink.compress(np.stack([begin - own[of], end - begin], 1).tobytes()))
             rows["known"].append(True)
             rows["bytes"].append(b"")
         text, start, length, anchor = text[sent], start[sent], length[sent], anchor[sent]
@@ -232,7 +233,7 @@ def packed_pieces(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
         for part, a, b in groups:
             used, at = np.unique(text[a:b], return_inverse=True)
             rows["part"].append(part)
-            rows["docs"].append(docs[used].tobytes())
+            rows["docs"].append(shrink.compress(docs[used].tobytes()))
             rows["anchors"].append(anchor[a:b].astype(np.uint32).tobytes())
             rows["places"].append(shrink.compress(_differences(at, start[a:b] - own[text[a:b]], length[a:b])))
             rows["known"].append(False)
@@ -253,7 +254,7 @@ def _unpacked(rows: list[dict]):
     grow = zstandard.ZstdDecompressor()
     places = [_places(raw, len(r["anchors"]) // 4 or len(raw) // 8) for r in rows for raw in [grow.decompress(r["places"])]]
     return (
-        np.concatenate([np.frombuffer(r["docs"], np.int64).reshape(-1, 2)[p[0]] for r, p in zip(rows, places, strict=True)]),
+        np.concatenate([np.frombuffer(grow.decompress(r["docs"]), np.int64).reshape(-1, 2)[p[0]] for r, p in zip(rows, places, strict=True)]),
         np.concatenate([np.frombuffer(r["anchors"], np.uint32) for r in rows]),
         np.concatenate([p[1] for p in places]), np.concatenate([p[2] for p in places]),
     )
@@ -280,17 +281,19 @@ def _by_bucket(ids: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
         new[1:] |= column[order][1:] != column[order][:-1]
     bucket, ids, values = bucket[order][new], ids[order][new], values[order][new]
     edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(ids) else np.zeros(0, np.int64)
+    shrink = zstandard.ZstdCompressor(level=3)
     pieces_ = list(zip(edges, np.append(edges[1:], len(ids)), strict=True)) if len(ids) else []
     return pa.table({
-        "bucket": pa.array(bucket[edges], pa.int32()), "docs": pa.array([ids[a:b].tobytes() for a, b in pieces_], _BINARY),
-        "values": pa.array([values[a:b].tobytes() for a, b in pieces_], _BINARY),
+        "bucket": pa.array(bucket[edges], pa.int32()), "docs": pa.array([shrink.compress(ids[a:b].tobytes()) for a, b in pieces_], _BINARY),
+        "values": pa.array([shrink.compress(values[a:b].tobytes()) for a, b in pieces_], _BINARY),
     })
 
 
 def _per_row(rows: pa.Table, dtype: type, width: int, name: str) -> pa.Table:
     """One row per row of a bucket: its values packed."""
-    ids = np.frombuffer(b"".join(rows.column("docs").to_pylist()), np.int64).reshape(-1, 2)
-    values = np.frombuffer(b"".join(rows.column("values").to_pylist()), dtype).reshape(-1, width)
+    grow = zstandard.ZstdDecompressor()
+    ids = np.frombuffer(b"".join(map(grow.decompress, rows.column("docs").to_pylist())), np.int64).reshape(-1, 2)
+    values = np.frombuffer(b"".join(map(grow.decompress, rows.column("values").to_pylist())), dtype).reshape(-1, width)
     order = np.lexsort((ids[:, 1], ids[:, 0]))
     ids, values = ids[order], values[order]
     edges = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(1)))
@@ -314,8 +317,7 @@ def _shared_of_part(rows: pa.Table, buckets: int) -> pa.Table:
 def suffix_order(data: np.ndarray) -> np.ndarray:
     """Suffix array by prefix doubling.  ``data``: symbols, every piece ended by a 0.
 
-    Suffixes that are equal to the ends of their pieces stay in any order: what lies between two of them is equal too,
-    so no boundary below their length is moved by it.
+    Suffixes that are equal to the ends of their pieces come in the order of the pieces, as if terminators rose.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, data.dtype)])
@@ -336,7 +338,8 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
         rank = _ranks(key[order], order)
         h *= 2
-    return order.astype(np.int32)
+    # Equal ones in order of their places, so that what stands before them is in the same order.
+    return (np.sort((rank.astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int32)
 
 
 def _ranks(sorted_key: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -347,32 +350,59 @@ def _ranks(sorted_key: np.ndarray, order: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _extended(low: np.ndarray, high: np.ndarray, before: np.ndarray, to: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The intervals of c + w for every interval [low, high] of a string w and every symbol c that stands before w.
+
+    ``before``: the transform; ``to``: the rank of the suffix one symbol longer; ``symbol``: the first one by rank.
+    """
+    alone = low == high
+    one = low[alone]
+    one = to[one[before[one] > 0]]
+    low, high = low[~alone], high[~alone]
+    size = high - low + 1
+    begin = np.cumsum(size) - size
+    places = np.repeat(low - begin, size) + np.arange(int(size.sum()))
+    real = before[places] > 0
+    rank, of = to[places[real]], np.repeat(np.arange(len(low), dtype=np.int32), size)[real]
+    if not len(rank):
+        return one, one
+    order = np.argsort(rank)
+    rank, of = rank[order], of[order]
+    first = symbol[rank]
+    new = np.flatnonzero(np.append(True, (rank[1:] != rank[:-1] + 1) | (of[1:] != of[:-1]) | (first[1:] != first[:-1])))
+    return np.concatenate([one, rank[new]]), np.concatenate([one, rank[np.append(new[1:], len(rank)) - 1]])
+
+
 def common_prefix_classes(data: np.ndarray, least: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of ``data`` and, by rank, whether a suffix shares fewer than ``least`` bytes with the one before.
 
-    Level by level: a boundary between the ranks of two suffixes at one level parts, at the next, the two that are
-    one symbol longer.  With psi the rank of the suffix one symbol shorter, ranks q-1 and q that start with the same
-    symbol are parted at level l + 1 when some boundary up to level l lies in (psi(q-1), psi(q)].  Only ranks not
-    yet parted are looked at again, so the work falls off as soon as texts differ.
+    Breadth-first over the Burrows-Wheeler transform: the queue holds the intervals of strings of one length, and
+    extending them to the left gives those that are one symbol longer.  The right end of an interval of length l + 1
+    that no shorter string has ended is where neighbours share l bytes; only such intervals are extended again.  So
+    the prefixes come out by increasing length, every boundary once, and the search stops at ``least``; the suffix
+    array only tells where the suffixes stand.
     """
     sa = suffix_order(data)
     n = len(sa)
     inverse = np.empty(n, np.int32)
     inverse[sa] = np.arange(n, dtype=np.int32)
     symbol = data[sa]
-    psi = inverse[np.minimum(sa + 1, n - 1)]
-    parted = np.ones(n, bool)
-    # Terminators all differ; first symbols part at level 1.
-    parted[1:] = (symbol[1:] != symbol[:-1]) | (symbol[1:] == 0)
-    open_ = np.flatnonzero(~parted)
-    for _ in range(least - 1):
-        if not len(open_):
+    before = np.where(sa > 0, data[sa - 1], 0)
+    to = inverse[sa - 1]
+    ended = np.zeros(n + 1, bool)
+    ended[[0, n]] = True
+    # Strings of one symbol; terminators all differ.
+    low = np.flatnonzero(np.append(True, (symbol[1:] != symbol[:-1]) | (symbol[1:] == 0)))
+    high = np.append(low[1:], n) - 1
+    ended[low] = True
+    for _ in range(1, least):
+        low, high = _extended(low, high, before, to, symbol)
+        fresh = ~ended[high + 1]
+        low, high = low[fresh], high[fresh]
+        ended[high + 1] = True
+        if not len(low):
             break
-        upto = np.cumsum(parted, dtype=np.int32)
-        now = upto[psi[open_]] != upto[psi[open_ - 1]]
-        parted[open_[now]] = True
-        open_ = open_[~now]
-    return sa, parted
+    return sa, ended[:n]
 
 
 def repeated(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -431,8 +461,9 @@ def repeated(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _spans_of_part(rows: pa.Table, buckets: int) -> pa.Table:
     packed = rows.to_pylist()
     known = [r for r in packed if r["known"]]
-    ids = [np.frombuffer(r["docs"], np.int64).reshape(-1, 2) for r in known]
-    values = [np.frombuffer(r["places"], np.int64).reshape(-1, 2) for r in known]
+    grow = zstandard.ZstdDecompressor()
+    ids = [np.frombuffer(grow.decompress(r["docs"]), np.int64).reshape(-1, 2) for r in known]
+    values = [np.frombuffer(grow.decompress(r["places"]), np.int64).reshape(-1, 2) for r in known]
     if len(known) < len(packed):
         row, start, length = repeated([r for r in packed if not r["known"]])
         ids.append(row)
@@ -512,23 +543,33 @@ def _kept_text(text: pd.Series, found: pd.Series) -> pd.Series:
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """text and the other columns as ``row``, with the key of the row: its document (nulls last) and, where the table
+    has rows that share or lack an id, a digest of the text."""
+    columns = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    digest = F.xxhash64("text")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").isEmpty():
+        digest = F.when(F.col("doc_id").isNull(), digest).otherwise(F.lit(0).cast("long"))
+    return columns.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_DOC)))).withColumn("_row", digest).drop("doc_id")
+
+
 def with_spans(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``_spans``, packed spans to remove or null."""
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_DOC)))).withColumn("_row", F.xxhash64("text"))
-    found = spans(keyed)
-    return keyed.join(found.withColumnRenamed("spans", "_spans"), ROW, "left").drop(*ROW)
+    """``text``, ``row`` (the other columns of ``docs``) and ``spans``, packed spans to remove or null."""
+    keyed = _keyed(docs)
+    return keyed.join(spans(keyed), ROW, "left").select("row", "text", "spans")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated 50-byte strings cut from ``text``; all rows and columns stay, n_chars follows the text."""
-    text = F.pandas_udf(_kept_text, "string")
-    out = with_spans(docs).withColumn("text", text("text", "_spans"))
+    cut_ = F.pandas_udf(_kept_text, "string")
+    out = with_spans(docs).select("row", cut_("text", "spans").alias("kept"))
+    follow: dict[str, Column] = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        follow["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[(follow[c] if c in follow else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op7_repeated_strings(spark, sf_dir: str) -> DataFrame:
     docs = scratch.table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = with_spans(docs).select("doc_id", "text", F.col("_spans").alias("spans"))
+    marked = with_spans(docs).select(F.col("row.doc_id").alias("doc_id"), "text", "spans")
     return marked.mapInPandas(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

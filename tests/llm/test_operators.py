@@ -249,7 +249,7 @@ def test_repeats(spark, seed):
     texts = ["".join(rng.choices(pool, k=rng.randint(0, 5))) + "".join(rng.choices("xyz", k=rng.randint(0, 90))) for _ in range(60)]
     data = [*enumerate(texts), (3, texts[3]), (77, None)]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("spans", F.lit(0))
-    out = repeats.with_spans(df).select("doc_id", "text", F.col("_spans").alias("spans")).mapInPandas(repeats._digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = repeats.with_spans(df).select("row.doc_id", "text", "spans").mapInPandas(repeats._digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     got = defaultdict(set)
     for r in out.collect():
         got[r["doc_id"]].add((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
@@ -268,6 +268,22 @@ def test_repeats_edges(spark):
     assert repeats.deduplicated(empty(spark)).count() == 0
 
 
+def test_repeats_keep_clashing_columns(spark):
+    df = documents(spark)
+    more = df.withColumns({"_doc": F.lit(1), "_row": F.lit("x"), "spans": F.lit(2), "row": F.lit(3), "starts": F.lit(4)})
+    got = repeats.deduplicated(more)
+    assert got.columns == more.columns
+    assert sorted(repr(tuple(r)[:5]) for r in got.collect()) == sorted(repr(tuple(r)) for r in repeats.deduplicated(df).collect())
+
+
+def test_minimizers_of_a_very_long_text():
+    """Cut into parts, a long run of equal strings has the same minimizers."""
+    data = np.frombuffer(b"x" * 300 + bytes(random.Random(3).choices(b"ab", k=700)) + b"yz" * 200, np.uint8)
+    whole = repeats.minimizers(data)[0]
+    assert all((repeats.minimizers(data, most)[0] == whole).all() for most in (1, 7, 64, 333, 5000))
+    assert (whole >= np.arange(len(whole))).all() and (whole < np.arange(len(whole)) + repeats.SPAN).all()
+
+
 def test_repeats_of_rows_that_share_an_id(spark):
     rng = random.Random(5)
     fresh = lambda n: "".join(rng.choices("abcdefgh", k=n))
