@@ -315,7 +315,7 @@ def _shared_of_part(rows: pa.Table, buckets: int) -> pa.Table:
 
 
 def suffix_order(data: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling.  ``data``: symbols, every piece ended by a 0.
+    """Suffix array by prefix doubling of what is not yet told apart.  ``data``: symbols, every piece ended by a 0.
 
     Suffixes that are equal to the ends of their pieces come in the order of the pieces, as if terminators rose.
     """
@@ -329,25 +329,29 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
         key |= np.where(room > k, padded[k : k + n] - 1, 0).astype(np.uint64)
     # Low byte: how many symbols count, so that a shorter piece sorts first.
     key = (key << np.uint64(8)) | np.minimum(room, 7).astype(np.uint64)
-    order = np.argsort(key)
-    rank = _ranks(key[order], order)
+    order = np.argsort(key).astype(np.int32)
+    sorted_, slots = key[order], np.arange(n)
+    rank = np.empty(n, np.int32)
     h, longest = 7, int(room.max()) if n else 0
-    while h <= longest and int(rank.max()) < n - 1:
-        follow = np.minimum(np.arange(n) + h, n - 1)
-        key = (rank.astype(np.uint64) << np.uint64(32)) | np.where(room >= h, rank[follow] + 1, 0).astype(np.uint64)
-        order = np.argsort(key)
-        rank = _ranks(key[order], order)
+    while True:
+        # A suffix's rank is the first slot of those that equal it so far; what stands alone is in its place.
+        new = np.append(True, sorted_[1:] != sorted_[:-1])
+        rank[order[slots]] = np.maximum.accumulate(np.where(new, slots, 0))
+        slots = slots[~(new & np.append(new[1:], True))]
+        at = order[slots]
+        if not len(at) or h > longest:
+            break
+        key = _pairs(rank[at], np.where(room[at] >= h, rank[np.minimum(at + h, n - 1)] + 1, 0))
+        best = np.argsort(key)
+        order[slots], sorted_ = at[best], key[best]
         h *= 2
     # Equal ones in order of their places, so that what stands before them is in the same order.
-    return (np.sort((rank.astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    order[slots] = np.sort(_pairs(rank[at], at)) & np.uint64(0xFFFFFFFF)
+    return order
 
 
-def _ranks(sorted_key: np.ndarray, order: np.ndarray) -> np.ndarray:
-    new = np.zeros(len(order), np.int32)
-    new[1:] = sorted_key[1:] != sorted_key[:-1]
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.cumsum(new, dtype=np.int32)
-    return rank
+def _pairs(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
 
 
 def _extended(low: np.ndarray, high: np.ndarray, before: np.ndarray, to: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
