@@ -1,8 +1,9 @@
 """Licence scans (operator 5).
 
 One Aho-Corasick automaton finds notice phrases in the words of a text and another the identifier tags in the text
-itself; the expression after a tag is read by a shunting-yard parser for and / or / with and evaluated to the
-licences it names and whether it leaves a choice.
+itself; the expression after a tag is read by a shunting-yard parser for and / or / with and evaluated, in linear
+time, to the licences it names and whether it leaves a choice.  An expression ends at the first word that is neither
+an operator nor a known identifier, so prose after a tag names no licence.
 
 Defined results: null text is empty (no words, score 0, null word places); repeated rows are scanned alike; empty
 tables give empty results; other columns of the input are ignored.
@@ -45,6 +46,20 @@ NOTICE_PHRASES = {
     "all rights reserved": "all-rights-reserved",
 }
 TAG = "spdx-license-identifier:"
+# Identifiers of licences and of exceptions that an expression may name, in lower case; LicenseRef- names are free.
+IDENTIFIERS = frozenset(
+    "0bsd afl-3.0 agpl-1.0 agpl-3.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause "
+    "bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 busl-1.1 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-1.0 cc-by-nc-2.0 "
+    "cc-by-nc-2.5 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-3.0 cc-by-nc-nd-4.0 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nd-3.0 cc-by-nd-4.0 "
+    "cc-by-sa-1.0 cc-by-sa-2.0 cc-by-sa-2.5 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 ecl-2.0 epl-1.0 epl-2.0 "
+    "eupl-1.1 eupl-1.2 gfdl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0 gpl-3.0 hpnd isc json lgpl-2.0 lgpl-2.1 lgpl-3.0 lppl-1.3c mit mit-0 mpl-1.0 mpl-1.1 "
+    "mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa odbl-1.0 ofl-1.1 openssl osl-3.0 php-3.01 postgresql psf-2.0 python-2.0 ruby sspl-1.0 unicode-3.0 "
+    "unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1".split()
+)
+EXCEPTIONS = frozenset(
+    "autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 font-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 "
+    "gpl-3.0-linking-exception lgpl-3.0-linking-exception linux-syscall-note llvm-exception openssl-exception qt-gpl-exception-1.0 u-boot-exception-2.0".split()
+)
 # Identifiers whose label is one of those above; any other identifier is its own label.
 SPDX_LABELS = {
     "mit": "mit",
@@ -123,27 +138,36 @@ def postfix(tokens: list[str]) -> list[str] | None:
     return out
 
 
-def evaluate(rpn: list[str]) -> list[frozenset[str]] | None:
-    """The ways to satisfy an expression, each a set of licences that hold together.
+def evaluate(rpn: list[str]) -> tuple[frozenset[str], bool] | None:
+    """The licences that an expression names and whether it leaves a choice (an ``or``); linear in its length.
 
-    ``or`` offers either side's ways, ``and`` joins one of each, ``with`` ties an exception to one licence.
+    ``with`` ties an exception to one licence; tied to a compound there is no value.
     """
-    stack: list[list[frozenset[str]]] = []
+    stack: list[str | None] = []  # a licence, or None for a compound whose licences are in ``names``
+    names: list[str] = []
+    choice = False
     for t in rpn:
         if t not in _OPERATORS:
-            stack.append([frozenset([t])])
+            stack.append(t)
             continue
         right, left = stack.pop(), stack.pop()
-        if t == "or":
-            ways = left + right
-        elif t == "and":
-            ways = [a | b for a in left for b in right]
-        else:
-            if len(left) != 1 or len(right) != 1 or len(left[0]) != 1 or len(right[0]) != 1:
+        if t == "with":
+            if left is None or right is None or " with " in left:
                 return None
-            ways = [frozenset([f"{next(iter(left[0]))} with {next(iter(right[0]))}"])]
-        stack.append(list(dict.fromkeys(ways)))
-    return stack[0]
+            stack.append(f"{left} with {right}")
+        else:
+            names += [x for x in (left, right) if x is not None]
+            choice |= t == "or"
+            stack.append(None)
+    return frozenset([*names, *(x for x in stack if x is not None)]), choice
+
+
+def is_known(token: str, exception: bool) -> bool:
+    if exception:
+        return token in EXCEPTIONS
+    if token.startswith("licenseref-") and len(token) > len("licenseref-"):
+        return True
+    return token.removesuffix("+").removesuffix("-only").removesuffix("-or-later") in IDENTIFIERS
 
 
 def expression_after(text: str, at: int) -> list[str]:
@@ -151,12 +175,16 @@ def expression_after(text: str, at: int) -> list[str]:
     out, depth, operand = [], 0, False
     while m := _EXPRESSION.match(text, at):
         t = m.group(1)
-        if t not in _OPERATORS and t not in "()" and operand:
-            break
+        named = t not in _OPERATORS and t not in "()"
+        if named:
+            # A full stop after the last identifier ends a sentence.
+            t = t if is_known(t, bool(out) and out[-1] == "with") else t.rstrip(".")
+            if operand or not is_known(t, bool(out) and out[-1] == "with"):
+                break
         if t == ")" and not depth:
             break
         depth += (t == "(") - (t == ")")
-        operand = t == ")" or (t not in _OPERATORS and t != "(")
+        operand = t == ")" or named
         out.append(t)
         at = m.end()
     while out and out[-1] in _OPERATORS and not operand:
@@ -195,10 +223,10 @@ class Scanner:
             for end, _ in self.tags.iter(lower):
                 tokens = expression_after(lower, end + 1)
                 rpn = postfix(tokens)
-                ways = evaluate(rpn) if rpn is not None else None
-                clear *= 1 - WEIGHTS["tag" if ways else "broken tag"]
-                if ways:
-                    labels |= {label_of(x) for way in ways for x in way}
+                value = evaluate(rpn) if rpn is not None else None
+                clear *= 1 - WEIGHTS["tag" if value else "broken tag"]
+                if value:
+                    labels |= {label_of(x) for x in value[0]}
                     expressions.append(" ".join(tokens))
         return (
             len(words), len(places), min(places, default=None), max(places, default=None),
