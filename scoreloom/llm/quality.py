@@ -2,7 +2,8 @@
 
 Native: DataFrame and SQL functions only.  Every document gets exact in-row measures; KLL sketches of the
 measures are built per (language, source), merged per language and over everything, and give the fences that
-replace fixed cutoffs.  The small fence table is joined back and filters the documents.
+replace fixed cutoffs.  Quartiles of small groups are drawn to those of their language, and these to the corpus's,
+by n / (n + 200), so that no size flips a rule.  The small fence table is joined back and filters the documents.
 
 Defined results: a null text is an empty one; null ``lang`` or ``source`` form a group of their own; ties and
 repeated rows are measured alike; an empty table gives an empty result; other input columns are kept when their
@@ -20,8 +21,8 @@ from . import scratch
 BLANKS = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: A group with fewer measured documents uses its language's sketch, a language with fewer the whole corpus's.
-MIN_GROUP = 200
+#: A group's quartiles are drawn to its language's, and these to the whole corpus's, as if so many documents stood there.
+PRIOR_DOCUMENTS = 200
 #: Fences stand this many interquartile ranges beyond the upper quartile.
 SPREAD = 3.0
 #: Ratios: measure name, its numerator, its denominator, and the least interquartile range taken (so that a group
@@ -127,16 +128,22 @@ def fences(measured: DataFrame) -> DataFrame:
     g, la, w = read(groups, "g", ["lang", "source"]), read(langs, "la", ["lang"]), read(whole, "w", [])
     la = la.withColumnRenamed("lang", "_lang")
     both = g.join(la, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang").crossJoin(F.broadcast(w))
-    chosen = F.when(F.col("g.n") >= MIN_GROUP, F.col("g")).when(F.col("la.n") >= MIN_GROUP, F.col("la")).otherwise(F.col("w"))
-    out = both.select("lang", "source", chosen.alias("f"))
+
+    def drawn(quartile: str) -> Column:
+        out = F.col(f"w.{quartile}")
+        for level in ("la", "g"):
+            n = F.col(f"{level}.n")
+            out = (n * F.col(f"{level}.{quartile}") + PRIOR_DOCUMENTS * out) / (n + PRIOR_DOCUMENTS)
+        return out
+
     limits = []
     for name, _, _, least in RATIOS:
-        low, high = F.col(f"f.{name}_q25"), F.col(f"f.{name}_q75")
+        low, high = drawn(f"{name}_q25"), drawn(f"{name}_q75")
         reach = SPREAD * F.greatest(high - low, F.lit(least))
         limits.append((high + reach).alias(f"{name}_max"))
         if name == "word_length":
             limits.append((low - reach).alias(f"{name}_min"))
-    return out.select("lang", "source", *limits)
+    return both.select("lang", "source", *limits)
 
 
 def apply_fences(measured: DataFrame, limits: DataFrame) -> DataFrame:
