@@ -41,15 +41,22 @@ def prefix_sums(groups: DataFrame, owner: str) -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     summed = ranged.withColumn("_upto", F.sum("bytes").over(inside)).join(parts, "_part")
-    return scratch.written(summed.select("key", "bytes", (F.col("_upto") + F.col("_before")).alias("upto")), owner)
+    return scratch.written(summed.select("key", "bytes", (F.col("_upto") + F.col("_before")).alias("upto")).sortWithinPartitions("upto"), owner)
 
 
-def _fill(sums: DataFrame, capacities: list[int], shards: int) -> list[list[int]]:
-    """For each capacity the prefix sums at which greedy filling cuts, ``shards`` of them."""
+def _fill(sums: DataFrame, capacities: list[int], shards: int, largest: int, total: int) -> list[list[int]]:
+    """For each capacity the prefix sums at which greedy filling cuts, ``shards`` of them.
+
+    Prefix sums stand at most ``largest`` apart, so the last one up to x lies in (x - largest, x]; as the files are in
+    their order, a step reads the row groups around its limits and no others.
+    """
     cuts: list[list[int]] = [[] for _ in capacities]
     for _ in range(shards):
-        limits = [(c[-1] if c else 0) + cap for c, cap in zip(cuts, capacities)]
-        row = sums.filter(F.col("upto") <= max(limits)).agg(
+        limits = [min((c[-1] if c else 0) + cap, total) for c, cap in zip(cuts, capacities, strict=True)]
+        near = F.lit(False)
+        for x in limits:
+            near = near | ((F.col("upto") > x - largest) & (F.col("upto") <= x))
+        row = sums.filter(near).agg(
             *[F.max(F.when(F.col("upto") <= x, F.col("upto"))).alias(f"c{i}") for i, x in enumerate(limits)]
         ).first()
         for i, c in enumerate(cuts):
@@ -64,13 +71,13 @@ def smallest_capacity(sums: DataFrame, shards: int = SHARDS) -> tuple[int, list[
     while low < high:
         step = max(1, (high - low) // TESTED)
         tested = list(range(low, high, step))[: TESTED + 1]
-        ends = [c[-1] >= total for c in _fill(sums, tested, shards)]
+        ends = [c[-1] >= total for c in _fill(sums, tested, shards, largest, total)]
         if True in ends:
             first = ends.index(True)
             low, high = (tested[first - 1] + 1 if first else low), tested[first]
         else:
             low = tested[-1] + 1
-    return high, _fill(sums, [high], shards)[0] if total else [0] * shards
+    return high, _fill(sums, [high], shards, largest, total)[0] if total else [0] * shards
 
 
 def sharded(docs: DataFrame, owner: str = "sharding", shards: int = SHARDS) -> DataFrame:
