@@ -6,7 +6,7 @@ along a word gives the word's number, which finds its ids.  The automaton is a f
 that the workers memory-map.  Words outside the lexicon are merged exactly by rank, many side by side.
 
 Defined results: null text is empty (no ids, empty decoding); repeated rows are encoded alike; an empty table gives
-an empty result; extra columns are untouched by ``encoded`` and ``decoded``.
+an empty result; extra columns are untouched by ``encoded`` and ``decoded``, but for the one named as the result.
 """
 
 from __future__ import annotations
@@ -401,8 +401,8 @@ def lexicon(docs: DataFrame, path: str | None = None) -> bytes:
     return compile_lexicon(frequent_words(docs, path), Rules(path))
 
 
-def encoded(docs: DataFrame, image: bytes, path: str | None = None) -> DataFrame:
-    """``docs`` with ``token_ids`` array<int>."""
+def encoded(docs: DataFrame, image: bytes, path: str | None = None, into: str = "token_ids") -> DataFrame:
+    """``docs`` with the ids as array<int> in the column ``into``, which replaces one of that name."""
     path, shared = path or default_vocabulary(), docs.sparkSession.sparkContext.broadcast(image)
 
     @F.pandas_udf("array<int>")
@@ -410,19 +410,19 @@ def encoded(docs: DataFrame, image: bytes, path: str | None = None) -> DataFrame
         c = codec(path, shared.value)
         return pd.Series([[int(x) for x in c.encode(t or "")[0].split()] for t in text], dtype=object)
 
-    return docs.withColumn("token_ids", ids("text"))
+    return docs.withColumn(into, ids("text"))
 
 
-def decoded(encoded_docs: DataFrame, image: bytes, path: str | None = None) -> DataFrame:
-    """A frame with ``token_ids`` gets ``decoded``, the tokens joined by spaces (special tokens are not skipped)."""
+def decoded(encoded_docs: DataFrame, image: bytes, path: str | None = None, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
+    """The column ``ids`` decoded into ``into``, the tokens joined by spaces (special tokens are not skipped)."""
     path, shared = path or default_vocabulary(), encoded_docs.sparkSession.sparkContext.broadcast(image)
 
     @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
+    def text(column: pd.Series) -> pd.Series:
         c = codec(path, shared.value)
-        return pd.Series([c.decode(x) if x is not None else None for x in ids], dtype=object)
+        return pd.Series([c.decode(x) if x is not None else None for x in column], dtype=object)
 
-    return encoded_docs.withColumn("decoded", text("token_ids"))
+    return encoded_docs.withColumn(into, text(ids))
 
 
 def digests(docs: DataFrame, image: bytes, path: str | None = None) -> DataFrame:

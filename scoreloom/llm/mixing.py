@@ -6,7 +6,8 @@ over 1024 buckets, take the buckets that fit the budget, and split only the buck
 next ten bits, six times in all.  What is moved is one row per source and bucket.
 
 Defined results: null texts have size 0; the null source comes last; documents with equal ids have equal hashes and
-are taken alike; an empty table gives an empty result; a source without words gets target 0.
+are taken alike; an empty table gives an empty result; a source without words gets target 0; ``repeated`` keeps all
+columns, whatever their names, and ``mixed`` those of ``keep`` that are not named as its results.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from . import scratch
 HASH_BITS, STEP_BITS = 60, 10
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
+#: Sources up to which the plan (about 100 bytes a source) is broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -90,12 +93,18 @@ def thresholds(sized: DataFrame, plan: DataFrame, owner: str = "mixing") -> Data
     return state
 
 
+def _bounded(plan: DataFrame) -> DataFrame:
+    """The plan marked for broadcast where its rows, one a source, are few.  With more, the join is left to Spark: no
+    source has a second row, so a hot one is split where it is skewed."""
+    return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+
+
 def mixed(docs: DataFrame, owner: str = "mixing", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every document, with ``keep`` columns added."""
     sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("hash"), *keep)
     light = scratch.written(sized, owner)
     plan = thresholds(light, scratch.written(budgets(light), owner), owner)
-    right = plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "below")
+    right = _bounded(plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "below"))
     out = light.join(right, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     copies = (F.col("whole") + (F.col("hash") < F.col("below")).cast("long")).alias("copies")
     out = out.select("doc_id", "source", "size", "source_size", "target", copies, *keep)
@@ -110,10 +119,11 @@ def repeated(docs: DataFrame, owner: str = "mixing") -> DataFrame:
     sized = docs.select("source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("hash"))
     light = scratch.written(sized, owner)
     plan = thresholds(light, scratch.written(budgets(light), owner), owner)
-    right = plan.select(F.col("source").alias("_s"), F.col("whole").alias("_whole"), F.col("below").alias("_below"))
-    joined = docs.join(right, F.col("source").eqNullSafe(F.col("_s")))
-    copies = F.least(F.col("_whole") + (hash_of(F.col("doc_id")) < F.col("_below")).cast("long"), F.lit(MOST_COPIES))
-    return joined.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
+    right = _bounded(plan.select(F.col("source").alias("_s"), "whole", "below"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", hash_of(F.col("doc_id")).alias("hash"))
+    copies = F.least(F.col("whole") + (F.col("hash") < F.col("below")).cast("long"), F.lit(MOST_COPIES))
+    taken = rows.join(right, F.col("source").eqNullSafe(F.col("_s"))).select("row", copies.alias("copies")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -191,12 +192,47 @@ def test_licences(spark):
 
 
 @pytest.mark.parametrize(
-    ("expression", "ways"),
-    [("mit or apache-2.0 and isc", [{"mit"}, {"apache-2.0", "isc"}]), ("( mit or isc ) and x", [{"mit", "x"}, {"isc", "x"}]), ("gpl-2.0 with e", [{"gpl-2.0 with e"}]), ("mit or", None), ("( mit", None), ("mit mit", None), (")", None)],
-)
-def test_licence_expressions(expression, ways):
+    ("expression", "value"),
+    [("mit or apache-2.0 and isc", ({"mit", "apache-2.0", "isc"}, True)), ("( mit and isc ) and x", ({"mit", "x", "isc"}, False)), ("gpl-2.0 with e", ({"gpl-2.0 with e"}, False)),
+     ("mit or", None), ("( mit", None), ("mit mit", None), (")", None), ("( mit or isc ) with e", None), ("mit with ( a or b )", None)],
+)
+def test_licence_expressions(expression, value):
     rpn = licenses.postfix(expression.split())
-    assert (licenses.evaluate(rpn) if rpn is not None else None) == (ways and [frozenset(w) for w in ways])
+    assert (licenses.evaluate(rpn) if rpn is not None else None) == value
+
+
+def test_long_licence_expressions_are_quick():
+    text = "SPDX-License-Identifier: " + " AND ".join("(MIT OR Apache-2.0)" for _ in range(5000))
+    began = time.perf_counter()
+    assert licenses.Scanner().scan(text)[5] == "apache-2,mit" and time.perf_counter() - began < 1
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("SPDX-License-Identifier: MIT and please see the rest", "mit"), ("SPDX-License-Identifier: see file COPYING", ""), ("spdx-license-identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", "gpl-2"),
+        ("SPDX-License-Identifier: (MIT OR LicenseRef-Own.1) AND Zlib\nand isc", "licenseref-own.1,mit,zlib"), ("SPDX-License-Identifier: Apache-2.0.", "apache-2"), ("SPDX-License-Identifier: MIT WITH nothing", "mit"),
+        ("SPDX-License-Identifier: LicenseRef-", ""), ("GNU General Public License version 3, all rights reserved", "all-rights-reserved,gpl,gpl-3"), ("CC BY-NC", "cc-by-nc"),
+    ],
+)
+def test_licence_labels(text, labels):
+    assert licenses.Scanner().scan(text)[5] == labels
+
+
+def test_licence_labels_equal_brute_force():
+    """Notice phrases word by word, tags by a pattern over whole expressions of known names."""
+    rng = random.Random(12)
+    names = ["MIT", "Apache-2.0", "ISC", "GPL-2.0-only", "Zlib"]
+    phrases = licenses.BASE_PHRASES | licenses.NOTICE_PHRASES
+    for _ in range(300):
+        used = [rng.choice(names) for _ in range(rng.randint(1, 6))]
+        tag = "SPDX-License-Identifier: " + "".join(n + rng.choice([" OR ", " and "]) for n in used[:-1]) + used[-1]
+        parts = rng.choices([*phrases, "some words", "the mit", tag, "license version 2"], k=rng.randint(0, 8))
+        text = ", ".join(parts)
+        words = re.findall("[a-z0-9]+", text.lower())
+        want = {label for p, label in phrases.items() if any(words[k : k + len(p.split())] == p.split() for k in range(len(words)))}
+        want |= {licenses.label_of(n.lower()) for n in used} if tag in parts else set()
+        assert licenses.Scanner().scan(text)[5] == ",".join(sorted(want)), text
 
 
 def test_search(spark):
@@ -423,6 +459,54 @@ def test_quality_fences(spark):
     assert quality.judged(empty(spark)).count() == 0
 
 
+def test_quality_verdict_equals_brute_force(spark):
+    """Fences from exact quartiles: sketches of so few values hold them all."""
+    rng = random.Random(10)
+    data = []
+    for k in range(150):
+        w = [rng.choice(["w", "word", "#x", "a$"]) + str(rng.randrange(60)) * rng.choice([1, 1, 1, 4]) for _ in range(rng.randint(30, 120))]
+        lines = [" ".join(w[j : j + 7]) for j in range(0, len(w), 7)]
+        if rng.random() < 0.2:
+            lines += lines[: rng.randint(1, 9)]
+        data.append((k, "\n".join(lines), ["en", "de", None][k % 3 if k < 140 else 1], [f"s{k % 2}", None][k % 7 == 6]))
+    measures = {}
+    for k, text, lang, source in data:
+        n, chars, symbols, dup, repeat, failed = brute_quality(text)
+        lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+        measures[k] = failed, lang, source, {"symbol_ratio": symbols / chars, "dup_line_ratio": dup / lines, "repeat_ratio": repeat / n, "word_length": chars / n}
+
+    def quartile(name, q, test):
+        x = sorted(m[name] for failed, lang, source, m in measures.values() if not failed and test(lang, source))
+        return x[max(0, -(-int(4 * q) * len(x) // 4) - 1)], len(x)
+
+    def kept(failed, lang, source, m):
+        for name, *_, least in quality.RATIOS:
+            ends = []
+            for q in (0.25, 0.75):
+                out = quartile(name, q, lambda la, so: True)[0]
+                for test in (lambda la, so: la == lang, lambda la, so: (la, so) == (lang, source)):
+                    own, n = quartile(name, q, test)
+                    out = (n * own + quality.PRIOR_DOCUMENTS * out) / (n + quality.PRIOR_DOCUMENTS)
+                ends.append(out)
+            reach = quality.SPREAD * max(ends[1] - ends[0], least)
+            if m[name] > ends[1] + reach or name == "word_length" and m[name] < ends[0] - reach:
+                return False
+        return True
+
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(df).collect()}
+    assert got == {k: not m[0] and kept(*m) for k, m in measures.items()} and 0 < sum(got.values()) < sum(not m[0] for m in measures.values())
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    df = documents(spark)
+    more = df.withColumns({"_s": F.lit(1), "_below": F.lit("x"), "_copy": F.lit(7), "row": F.lit(2), "copies": F.lit(9), "hash": F.lit(0)})
+    got = mixing.repeated(more)
+    assert got.columns == more.columns
+    assert sorted(repr(tuple(r)[:5]) for r in got.collect()) == sorted(repr(tuple(r)) for r in mixing.repeated(df).collect())
+    assert {tuple(r)[5:] for r in got.collect()} == {(1, "x", 7, 2, 9, 0)}
+
+
 def test_pipeline_quality_keeps_clashing_columns(spark):
     import corpus_pipeline
 
