@@ -11,12 +11,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Means are compared and shown to this many decimals, so that the order of summation has no say.
+#: Means are taken over decimals of so many places and rounded to them, so that the order of summation has no say.
 PLACES = 6
 
 
-def mean(c: str | Column) -> Column:
-    return F.round(F.avg(c), PLACES)
+def mean(c: str) -> Column:
+    return F.round(F.avg(F.col(c).cast(f"decimal(20,{PLACES})")), PLACES).cast("double")
 
 
 def aggregate_runs(scores: DataFrame, keys: tuple[str, ...] = ("condition",)) -> DataFrame:
@@ -41,11 +41,16 @@ def task_accuracy(aggregate: DataFrame, keys: tuple[str, ...] = ("condition",))
     return aggregate.filter("overall = 0").groupBy(*keys, "task_id").agg(mean("mean").alias("accuracy"))
 
 
+def _by_dimension(aggregate: DataFrame, dimensions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Every (keys, dim) of a declared dimension with its overall mean.  Both sides are declared lists: packs and dimensions."""
+    every = aggregate.select(*keys).distinct().join(dimensions)
+    over = aggregate.filter("overall = 1").select(*keys, "dim", "mean")
+    return every.join(over, [*keys, "dim"], "left")
+
+
 def coverage(aggregate: DataFrame, dimensions: DataFrame, keys: tuple[str, ...] = ("condition",)) -> DataFrame:
     """Covered and unexercised dimensions.  ``dimensions``: dim, reason (null where none is declared)."""
-    every = aggregate.select(*keys).distinct().join(F.broadcast(dimensions))
-    over = aggregate.filter("overall = 1").select(*keys, "dim", "mean")
-    joined = every.join(over, [*keys, "dim"], "left")
+    joined = _by_dimension(aggregate, dimensions, keys)
     return joined.groupBy(*keys).agg(
         F.count_if(F.col("mean").isNotNull()).alias("covered"),
         F.count_if(F.col("mean").isNull() & F.col("reason").isNotNull()).alias("declared"),
@@ -53,6 +58,22 @@ def coverage(aggregate: DataFrame, dimensions: DataFrame, keys: tuple[str, ...]
     )
 
 
+def require_coverage(coverage_: DataFrame, overall: DataFrame, keys: tuple[str, ...] = ("condition",)) -> DataFrame:
+    """``coverage_``; fails where it and the overall accuracy disagree on whether anything was scored."""
+    right = overall.select(*keys, F.col("accuracy").alias("_a"))
+    wrong = (F.col("covered") == 0) != F.col("_a").isNull()
+    checked = coverage_.join(right, list(keys), "left").withColumn(
+        "covered", F.when(wrong, F.raise_error(F.lit("coverage and overall accuracy disagree")).cast("long")).otherwise(F.col("covered"))
+    )
+    return checked.drop("_a")
+
+
+def coverage_misses(aggregate: DataFrame, dimensions: DataFrame, keys: tuple[str, ...] = ("condition",)) -> DataFrame:
+    """How many packs do not cover each dimension, most first."""
+    missed = _by_dimension(aggregate, dimensions, keys).groupBy("dim").agg(F.count_if(F.col("mean").isNull()).alias("misses"))
+    return missed.filter("misses > 0").orderBy(F.desc("misses"), "dim")
+
+
 def cohort_coverage(covered: DataFrame) -> DataFrame:
     """How many packs cover how many dimensions.  ``covered``: one row per pack with column covered."""
     return covered.groupBy("covered").agg(F.count("*").alias("packs")).orderBy(F.desc("packs"), "covered")
@@ -67,11 +88,15 @@ def docs_provenance(entries: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
 
 
-def rollup_by_group(task_means: DataFrame, mapping: DataFrame, groups: DataFrame) -> DataFrame:
+def rollup_by_group(task_means: DataFrame, mapping: DataFrame, groups: DataFrame, excused: DataFrame | None = None) -> DataFrame:
     """Means of task means for each declared group, in declared order; a group without tasks has nulls.
 
-    ``task_means``: task_id, dim, mean; ``mapping``: task_id, grp; ``groups``: grp, pos.
+    ``task_means``: task_id, dim, mean; ``mapping``: task_id, grp; ``groups``: grp, pos; ``excused``: grp, reason of
+    groups that do not apply, which get nulls and the reason, whatever their tasks scored.
     """
+    if excused is not None:
+        plain = rollup_by_group(task_means, mapping.join(excused, "grp", "left_anti"), groups)
+        return plain.join(excused.select("grp", F.col("reason").alias("not_applicable")), "grp", "left")
     joined = groups.join(mapping, "grp", "left").join(task_means, "task_id", "left")
     dims = joined.groupBy("grp", "pos", "dim").agg(mean("mean").alias("mean"), F.count_distinct(F.when(F.col("mean").isNotNull(), F.col("task_id"))).alias("tasks"))
     return dims
@@ -81,10 +106,14 @@ def group_overall(rollup: DataFrame) -> DataFrame:
     return rollup.groupBy("grp", "pos").agg(mean("mean").alias("overall"), F.max("tasks").alias("tasks"))
 
 
+def cohort_conflict(packs: DataFrame) -> DataFrame:
+    """One row: how many cohorts the packs name, and whether that keeps them from being compared."""
+    return packs.agg(F.count_distinct(F.when(F.col("cohort") != "", F.col("cohort"))).alias("cohorts")).withColumn("conflict", F.col("cohorts") > 1)
+
+
 def require_one_cohort(packs: DataFrame) -> None:
     """Refuse to put packs of different cohorts side by side."""
-    found = [r["cohort"] for r in packs.select("cohort").filter("cohort is not null and cohort <> ''").distinct().limit(2).collect()]
-    if len(found) > 1:
+    if cohort_conflict(packs).first()["conflict"]:
         raise ValueError("packs of more than one cohort cannot be compared")
 
 
@@ -107,6 +136,12 @@ def compare_many(aggregate: DataFrame, conditions: list[str]) -> DataFrame:
     return wide.withColumns({f"{last}_minus_{c}": F.round(F.col(last) - F.col(c), PLACES) for c in conditions[:-1]})
 
 
+def format_failure_row(runs: DataFrame, conditions: list[str]) -> DataFrame:
+    """Failed and all runs of each condition side by side, as the last row of a comparison."""
+    cell = F.concat_ws("/", F.count_if("format_failure").cast("string"), F.count("*").cast("string")).alias("cell")
+    return runs.groupBy("condition").agg(cell).groupBy(F.lit("format_failures").alias("dim")).pivot("condition", conditions).agg(F.first("cell"))
+
+
 def delta_vs_baseline(new: DataFrame, base: DataFrame) -> DataFrame:
     """new - base by condition and dim; null where the baseline lacks it."""
     right = base.select("condition", "dim", F.col("mean").alias("base"))

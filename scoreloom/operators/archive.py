@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal as N
+from .running import summed_before
 
 # Fields that scoring decides, and fields that the run itself produced.
 DERIVED_FIELDS = ("format_failure", "failure_reason", "dimensions", "endpoint_matches", "format_repaired", "repaired_block_text", "exhibit")
@@ -94,9 +97,10 @@ def surface_report(classified: DataFrame, by: list[str]) -> DataFrame:
 
 
 def residual_examples(classified: DataFrame, top: int = 12) -> DataFrame:
-    """The most frequent paths that no surface claims."""
-    counts = classified.filter(F.col("bucket").isin("unrecognized", "ambiguous", "conflicted")).groupBy("bucket", "npath").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("bucket").orderBy(F.desc("n"), "npath")
+    """The most frequent (method, path) that no surface claims."""
+    left = classified.filter(F.col("bucket").isin("unrecognized", "ambiguous", "conflicted"))
+    counts = left.groupBy("bucket", N.normalize_method(F.col("method")).alias("method"), "npath").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("bucket").orderBy(F.desc("n"), "method", "npath")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
@@ -105,12 +109,39 @@ def _literal(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\\[\](){}.*+?^$|\-])", r"\\$1")
 
 
-def operation_mentions(texts: DataFrame, operations: DataFrame, key: str) -> DataFrame:
-    """Per text and surface the number of declared names that stand in it as whole words.
+def occurrences(texts: DataFrame, names: DataFrame, key: str, name: str, holds: Callable[[str], Column]) -> DataFrame:
+    """(key, columns of ``names``) of every name that stands in a text, once.
 
-    ``operations``: id, name; a declared list, joined to every text (Spark broadcasts it where its size allows).
+    ``texts``: key (of one text each) and text; ``holds`` says whether the name of a row stands in the column given.
+    Texts are cut at white space, and the distinct pieces meet the names by equality: each name's longest piece with
+    the strings of that length in the corpus's vocabulary.  A name without white space lies within one piece, so it is
+    decided there; any other is looked up in the texts that have its longest piece.  Blank names stand nowhere.
     """
-    hits = texts.join(operations, F.regexp_like("text", F.concat(F.lit(r"(?U)(?<!\w)"), _literal(F.col("name")), F.lit(r"(?!\w)"))))
+    space = r"(?U)\s+"
+    parts = F.filter(F.split(F.lower(F.col(name)), space), lambda p: p != "")
+    longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    wanted = names.distinct().select("*", longest.alias("_anchor"), (F.size(parts) == 1).alias("_whole")).filter("_anchor is not null")
+    # As many lengths at most as the longest name has characters.
+    lengths = sorted(r[0] for r in wanted.select(F.length("_anchor")).distinct().collect())
+    pieces = texts.select(key, F.explode(F.array_distinct(F.split("text", space))).alias("_piece")).filter("_piece <> ''")
+    low, none = F.lower("_piece"), F.array().cast("array<string>")
+
+    def strings(n: int) -> Column:
+        return F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))).otherwise(none)
+
+    vocabulary = pieces.select("_piece").distinct()
+    anchors = vocabulary.select("_piece", F.explode(F.array_distinct(F.concat(none, *[strings(n) for n in lengths]))).alias("_anchor"))
+    hits = anchors.join(wanted, "_anchor")
+    out = [key, *names.columns]
+    within = pieces.join(hits.filter(F.col("_whole") & holds("_piece")), "_piece").select(*out).distinct()
+    across = pieces.join(hits.filter(~F.col("_whole")), "_piece").select(*out).distinct().join(texts.select(key, "text"), key).filter(holds("text"))
+    return within.unionByName(across.select(*out).distinct())
+
+
+def operation_mentions(texts: DataFrame, operations: DataFrame, key: str) -> DataFrame:
+    """Per text and surface the number of declared names (``operations``: id, name) that stand in it as whole words."""
+    whole = F.concat(F.lit(r"(?U)(?<!\w)"), _literal(F.col("name")), F.lit(r"(?!\w)"))
+    hits = occurrences(texts, operations.select("id", "name"), key, "name", lambda c: F.regexp_like(c, whole))
     return hits.groupBy(key, "id").agg(F.count("*").alias("mentions"))
 
 
@@ -130,8 +161,9 @@ def tool_discipline(runs: DataFrame, prefix: str | None, discovery: str | None =
 
 def format_failure_breaker(runs: DataFrame, keys: list[str], threshold: float = BREAKER_THRESHOLD, floor: int = BREAKER_FLOOR) -> DataFrame:
     """Per condition the first position at which at least ``floor`` runs failed at a rate above ``threshold``."""
-    upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = runs.withColumns({"_n": F.count("*").over(upto), "_f": F.sum(F.col("format_failure").cast("long")).over(upto)})
+    failed = F.coalesce(F.col("format_failure"), F.lit(False)).cast("long")
+    before = summed_before(runs.select(*keys, "pos", "format_failure"), keys, "pos", {"_n": F.lit(1), "_f": failed})
+    rows = before.withColumns({"_n": F.col("_n") + 1, "_f": F.col("_f") + failed})
     trips = (F.col("_n") >= floor) & (F.col("_f") / F.col("_n") > threshold) & F.lit(threshold < 1)
     return rows.groupBy(*keys).agg(
         F.count("*").alias("runs"), F.count_if("format_failure").alias("failures"), F.min(F.when(trips, F.col("pos"))).alias("trip_pos"),
@@ -186,14 +218,32 @@ def reconciled(runs: DataFrame, published: DataFrame, keys: list[str], transport
     return runs.join(new, keys).withColumns({c: F.col(f"_{c}") for c in derived}).select(*runs.columns)
 
 
-def token_leak_scan(lines: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+def _token_in(column: str) -> Column:
+    return F.expr(
+        f"CASE kind WHEN 'substring' THEN contains(lower({column}), lower(token)) WHEN 'cased' THEN contains({column}, token) "
+        f"WHEN 'word' THEN {column} RLIKE concat('(?i)(^|[^A-Za-z0-9_])', regexp_replace(token, '([^A-Za-z0-9_ ])', '\\\\\\\\$1'), '($|[^A-Za-z0-9_])') "
+        f"ELSE {column} RLIKE concat('(^|[^A-Za-z0-9_])', regexp_replace(token, '([^A-Za-z0-9_ ])', '\\\\\\\\$1'), '($|[^A-Za-z0-9_])') END"
+    )
+
+
+def default_tokens(ids: DataFrame) -> DataFrame:
+    """(token, kind): every id, and the id without its separators, as substrings.  ``ids``: id."""
+    spelled = F.array_distinct(F.array("id", F.regexp_replace("id", "[^A-Za-z0-9]", "")))
+    return ids.select(F.explode(spelled).alias("token"), F.lit("substring").alias("kind")).filter("token <> ''").distinct()
+
+
+def ambiguous_tokens(tokens: DataFrame) -> DataFrame:
+    """Tokens declared both as whole words and as substrings, which is an error."""
+    bounded = F.col("kind").isin("cased-word", "word", "product-cased")
+    per = tokens.groupBy(F.lower("token").alias("token")).agg(F.bool_or(bounded).alias("b"), F.bool_or(~bounded).alias("u"))
+    return per.filter("b and u").select("token")
+
+
+def token_leak_scan(lines: DataFrame, tokens: DataFrame, key: str, excluded: str | None = None) -> DataFrame:
     """(key, token, kind) of declared tokens found in lines.
 
-    ``tokens``: token, kind: substring, cased, cased-word, word or product-cased.  ASCII word bounds.
+    ``tokens``: token, kind: substring, cased, cased-word, word or product-cased, with ASCII word bounds; ``excluded``:
+    a pattern of the paths (column path) that are not scanned.
     """
-    hit = F.expr(
-        "CASE kind WHEN 'substring' THEN contains(lower(text), lower(token)) WHEN 'cased' THEN contains(text, token) "
-        "WHEN 'word' THEN text RLIKE concat('(?i)(^|[^A-Za-z0-9_])', regexp_replace(token, '([^A-Za-z0-9_ ])', '\\\\\\\\$1'), '($|[^A-Za-z0-9_])') "
-        "ELSE text RLIKE concat('(^|[^A-Za-z0-9_])', regexp_replace(token, '([^A-Za-z0-9_ ])', '\\\\\\\\$1'), '($|[^A-Za-z0-9_])') END"
-    )
-    return lines.join(tokens, hit).select(key, "token", "kind")
+    read = lines if excluded is None else lines.filter(~F.coalesce(F.col("path").rlike(excluded), F.lit(False)))
+    return occurrences(read.select(key, "text"), tokens.select("token", "kind"), key, "token", _token_in)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal as N
+from .running import summed_before
 
 # Elements dropped with their content, and elements that end a line.
 DROPPED = ("script", "style", "noscript", "svg", "head", "nav", "footer", "form")
@@ -68,12 +69,15 @@ def assemble_context(pages: DataFrame, budget_tokens: int, label: str) -> DataFr
     """(task_id, used, context): pages by role and position, each under a header, until the budget is spent.
 
     ``pages``: task_id, pos, role, url, text.  A fold over one task's pages, since what a cut page leaves free
-    depends on its trimmed end.  One row holds one task's pages; their texts are cut to the budget before they meet.
+    depends on its trimmed end.  Pages that the headers and the shortest bodies of those before them leave no room for
+    go first, so one row holds no more than the budget asks for, however many pages a task has.
     """
     budget = budget_tokens * CHARS_PER_TOKEN
     text = F.substring(N.strip(F.coalesce("text", F.lit(""))), 1, budget + 1)
     usable = pages.withColumn("_t", text).filter(F.col("_t") != "")
     head = F.concat(F.lit(f"\n===== {label}: "), "url", F.lit(" =====\n"))
+    least = F.length(head) + F.least(F.length("_t"), F.lit(len(CUT_MARK)))
+    usable = summed_before(usable, ["task_id"], "pos", {"_least": least}, role_rank(F.col("role"))).filter(F.col("_least") < budget)
     rows = usable.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(role_rank(F.col("role")).alias("rank"), "pos", head.alias("head"), F.col("_t").alias("text")))).alias("p"))
     start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("blocks"))
 
@@ -196,8 +200,9 @@ def spec_probe_verdict(probes: DataFrame, baseline: DataFrame) -> DataFrame:
     base = baseline.select("host", "established", F.col("soft404").alias("_soft"), F.col("signature").alias("_sig"))
     status = F.col("status")
     body = F.expr("try_parse_json(body)")
-    marked = F.expr("schema_of_variant(try_parse_json(body))").rlike(r"(^|<|, )(openapi|swagger):")
-    is_spec = F.coalesce(body.isNotNull() & marked, F.lit(False))
+    # A description says so by a key of its outermost mapping.
+    is_object = F.schema_of_variant(body).startswith("OBJECT")
+    is_spec = F.coalesce(is_object & (F.try_variant_get(body, "$.openapi", "variant").isNotNull() | F.try_variant_get(body, "$.swagger", "variant").isNotNull()), F.lit(False))
     established = F.coalesce("established", F.lit(False))
     verdict = (
         F.when(F.col("disallowed"), "disallowed").when(F.col("error").isNotNull() | status.isNull(), "unreachable").when(status == 404, "honest-404")

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal as N
+from ..sources import answers
+from . import matching
+from .archive import occurrences
 
 # What a task may say.
 DIFFICULTIES = ("read", "write", "multi-step")
@@ -46,12 +49,14 @@ def task_schema(tasks: DataFrame) -> DataFrame:
 
 
 def docs_task_schema(tasks: DataFrame) -> DataFrame:
-    """``tasks``: task_id, pub_number, pub_revision, pub_url, version (null or text that must be written as text)."""
+    """``tasks``: task_id, pub_number, pub_revision, pub_url; version and observations as variants: what was written,
+    null or a text, and null or a map of texts."""
     return violations(tasks, "docs-task-schema", F.col("task_id"), {
         "no publication number": _blank("pub_number"),
         "no publication revision": _blank("pub_revision"),
         "no publication url": ~F.coalesce(F.col("pub_url").rlike("^https?://"), F.lit(False)),
-        "version is not text": F.col("version").isNotNull() & ~F.col("version").rlike("[0-9]"),
+        "version is not text": F.col("version").isNotNull() & (F.schema_of_variant("version") != "STRING"),
+        "observation is not text": F.col("observations").isNotNull() & ~F.coalesce(F.schema_of_variant("observations").rlike(r"^OBJECT<(\S+: STRING(, |>$))+$"), F.lit(False)),
     })
 
 
@@ -120,11 +125,11 @@ def manifest_consistency(entries: DataFrame, subject: str = "url") -> DataFrame:
     })
 
 
-def _whole_word(text: str, name: str) -> Column:
+def _whole_word(text: str) -> Column:
     """A declared name stands in the text as whole words, whatever the case and the inner white space."""
     pattern = F.concat(
         F.lit(r"(?iU)(?<!\w)"),
-        F.regexp_replace(F.regexp_replace(N.strip(F.col(name)), r"([^\p{L}\p{N}_\s])", r"\\$1"), r"\s+", r"\\s+"),
+        F.regexp_replace(F.regexp_replace(N.strip(F.col("name")), r"([^\p{L}\p{N}_\s])", r"\\$1"), r"\s+", r"\\s+"),
         F.lit(r"(?!\w)"),
     )
     return F.regexp_like(F.col(text), pattern)
@@ -136,9 +141,9 @@ def prompt_names(prompts: DataFrame, names: DataFrame, key: str = "task_id") ->
     Without any declared name every prompt fails.
     """
     blank = names.filter(_blank("name")).select(F.lit("prompt-names").alias("gate"), F.col("kind").alias("subject"), F.lit("blank name").alias("problem"))
-    hits = prompts.join(names.filter(~_blank("name")), _whole_word("text", "name"), "left")
+    hits = occurrences(prompts, names.filter(~_blank("name")).select("name", "kind"), key, "name", _whole_word)
     per = hits.groupBy(key).agg(F.bool_or(F.col("kind") == "vendor").alias("v"), F.bool_or(F.col("kind") == "product").alias("p"))
-    named = violations(per, "prompt-names", F.col(key), {
+    named = violations(prompts.select(key).distinct().join(per, key, "left"), "prompt-names", F.col(key), {
         "names no vendor": ~F.coalesce(F.col("v"), F.lit(False)), "names no product": ~F.coalesce(F.col("p"), F.lit(False)),
     })
     return named.unionByName(blank)
@@ -149,6 +154,22 @@ def dual_listed(names: DataFrame) -> DataFrame:
     return names.groupBy(F.lower(N.strip(F.col("name"))).alias("name")).agg(F.count_distinct("kind").alias("n")).filter("n > 1").select("name")
 
 
+def roundtrip_scores(keys: DataFrame) -> DataFrame:
+    """(task_id, via, endpoint, method, api_version): keys scored against themselves, directly and by way of the text
+    of an answer, which is written and decoded again.  ``keys``: task_id, pos, method, path, api_version.
+
+    A row of text holds one task's endpoints.
+    """
+    point = F.struct("pos", "method", "path", "api_version")
+    lists = keys.groupBy("task_id").agg(F.array_sort(F.collect_list(point)).alias("p"))
+    bare = F.transform("p", lambda e: F.struct(e["method"].alias("method"), e["path"].alias("path"), e["api_version"].alias("api_version")))
+    none = F.array().cast("array<string>")
+    written = lists.select("task_id", answers.render_answers(bare, F.lit("bearer"), none, none).alias("raw_response"))
+    back = answers.decode_answers(written).select("task_id", F.posexplode("endpoints").alias("pos", "e")).select("task_id", "pos", "e.*")
+    ways = (("direct", keys), ("text", back))
+    return union([matching.endpoint_scores(matching.match_endpoints(keys, other, ["task_id"]), ["task_id"]).select("task_id", F.lit(via).alias("via"), "endpoint", "method", "api_version") for via, other in ways])
+
+
 def roundtrip(scores: DataFrame, tasks: DataFrame) -> DataFrame:
     """Keys that do not score 1 against themselves.  ``scores``: task_id, dim, score; ``tasks``: task_id, auth_flow."""
     wrong = scores.filter("score < 1").select(F.col("task_id"), F.concat(F.lit("scores below 1: "), "dim").alias("problem"))
@@ -157,6 +178,11 @@ def roundtrip(scores: DataFrame, tasks: DataFrame) -> DataFrame:
     return union([wrong, empty, vague]).select(F.lit("roundtrip").alias("gate"), F.col("task_id").cast("string").alias("subject"), "problem")
 
 
+def severity(found: DataFrame, cohort: Column) -> DataFrame:
+    """``found`` with ``blocks``: violations of the docs cohort block, those of the API cohort warn."""
+    return found.withColumn("blocks", cohort == "docs")
+
+
 def dimension_coverage(dimensions: DataFrame, scores: DataFrame, declared: DataFrame) -> DataFrame:
     """``dimensions``: dim; ``scores``: dim, score; ``declared``: dim, reason."""
     used = scores.groupBy("dim").agg(F.bool_or(F.col("score").isNotNull()).alias("used"))
@@ -196,6 +222,18 @@ def robots_refusals(hosts: DataFrame, declared: DataFrame) -> DataFrame:
     return missing.union(stale).select(F.lit("robots").alias("gate"), F.col("host").alias("subject"), "problem")
 
 
+def document_anchoring(endpoints: DataFrame, manifest: DataFrame, prefixed: DataFrame) -> DataFrame:
+    """``endpoints``: task_id, operation_id, doc_ref; ``manifest``: url; ``prefixed``: task_id of tasks that declare a prefix.
+
+    A cited page must be in the manifest, and a task that declares a prefix needs an endpoint anchored by operation.
+    """
+    cited = endpoints.filter(~_blank("doc_ref"))
+    lost = cited.join(manifest.select(F.col("url").alias("doc_ref")).distinct(), "doc_ref", "left_anti").select("task_id", F.lit("cited page is not in the manifest").alias("problem"))
+    anchored = endpoints.filter(~_blank("operation_id")).select("task_id").distinct()
+    bare = prefixed.select("task_id").distinct().join(anchored, "task_id", "left_anti").select("task_id", F.lit("prefix without an operation").alias("problem"))
+    return lost.union(bare).select(F.lit("anchoring").alias("gate"), F.col("task_id").cast("string").alias("subject"), "problem")
+
+
 def anchoring(endpoints: DataFrame, operations: DataFrame) -> DataFrame:
     """``endpoints``: task_id, operation_id, method, path; ``operations``: operation_id, op_method, accepted (array)."""
     joined = endpoints.join(operations, "operation_id", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,6 +125,25 @@ class Contract:
     columns: dict[str, Column] = field(default_factory=dict)
 
 
+def contract_of(cohort: str, contracts: dict[str, Contract]) -> Contract:
+    """The registered contract of a cohort; an unknown cohort is an error."""
+    if cohort not in contracts:
+        raise ValueError(f"no contract for cohort {cohort!r}; known: {', '.join(sorted(contracts))}")
+    return contracts[cohort]
+
+
+def score_cohorts(runs: DataFrame, tasks: DataFrame, contracts: dict[str, Contract], by: tuple[str, ...] = ("task_id",)) -> DataFrame:
+    """Long scores (all columns of ``by``, run_index, cohort, dim, score) of runs of several cohorts; a run of an
+    unknown cohort fails the job."""
+    known = F.col("cohort").isin(*contracts)
+    checked = runs.withColumn("cohort", F.when(known, F.col("cohort")).otherwise(F.raise_error(F.concat(F.lit("no contract for cohort "), F.coalesce("cohort", F.lit("null"))))))
+    parts = [long_scores(score_runs(checked.filter(F.col("cohort") == c), tasks, k, by), [*by, "run_index", "cohort"], k.dimensions) for c, k in contracts.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def score_runs(runs: DataFrame, tasks: DataFrame, contract: Contract, by: tuple[str, ...] = ("task_id",)) -> DataFrame:
     """``runs`` with one column per dimension; a format failure or an unknown task has none (null).
 
@@ -136,6 +155,25 @@ def score_runs(runs: DataFrame, tasks: DataFrame, contract: Contract, by: tuple[
     return joined.withColumns({d: F.when(valid, contract.columns[d]) for d in contract.dimensions}).drop("_known")
 
 
+def rescored(runs: DataFrame, tasks: DataFrame, contract: Contract, decode: Callable[[DataFrame], DataFrame], derived: Iterable[str], by: tuple[str, ...] = ("task_id",)) -> DataFrame:
+    """Every derived field anew from raw_response: blocks are decoded and scored again, stale fields go (a failed run
+    has no scores), and ``n`` is the largest run_index of the task plus 1.  Runs of an unknown task and all other
+    columns stay as they are.
+
+    ``decode`` adds what the contract's columns read, and ``derived`` names the fields to replace; the contract's
+    dimensions are among them.
+    """
+    derived = list(derived)
+    known = tasks.select(*by).distinct().withColumn("_known", F.lit(True))
+    kept = runs.drop(*derived, *contract.dimensions)
+    fresh = score_runs(decode(kept), tasks, contract, by).join(known, list(by), "left_semi")
+    old = runs.join(known, list(by), "left_anti")
+    columns = [*kept.columns, *dict.fromkeys([*derived, *contract.dimensions])]
+    both = fresh.select(*columns).unionByName(old.select(*[c for c in columns if c in old.columns]), allowMissingColumns=True)
+    largest = runs.groupBy(*by).agg((F.max("run_index") + 1).alias("n"))
+    return both.join(largest, list(by), "left")
+
+
 def rescore(runs: DataFrame, scored: DataFrame, keys: list[str], derived: Iterable[str]) -> DataFrame:
     """``runs`` with its derived columns taken anew from ``scored``; runs that have no row there stay as they are."""
     new = scored.select(*keys, *[F.col(c).alias(f"_{c}") for c in derived], F.lit(True).alias("_new"))

@@ -15,6 +15,7 @@ from ..operators import gates as G
 from ..operators import matching as M
 from ..sources import answers as B
 from ..sources import archive as S
+from ..sources.staging import fresh_folder
 from . import sqltext as Q
 from . import views as V
 from .views import pick, table, with_views
@@ -39,20 +40,41 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query
 # --- scans and sources ---
 
 
-@query("a2_ground_truth_endpoints", "SELECT task_id, CAST(row_number() OVER (PARTITION BY task_id ORDER BY pos) - 1 AS INTEGER) AS pos, method, path FROM endpoints WHERE side = 'gt'", "endpoints")
+@query("a1_read_runs", "SELECT condition, '2024-01-02' AS run_date, task_id, pos AS run_index, format_failure, cost_usd FROM runs", "runs")
+def a1(spark, d):
+    """The runs written as folders of JSON, one a condition, and read back."""
+    base = fresh_folder(spark, "runs")
+    rows = V.runs(spark, d).select("condition", "task_id", F.col("pos").alias("run_index"), "format_failure", "cost_usd")
+    for c in ("c0", "c1", "c2"):
+        rows.filter(F.col("condition") == c).drop("condition").write.json(f"{base}/2024-01-02-{c}/runs")
+    return S.read_runs(spark, f"{base}/*/runs/*.json", lines=True).select("condition", "run_date", "task_id", "run_index", "format_failure", "cost_usd")
+
+
+@query("a6_write_scores", "SELECT condition, task_id, run_index, dim, score FROM scores WHERE condition <> 'c1' OR run_index % 2 = 0", "scores")
+def a6(spark, d):
+    """All scores written by condition, then one condition once more with half its rows."""
+    base, rows = fresh_folder(spark, "scores"), V.scores(spark, d)
+    S.write_scores(rows, base)
+    S.write_scores(rows.filter("condition = 'c1' and run_index % 2 = 0"), base)
+    return spark.read.parquet(base).select("condition", "task_id", "run_index", "dim", "score")
+
+
+@query("a2_ground_truth_endpoints", "SELECT page_id // 10 AS task_id, CAST(row_number() OVER (PARTITION BY page_id // 10 ORDER BY pos) - 1 AS INTEGER) AS pos, method, path FROM endpoints WHERE side = 'gt'", "endpoints")
 def a2(spark, d):
-    tasks = V.gt(spark, d).groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("k"), "method", "path"))).alias("endpoints"))
+    """Tasks of up to ten pages, so that no list grows with the tables."""
+    key = V.endpoints(spark, d).filter("side = 'gt'").withColumn("task_id", F.floor(F.col("page_id") / 10))
+    tasks = key.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("k"), "method", "path"))).alias("endpoints"))
     return S.ground_truth_endpoints(tasks).select("task_id", "pos", "method", "path")
 
 
 def _manifest_lists(spark, d):
-    m = V.manifest(spark, d)
+    m = V.manifest(spark, d).withColumn("task_id", F.floor(F.col("pos") / 50))
     item = F.struct(F.col("pos").alias("k"), "url", "byte_size")
     lists = [F.array_sort(F.collect_list(F.when(F.col("list_key") == k, item))).alias(k) for k in ("pages", "anchors", "spec_documents", "gated_pages")]
     return m.groupBy("task_id").agg(*lists)
 
 
-@query("a3_manifest_entries", "SELECT task_id, list_key, CAST(row_number() OVER (PARTITION BY task_id, list_key ORDER BY pos) - 1 AS INTEGER) AS pos, url, byte_size FROM manifest", "manifest")
+@query("a3_manifest_entries", "SELECT pos // 50 AS task_id, list_key, CAST(row_number() OVER (PARTITION BY pos // 50, list_key ORDER BY pos) - 1 AS INTEGER) AS pos, url, byte_size FROM manifest", "manifest")
 def a3(spark, d):
     return S.manifest_entries(_manifest_lists(spark, d)).select("task_id", "list_key", "pos", "url", "byte_size")
 
@@ -81,19 +103,20 @@ def a5(spark, d):
 
 
 _LINES = """SELECT conv_id AS run_id, count(*) FILTER (WHERE role = 'assistant') AS turns,
-  coalesce(string_agg(CASE WHEN role = 'assistant' THEN 'tool' || turn END, ',' ORDER BY turn), '') AS tool_uses FROM conversations GROUP BY conv_id"""
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN 'tool' || turn END, ',' ORDER BY turn), '') AS tool_uses,
+  's' || min(turn) FILTER (role <> 'assistant' AND turn % 4 = 0) AS server FROM conversations GROUP BY conv_id"""
 
 
 def _event_lines(spark, d):
     c = table(spark, d, "conversations")
     tool = F.concat(F.lit('{"type": "assistant", "message": {"content": [{"type": "tool_use", "name": "tool'), "turn", F.lit('"}, {"type": "text", "text": "x"}]}}'))
-    line = F.when(F.col("role") == "assistant", tool).when(F.col("turn") % 4 == 0, F.lit('{"type": "system", "subtype": "init", "model": "m", "tools": ["a"]}')).otherwise("{broken")
+    line = F.when(F.col("role") == "assistant", tool).when(F.col("turn") % 4 == 0, F.concat(F.lit('{"type": "system", "subtype": "init", "model": "m", "tools": ["a"], "mcp_servers": [{"name": "s'), "turn", F.lit('", "status": "connected"}]}'))).otherwise("{broken")
     return c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("pos"), line.alias("line"))
 
 
 @query("a7_transcript_events", f"SELECT * FROM ({_LINES}) WHERE run_id IN (SELECT conv_id FROM conversations WHERE role = 'assistant' OR turn % 4 = 0)")
 def a7(spark, d):
-    return S.transcript_events(_event_lines(spark, d)).select("run_id", F.col("turns").cast("long").alias("turns"), F.array_join("tool_uses", ",").alias("tool_uses"))
+    return S.transcript_events(_event_lines(spark, d)).select("run_id", F.col("turns").cast("long").alias("turns"), F.array_join("tool_uses", ",").alias("tool_uses"), F.get(F.col("servers.name"), F.lit(0)).alias("server"))
 
 
 @query("a8_primary_model", """SELECT user_id, arg_max('m' || k, n * 1000 + k) AS model FROM (SELECT user_id, event_id % 4 AS k, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""")
@@ -138,11 +161,13 @@ def b3(spark, d):
     return B.decode_answers(_answers(spark, d)).select("conv_id", "turn", F.col("failure_reason").alias("reason"))
 
 
-def _rendered(spark, d):
+def _rendered(spark, d, some_broken: bool = True):
     """Each page's endpoint written as an answer block, one in five with a list that has to be repaired."""
     e = V.endpoints(spark, d)
     point = F.array(F.struct(F.trim("method").alias("method"), F.col("path"), F.col("api_version")))
     text = B.render_answers(point, F.lit("Bearer: token"), F.array(F.lit("a:read"), F.lit('b "q"')), F.array(F.lit("x")))
+    if not some_broken:
+        return e.select("page_id", text.alias("raw_response"))
     broken = F.replace(text, F.lit('key_parameters: ["x"]'), F.lit("key_parameters: [sortBy[0].name, scp.{id}]"))
     return e.select("page_id", "method", "path", "api_version", F.when(F.col("page_id") % 5 == 0, broken).otherwise(text).alias("raw_response"))
 
@@ -180,9 +205,9 @@ def b6(spark, d):
 
 @query("b7_render_answers", f"""SELECT page_id, {_FENCE} || 'answer-summary' || chr(10) || 'endpoints:' || chr(10) || '  - method: "' || trim(method) || '"' || chr(10) || '    path: "' || path || '"' || chr(10)
   || '    api_version: "' || api_version || '"' || chr(10) || 'auth_flow: "Bearer: token"' || chr(10) || 'required_scopes: ["a:read", "b ' || chr(92) || '"q' || chr(92) || '""]' || chr(10) || 'key_parameters: ["x"]' || chr(10) || {_FENCE} AS answer
-  FROM endpoints WHERE page_id % 5 <> 0""", "endpoints")
+  FROM endpoints""", "endpoints")
 def b7(spark, d):
-    return _rendered(spark, d).filter("page_id % 5 <> 0").select("page_id", F.col("raw_response").alias("answer"))
+    return _rendered(spark, d, some_broken=False).select("page_id", F.col("raw_response").alias("answer"))
 
 
 # --- normalizing functions ---
@@ -249,7 +274,9 @@ def _versions(spark, d):
     o = table(spark, d, "orders")
     k = F.col("o_orderkey")
     text = F.concat(F.lit("needs v"), (k % 40).cast("string"), F.lit(".0"), (k % 13).cast("string"), F.lit(" or "), (k % 40).cast("string"), F.lit(".0"), (k % 7).cast("string"), F.lit(", not x9.1"))
-    need = F.concat((k % 40).cast("string"), F.when(k % 3 == 0, F.concat(F.lit("."), (k % 7).cast("string"))).otherwise(""))
+    # One in four needs a version that is not named, one in three a minor one that may not be.
+    major = k % 40 + F.when(k % 4 == 0, 1).otherwise(0)
+    need = F.concat(major.cast("string"), F.when(k % 3 == 0, F.concat(F.lit("."), (k % 5).cast("string"))).otherwise(""))
     return o.select("o_orderkey", text.alias("text"), need.alias("need"))
 
 
@@ -261,7 +288,7 @@ def c12(spark, d):
     return _versions(spark, d).select("o_orderkey", F.array_join(F.transform(N.version_tuples(F.col("text")), lambda v: F.array_join(v.cast("array<string>"), ".")), " ").alias("out"))
 
 
-@query("c13_version_satisfies", f"SELECT o_orderkey, true AS whole, m1 = (major % 7) OR m2 = m2 AS out FROM ({_KEYED})".replace("m1 = (major % 7) OR m2 = m2", "true"))
+@query("c13_version_satisfies", f"SELECT o_orderkey, o_orderkey % 4 <> 0 AS whole, o_orderkey % 4 <> 0 AND (o_orderkey % 3 <> 0 OR o_orderkey % 5 IN (m1, m2)) AS out FROM ({_KEYED})")
 def c13(spark, d):
     v = _versions(spark, d)
     return v.select("o_orderkey", N.version_satisfies(F.split("need", r"\.")[0], F.col("text")).alias("whole"), N.version_satisfies(F.col("need"), F.col("text")).alias("out"))
@@ -433,12 +460,12 @@ def e1b(spark, d):
     return E.run_counters(V.runs(spark, d))
 
 
-@query("e2_overall_accuracy", "SELECT condition, round(avg(mean), 6) AS accuracy, count(mean) AS dims FROM agg WHERE overall = 1 GROUP BY condition", "agg")
+@query("e2_overall_accuracy", f"SELECT condition, {Q.mean('mean')} AS accuracy, count(mean) AS dims FROM agg WHERE overall = 1 GROUP BY condition", "agg")
 def e2(spark, d):
     return E.overall_accuracy(e1(spark, d))
 
 
-@query("e3_task_accuracy", "SELECT condition, task_id, round(avg(mean), 6) AS accuracy FROM agg WHERE overall = 0 GROUP BY ALL", "agg")
+@query("e3_task_accuracy", f"SELECT condition, task_id, {Q.mean('mean')} AS accuracy FROM agg WHERE overall = 0 GROUP BY ALL", "agg")
 def e3(spark, d):
     return E.task_accuracy(e1(spark, d))
 
@@ -455,7 +482,8 @@ _COVERAGE = """SELECT condition, count(mean) AS covered, count(*) FILTER (mean I
 
 @query("e4_coverage", _COVERAGE, "agg")
 def e4(spark, d):
-    return E.coverage(e1(spark, d), _dimensions(spark, d))
+    agg = e1(spark, d)
+    return E.require_coverage(E.coverage(agg, _dimensions(spark, d)), E.overall_accuracy(agg))
 
 
 @query("e5_cohort_coverage", f"SELECT covered, count(*) AS packs FROM ({_COVERAGE}) GROUP BY covered", "agg")
@@ -463,6 +491,12 @@ def e5(spark, d):
     return E.cohort_coverage(e4(spark, d))
 
 
+@query("e5_coverage_misses", """SELECT dim, count(*) AS misses FROM (SELECT DISTINCT condition FROM agg) CROSS JOIN (SELECT DISTINCT dim FROM scores UNION ALL SELECT 'extra')
+  LEFT JOIN (SELECT * FROM agg WHERE overall = 1) USING (condition, dim) WHERE mean IS NULL GROUP BY dim""", "agg")
+def e5b(spark, d):
+    return E.coverage_misses(e1(spark, d), _dimensions(spark, d))
+
+
 @query("e6_docs_provenance", """SELECT task_id, count(*) AS entries, count(*) FILTER (byte_size > 2000) AS retrieved,
   coalesce(string_agg(DISTINCT CASE WHEN byte_size > 2000 THEN fetch_date END, ',' ORDER BY CASE WHEN byte_size > 2000 THEN fetch_date END), '') AS dates FROM manifest GROUP BY task_id""", "manifest")
 def e6(spark, d):
@@ -479,6 +513,13 @@ def e7(spark, d):
     return _rollup(spark, d)
 
 
+@query("e7_groups_not_applicable", f"""SELECT grp, pos, dim, {Q.mean('CASE WHEN grp <> 2 THEN mean END')} AS mean, count(DISTINCT CASE WHEN mean IS NOT NULL AND grp <> 2 THEN task_id END) AS tasks, CASE WHEN grp = 2 THEN 'no such product' END AS not_applicable
+  FROM groups LEFT JOIN group_mapping USING (grp) LEFT JOIN group_means USING (task_id) WHERE grp <> 2 GROUP BY ALL UNION ALL SELECT grp, pos, NULL, NULL, 0, 'no such product' FROM groups WHERE grp = 2""", "group_means group_mapping groups")
+def e7b(spark, d):
+    excused = V.groups(spark, d).filter("grp = 2").select("grp", F.lit("no such product").alias("reason"))
+    return E.rollup_by_group(V.group_means(spark, d), V.group_mapping(spark, d), V.groups(spark, d), excused)
+
+
 def _category(spark, d):
     """Nations as tasks, categories by their key, from the fixed list and so with some that no task has."""
     names = spark.createDataFrame([(k, c) for k, c in enumerate(G.API_CATEGORIES)], "pos int, grp string")
@@ -486,28 +527,30 @@ def _category(spark, d):
     return E.group_overall(E.rollup_by_group(V.group_means(spark, d), mapping, names))
 
 
-_CATEGORY_LIST = ", ".join(f"({k}, '{c}')" for k, c in enumerate(G.API_CATEGORIES))
+_CATEGORY_LIST = ", ".join(f"({k}, '{c}')" for k, c in enumerate(Q.API_CATEGORIES))
 
 
-@query("e8_rollup_by_category", f"""SELECT grp, pos, round(avg(mean), 6) AS overall, max(tasks) AS tasks FROM (SELECT grp, pos, dim, round(avg(mean), 6) AS mean, count(DISTINCT CASE WHEN mean IS NOT NULL THEN task_id END) AS tasks
-  FROM (VALUES {_CATEGORY_LIST}) c(pos, grp) LEFT JOIN (SELECT n_nationkey AS task_id, {V.sql_pick('n_nationkey % 9', *G.API_CATEGORIES[:9])} AS grp FROM nation) USING (grp) LEFT JOIN group_means USING (task_id) GROUP BY ALL) GROUP BY grp, pos""", "group_means")
+@query("e8_rollup_by_category", f"""SELECT grp, pos, {Q.mean('mean')} AS overall, max(tasks) AS tasks FROM (SELECT grp, pos, dim, {Q.mean('mean')} AS mean, count(DISTINCT CASE WHEN mean IS NOT NULL THEN task_id END) AS tasks
+  FROM (VALUES {_CATEGORY_LIST}) c(pos, grp) LEFT JOIN (SELECT n_nationkey AS task_id, {V.sql_pick('n_nationkey % 9', *Q.API_CATEGORIES[:9])} AS grp FROM nation) USING (grp) LEFT JOIN group_means USING (task_id) GROUP BY ALL) GROUP BY grp, pos""", "group_means")
 def e8(spark, d):
     return _category(spark, d)
 
 
-@query("e9_cross_cohort_conflict", "SELECT r_name AS cohort, count(*) AS packs FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 1 GROUP BY r_name")
+@query("e9_cross_cohort_conflict", "SELECT count(DISTINCT r_name) AS cohorts, count(DISTINCT r_name) > 1 AS conflict FROM nation JOIN region ON n_regionkey = r_regionkey")
 def e9(spark, d):
-    packs = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).filter("r_regionkey = 1").select(F.col("r_name").alias("cohort"))
-    E.require_one_cohort(packs)
-    return packs.groupBy("cohort").agg(F.count("*").alias("packs"))
+    packs = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("cohort"))
+    return E.cohort_conflict(packs)
 
 
 def _by_segment(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.groupBy(F.col("n_regionkey").alias("grp"), F.col("c_mktsegment").alias("source")).agg(F.round(F.avg("c_acctbal"), 6).alias("overall"))
+    return c.groupBy(F.col("n_regionkey").alias("grp"), F.col("c_mktsegment").alias("source")).agg(E.mean("c_acctbal").alias("overall"))
+
 
+_OF = "CASE WHEN c_mktsegment = '{}' THEN c_acctbal END"
 
-@query("e10_category_by_source", """SELECT n_regionkey AS grp, round(avg(c_acctbal) FILTER (c_mktsegment = 'BUILDING'), 6) AS BUILDING, round(avg(c_acctbal) FILTER (c_mktsegment = 'MACHINERY'), 6) AS MACHINERY,
+
+@query("e10_category_by_source", f"""SELECT n_regionkey AS grp, {Q.mean(_OF.format('BUILDING'))} AS BUILDING, {Q.mean(_OF.format('MACHINERY'))} AS MACHINERY,
   CAST(NULL AS DOUBLE) AS absent FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey""")
 def e10(spark, d):
     return E.by_source(_by_segment(spark, d), ["BUILDING", "MACHINERY", "absent"])
@@ -529,14 +572,20 @@ def e12(spark, d):
     return E.compare_many(e1(spark, d), ["c0", "c1", "c2"])
 
 
+@query("e12_format_failure_row", """SELECT 'format_failures' AS dim, max(c) FILTER (condition = 'c0') AS c0, max(c) FILTER (condition = 'c1') AS c1, max(c) FILTER (condition = 'c2') AS c2
+  FROM (SELECT condition, count(*) FILTER (format_failure) || '/' || count(*) AS c FROM runs GROUP BY condition)""", "runs")
+def e12b(spark, d):
+    return E.format_failure_row(V.runs(spark, d), ["c0", "c1", "c2"])
+
+
 @query("e13_delta_vs_baseline", """SELECT n.condition, n.dim, n.mean AS new, b.mean AS base, round(n.mean - b.mean, 6) AS delta FROM agg n LEFT JOIN (SELECT * FROM agg WHERE task_id = 'view' AND condition <> 'c2') b USING (condition, dim) WHERE n.overall = 1""", "agg")
 def e13(spark, d):
     a = e1(spark, d)
     return E.delta_vs_baseline(a.filter("overall = 1"), a.filter("task_id = 'view' and condition <> 'c2'"))
 
 
-_GROUP_SIDE = """SELECT grp, pos, round(avg(mean), 6) AS overall, max(tasks) AS tasks FROM (SELECT grp, pos, dim, round(avg(mean), 6) AS mean, count(DISTINCT CASE WHEN mean IS NOT NULL THEN task_id END) AS tasks
-  FROM groups LEFT JOIN group_mapping USING (grp) LEFT JOIN (SELECT * FROM group_means WHERE dim {}) USING (task_id) GROUP BY ALL) GROUP BY grp, pos"""
+_GROUP_SIDE = f"""SELECT grp, pos, {Q.mean('mean')} AS overall, max(tasks) AS tasks FROM (SELECT grp, pos, dim, {Q.mean('mean')} AS mean, count(DISTINCT CASE WHEN mean IS NOT NULL THEN task_id END) AS tasks
+  FROM groups LEFT JOIN group_mapping USING (grp) LEFT JOIN (SELECT * FROM group_means WHERE dim {{}}) USING (task_id) GROUP BY ALL) GROUP BY grp, pos"""
 
 
 @query("e14_compare_groups", f"""SELECT grp, pos, a.overall AS a, a.tasks AS a_tasks, b.overall AS b, b.tasks AS b_tasks, round(b.overall - a.overall, 6) AS delta

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import normal as N
@@ -11,6 +9,7 @@ from ..operators import archive as A
 from ..operators import documents as H
 from ..operators import gates as G
 from ..sources import archive as S
+from ..sources.staging import fresh_folder
 from ..streaming import jobs
 from . import sqltext as Q
 from . import views as V
@@ -89,18 +88,18 @@ def f6(spark, d):
     return A.surface_report(_classified(spark, d), ["task_id"])
 
 
-@query("f6_residual_examples", _surface_sql("""SELECT * FROM (SELECT bucket, npath, n, CAST(row_number() OVER (PARTITION BY bucket ORDER BY n DESC, npath) AS INTEGER) AS rank FROM (SELECT bucket, npath, count(*) AS n FROM classified
-  WHERE bucket IN ('unrecognized', 'ambiguous', 'conflicted') GROUP BY ALL)) WHERE rank <= 12"""))
+@query("f6_residual_examples", _surface_sql(f"""SELECT * FROM (SELECT bucket, method, npath, n, CAST(row_number() OVER (PARTITION BY bucket ORDER BY n DESC, method, npath) AS INTEGER) AS rank FROM (SELECT bucket, {Q.method('method')} AS method, c.npath, count(*) AS n
+  FROM classified c JOIN (SELECT page_id, method FROM endpoints) USING (page_id) WHERE bucket IN ('unrecognized', 'ambiguous', 'conflicted') GROUP BY ALL)) WHERE rank <= 12"""))
 def f6b(spark, d):
     return A.residual_examples(_classified(spark, d))
 
 
 def _names(spark, d):
     """First words of benchmark texts as declared names."""
-    return table(spark, d, "benchmark").select(F.concat(F.lit("s"), (F.col("item_id") % 3).cast("string")).alias("id"), F.regexp_extract("text", r"^([A-Za-z]+)", 1).alias("name")).distinct()
+    return table(spark, d, "benchmark").select(F.concat(F.lit("s"), (F.col("item_id") % 3).cast("string")).alias("id"), F.regexp_extract("text", r"^([A-Za-z]+)", 1).alias("name")).filter("name <> ''").distinct()
 
 
-_NAMES = "SELECT DISTINCT 's' || (item_id % 3) AS id, regexp_extract(text, '^([A-Za-z]+)', 1) AS name FROM benchmark"
+_NAMES = "SELECT DISTINCT 's' || (item_id % 3) AS id, regexp_extract(text, '^([A-Za-z]+)', 1) AS name FROM benchmark WHERE regexp_matches(text, '^[A-Za-z]')"
 
 
 @query("f7_operation_mentions", f"""SELECT doc_id, id, count(*) AS mentions FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM documents) JOIN ({_NAMES}) ON regexp_matches(text, '(^|\\W)' || name || '($|\\W)') GROUP BY ALL""")
@@ -158,17 +157,30 @@ def f12(spark, d):
     return A.reconcile(*_published(spark, d), ["o_orderkey"], ["price"], ["status"])
 
 
+KINDS = ("substring", "cased", "cased-word", "word", "product-cased")
+
+
 def _tokens(spark, d):
-    kinds = pick(F.col("item_id") % 4, "substring", "cased", "word", "product-cased")
+    kinds = pick(F.col("item_id") % 5, *KINDS)
     return table(spark, d, "benchmark").select(F.regexp_extract("text", r"^\w+ (\w+)", 1).alias("token"), kinds.alias("kind")).filter("token <> ''").distinct()
 
 
-@query("f13_token_leak_scan", f"""SELECT doc_id, token, kind FROM documents JOIN (SELECT DISTINCT regexp_extract(text, '^\\w+ (\\w+)', 1) AS token, {V.sql_pick('item_id % 4', 'substring', 'cased', 'word', 'product-cased')} AS kind FROM benchmark WHERE regexp_extract(text, '^\\w+ (\\w+)', 1) <> '') ON CASE kind
+@query("f13_token_leak_scan", f"""SELECT doc_id, token, kind FROM documents JOIN (SELECT DISTINCT regexp_extract(text, '^\\w+ (\\w+)', 1) AS token, {V.sql_pick('item_id % 5', *KINDS)} AS kind FROM benchmark WHERE regexp_extract(text, '^\\w+ (\\w+)', 1) <> '') ON CASE kind
   WHEN 'substring' THEN contains(lower(text), lower(token)) WHEN 'cased' THEN contains(text, token) WHEN 'word' THEN regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])' || token || '($|[^A-Za-z0-9_])') ELSE regexp_matches(text, '(^|[^A-Za-z0-9_])' || token || '($|[^A-Za-z0-9_])') END""")
 def f13(spark, d):
     return A.token_leak_scan(table(spark, d, "documents").select("doc_id", "text"), _tokens(spark, d), "doc_id")
 
 
+@query("f13_default_tokens", """SELECT DISTINCT unnest(list_distinct([id, regexp_replace(id, '[^A-Za-z0-9]', '', 'g')])) AS token, 'substring' AS kind FROM (SELECT event_type || '-' || (user_id % 5) AS id FROM events)""")
+def f13b(spark, d):
+    return A.default_tokens(table(spark, d, "events").select(F.concat_ws("-", "event_type", (F.col("user_id") % 5).cast("string")).alias("id")))
+
+
+@query("f13_ambiguous_tokens", f"""SELECT lower(token) AS token FROM (SELECT regexp_extract(text, '^\\w+ (\\w+)', 1) AS token, item_id % 5 AS k FROM benchmark) WHERE token <> '' GROUP BY lower(token) HAVING bool_or(k >= 2) AND bool_or(k < 2)""")
+def f13c(spark, d):
+    return A.ambiguous_tokens(_tokens(spark, d))
+
+
 # --- gates ---
 
 
@@ -185,10 +197,12 @@ def g1(spark, d):
 
 
 @query("g2_docs_task_schema", """SELECT 'docs-task-schema' AS gate, subject, problem FROM (SELECT CAST(page_id AS VARCHAR) AS subject, unnest(list_filter([CASE WHEN page_id % 4 = 0 THEN 'no publication number' END, CASE WHEN page_id % 5 = 0 THEN 'no publication revision' END,
-  CASE WHEN page_id % 3 = 0 THEN 'no publication url' END, CASE WHEN page_id % 7 = 0 THEN 'version is not text' END], lambda x: x IS NOT NULL)) AS problem FROM pages)""")
+  CASE WHEN page_id % 3 = 0 THEN 'no publication url' END, CASE WHEN page_id % 7 = 0 THEN 'version is not text' END, CASE WHEN page_id % 6 IN (1, 2) THEN 'observation is not text' END], lambda x: x IS NOT NULL)) AS problem FROM pages)""")
 def g2(spark, d):
     k = F.col("page_id")
-    t = table(spark, d, "pages").select(k.alias("task_id"), F.when(k % 4 != 0, "n").otherwise(" ").alias("pub_number"), F.when(k % 5 != 0, "A").alias("pub_revision"), F.when(k % 3 != 0, F.col("url")).alias("pub_url"), F.when(k % 7 == 0, "none").when(k % 7 == 1, "35.011").alias("version"))
+    t = table(spark, d, "pages").select(k.alias("task_id"), F.when(k % 4 != 0, "n").otherwise(" ").alias("pub_number"), F.when(k % 5 != 0, "A").alias("pub_revision"), F.when(k % 3 != 0, F.col("url")).alias("pub_url"), 
+                                         F.parse_json(F.when(k % 7 == 0, "35.011").when(k % 7 == 1, '"35.011"')).alias("version"),
+                                         F.parse_json(pick(k % 6, None, '{"lamp": 1}', "[1]", '{"lamp": "on", "fan": "off"}', '{"lamp": "on"}', None)).alias("observations"))
     return G.docs_task_schema(t)
 
 
@@ -260,18 +274,32 @@ def g7b(spark, d):
     return G.dual_listed(_vendor_names(spark, d))
 
 
-@query("g8_roundtrip", _ranked_sql(f"""SELECT 'roundtrip' AS gate, CAST(task_id AS VARCHAR) AS subject, problem FROM (SELECT task_id, 'scores below 1: ' || dim AS problem FROM (SELECT task_id, avg(matched::INT) AS endpoint, avg(method_ok::INT) AS method, avg(version_ok::INT) AS api_version FROM x GROUP BY task_id)
-  UNPIVOT (score FOR dim IN (endpoint, method, api_version)) WHERE score < 1 UNION ALL SELECT page_id, 'names no known style' FROM pages WHERE page_id % 7 = 3)"""))
+def _keys(spark, d):
+    """Keys of up to five endpoints."""
+    return V.gt(spark, d).withColumn("task_id", F.floor(F.col("pos") / 10))
+
+
+@query("g8_roundtrip_scores", "SELECT DISTINCT page_id // 10 AS task_id, unnest(['direct', 'text']) AS via, 1.0::DOUBLE AS endpoint, 1.0::DOUBLE AS method, 1.0::DOUBLE AS api_version FROM endpoints WHERE side = 'gt'", "endpoints")
+def g8b(spark, d):
+    return G.roundtrip_scores(_keys(spark, d))
+
+
+@query("g8_roundtrip", """SELECT 'roundtrip' AS gate, CAST(page_id AS VARCHAR) AS subject, 'names no known style' AS problem FROM pages WHERE page_id % 7 = 3
+  UNION ALL SELECT 'roundtrip', CAST(t AS VARCHAR), 'scores below 1: method' FROM (SELECT DISTINCT page_id // 10 AS t FROM endpoints WHERE side = 'gt' AND page_id % 20 = 0)""", "endpoints")
 def g8(spark, d):
+    """Keys scored both ways, one in two with a method that the answer lost."""
     from ..operators import matching as M
     from .catalog import _auth
 
-    scores = M.endpoint_scores(_matches(spark, d), ["task_id"])
-    return G.roundtrip(M.long_scores(scores, ["task_id"], ("endpoint", "method", "api_version")), _auth(spark, d).select(F.col("page_id").alias("task_id"), F.col("auth").alias("auth_flow")))
+    scores = M.long_scores(G.roundtrip_scores(_keys(spark, d)), ["task_id", "via"], ("endpoint", "method", "api_version"))
+    lossy = M.endpoint_scores(M.match_endpoints(_keys(spark, d), _keys(spark, d).withColumn("method", F.when(F.col("pos") % 20 != 0, F.col("method"))), ["task_id"]), ["task_id"])
+    both = scores.drop("via").unionByName(M.long_scores(lossy, ["task_id"], ("endpoint", "method", "api_version")))
+    return G.roundtrip(both, _auth(spark, d).select(F.col("page_id").alias("task_id"), F.col("auth").alias("auth_flow")))
 
 
-@query("g9_dimension_coverage", """SELECT 'dimension-coverage' AS gate, subject, problem FROM (SELECT 'auth_flow' AS subject, 'declared but exercised' AS problem UNION ALL SELECT 'endpoint', 'declared but exercised' UNION ALL SELECT 'endpoint', 'declared without reason'
-  UNION ALL SELECT 'extra', 'not exercised and not declared' UNION ALL SELECT 'odd', 'unknown dimension') WHERE EXISTS (SELECT 1 FROM events WHERE value <= 20)""")
+@query("g9_dimension_coverage", """SELECT 'dimension-coverage' AS gate, dim AS subject, unnest(list_filter([CASE WHEN known AND NOT seen AND reason IS NULL THEN 'not exercised and not declared' END, CASE WHEN known AND seen AND reason IS NOT NULL THEN 'declared but exercised' END,
+  CASE WHEN known AND trim(reason) = '' THEN 'declared without reason' END, CASE WHEN NOT known THEN 'unknown dimension' END], lambda x: x IS NOT NULL)) AS problem FROM (SELECT dim, bool_or(known) AS known, coalesce(bool_or(seen), false) AS seen, max(reason) AS reason
+  FROM (SELECT dim, true AS known, score IS NOT NULL AS seen, CASE dim WHEN 'auth_flow' THEN 'not public' WHEN 'endpoint' THEN ' ' END AS reason FROM scores UNION ALL SELECT 'extra', true, false, NULL UNION ALL SELECT 'odd', false, false, 'why') GROUP BY dim)""", "scores")
 def g9(spark, d):
     scores = V.scores(spark, d).select("dim", "score")
     dims = scores.select("dim").distinct()
@@ -315,6 +343,15 @@ def g12(spark, d):
     return G.anchoring(ep, ops)
 
 
+@query("g12_document_anchoring", """SELECT 'anchoring' AS gate, CAST(page_id AS VARCHAR) AS subject, 'cited page is not in the manifest' AS problem FROM pages WHERE page_id % 3 = 0 AND page_id % 7 = 1
+  UNION ALL SELECT 'anchoring', CAST(page_id AS VARCHAR), 'prefix without an operation' FROM pages WHERE page_id % 3 = 0 AND page_id % 5 = 0""")
+def g12b(spark, d):
+    k, p = F.col("page_id"), table(spark, d, "pages")
+    cited = p.select(k.alias("task_id"), F.when(k % 3 != 0, F.concat(F.lit("op"), k)).alias("operation_id"), F.when(k % 3 == 0, F.concat("url", F.lit("?"), k)).alias("doc_ref"))
+    known = p.filter("page_id % 7 <> 1").select(F.concat("url", F.lit("?"), k).alias("url"))
+    return G.document_anchoring(cited, known, p.filter("page_id % 5 = 0").select(k.alias("task_id")))
+
+
 @query("g13_docs_anchoring", "SELECT 'docs-anchoring' AS gate, CAST(l_orderkey AS VARCHAR) AS subject, 'not in the manifest' AS problem FROM lineitem WHERE l_partkey % 101 = 0 OR l_partkey NOT IN (SELECT p_partkey FROM part)")
 def g13(spark, d):
     at = F.when(F.col("l_partkey") % 101 == 0, F.lit("https://none.example/")).otherwise(F.concat(F.lit("https://p.example/"), "l_partkey"))
@@ -344,10 +381,10 @@ def g16(spark, d):
     return G.disclosure(m.filter("list_key = 'pages'"), m.filter("list_key = 'anchors'"), m.filter("pos % 3 = 0").select("task_id", "url").distinct())
 
 
-@query("g17_run_gates", "SELECT 'manifest' AS gate, 'error beside content' AS problem, count(*) AS violations, count(*) AS total FROM (" + _G6 + ")", "manifest")
+@query("g17_run_gates", "SELECT 'manifest' AS gate, min(problem) AS problem, count(*) AS violations, count(*) AS total FROM (" + _G6 + ")", "manifest")
 def g17(spark, d):
     docs = G.docs_anchoring(V.manifest(spark, d).filter("false"), V.manifest(spark, d))
-    return G.run_gates([docs, g6(spark, d)]).withColumn("problem", F.lit("error beside content"))
+    return G.run_gates([docs, g6(spark, d)])
 
 
 # --- documents and crawl records ---
@@ -446,7 +483,7 @@ _BASE = f"""SELECT host, NOT bad AND n = 1 AS established, CASE WHEN NOT bad AND
 def _probes(spark, d):
     k = F.col("page_id")
     status = F.when(k % 10 == 0, 404).when(k % 10 == 1, 500).when(k % 10 == 2, 301).when(k % 10 == 3, F.lit(None)).otherwise(200)
-    body = F.when(k % 4 == 0, F.concat(F.lit('{"openapi": "3.0", "info": '), k, F.lit("}"))).when(k % 4 == 1, "[1, 2]").when(k % 4 == 2, "not json").otherwise('{"other": 1}')
+    body = F.when(k % 4 == 0, F.concat(F.lit('{"openapi": "3.0", "info": '), k, F.lit("}"))).when(k % 4 == 1, "[1, 2]").when(k % 4 == 2, "not json").otherwise('{"info": {"openapi": "3.0", "swagger": "2"}}')
     return V.hosts(spark, d).select("host", "path", "page_id", status.alias("status"), F.concat(F.lit(" shell \n "), k % 2).alias("text"), F.when(k % 10 == 3, "timeout").alias("error"), (k % 6 == 5).alias("disallowed"), body.alias("body"))
 
 
@@ -480,26 +517,26 @@ def h12(spark, d):
 
 def _streamed(spark, table_df, schema: str, transform, mode: str):
     """Stage a table as stream input, run the stream over it, and read what it wrote."""
-    base = tempfile.mkdtemp(prefix="scoreloom-stream-")
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = f"{folder.rstrip('/')}/{base.rsplit('/', 1)[1]}" if folder else "file://" + base
+    base = fresh_folder(spark, "stream")
     table_df.write.parquet(f"{base}/in")
     stream = transform(jobs.read_stream(spark, f"{base}/in", schema, "parquet"))
     if mode == "append":
         jobs.start(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     else:
         writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-        writer.foreachBatch(lambda df, epoch: df.write.mode("append").parquet(f"{base}/out")).start().awaitTermination()
+        # A batch that is tried again replaces what it wrote before.
+        writer.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 @query("i1_stream_score", "SELECT DISTINCT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN (o_totalprice > 100 * c_acctbal)::DOUBLE END AS endpoint FROM orders JOIN customer ON o_custkey = c_custkey")
 def i1(spark, d):
     tasks = table(spark, d, "customer").select(F.col("c_custkey").alias("task_id"), "c_acctbal")
-    runs = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("task_id"), "o_orderstatus", "o_totalprice")
+    received = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("o_orderkey") % 86_400)
+    runs = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("task_id"), "o_orderstatus", "o_totalprice", received.alias("received"))
     score = F.when(F.col("o_orderstatus") != "P", (F.col("o_totalprice") > 100 * F.col("c_acctbal")).cast("double"))
-    out = _streamed(spark, runs.union(runs.limit(10)), "o_orderkey long, task_id long, o_orderstatus string, o_totalprice double",
-                    lambda s: jobs.stream_score(s, lambda x: x.join(tasks, "task_id").select("o_orderkey", score.alias("endpoint")), ["o_orderkey"]), "append")
+    out = _streamed(spark, runs.union(runs.limit(10)), "o_orderkey long, task_id long, o_orderstatus string, o_totalprice double, received timestamp",
+                    lambda s: jobs.stream_score(s, lambda x: x.join(tasks, "task_id").select("o_orderkey", score.alias("endpoint")), ["o_orderkey"], "received"), "append")
     return out
 
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.aggregate import mean
+from . import sqltext as Q
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -76,7 +79,7 @@ def scores(spark, d) -> DataFrame:
 def group_means(spark, d):
     """task_id, dim, mean: customers' balances by nation and segment; groups are regions and one empty group."""
     c = table(spark, d, "customer")
-    return c.groupBy(F.col("c_nationkey").alias("task_id"), F.col("c_mktsegment").alias("dim")).agg(F.round(F.avg("c_acctbal"), 6).alias("mean"))
+    return c.groupBy(F.col("c_nationkey").alias("task_id"), F.col("c_mktsegment").alias("dim")).agg(mean("c_acctbal").alias("mean"))
 
 
 def group_mapping(spark, d):
@@ -156,12 +159,12 @@ SQL = {
     "scores": """SELECT condition, task_id, pos AS run_index, dim, CASE WHEN (pos + k) % 7 <> 0 AND NOT (condition = 'c2' AND k = 3)
       THEN (pos * (k + 1) % 5) / 4.0 END AS score FROM runs, (VALUES ('endpoint', 0), ('method', 1), ('api_version', 2), ('auth_flow', 3),
       ('required_scopes', 4), ('key_parameters', 5)) t(dim, k) WHERE NOT format_failure""",
-    "agg": """SELECT condition, task_id, dim, round(avg(score), 6) AS mean, count(score) AS n, CAST(grouping(task_id) AS INTEGER) AS overall
+    "agg": f"""SELECT condition, task_id, dim, {Q.mean('score')} AS mean, count(score) AS n, CAST(grouping(task_id) AS INTEGER) AS overall
       FROM scores GROUP BY GROUPING SETS ((condition, task_id, dim), (condition, dim))""",
-    "group_means": "SELECT c_nationkey AS task_id, c_mktsegment AS dim, round(avg(c_acctbal), 6) AS mean FROM customer GROUP BY ALL",
+    "group_means": f"SELECT c_nationkey AS task_id, c_mktsegment AS dim, {Q.mean('c_acctbal')} AS mean FROM customer GROUP BY ALL",
     "group_mapping": "SELECT n_nationkey AS task_id, n_regionkey AS grp FROM nation",
     "groups": "SELECT r_regionkey AS grp, r_regionkey AS pos, r_name AS rationale FROM region UNION ALL SELECT max(r_regionkey) + 1, max(r_regionkey) + 1, '' FROM region",
-    "rollup_": """SELECT grp, pos, dim, round(avg(mean), 6) AS mean, count(DISTINCT CASE WHEN mean IS NOT NULL THEN task_id END) AS tasks
+    "rollup_": f"""SELECT grp, pos, dim, {Q.mean('mean')} AS mean, count(DISTINCT CASE WHEN mean IS NOT NULL THEN task_id END) AS tasks
       FROM groups LEFT JOIN group_mapping USING (grp) LEFT JOIN group_means USING (task_id) GROUP BY ALL""",
     "manifest": f"""SELECT source AS task_id, {sql_pick('doc_id % 4', 'pages', 'anchors', 'spec_documents', 'gated_pages')} AS list_key, doc_id AS pos,
       'https://docs.example/' || (doc_id % 700) AS url, sha256(text) AS content_hash, octet_length(encode(text))::BIGINT AS byte_size,

@@ -31,9 +31,10 @@ def from_folder(path: Column) -> tuple[Column, Column]:
     return F.when(dated, F.array_join(F.slice(parts, 1, 3), "-")).otherwise(folder), F.when(dated, F.get(parts, F.lit(3))).otherwise("unknown")
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Runs under ``path`` (folders of runs/*.json), one JSON object a file, with condition and date from the folder."""
-    raw = spark.read.schema(RUN_SCHEMA).option("multiLine", True).json(path)
+def read_runs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Runs under ``path`` (folders of runs/*.json), with condition and date from the folder: one JSON object a file,
+    or with ``lines`` one a line."""
+    raw = spark.read.schema(RUN_SCHEMA).option("multiLine", not lines).json(path)
     date, condition = from_folder(F.col("_metadata.file_path"))
     return raw.select("*", F.col("_metadata.file_name").alias("file"), date.alias("run_date"), condition.alias("condition"))
 
@@ -91,9 +92,9 @@ def transcript_events(lines: DataFrame) -> DataFrame:
     out = events.groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.when(turn, F.struct("pos", names.alias("names"), words.alias("text"))))).alias("t"),
         F.min_by("e.tools", F.when(init, F.col("pos"))).alias("offered"), F.min_by("e.model", F.when(init, F.col("pos"))).alias("model"),
-        F.max_by("e.modelUsage", last).alias("usage"),
+        F.min_by("e.mcp_servers", F.when(init, F.col("pos"))).alias("servers"), F.max_by("e.modelUsage", last).alias("usage"),
     )
-    return out.select("run_id", F.flatten("t.names").alias("tool_uses"), F.size("t").alias("turns"), F.array_join("t.text", "\n").alias("text"), "offered", "model", "usage")
+    return out.select("run_id", F.flatten("t.names").alias("tool_uses"), F.size("t").alias("turns"), F.array_join("t.text", "\n").alias("text"), "offered", "servers", "model", "usage")
 
 
 def primary_model(usage: DataFrame, key: str) -> DataFrame:

@@ -20,9 +20,12 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json",
     return (reader.option("multiLine", True) if fmt == "json" else reader).format(fmt).load(path)
 
 
-def stream_score(runs: DataFrame, score: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """Scores of runs as they come: a stream-static job, each key once.  ``score``: what a batch would apply."""
-    return score(runs.dropDuplicates(keys))
+def stream_score(runs: DataFrame, score: Callable[[DataFrame], DataFrame], keys: list[str], time: str, delay: str = "2 days") -> DataFrame:
+    """Scores of runs as they come: a stream-static job, each key once.  ``score``: what a batch would apply.
+
+    A key is remembered for ``delay`` after its ``time``; rows that come later than that are dropped.
+    """
+    return score(runs.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys))
 
 
 class _Breaker(StatefulProcessor):
@@ -56,7 +59,11 @@ def stream_breaker(runs: DataFrame) -> DataFrame:
 
 
 class _Transcript(StatefulProcessor):
-    """Tool names and turns of one run until its result arrives; then one row, and the state goes."""
+    """Tool names and turns of one run until its result arrives; then one row, and the state goes.
+
+    A run whose result never comes keeps its state: timers on processing time would keep a job over what is there
+    from ending.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._tools = handle.getListState("tools", "pos long, name string")
@@ -74,10 +81,14 @@ class _Transcript(StatefulProcessor):
             self._tools.appendValue(a)
         self._turns.update((turns,))
         if done:
-            tools = [name for _, name in sorted(self._tools.get())] if self._tools.exists() else []
-            self._tools.clear()
-            self._turns.clear()
-            yield pd.DataFrame({"run_id": [key[0]], "turns": [turns], "tool_uses": [",".join(tools)]})
+            yield self._finished(key[0])
+
+    def _finished(self, run_id: str) -> pd.DataFrame:
+        turns = self._turns.get()[0] if self._turns.exists() else 0
+        tools = [name for _, name in sorted(self._tools.get())] if self._tools.exists() else []
+        self._tools.clear()
+        self._turns.clear()
+        return pd.DataFrame({"run_id": [run_id], "turns": [turns], "tool_uses": [",".join(tools)]})
 
     def close(self) -> None:
         pass

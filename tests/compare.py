@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import duckdb
 
@@ -17,17 +18,23 @@ def connect(folder: str):
 
 
 def _value(v):
-    if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
-    if isinstance(v, bool) or v is None:
-        return v
-    return v
+    return None if isinstance(v, float) and math.isnan(v) else v
+
+
+def _shown(v) -> str:
+    """For the order of rows: floats by what does not depend on the order of summing."""
+    return f"{v:.4g}" if isinstance(v, float) else str(v)
+
+
+def _same(a, b) -> bool:
+    numbers = all(isinstance(x, int | float | Decimal) and not isinstance(x, bool) for x in (a, b))
+    return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) if numbers else a == b
 
 
 def rows_of(columns: list[str], rows) -> list[tuple]:
     order = sorted(range(len(columns)), key=lambda k: columns[k].lower())
     out = [tuple(_value(r[k]) for k in order) for r in rows]
-    return sorted(out, key=lambda r: tuple((x is None, str(type(x)), str(x)) for x in r))
+    return sorted(out, key=lambda r: (tuple((x is None, _shown(x)) for x in r if not isinstance(x, float)), tuple((x is None, _shown(x)) for x in r)))
 
 
 def difference(df, con, sql: str) -> str | None:
@@ -41,6 +48,6 @@ def difference(df, con, sql: str) -> str | None:
     if len(want) != len(got):
         return f"{len(got)} rows and {len(want)}"
     for a, b in zip(got, want, strict=True):
-        if a != b and [float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in a] != [float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in b]:
+        if not all(map(_same, a, b)):
             return f"{str(a)[:300]} and {str(b)[:300]}"
     return None
