@@ -11,8 +11,11 @@ _WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``.  Unset, a local one will do on one machine (tests) and is an error
+    elsewhere."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="scoreloom-")
         spark.conf.set("spark.checkpoint.dir", folder)

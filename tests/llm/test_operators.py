@@ -258,6 +258,28 @@ def test_search(spark):
     assert ann.searched(few, few).count() <= 6
 
 
+def test_search_of_clustered_vectors_visits_few():
+    """Work follows the buckets: of clustered vectors few are candidates, and the nearest are among them."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 6000)] + 0.2 * rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    scale = np.linalg.norm(x, axis=1).max() * (1 + 1e-9)
+    q, ids = x[::100], np.arange(6000)
+    index = ann.Index(32, scale, ann.fitted_width(x[rng.permutation(6000)[:2000]], scale, 6000, 20))
+    buckets, probes = index.rows(x), index.probes(q)
+    at = ann.candidates(buckets, probes, 6000, 60)
+    assert isinstance(at, tuple) and len(at[0]) < 0.1 * 60 * 6000
+    got = ann.nearest_in_block(ids, x, buckets, ids[::100], q, probes, 20)
+    best = {(i, j) for i in range(0, 6000, 100) for j in sorted(ids[ids != i], key=lambda j: -(x[i] * x[j]).sum())[:20]}
+    assert len(best & set(zip(got[0].tolist(), got[1].tolist(), strict=True))) >= 0.9 * len(best)
+    # The mask of many candidates says the same as the list of few.
+    many = np.zeros((60, 6000), bool)
+    for t in range(ann.TABLES):
+        many |= (buckets[t][None, None, :] == probes[t][:, :, None]).any(1)
+    assert (np.argwhere(many) == np.stack(at, 1)).all()
+
+
 def test_probe_sequence_has_no_contradictions():
     sets = ann.probe_sequence(6, 200)
     assert not sets[0].any() and len(np.unique(sets, axis=0)) == len(sets)
