@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one reads what it wrote.  All but the last
 return the columns of ``documents``.
+
+Defined results: null texts are empty, so the quality rules drop them; rows that share doc_id and text leave one row at
+the near duplicates, rows that share a doc_id but not the text are documents of their own; ties go to the smaller
+doc_id, null ids last; empty tables give empty results; further columns, whatever their names, stay up to the last
+stage.
 """
 
 from __future__ import annotations

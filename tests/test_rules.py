@@ -1,6 +1,7 @@
 """The rules that tables rarely exercise, on literals."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +148,105 @@ def test_run_folders(spark, tmp_path):
     S.write_scores(spark.createDataFrame([("a", 3)], "condition string, x int"), f"{tmp_path}/out")
     assert {(r["condition"], r["x"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("a", 3), ("b", 2)}
     assert S.spec_file_sizes(S.stored_files(spark, str(tmp_path / "odd"))).first()["files"] == 1
+
+
+def test_one_line_lists(spark):
+    assert B.listed("a[0].b, {c, d}, 'x, y', ") == ["a[0].b", "{c, d}", "'x, y'"] and B.listed("") == []
+    assert [B.listed(x) for x in ("a]", "[a", "'a", 'a, "b', "a][b")] == [None] * 5
+    assert B.repair("  key_parameters: [x[0].y, z]\nother: 1") == "  key_parameters:\n  - x[0].y\n  - z\nother: 1"
+    assert B.repair("key_parameters: [x, y]") is None and B.repair("key_parameters: [x[0].y, a b]") is None
+
+
+def test_running_sums_equal_a_window(spark):
+    from pyspark.sql import Window
+
+    from scoreloom.operators.running import summed_before
+
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(k % 3, rng.randrange(3), p, rng.randrange(9)) for k, p in enumerate(rng.sample(range(10**7), 400))], "k int, f int, pos long, v int")
+    order = Window.partitionBy("k").orderBy("f", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    want = rows.withColumn("s", F.coalesce(F.sum("v").over(order), F.lit(0)))
+    assert sorted(map(tuple, summed_before(rows, ["k"], "pos", {"s": F.col("v")}, F.col("f")).collect())) == sorted(map(tuple, want.collect()))
+    assert summed_before(rows.limit(0), ["k"], "pos", {"s": F.col("v")}).count() == 0
+
+
+def test_tokens_equal_brute_force(spark):
+    rng = random.Random(4)
+    parts = ["ab", "Ab", "abc", "x-ab", "ab_c", "AB cd", "cd", ".", " ", "\n", "a b", "é"]
+    texts = [(k, "".join(rng.choices(parts, k=rng.randint(0, 8)))) for k in range(120)] + [(500, None)]
+    kinds = ["substring", "cased", "cased-word", "word", "product-cased"]
+    tokens = [(t, kind) for t in ("ab", "AB cd", "x-ab", "cd", "b", "") for kind in kinds]
+
+    def holds(text: str, token: str, kind: str) -> bool:
+        if kind in ("substring", "cased"):
+            return token.lower() in text.lower() if kind == "substring" else token in text
+        flags = re.I | re.A if kind == "word" else re.A
+        return re.search(rf"(?<![A-Za-z0-9_]){re.escape(token)}(?![A-Za-z0-9_])", text, flags) is not None
+
+    want = {(k, t, kind) for k, text in texts if text for t, kind in tokens if t and holds(text, t, kind)}
+    lines = spark.createDataFrame(texts, "k int, text string").withColumn("path", F.when(F.col("k") % 2 == 0, "keep.md").otherwise("vendor/x"))
+    found = A.token_leak_scan(lines, spark.createDataFrame(tokens, "token string, kind string"), "k")
+    assert {tuple(r) for r in found.collect()} == want
+    part = A.token_leak_scan(lines, spark.createDataFrame(tokens, "token string, kind string"), "k", "^vendor/")
+    assert {tuple(r) for r in part.collect()} == {w for w in want if w[0] % 2 == 0}
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contracts_by_cohort(spark):
+    contracts = {"api": M.Contract("api", ("endpoint",), {"endpoint": F.col("x")}), "docs": M.Contract("docs", ("catalog_number",), {"catalog_number": F.col("x") / 2})}
+    assert M.contract_of("api", contracts).cohort == "api"
+    with pytest.raises(ValueError, match="other"):
+        M.contract_of("other", contracts)
+    schema = "task_id int, run_index int, cohort string, format_failure boolean, x double"
+    tasks = spark.createDataFrame([(1,), (2,)], "task_id int")
+    runs = spark.createDataFrame([(1, 0, "api", False, 1.0), (2, 0, "docs", False, 1.0), (1, 1, "api", True, 1.0)], schema)
+    assert {(r["task_id"], r["run_index"], r["dim"], r["score"]) for r in M.score_cohorts(runs, tasks, contracts).collect()} == {(1, 0, "endpoint", 1.0), (2, 0, "catalog_number", 0.5), (1, 1, "endpoint", None)}
+    with pytest.raises(Exception, match="no contract"):
+        M.score_cohorts(runs.union(spark.createDataFrame([(1, 2, "odd", False, 1.0)], schema)), tasks, contracts).collect()
+
+
+def test_rescored_from_text(spark):
+    """Answers are decoded again; stale fields go; a run of an unknown task stays as it is."""
+    good = BLOCK.format("endpoints:\n  - method: GET\n    path: /x\n    api_version: v1")
+    stored = "task_id int, run_index int, raw_response string, endpoint double, format_failure boolean, failure_reason string, cost double"
+    runs = spark.createDataFrame([(1, 0, good, 0.0, True, "stale", 1.0), (1, 4, "no block", 1.0, False, None, 2.0), (9, 2, good, 0.25, True, "kept", 3.0)], stored)
+    contract = M.Contract("api", ("endpoint",), {"endpoint": (F.get("endpoints", F.lit(0))["path"] == F.col("want")).cast("double")})
+    tasks = spark.createDataFrame([(1, "/x")], "task_id int, want string")
+    out = {(r["task_id"], r["run_index"]): r for r in M.rescored(runs, tasks, contract, B.decode_answers, ["format_failure", "failure_reason"]).collect()}
+    seen = {k: (r["endpoint"], r["format_failure"], r["failure_reason"], r["cost"], r["n"]) for k, r in out.items()}
+    assert seen == {(1, 0): (1.0, False, None, 1.0, 5), (1, 4): (None, True, "no answer block", 2.0, 5), (9, 2): (0.25, True, "kept", 3.0, 3)}
+
+
+def test_coverage_and_overall_must_agree(spark):
+    covered = spark.createDataFrame([("a", 2), ("b", 0)], "condition string, covered long")
+    overall = lambda b: spark.createDataFrame([("a", 0.5), ("b", b)], "condition string, accuracy double")
+    assert E.require_coverage(covered, overall(None)).count() == 2
+    with pytest.raises(Exception, match="disagree"):
+        E.require_coverage(covered, overall(0.1)).collect()
+
+
+def test_spec_keys_count_at_the_top_only(spark):
+    body = ['{"openapi": "3"}', '{"info": {"openapi": "3"}}', '[{"openapi": 1}]', '"openapi: 3"', None]
+    probes = spark.createDataFrame([("h", str(k), 200, None, "t", b, False) for k, b in enumerate(body)], "host string, path string, status int, error string, text string, body string, disallowed boolean")
+    base = spark.createDataFrame([("h", True, False, "none")], "host string, established boolean, soft404 boolean, signature string")
+    out = {r["path"]: r["verdict"] for r in H.spec_probe_verdict(probes, base).collect()}
+    assert out == {"0": "spec", "1": "not-a-spec", "2": "not-a-spec", "3": "not-a-spec", "4": "not-a-spec"}
+
+
+def test_context_of_many_pages_equals_a_fold(spark):
+    rng = random.Random(3)
+    pages = [("t", k, rng.choice(["api-reference", "topic-guide", "x"]), f"u{k}", "a" * rng.randint(0, 60) + " " * rng.randint(0, 90) + "b" * rng.randint(0, 3)) for k in range(300)]
+    used, blocks = 0, []
+    for _, _, _, url, text in sorted(pages, key=lambda p: ({"api-reference": 0, "topic-guide": 1}.get(p[2], 3), p[1])):
+        text, head = text.strip(), f"\n===== d: {url} =====\n"
+        room = 800 - used - len(head)
+        if not text:
+            continue
+        if room <= 0:
+            break
+        body = text if len(text) <= room else text[:room].rstrip() + H.CUT_MARK
+        used += len(head) + len(body)
+        blocks.append(head + body)
+    df = spark.createDataFrame(pages, "task_id string, pos int, role string, url string, text string")
+    row = H.assemble_context(df, 200, "d").first()
+    assert (row["used"], row["context"]) == (used, "\n".join(blocks))
