@@ -60,12 +60,28 @@ def docs_task_schema(tasks: DataFrame) -> DataFrame:
     })
 
 
-def task_suite(tasks: DataFrame, expected: DataFrame) -> DataFrame:
-    """Duplicate, missing and unexpected task ids.  Both inputs: task_id."""
-    twice = tasks.groupBy("task_id").agg(F.count("*").alias("n")).filter("n > 1").select("task_id", F.lit("duplicate").alias("problem"))
-    missing = expected.select("task_id").distinct().join(tasks, "task_id", "left_anti").select("task_id", F.lit("missing").alias("problem"))
-    more = tasks.select("task_id").distinct().join(expected, "task_id", "left_anti").select("task_id", F.lit("unexpected").alias("problem"))
-    return twice.union(missing).union(more).select(F.lit("task-suite").alias("gate"), F.col("task_id").cast("string").alias("subject"), "problem")
+def task_suite(tasks: DataFrame, expected: DataFrame | None, na: DataFrame, categories: Iterable[str]) -> DataFrame:
+    """Task ids that differ from their file's stem, come twice, are missing or were not expected (None: any id is),
+    tasks of a category that does not apply, categories said not to apply that are none, and a suite without tasks.
+
+    ``tasks``: task_id, stem, category; ``expected``: task_id; ``na``: category.
+    """
+    def say(df: DataFrame, subject: Column, problem: str) -> DataFrame:
+        return df.select(F.lit("task-suite").alias("gate"), subject.cast("string").alias("subject"), F.lit(problem).alias("problem"))
+
+    named = tasks.filter(~_blank("task_id"))
+    ids, not_applicable = named.select("task_id").distinct(), na.select("category").distinct()
+    parts = [
+        say(named.filter(F.col("task_id").cast("string") != F.col("stem")), F.col("stem"), "id differs from the file's stem"),
+        say(named.groupBy("task_id").agg(F.count("*").alias("n")).filter("n > 1"), F.col("task_id"), "duplicate"),
+        say(tasks.join(not_applicable, "category", "left_semi"), F.col("stem"), "category does not apply"),
+        say(not_applicable.filter(~F.col("category").isin(*categories)), F.col("category"), "unknown category marked as not applicable"),
+        say(tasks.agg(F.count("*").alias("n")).filter("n = 0"), F.lit("*"), "no tasks"),
+    ]
+    if expected is not None:
+        wanted = expected.select("task_id").distinct()
+        parts += [say(wanted.join(ids, "task_id", "left_anti"), F.col("task_id"), "missing"), say(ids.join(wanted, "task_id", "left_anti"), F.col("task_id"), "unexpected")]
+    return union(parts)
 
 
 def task_groups_partition(groups: DataFrame, members: DataFrame, tasks: DataFrame) -> DataFrame:

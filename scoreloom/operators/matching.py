@@ -89,7 +89,9 @@ def version_score(key: Column, answer: Column) -> Column:
 def docs_scores(rows: DataFrame) -> DataFrame:
     """Adds catalog_number, firmware_version, software_version and exhibit.
 
-    ``rows``: gt_catalogs, gt_firmware, gt_software, answer_catalogs, answer_firmware, answer_software.
+    ``rows``: gt_catalogs, gt_firmware, gt_software, gt_observations, answer_catalogs, answer_firmware,
+    answer_software, answer_publication, answer_observations (the observations are maps of text).  The exhibit is
+    recorded and never scored; what the key expects to be observed is null where it says nothing on any of it.
     """
     scored = rows.withColumns(
         {
@@ -99,13 +101,20 @@ def docs_scores(rows: DataFrame) -> DataFrame:
         }
     )
     both = F.col("firmware_version").isNotNull() & F.col("software_version").isNotNull()
+    observed = F.col("answer_observations")
+    known = lambda name: F.nullif(F.element_at("gt_observations", name), F.lit(""))
+    expected = F.transform_values(observed, lambda name, _: known(name))
+    stated = F.exists(F.map_values(expected), lambda v: v.isNotNull())
     return scored.withColumn(
         "exhibit",
         F.struct(
-            F.transform("answer_catalogs", N.normalize_catalog).alias("catalogs"),
+            F.col("answer_publication").alias("publication"),
+            F.coalesce("answer_catalogs", F.array().cast("array<string>")).alias("catalogs"),
             F.when(both, (F.col("firmware_version") == 1) & (F.col("software_version") == 1)).alias("pairing_ok"),
             N.hedge_count(F.col("answer_firmware")).alias("firmware_hedges"),
             N.hedge_count(F.col("answer_software")).alias("software_hedges"),
+            F.when(F.size(observed) > 0, observed).alias("observed"),
+            F.when(stated, expected).alias("observed_expected"),
         ),
     )
 

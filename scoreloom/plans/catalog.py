@@ -407,6 +407,9 @@ def _docs_rows(spark, d):
     return table(spark, d, "orders").select(
         "o_orderkey", F.array(text("ab-", num(5))).alias("gt_catalogs"), F.when(k % 4 != 0, text("35.0", num(3))).alias("gt_firmware"), F.when(k % 3 != 0, num(9)).alias("gt_software"),
         F.array(text(" AB-", num(4), " "), text("AB-", num(5), "-K")).alias("answer_catalogs"), text("v35.", num(2), " or 35.00", num(2), " or 36").alias("answer_firmware"), text(num(6), ".1").alias("answer_software"),
+        F.when(k % 2 == 0, text("P-", num(7))).alias("answer_publication"),
+        F.when(k % 3 == 1, F.create_map(F.lit("note"), text("n", num(4)), F.lit("lamp"), F.lit("on"))).when(k % 3 == 2, F.create_map(F.lit("lamp"), F.lit("off"))).alias("answer_observations"),
+        F.when(k % 5 != 0, F.create_map(F.lit("note"), F.when(k % 2 == 0, "").otherwise("n1"))).alias("gt_observations"),
     )
 
 
@@ -419,9 +422,18 @@ def d8(spark, d):
     return M.docs_scores(_docs_rows(spark, d)).select("o_orderkey", *M.DOCS_DIMENSIONS)
 
 
-@query("d9_exhibit", f"SELECT o_orderkey, CASE WHEN firmware_version IS NOT NULL AND software_version IS NOT NULL THEN firmware_version = 1 AND software_version = 1 END AS pairing_ok, 2 AS firmware_hedges, 1 AS software_hedges FROM ({_DOCS})")
+_EXPECTED = "o_orderkey % 3 = 1 AND o_orderkey % 5 <> 0 AND o_orderkey % 2 = 1"
+
+
+@query("d9_exhibit", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'P-' || (o_orderkey % 7) END AS publication, ' AB-' || (o_orderkey % 4) || ' |AB-' || (o_orderkey % 5) || '-K' AS catalogs,
+  CASE WHEN firmware_version IS NOT NULL AND software_version IS NOT NULL THEN firmware_version = 1 AND software_version = 1 END AS pairing_ok, 2 AS firmware_hedges, 1 AS software_hedges,
+  CASE o_orderkey % 3 WHEN 1 THEN 'n' || (o_orderkey % 4) || ',on' WHEN 2 THEN 'off' END AS observed, CASE WHEN {_EXPECTED} THEN 'n1,?' END AS observed_expected FROM ({_DOCS})""")
 def d9(spark, d):
-    return M.docs_scores(_docs_rows(spark, d)).select("o_orderkey", "exhibit.pairing_ok", "exhibit.firmware_hedges", "exhibit.software_hedges")
+    values = lambda name: F.array_join(F.map_values(f"exhibit.{name}"), ",", "?").alias(name)
+    return M.docs_scores(_docs_rows(spark, d)).select(
+        "o_orderkey", "exhibit.publication", F.array_join("exhibit.catalogs", "|").alias("catalogs"), "exhibit.pairing_ok", "exhibit.firmware_hedges", "exhibit.software_hedges",
+        values("observed"), values("observed_expected"),
+    )
 
 
 def _scored(spark, d):

@@ -206,12 +206,20 @@ def g2(spark, d):
     return G.docs_task_schema(t)
 
 
-@query("g3_task_suite", """SELECT 'task-suite' AS gate, CAST(l_partkey AS VARCHAR) AS subject, problem FROM (SELECT l_partkey, 'duplicate' AS problem FROM lineitem WHERE l_partkey % 101 <> 0 GROUP BY l_partkey HAVING count(*) > 1
-  UNION ALL SELECT p_partkey, 'missing' FROM part WHERE p_partkey % 50 <> 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey % 101 <> 0)
-  UNION ALL SELECT DISTINCT l_partkey, 'unexpected' FROM lineitem WHERE l_partkey % 101 <> 0 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 50 <> 0))""")
+@query("g3_task_suite", """WITH t AS (SELECT l_partkey AS task_id, CASE WHEN l_orderkey % 97 = 0 THEN 'x' || l_partkey ELSE CAST(l_partkey AS VARCHAR) END AS stem, l_returnflag AS category FROM lineitem WHERE l_partkey % 101 <> 0)
+  SELECT 'task-suite' AS gate, subject, problem FROM (SELECT CAST(task_id AS VARCHAR) AS subject, 'duplicate' AS problem FROM t GROUP BY task_id HAVING count(*) > 1
+  UNION ALL SELECT stem, 'id differs from the file''s stem' FROM t WHERE stem <> CAST(task_id AS VARCHAR)
+  UNION ALL SELECT stem, 'category does not apply' FROM t WHERE category = 'R'
+  UNION ALL SELECT DISTINCT r_name, 'unknown category marked as not applicable' FROM region
+  UNION ALL SELECT '*', 'no tasks' WHERE NOT EXISTS (FROM t)
+  UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'missing' FROM part WHERE p_partkey % 50 <> 0 AND p_partkey NOT IN (SELECT task_id FROM t)
+  UNION ALL SELECT DISTINCT CAST(task_id AS VARCHAR), 'unexpected' FROM t WHERE task_id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 50 <> 0))""")
 def g3(spark, d):
-    tasks = table(spark, d, "lineitem").filter("l_partkey % 101 <> 0").select(F.col("l_partkey").alias("task_id"))
-    return G.task_suite(tasks, table(spark, d, "part").filter("p_partkey % 50 <> 0").select(F.col("p_partkey").alias("task_id")))
+    lines, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    stem = F.concat(F.when(F.col("l_orderkey") % 97 == 0, "x").otherwise(""), F.col("l_partkey").cast("string"))
+    tasks = lines.filter("l_partkey % 101 <> 0").select(F.col("l_partkey").alias("task_id"), stem.alias("stem"), F.col("l_returnflag").alias("category"))
+    na = lines.filter("l_returnflag = 'R'").select(F.col("l_returnflag").alias("category")).union(table(spark, d, "region").select("r_name"))
+    return G.task_suite(tasks, part.filter("p_partkey % 50 <> 0").select(F.col("p_partkey").alias("task_id")), na, ("A", "N", "R"))
 
 
 @query("g4_task_groups_partition", """SELECT 'task-groups' AS gate, CAST(subject AS VARCHAR) AS subject, problem FROM (SELECT grp AS subject, 'no tasks' AS problem FROM groups WHERE grp NOT IN (SELECT grp FROM mm) UNION ALL SELECT grp, 'no rationale' FROM groups WHERE rationale = ''
