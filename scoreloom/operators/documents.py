@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,9 @@ from .running import summed_before
 # Elements dropped with their content, and elements that end a line.
 DROPPED = ("script", "style", "noscript", "svg", "head", "nav", "footer", "form")
 LINE_ENDS = "p|div|section|article|li|ul|ol|table|tr|h[1-6]|pre|br|header|title"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Names of character references, as the HTML standard has them, and what numbers 128 to 159 stand for.
+NAMED = {name[:-1]: chars for name, chars in html5.items() if name.endswith(";")}
+WINDOWS = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
 
 # Page roles in the order of the budget, and where robots rules come from.
 ROLES = ("api-reference", "topic-guide", "getting-started")
@@ -25,18 +30,60 @@ RULES, ABSENT, REFUSED, UNREACHABLE, NO_HOST, NO_GROUP = (
 )
 
 
+def _outside_dropped(t: Column, tags: tuple[str, ...]) -> Column:
+    """``t`` without the elements named, however they nest: text counts where as many have ended as have begun.
+
+    Tags that end themselves go first, then three times what holds no tag between its begin and end, in linear time.
+    The fold finds what is left: deeper nests, stray ends, and elements without an end.
+    """
+    names = "|".join(tags)
+    tag = rf"</?(?:{names})(?:\s[^>]*)?/?>"
+    t = F.regexp_replace(t, rf"(?i)<(?:{names})(?:\s[^>]*)?/>", "")
+    for _ in range(3):
+        t = F.regexp_replace(t, rf"(?i)<(?:{names})(?:\s[^>]*)?>[^<]*+(?:(?!{tag})<[^<]*+)*+</(?:{names})(?:\s[^>]*)?/?>", "")
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        head = F.regexp_extract(piece, f"(?i)^{tag}", 0)
+        change = F.when((head == "") | head.endswith("/>") & ~head.startswith("</"), 0).when(head.startswith("</"), -1).otherwise(1)
+        depth = F.greatest(acc["depth"] + change, F.lit(0))
+        kept = F.when(depth == 0, F.array_append(acc["kept"], F.substring(piece, F.length(head) + 1, F.length(piece)))).otherwise(acc["kept"])
+        return F.struct(depth.alias("depth"), kept.alias("kept"))
+
+    return F.array_join(F.aggregate(F.split(t, f"(?i)(?={tag})"), start, step)["kept"], "")
+
+
+def _references_decoded(t: Column) -> Column:
+    """Character references by number, and by name where a semicolon ends it; others stay as they are."""
+    table = lambda values: F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+    pattern = r"^&(?:#([0-9]{1,15}|[xX][0-9A-Fa-f]{1,12});?|([A-Za-z][A-Za-z0-9]*);)"
+
+    def decoded(piece: Column) -> Column:
+        number, name = F.regexp_extract(piece, pattern, 1), F.regexp_extract(piece, pattern, 2)
+        hexed = F.lower(number).startswith("x")
+        code = F.when(hexed, F.conv(F.substring(number, 2, 12), 16, 10)).otherwise(number).try_cast("bigint")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        safe = F.when(valid, code).otherwise(0xFFFD)
+        by_number = F.coalesce(F.element_at(table(WINDOWS), safe.cast("string")), F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32"))
+        chars = F.when(number != "", by_number).when(name != "", F.element_at(table(NAMED), name))
+        rest = F.substring(piece, F.length(F.regexp_extract(piece, pattern, 0)) + 1, F.length(piece))
+        return F.coalesce(F.concat(chars, rest), piece)
+
+    return F.array_join(F.transform(F.split(t, "(?=&)"), decoded), "")
+
+
 def page_text(html: Column) -> Column:
     """Text of a page: some elements dropped whole, one line a block, single spaces, at most one blank line in a row.
 
-    A chain of regular expressions, all in generated code.  Elements of one name that nest are cut at the first end.
+    A null page is empty.  A script or style ends at its first end tag; the other dropped elements may nest, and one
+    that never ends drops the rest of the page.
     """
     t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
-    for tag in DROPPED:
+    for tag in DROPPED[:2]:
         t = F.regexp_replace(t, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", "")
+    t = _outside_dropped(t, DROPPED[2:])
     t = F.regexp_replace(t, rf"(?i)</?({LINE_ENDS})(\s[^>]*)?/?>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = _references_decoded(F.regexp_replace(t, r"<[^>]*>", ""))
     t = F.regexp_replace(t, r"[ \t]+", " ")
     t = F.regexp_replace(t, r" ?\n ?", "\n")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
