@@ -141,7 +141,7 @@ def test_html(spark):
         "&#8217;&#x1F600;&#39 &eacute;&hellip;&amp;lt;&nosuch;&#0;&#128;&#xD800;&#9999999999; & &", "<p>&lt;nav&gt;a</p>",
         "a" + "<nav>" * 9 + "b<p>" * 50000 + "</nav>" * 9 + "c", "</nav>a<svg>b<form>c</nav>d</svg>e<nav>x<b>y</b></nav>" + "f<footer>g",
     ]
-    assert values(spark, H.page_text, *pages) == ["def\n", "xd\n", "a\n", "h\n\ni\n".replace("\n\n", "\n"), "\u2019\U0001F600' \u00e9\u2026&lt;&nosuch;\ufffd\u20ac\ufffd\ufffd & &\n", "<nav>a\n", "ac\n", "aef\n"]
+    assert values(spark, H.page_text, *pages) == ["def\n", "xd\n", "a\n", "h\ni\n", "\u2019\U0001F600' \u00e9\u2026&lt;&nosuch;\ufffd\u20ac\ufffd\ufffd & &\n", "<nav>a\n", "ac\n", "aef\n"]
 
 
 def test_run_folders(spark, tmp_path):
