@@ -226,7 +226,8 @@ def _decided(found: list[Block], labels: list[str]) -> list[str | None]:
 
 def second_pass(found: list[Block], labels: list[str], has_main: bool) -> list[bool]:
     """Whether each block is kept.  Undecided blocks take the label of the nearest decided neighbours: good if either
-    is, for near-good ones, and only if both are (or the page's edge is next to them) for short ones."""
+    is, for near-good ones, and only if both are (or the page's edge is next to them) for short ones; where no
+    neighbour is decided, near-good ones are kept, and short ones in an article or main element."""
     if has_main:
         labels = [shifted(b, x) for b, x in zip(found, labels, strict=True)]
     before, after = _decided(found, labels), _decided(found[::-1], labels[::-1])[::-1]
@@ -240,7 +241,7 @@ def second_pass(found: list[Block], labels: list[str], has_main: bool) -> list[b
             kept.append("good" in (p, n) or p is None and n is None)
         else:
             known = [y for y in (p, n) if y is not None]
-            kept.append(bool(known) and all(y == "good" for y in known))
+            kept.append(all(y == "good" for y in known) if known else b.inside)
     if not any(kept) and not any(x == "good" for x in labels):
         # A page of short blocks only: what is not boilerplate by place or links is its text.
         return [x != "bad" for x in labels]

@@ -149,6 +149,10 @@ def test_html_beside_an_article():
     advert = "Xylo Brumt Kwarz Plonk Vrest Drumb Splint Grotz Wreck Blast Crunch Flump Stomp"
     text = html.main_text(f"<article><p>{body}</p><p>{advert}</p><div><a href=x>more Xylo Brumt Kwarz</a></div></article>")
     assert text == body.strip()
+    # No neighbour is decided, so the article decides for the second block, and nothing does for the third.
+    near, short = "the cat and the dog of the house xylo brumt kwarz plonk vrest " * 3, "Xylo brumt kwarz plonk vrest drumb splint grotz wreck blast crunch flump stomp."
+    assert html.main_text(f"<article><p>{short}</p></article><p>{short}</p>") == short
+    assert html.main_text(f"<article><p>{near}</p></article><p>{short}</p>") == near.strip()
 
 
 @pytest.mark.parametrize(
