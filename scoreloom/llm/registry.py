@@ -20,4 +20,6 @@ QUERIES = {
 #: The others are tested against brute-force versions: their methods (sketches, sampling, models) have no SQL.
 ORACLE_SQL = {
     "op3_mix_sources": mixing.OP3_SQL,
+    "op7_repeated_strings": repeats.OP7_SQL,
+    "op8_minimax_shards": sharding.OP8_SQL,
 }

@@ -577,3 +577,30 @@ def op7_repeated_strings(spark, sf_dir: str) -> DataFrame:
     docs = scratch.table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = with_spans(docs).select(F.col("row.doc_id").alias("doc_id"), "text", "spans")
     return marked.mapInPandas(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+OP7_SQL = """
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS doc,
+         strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h
+  FROM documents),
+chunks AS (
+  SELECT r, doc, start, substr(h, 2 * start + 1, 2 * (256 + 49)) AS c
+  FROM (SELECT *, unnest(range(0, n - 49, 256)) AS start FROM texts)),
+strings AS (
+  SELECT r, doc, start + k AS i, substr(c, 2 * k + 1, 100) AS s
+  FROM (SELECT *, unnest(range(0, least(256, strlen(c) // 2 - 49))) AS k FROM chunks)),
+firsts AS (SELECT s, min(doc) AS doc FROM strings GROUP BY s),
+hits AS (SELECT r, i FROM strings JOIN firsts USING (s) WHERE firsts.doc < strings.doc),
+marked AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 50, true) AS new FROM hits),
+numbered AS (SELECT *, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+runs AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY r, run),
+ends AS (SELECT r, a, b FROM runs UNION ALL SELECT r, n, n FROM texts),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a, b), 0) AS since, a AS upto FROM ends),
+kept AS (
+  SELECT r, sum(upto - since) AS n_kept, count(*) - 1 AS n_spans,
+         coalesce(string_agg(substr(h, 2 * since + 1, 2 * (upto - since)), '' ORDER BY since), '') AS h
+  FROM gaps JOIN texts USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, (n - n_kept)::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM texts JOIN kept USING (r)
+"""

@@ -112,3 +112,43 @@ def op8_minimax_shards(spark, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+# The CRC table comes from its polynomial; capacities are halved down to the smallest with which greedy filling, one
+# shard a step, ends within 8 shards.
+OP8_SQL = """
+WITH RECURSIVE crc_bits AS (
+  SELECT i, 0 AS step, i AS c FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT i, step + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_bits WHERE step < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS crcs FROM crc_bits WHERE step = 8),
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h
+  FROM documents),
+octets AS (SELECT r, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM texts),
+checked AS (
+  SELECT r, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(crcs[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) AS crc
+  FROM octets, crc_table),
+grouped AS (SELECT t, min(doc_id) AS first_doc, sum(n + 1)::BIGINT AS bytes FROM texts GROUP BY t),
+sums AS (SELECT t, bytes, (sum(bytes) OVER (ORDER BY first_doc NULLS LAST, sha256(t) ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM grouped),
+every AS (SELECT list(upto) AS sums, max(bytes) AS largest, sum(bytes)::BIGINT AS total FROM sums),
+search AS (
+  SELECT greatest(largest, (total + 7) // 8) AS low, (total + 7) // 8 + largest AS high, 0 AS k, 0::BIGINT AS cut FROM every
+  UNION ALL
+  SELECT CASE WHEN k = 8 AND cut < total THEN (low + high) // 2 + 1 ELSE low END,
+         CASE WHEN k = 8 AND cut >= total THEN (low + high) // 2 ELSE high END,
+         CASE WHEN k = 8 THEN 0 ELSE k + 1 END,
+         CASE WHEN k = 8 THEN 0 ELSE coalesce(list_max(list_filter(sums, lambda x: x <= cut + (low + high) // 2)), 0) END
+  FROM search, every WHERE low < high),
+capacity AS (SELECT min(high) AS most FROM search),
+cuts AS (
+  SELECT 0 AS k, 0::BIGINT AS cut
+  UNION ALL
+  SELECT k + 1, coalesce(list_max(list_filter(sums, lambda x: x <= cut + most)), 0) FROM cuts, every, capacity WHERE k < 7),
+ends AS (SELECT list(cut) AS ends FROM cuts WHERE k > 0),
+placed AS (
+  SELECT doc_id, n + 1 AS size, crc, len(list_filter(ends, lambda x: x < upto)) AS shard
+  FROM texts JOIN checked USING (r) JOIN sums USING (t), ends)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY doc_id, crc) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM placed
+"""

@@ -8,6 +8,7 @@ import pytest
 
 from scoreloom.llm import registry
 
+from ..compare import connect, difference
 from .fixtures import documents, rows
 
 COLUMNS = {
@@ -50,3 +51,9 @@ def test_columns_and_rows(spark, folder, name):
         assert {r["law"] for r in got} == {"bytes"} and all(0 <= r["shard"] < 8 and r["grown_shard"] is None for r in got)
     if name == "op9_toxicity":
         assert all(r["predicted"] == (r["score"] >= 0.5) for r in got)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_equals_sql(spark, name):
+    tables = "/root/testdata/sf0.001"
+    assert difference(registry.QUERIES[name](spark, tables), connect(tables), registry.ORACLE_SQL[name]) is None
