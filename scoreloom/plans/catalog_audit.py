@@ -561,4 +561,6 @@ def i3(spark, d):
     events = c.select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").alias("pos"), F.when(F.col("role") == "assistant", "assistant").otherwise("system").alias("type"),
                       F.when(F.col("role") == "assistant", F.array(F.concat(F.lit("tool"), "turn"))).otherwise(F.array().cast("array<string>")).alias("tools"))
     ends = c.groupBy(F.col("conv_id").cast("string").alias("run_id")).agg((F.max("turn") + 1).alias("pos")).select("run_id", "pos", F.lit("result"), F.array().cast("array<string>"))
-    return _streamed(spark, events.union(ends), "run_id string, pos long, type string, tools array<string>", jobs.stream_transcripts, "append")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.hash("run_id"), F.lit(86_400)))
+    return _streamed(spark, events.union(ends).withColumn("at", at), "run_id string, pos long, type string, tools array<string>, at timestamp",
+                     lambda s: jobs.stream_transcripts(s, "at"), "append")

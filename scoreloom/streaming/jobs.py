@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -28,6 +30,17 @@ def stream_score(runs: DataFrame, score: Callable[[DataFrame], DataFrame], keys:
     return score(runs.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys))
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each condition of a batch of rows: its positions and failures, packed."""
+    for pdf in batches:
+        failed = pdf["format_failure"].fillna(False).to_numpy(bool)
+        pos = pdf["pos"].to_numpy(np.int64)
+        groups = pdf.groupby("condition", sort=False, dropna=False).indices
+        yield pd.DataFrame(
+            [(None if pd.isna(c) else c, pos[at].tobytes(), failed[at].tobytes()) for c, at in groups.items()], columns=["condition", "pos", "failed"]
+        )
+
+
 class _Breaker(StatefulProcessor):
     """Holds (runs, failures, position at which the breaker tripped) of one condition."""
 
@@ -36,13 +49,18 @@ class _Breaker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("counts", "n long, failures long, trip long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, failures, trip = self._state.get() if self._state.exists() else (0, 0, -1)
+        packed = [pair for pdf in rows for pair in zip(pdf["pos"], pdf["failed"], strict=True)]
+        pos = np.concatenate([np.frombuffer(p, np.int64) for p, _ in packed])
+        failed = np.concatenate([np.frombuffer(f, bool) for _, f in packed])
         # Rows of one batch come in any order: they are put in order of position first.
-        for failed, pos in sorted(((bool(f), int(p)) for pdf in rows for f, p in zip(pdf["format_failure"], pdf["pos"], strict=True)), key=lambda x: x[1]):
-            n, failures = n + 1, failures + failed
-            if trip < 0 and self.threshold < 1 and n >= self.floor and failures / n > self.threshold:
-                trip = pos
+        order = np.argsort(pos, kind="stable")
+        seen, so_far = n + np.arange(1, len(pos) + 1), failures + np.cumsum(failed[order])
+        over = np.flatnonzero((seen >= self.floor) & (so_far / seen > self.threshold))
+        if trip < 0 and self.threshold < 1 and len(over):
+            trip = int(pos[order[over[0]]])
+        n, failures = int(seen[-1]), int(so_far[-1])
         self._state.update((n, failures, trip))
         yield pd.DataFrame({"condition": [key[0]], "runs": [n], "failures": [failures], "trip_pos": [None if trip < 0 else trip]}).astype({"trip_pos": "Int64"})
 
@@ -51,9 +69,14 @@ class _Breaker(StatefulProcessor):
 
 
 def stream_breaker(runs: DataFrame) -> DataFrame:
-    """After each batch, per condition: runs, failures and where the breaker tripped.  ``runs``: condition, pos, format_failure."""
+    """After each batch, per condition: runs, failures and where the breaker tripped.  ``runs``: condition, pos (not
+    null), format_failure (null: none).
+
+    Rows are packed before they move: of a condition the batch moves nine bytes a run, and counts them as arrays.
+    """
     runs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return runs.groupBy("condition").transformWithStateInPandas(
+    packed = runs.select("condition", "pos", "format_failure").mapInPandas(_packed, "condition string, pos binary, failed binary")
+    return packed.groupBy("condition").transformWithStateInPandas(
         statefulProcessor=_Breaker(), outputStructType="condition string, runs long, failures long, trip_pos long", outputMode="Update", timeMode="None"
     )
 
@@ -61,44 +84,62 @@ def stream_breaker(runs: DataFrame) -> DataFrame:
 class _Transcript(StatefulProcessor):
     """Tool names and turns of one run until its result arrives; then one row, and the state goes.
 
-    A run whose result never comes keeps its state: timers on processing time would keep a job over what is there
-    from ending.
+    The state of a run whose result does not come goes when the watermark has passed the run's last event.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._tools = handle.getListState("tools", "pos long, name string")
-        self._turns = handle.getValueState("turns", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        turns = self._turns.get()[0] if self._turns.exists() else 0
+        self._run = handle.getValueState("run", "turns long, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        turns, last = self._run.get() if self._run.exists() else (0, None)
+        if last is not None:
+            self._handle.deleteTimer(last + 1)
+            if last < timerValues.getCurrentWatermarkInMs():
+                self._forget()
+                turns, last = 0, None
         done, added = False, []
         for pdf in rows:
-            for pos, kind, names in zip(pdf["pos"], pdf["type"], pdf["tools"], strict=True):
+            for pos, kind, names, ms in zip(pdf["pos"], pdf["type"], pdf["tools"], pdf["event_ms"], strict=True):
                 turns += kind == "assistant"
                 done |= kind == "result"
                 added += [(int(pos), n) for n in (names if names is not None else [])]
+                last = int(ms) if last is None else max(last, int(ms))
         for a in added:
             self._tools.appendValue(a)
-        self._turns.update((turns,))
         if done:
-            yield self._finished(key[0])
-
-    def _finished(self, run_id: str) -> pd.DataFrame:
-        turns = self._turns.get()[0] if self._turns.exists() else 0
-        tools = [name for _, name in sorted(self._tools.get())] if self._tools.exists() else []
+            tools = [name for _, name in sorted(self._tools.get())] if self._tools.exists() else []
+            self._forget()
+            yield pd.DataFrame({"run_id": [key[0]], "turns": [turns], "tool_uses": [",".join(tools)]})
+        else:
+            self._run.update((turns, last))
+            self._handle.registerTimer(last + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._forget()
+        return iter([])
+
+    def _forget(self) -> None:
         self._tools.clear()
-        self._turns.clear()
-        return pd.DataFrame({"run_id": [run_id], "turns": [turns], "tool_uses": [",".join(tools)]})
+        self._run.clear()
 
     def close(self) -> None:
         pass
 
 
-def stream_transcripts(events: DataFrame) -> DataFrame:
-    """One row per run when its result event arrives.  ``events``: run_id, pos, type, tools (array)."""
+def stream_transcripts(events: DataFrame, time: str, delay: str = "2 days") -> DataFrame:
+    """One row per run when its result event arrives.  ``events``: run_id, pos, type, tools (array), and ``time``, a
+    timestamp (rows without one are left out).
+
+    A run is remembered for ``delay`` after its last event; rows that come later than that are dropped, and a run
+    that goes on after it has been forgotten begins anew.
+    """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return events.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=_Transcript(), outputStructType="run_id string, turns long, tool_uses string", outputMode="Append", timeMode="None"
+    timed = events.filter(F.col(time).isNotNull()).withWatermark(time, delay)
+    timed = timed.select("run_id", "pos", "type", "tools", F.unix_millis(time).alias("event_ms"), F.col(time).alias("event_time"))
+    return timed.groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=_Transcript(), outputStructType="run_id string, turns long, tool_uses string", outputMode="Append", timeMode="EventTime"
     )
 
 
