@@ -22,6 +22,7 @@ COLUMNS = {
     "op8_minimax_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op13_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
 }
 
 
@@ -33,6 +34,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{out}/embeddings.parquet")
     spark.createDataFrame([(1, "u", "<article><p>One of the two.</p></article>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{out}/pages.parquet")
     spark.createDataFrame([(k, 1, k % 5 == 0 and 1 or 0) for k in range(40)] + [(3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
+    turns = [(k // 4, k % 4, ["user", "assistant"][k % 2], f"Turn {k}.") for k in range(40)] + [(99, None, None, None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{out}/conversations.parquet")
     return out
 
 
