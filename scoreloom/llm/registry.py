@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, conversations, html, licenses, mixing, neardup, quality, repeats, sharding, toxicity, variants
+from . import ann, bpe, conversations, html, licenses, mixing, neardup, pii, quality, repeats, sharding, toxicity, variants
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minimax_shards": sharding.op8_minimax_shards,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_personal_data": pii.op11_personal_data,
     "op12_spelling_variants": variants.op12_spelling_variants,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
