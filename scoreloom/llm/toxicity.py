@@ -49,13 +49,13 @@ def features(data: np.ndarray, off: np.ndarray):
     new = np.ones(len(s), bool)
     new[1:] = (part[1:] != part[:-1]) | (text[1:] != text[:-1])
     sentence = np.cumsum(new) - 1
-    prefix = textnum.prefix_hash(data, textnum.FOLDED_VALUES)
+    sums = textnum.word_sums(data, s, textnum.FOLDED_VALUES)
     out = np.full((len(s), 1 + len(STEMS)), -1, np.int64)
     shift = np.uint64(64 - FEATURE_BITS)
-    out[:, 0] = (textnum.mix(textnum.substring_hash(prefix, s, e)) >> shift).astype(np.int64)
+    out[:, 0] = (textnum.mix(sums[e] - sums[s]) >> shift).astype(np.int64)
     for k, n in enumerate(STEMS):
         long = np.flatnonzero(e - s > n)
-        h = textnum.mix(textnum.substring_hash(prefix, s[long], s[long] + n) + np.uint64(n))
+        h = textnum.mix(sums[s[long] + n] - sums[s[long]] + np.uint64(n))
         out[long, 1 + k] = (h >> shift).astype(np.int64)
     return s, e, text, sentence, out
 
