@@ -1,11 +1,11 @@
 """Mixing sources to target weights by hash-threshold histograms (operator 3).
 
-Every document has a 60-bit hash of its id.  A source takes its whole copies first and then every document whose
+Every document has a 60-bit hash of its id and text.  A source takes its whole copies first and then every document whose
 hash lies below the source's threshold.  The threshold is found without sorting: sum the sizes by (source, bucket)
 over 1024 buckets, take the buckets that fit the budget, and split only the bucket where the budget ends by the
 next ten bits, six times in all.  What is moved is one row per source and bucket.
 
-Defined results: null texts have size 0; the null source comes last; documents with equal ids have equal hashes and
+Defined results: null texts have size 0; the null source comes last; rows with equal id and text have equal hashes and
 are taken alike; an empty table gives an empty result; a source without words gets target 0; ``repeated`` keeps all
 columns, whatever their names, and ``mixed`` those of ``keep`` that are not named as its results.
 """
@@ -28,9 +28,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def hash_of(doc_id: Column) -> Column:
-    """60 bits of MD5 over the decimal id: the same in any engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """60 bits of MD5 over the decimal id, a colon and the text: the same in any engine, and spread without ids too."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def budgets(sized: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def _bounded(plan: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, owner: str = "mixing", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every document, with ``keep`` columns added."""
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("hash"), *keep)
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("hash"), *keep)
     light = scratch.written(sized, owner)
     plan = thresholds(light, scratch.written(budgets(light), owner), owner)
     right = _bounded(plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "below"))
@@ -116,11 +117,11 @@ def repeated(docs: DataFrame, owner: str = "mixing") -> DataFrame:
 
     The hash and size of a row decide, so the plan is joined to the rows by source and nothing but the plan moves.
     """
-    sized = docs.select("source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("hash"))
+    sized = docs.select("source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("hash"))
     light = scratch.written(sized, owner)
     plan = thresholds(light, scratch.written(budgets(light), owner), owner)
     right = _bounded(plan.select(F.col("source").alias("_s"), "whole", "below"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", hash_of(F.col("doc_id")).alias("hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", hash_of(F.col("doc_id"), F.col("text")).alias("hash"))
     copies = F.least(F.col("whole") + (F.col("hash") < F.col("below")).cast("long"), F.lit(MOST_COPIES))
     taken = rows.join(right, F.col("source").eqNullSafe(F.col("_s"))).select("row", copies.alias("copies")).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
@@ -134,7 +135,7 @@ def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS hash
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS hash
   FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
