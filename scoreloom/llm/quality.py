@@ -1,8 +1,8 @@
 """Quality rules with thresholds learned per language and source (operator 10).
 
-Native: DataFrame and SQL functions only.  Every document gets exact in-row measures; KLL sketches of the
-measures are built per (language, source), merged per language and over everything, and give the fences that
-replace fixed cutoffs.  Quartiles of small groups are drawn to those of their language, and these to the corpus's,
+Native: DataFrame and SQL functions only.  Every document gets exact in-row measures; quantile sketches of the
+measures (histograms over bins of one relative width) are built per (language, source), merged per language and over
+everything, and give the fences that replace fixed cutoffs: the same fences in every run.  Quartiles of small groups are drawn to those of their language, and these to the corpus's,
 by n / (n + 200), so that no size flips a rule.  The small fence table is joined back and filters the documents.
 
 Defined results: a null text is an empty one; null ``lang`` or ``source`` form a group of their own; ties and
@@ -12,7 +12,11 @@ names do not clash with the measures (``measure`` selects, it does not add).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -25,6 +29,8 @@ MIN_WORDS = 50
 PRIOR_DOCUMENTS = 200
 #: Fences stand this many interquartile ranges beyond the upper quartile.
 SPREAD = 3.0
+#: Relative width of a bin of the quantile sketch, and the least value that it tells from 0.
+BIN_STEP, LEAST = 0.01, 1e-6
 #: Ratios: measure name, its numerator, its denominator, and the least interquartile range taken (so that a group
 #: whose quartiles coincide does not reject every document that differs from them by one character).
 RATIOS = (
@@ -105,27 +111,39 @@ def _ratio(top: str, bottom: str) -> Column:
     return F.col(top) / F.greatest(F.col(bottom), F.lit(1)).cast("double")
 
 
-def _quartiles(sketch: str, name: str) -> list[Column]:
-    return [F.kll_sketch_get_quantile_double(sketch, F.lit(q)).alias(f"{name}_q{int(100 * q)}") for q in (0.25, 0.75)]
+def _bin(value: Column) -> Column:
+    """Bin of a value that is not negative: 0 for none, else by its logarithm, BIN_STEP relative width a bin."""
+    return F.when(value < LEAST, 0).otherwise(1 + F.floor(F.log(value / LEAST) / math.log1p(BIN_STEP))).cast("int")
+
+
+def _value(bin_: Column) -> Column:
+    """The middle of a bin: off by half of BIN_STEP at most."""
+    return F.when(bin_ == 0, F.lit(0.0)).otherwise(LEAST * F.pow(F.lit(1 + BIN_STEP), bin_ - 0.5))
+
+
+def _quartiles(bins: DataFrame, level: str, keys: list[str]) -> DataFrame:
+    """``keys`` and a struct ``level``: n and both quartiles of every ratio, read off summed bins."""
+    merged = bins.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy(*keys, "ratio").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = merged.withColumn("upto", F.sum("n").over(upto))
+    totals = merged.groupBy(*keys, "ratio").agg(F.sum("n").alias("total"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in [*keys, "ratio"]]
+    both = ranked.alias("r").join(totals.alias("t"), reduce(and_, same)).select(*[F.col(f"r.{k}").alias(k) for k in [*keys, "ratio"]], "bin", "upto", "total")
+    first = lambda k, q: F.min(F.when((F.col("ratio") == k) & (F.col("upto") >= q * F.col("total")), F.col("bin")))
+    read = [_value(first(k, q)).alias(f"{name}_q{int(100 * q)}") for k, (name, *_) in enumerate(RATIOS) for q in (0.25, 0.75)]
+    return both.groupBy(*keys).agg(F.struct(F.max("total").alias("n"), *read).alias(level))
 
 
 def fences(measured: DataFrame) -> DataFrame:
     """One row per (lang, source): an upper fence per ratio and a lower one for word length.
 
-    Partial sketches are built per (lang, source) before the shuffle, so a hot source moves one sketch per task.
+    The sketch of a group is its histogram over bins of fixed relative width: it merges by adding, comes out the same
+    however the rows are dealt, and a hot source moves one row per bin and task.
     """
     passing = measured.filter(~F.col("base_failed"))
-    sketch = [F.kll_sketch_agg_double(_ratio(top, bottom)).alias(name) for name, top, bottom, _ in RATIOS]
-    groups = passing.groupBy("lang", "source").agg(F.count("*").alias("n"), *sketch)
-    merged = [F.kll_merge_agg_double(name).alias(name) for name, *_ in RATIOS]
-    langs = groups.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
-    whole = langs.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(name).alias(name) for name, *_ in RATIOS])
-
-    def read(df: DataFrame, level: str, keys: list[str]) -> DataFrame:
-        q = [c for name, *_ in RATIOS for c in _quartiles(name, name)]
-        return df.filter(F.col("n") > 0).select(*keys, F.struct(F.col("n"), *q).alias(level))
-
-    g, la, w = read(groups, "g", ["lang", "source"]), read(langs, "la", ["lang"]), read(whole, "w", [])
+    ratio = F.array(*[F.struct(F.lit(k).alias("ratio"), _bin(_ratio(top, bottom)).alias("bin")) for k, (_, top, bottom, _) in enumerate(RATIOS)])
+    bins = passing.select("lang", "source", F.inline(ratio)).groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n"))
+    g, la, w = _quartiles(bins, "g", ["lang", "source"]), _quartiles(bins, "la", ["lang"]), _quartiles(bins, "w", [])
     la = la.withColumnRenamed("lang", "_lang")
     both = g.join(la, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang").crossJoin(F.broadcast(w))
 
@@ -162,7 +180,7 @@ def apply_fences(measured: DataFrame, limits: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, owner: str = "quality", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """Measures and verdict of every document.  The measures are written once: both passes over them are cheap."""
     measured = scratch.written(measure(docs, keep), owner)
-    return apply_fences(measured, fences(measured))
+    return apply_fences(measured, scratch.written(fences(measured), owner))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
