@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ _NAMES = (
     r"disqus|discussion|nav\w*|menus?|breadcrumbs?|footer|share|sharing|social|related|newsletter|subscribe|login|pagination|widgets?)"
 )
 _NEUTRAL = r"(?:site|main|top|bottom|left|right|box|bar|block|area|list|wrap|wrapper|container|inner|primary|secondary|\d+)"
-NAMED = re.compile(rf"header|site[-_]header|(?:{_NEUTRAL}[-_]+)*{_NAMES}(?:[-_]+(?:{_NAMES}|{_NEUTRAL}))*", re.I)
+_NAME, _PLAIN, _OPEN_NAME = re.compile(_NAMES, re.I), re.compile(_NEUTRAL, re.I), re.compile(r"(?:advert|sponsor|nav)\w*", re.I)
 ROLES = "navigation banner contentinfo complementary search form dialog alert".split()
 # Frequent function words of the languages of the corpus.
 STOP_WORDS = frozenset(
@@ -51,7 +52,8 @@ STOP_WORDS = frozenset(
 STOP_LOW, STOP_HIGH = 0.15, 0.30
 SHORT, LONG = 70, 200
 MOST_LINKS = 0.33
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*>?", re.S)
+#: An attribute ends at the next "<" that is not quoted, so no start is read twice.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)[^<>]*+>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _KINDS = {t: "drop" for t in DROPPED_WHOLE} | {t: "boilerplate" for t in BOILERPLATE}
 _BLOCKS, _VOID, _MAIN = frozenset(BLOCKS), frozenset(VOID), frozenset(MAIN)
@@ -68,10 +70,27 @@ class Block:
     linked: int = 0
 
 
+def named(token: str) -> bool:
+    """Whether a class token or id is boilerplate: pieces that say place or form, and one at least that names it."""
+    if token.lower() in ("header", "site-header", "site_header"):
+        return True
+    pieces = re.split("([-_]+)", token)
+    found = swallowed = False
+    for piece, joint in zip(pieces[::2], ["", *pieces[1::2]], strict=True):
+        # A name that may go on also takes what an underscore joins to it.
+        swallowed = swallowed and "-" not in joint
+        if _NAME.fullmatch(piece):
+            found = True
+            swallowed = swallowed or bool(_OPEN_NAME.fullmatch(piece))
+        elif not swallowed and not _PLAIN.fullmatch(piece):
+            return False
+    return found
+
+
 def _named_boilerplate(attributes: str) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), entities.unescape((m.group(2) or "").strip("\"'"))
-        if name in ("class", "id") and any(NAMED.fullmatch(token) for token in value.split()):
+        if name in ("class", "id") and any(map(named, value.split())):
             return True
         if name == "role" and value.strip().lower() in ROLES:
             return True
@@ -88,7 +107,14 @@ def blocks(page: str, lifted: bool = False) -> tuple[list[Block], bool]:
     """
     out: list[Block] = []
     has_main = has_light = False
-    open_: list[tuple[str, bool, bool, int]] = []  # element, whether it makes boilerplate, only by attributes, blocks before
+    # Open elements: name ("" once an inline one has been closed below others) and whether it makes boilerplate.  Beside
+    # them, where the open elements of each name stand, where the blocks do, and those that only attributes make
+    # boilerplate, with the number of blocks before them: so no tag walks the stack.
+    open_: list[tuple[str, bool]] = []
+    at_name: dict[str, list[int]] = defaultdict(list)
+    at_block: list[int] = []
+    by_attribute: dict[int, int] = {}
+    endless: set[str] = set()
     dark = inside = links = 0
     parts: list[str] = []
     linked = 0
@@ -106,12 +132,19 @@ def blocks(page: str, lifted: bool = False) -> tuple[list[Block], bool]:
 
     def leave(k: int) -> None:
         nonlocal dark, inside, links, heading
-        for name, is_dark, _, _ in reversed(open_[k:]):
+        for name, is_dark in reversed(open_[k:]):
+            if not name:
+                continue
+            at_name[name].pop()
+            if name in _BLOCKS:
+                at_block.pop()
             dark -= is_dark
             inside -= name in _MAIN
             links -= name == "a"
             heading = "" if name == heading else heading
         del open_[k:]
+        while by_attribute and next(reversed(by_attribute)) >= k:
+            by_attribute.popitem()
 
     while m := _TAG.search(page, at):
         chunk = page[at : m.start()]
@@ -126,25 +159,29 @@ def blocks(page: str, lifted: bool = False) -> tuple[list[Block], bool]:
         if closing:
             if name in _BLOCKS:
                 end_block()
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    if name not in _BLOCKS and any(o[0] in _BLOCKS for o in open_[k + 1 :]):
-                        # An inline end tag does not close the blocks opened since.
-                        dark -= open_[k][1]
-                        links -= name == "a"
-                        del open_[k]
-                    else:
-                        leave(k)
-                    break
+            if at_name[name]:
+                k = at_name[name][-1]
+                if name not in _BLOCKS and at_block and at_block[-1] > k:
+                    # An inline end tag does not close the blocks opened since.
+                    dark -= open_[k][1]
+                    links -= name == "a"
+                    at_name[name].pop()
+                    open_[k] = ("", False)
+                    by_attribute.pop(k, None)
+                else:
+                    leave(k)
             continue
         kind = _KINDS.get(name)
         if kind == "drop":
             if attributes.rstrip().endswith("/") and name not in ("script", "style"):
                 continue
-            end = re.compile(rf"</{name}\s*>|</{name}\b[^>]*>", re.I).search(page, at)
+            end = None if name in endless else re.compile(rf"</{name}\b[^<>]*>", re.I).search(page, at)
             if end:
                 at = end.end()
-            elif name in ("script", "style", "textarea"):
+                parts.append(" ")
+                continue
+            endless.add(name)
+            if name in ("script", "style", "textarea"):
                 at = len(page)
             parts.append(" ")
             continue
@@ -153,32 +190,36 @@ def blocks(page: str, lifted: bool = False) -> tuple[list[Block], bool]:
             continue
         if name in _BLOCKS:
             end_block()
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] in _ENDS.get(name, ()):
-                    leave(k)
-                    break
-                if open_[k][0] in _BLOCKS:
-                    break
+            if at_block and open_[at_block[-1]][0] in _ENDS.get(name, ()):
+                leave(at_block[-1])
         if name in _VOID:
             continue
         by_place = kind == "boilerplate" and not (name == "header" and inside)
         by_name = not by_place and name not in ("html", "body", "article", "main") and bool(attributes) and _named_boilerplate(attributes)
         dark += by_place or by_name
         if name in _MAIN:
-            if lifted:
-                for k, (around, is_dark, only_name, first) in enumerate(open_):
-                    if is_dark and only_name:
-                        open_[k] = (around, False, False, first)
-                        dark -= 1
-                        for block in out[first:]:
-                            block.boilerplate -= 1
+            if lifted and by_attribute:
+                firsts = Counter(by_attribute.values())
+                less = 0
+                for n in range(min(firsts), len(out)):
+                    less += firsts[n]
+                    out[n].boilerplate -= less
+                for k in by_attribute:
+                    open_[k] = (open_[k][0], False)
+                    dark -= 1
+                by_attribute.clear()
             inside += 1
             has_main = True
             has_light |= not dark
         links += name == "a"
         if re.fullmatch("h[1-6]", name):
             heading = name
-        open_.append((name, by_place or by_name, by_name, len(out)))
+        at_name[name].append(len(open_))
+        if name in _BLOCKS:
+            at_block.append(len(open_))
+        if by_name:
+            by_attribute[len(open_)] = len(out)
+        open_.append((name, by_place or by_name))
     parts.append(page[at:])
     end_block()
     if has_main and not has_light and not lifted:

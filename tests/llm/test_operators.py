@@ -14,8 +14,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.llm import ann, bpe, html, licenses, mixing, neardup, quality, repeats, sharding, toxicity
+from scoreloom.llm import ann, bpe, html, licenses, mixing, neardup, quality, repeats, sharding, textnum, toxicity
 
+from . import fixtures
 from .fixtures import documents, empty, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -141,6 +142,43 @@ def test_html(spark):
     assert html.extracted(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<b>" * 150_000 + "</i>" * 150_000, "<i>" * 150_000 + "<div>" * 100_000 + "</i>" * 150_000, "<svg>" * 200_000, "</nav>x" * 150_000, "<b>" * 150_000 + "<hr>x" * 150_000,
+     "<b>" * 150_000 + "<p>x</p>" * 100_000, '<div class="ad">x' * 60_000 + "<article>y" * 60_000, '<a class="' + "advert_" * 100_000 + '!x">y', "<svg " * 200_000 + "</svg " * 200_000, "<!--" * 200_000],
+    ids=["open", "stray", "below", "endless", "nav", "void", "inline", "lifted", "token", "ends", "comments"],
+)
+def test_html_time_is_linear(page):
+    began = time.perf_counter()
+    html.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_words_of_equal_sums_have_different_hashes():
+    """The Thue-Morse word of 4096 letters and its complement agree in every polynomial hash modulo 2**64."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    two = one.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((one + " " + two).encode(), np.uint8)
+    h, of = textnum.shingles(data, np.array([0, 4096, 8193]))
+    assert len(h) == 2 and h[0] != h[1]
+    alike, _ = textnum.shingles(np.frombuffer((one + " x " + one).encode(), np.uint8), np.array([0, 4096, 4099, 8195]))
+    assert alike[0] == alike[2] != alike[1]
+
+
+def test_mix_without_ids(spark):
+    """Targets are met when half of the rows have no id."""
+    rng = random.Random(5)
+    rows = [(None if k % 2 else k, fixtures.words(rng, rng.randint(20, 80)), "en", "abc"[k % 3], 0) for k in range(3000)]
+    got = mixing.mixed(spark.createDataFrame(rows, fixtures.DOCS)).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) < 0.01 * r["max(target)"] for r in got)
+
+
+def test_fences_are_the_same_in_every_run(spark):
+    measured = quality.measure(fixtures.documents(spark)).cache()
+    runs = [sorted(map(str, quality.fences(measured.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_html_beside_an_article():
     body = "the cat and the dog of the house is in a garden " * 8
     teaser = "<article><h2>Teaser</h2><p>Read this one as well.</p></article>"
@@ -486,7 +524,7 @@ def test_quality_fences(spark):
 
 
 def test_quality_verdict_equals_brute_force(spark):
-    """Fences from exact quartiles: sketches of so few values hold them all."""
+    """Fences from exact quartiles; the bins of the sketches are finer than the gaps to any fence here."""
     rng = random.Random(10)
     data = []
     for k in range(150):
