@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal as N
 from .running import summed_before
+from .search import ASCII, NONE, UNICODE, occurrences
 
 # Fields that scoring decides, and fields that the run itself produced.
 DERIVED_FIELDS = ("format_failure", "failure_reason", "dimensions", "endpoint_matches", "format_repaired", "repaired_block_text", "exhibit")
@@ -104,44 +103,10 @@ def residual_examples(classified: DataFrame, top: int = 12) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
-def _literal(c: Column) -> Column:
-    """A text as a regular expression for itself."""
-    return F.regexp_replace(c, r"([\\\[\](){}.*+?^$|\-])", r"\\$1")
-
-
-def occurrences(texts: DataFrame, names: DataFrame, key: str, name: str, holds: Callable[[str], Column]) -> DataFrame:
-    """(key, columns of ``names``) of every name that stands in a text, once.
-
-    ``texts``: key (of one text each) and text; ``holds`` says whether the name of a row stands in the column given.
-    Texts are cut at white space, and the distinct pieces meet the names by equality: each name's longest piece with
-    the strings of that length in the corpus's vocabulary.  A name without white space lies within one piece, so it is
-    decided there; any other is looked up in the texts that have its longest piece.  Blank names stand nowhere.
-    """
-    space = r"(?U)\s+"
-    parts = F.filter(F.split(F.lower(F.col(name)), space), lambda p: p != "")
-    longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
-    wanted = names.distinct().select("*", longest.alias("_anchor"), (F.size(parts) == 1).alias("_whole")).filter("_anchor is not null")
-    # As many lengths at most as the longest name has characters.
-    lengths = sorted(r[0] for r in wanted.select(F.length("_anchor")).distinct().collect())
-    pieces = texts.select(key, F.explode(F.array_distinct(F.split("text", space))).alias("_piece")).filter("_piece <> ''")
-    low, none = F.lower("_piece"), F.array().cast("array<string>")
-
-    def strings(n: int) -> Column:
-        return F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))).otherwise(none)
-
-    vocabulary = pieces.select("_piece").distinct()
-    anchors = vocabulary.select("_piece", F.explode(F.array_distinct(F.concat(none, *[strings(n) for n in lengths]))).alias("_anchor"))
-    hits = anchors.join(wanted, "_anchor")
-    out = [key, *names.columns]
-    within = pieces.join(hits.filter(F.col("_whole") & holds("_piece")), "_piece").select(*out).distinct()
-    across = pieces.join(hits.filter(~F.col("_whole")), "_piece").select(*out).distinct().join(texts.select(key, "text"), key).filter(holds("text"))
-    return within.unionByName(across.select(*out).distinct())
-
-
 def operation_mentions(texts: DataFrame, operations: DataFrame, key: str) -> DataFrame:
     """Per text and surface the number of declared names (``operations``: id, name) that stand in it as whole words."""
-    whole = F.concat(F.lit(r"(?U)(?<!\w)"), _literal(F.col("name")), F.lit(r"(?!\w)"))
-    hits = occurrences(texts, operations.select("id", "name"), key, "name", lambda c: F.regexp_like(c, whole))
+    declared = operations.select("id", "name")
+    hits = occurrences(texts, declared, key, F.col("name"), F.lit(False), F.lit(UNICODE))
     return hits.groupBy(key, "id").agg(F.count("*").alias("mentions"))
 
 
@@ -218,14 +183,6 @@ def reconciled(runs: DataFrame, published: DataFrame, keys: list[str], transport
     return runs.join(new, keys).withColumns({c: F.col(f"_{c}") for c in derived}).select(*runs.columns)
 
 
-def _token_in(column: str) -> Column:
-    return F.expr(
-        f"CASE kind WHEN 'substring' THEN contains(lower({column}), lower(token)) WHEN 'cased' THEN contains({column}, token) "
-        f"WHEN 'word' THEN {column} RLIKE concat('(?i)(^|[^A-Za-z0-9_])', regexp_replace(token, '([^A-Za-z0-9_ ])', '\\\\\\\\$1'), '($|[^A-Za-z0-9_])') "
-        f"ELSE {column} RLIKE concat('(^|[^A-Za-z0-9_])', regexp_replace(token, '([^A-Za-z0-9_ ])', '\\\\\\\\$1'), '($|[^A-Za-z0-9_])') END"
-    )
-
-
 def default_tokens(ids: DataFrame) -> DataFrame:
     """(token, kind): every id, and the id without its separators, as substrings.  ``ids``: id."""
     spelled = F.array_distinct(F.array("id", F.regexp_replace("id", "[^A-Za-z0-9]", "")))
@@ -246,4 +203,6 @@ def token_leak_scan(lines: DataFrame, tokens: DataFrame, key: str, excluded: str
     a pattern of the paths (column path) that are not scanned.
     """
     read = lines if excluded is None else lines.filter(~F.coalesce(F.col("path").rlike(excluded), F.lit(False)))
-    return occurrences(read.select(key, "text"), tokens.select("token", "kind"), key, "token", _token_in)
+    kind = F.col("kind")
+    bounds = F.when(kind.isin("substring", "cased"), NONE).otherwise(ASCII)
+    return occurrences(read.select(key, "text"), tokens.select("token", "kind"), key, F.col("token"), kind.isin("substring", "word"), bounds)

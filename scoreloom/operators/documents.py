@@ -9,14 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal as N
+from ..functions.scan import depths, let
 from .running import summed_before
 
 # Elements dropped with their content, and elements that end a line.
 DROPPED = ("script", "style", "noscript", "svg", "head", "nav", "footer", "form")
 LINE_ENDS = "p|div|section|article|li|ul|ol|table|tr|h[1-6]|pre|br|header|title"
-#: Names of character references, as the HTML standard has them, and what numbers 128 to 159 stand for.
-NAMED = {name[:-1]: chars for name, chars in html5.items() if name.endswith(";")}
+#: Names of character references, as the HTML standard has them: those that a semicolon ends, and the old ones that may
+#: go without (a lookup reads from the front: the frequent ones stand there); what numbers 128 to 159 stand for; and numbers that stand for nothing.
+NAMED = {name: html5[f"{name};"] for name in ("amp", "lt", "gt", "quot", "nbsp", "apos", *(n[:-1] for n in html5 if n.endswith(";")))}
+BARE = {name: chars for name, chars in html5.items() if not name.endswith(";")}
 WINDOWS = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+NOTHING = [*range(1, 9), 11, *range(14, 32), 127]
+#: What follows the name of a tag, up to its end: a quoted value may hold ">" but no "<"; a lone quote is a character.
+_REST = r"(?=[\s/>])(?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+>"
+#: White space that is all there is between two tags.
+_GAP = r"(?i)(?U)>(?:\s|&(?:nbsp|ensp|emsp|thinsp|#160|#xa0);)++<"
+#: Line ends beside the plain one.
+_LINES = r"\r\n?|[\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 # Page roles in the order of the budget, and where robots rules come from.
 ROLES = ("api-reference", "topic-guide", "getting-started")
@@ -33,61 +43,72 @@ RULES, ABSENT, REFUSED, UNREACHABLE, NO_HOST, NO_GROUP = (
 def _outside_dropped(t: Column, tags: tuple[str, ...]) -> Column:
     """``t`` without the elements named, however they nest: text counts where as many have ended as have begun.
 
-    Tags that end themselves go first, then three times what holds no tag between its begin and end, in linear time.
-    The fold finds what is left: deeper nests, stray ends, and elements without an end.
+    The text is cut before each of their tags; the depth after each piece's tag says whether the piece stays.
     """
-    names = "|".join(tags)
-    tag = rf"</?(?:{names})(?:\s[^>]*)?/?>"
-    t = F.regexp_replace(t, rf"(?i)<(?:{names})(?:\s[^>]*)?/>", "")
-    for _ in range(3):
-        t = F.regexp_replace(t, rf"(?i)<(?:{names})(?:\s[^>]*)?>[^<]*+(?:(?!{tag})<[^<]*+)*+</(?:{names})(?:\s[^>]*)?/?>", "")
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    tag = rf"</?(?:{'|'.join(tags)}){_REST}"
 
-    def step(acc: Column, piece: Column) -> Column:
-        head = F.regexp_extract(piece, f"(?i)^{tag}", 0)
-        change = F.when((head == "") | head.endswith("/>") & ~head.startswith("</"), 0).when(head.startswith("</"), -1).otherwise(1)
-        depth = F.greatest(acc["depth"] + change, F.lit(0))
-        kept = F.when(depth == 0, F.array_append(acc["kept"], F.substring(piece, F.length(head) + 1, F.length(piece)))).otherwise(acc["kept"])
-        return F.struct(depth.alias("depth"), kept.alias("kept"))
+    def kept(pieces: Column) -> Column:
+        heads = F.transform(pieces, lambda p: F.regexp_extract(p, f"(?i)^{tag}", 0))
 
-    return F.array_join(F.aggregate(F.split(t, f"(?i)(?={tag})"), start, step)["kept"], "")
+        def outside(hs: Column) -> Column:
+            change = lambda h: F.when((h == "") | h.endswith("/>") & ~h.startswith("</"), 0).when(h.startswith("</"), -1).otherwise(1)
+            rest = lambda p, k: F.substring(p, F.length(F.get(hs, k)) + 1, F.length(p))
+            return let(depths(F.transform(hs, change)), lambda ds: F.array_join(F.transform(pieces, lambda p, k: F.when(F.get(ds, k) == 0, rest(p, k)).otherwise("")), ""))
+
+        return let(heads, outside)
+
+    return let(F.split(t, f"(?i)(?={tag})"), kept)
 
 
 def _references_decoded(t: Column) -> Column:
-    """Character references by number, and by name where a semicolon ends it; others stay as they are."""
+    """Character references by number and by name.  A name without a semicolon is the longest old one it begins with."""
     table = lambda values: F.from_json(F.lit(json.dumps(values)), "map<string,string>")
-    pattern = r"^&(?:#([0-9]{1,15}|[xX][0-9A-Fa-f]{1,12});?|([A-Za-z][A-Za-z0-9]*);)"
+    number_at, name_at = r"^&#([0-9]+|[xX][0-9A-Fa-f]+);?", r"^&([A-Za-z][A-Za-z0-9]{0,31});"
+    old_at = f"^&({'|'.join(sorted(BARE, key=len, reverse=True))})"
 
-    def decoded(piece: Column) -> Column:
-        number, name = F.regexp_extract(piece, pattern, 1), F.regexp_extract(piece, pattern, 2)
+    def by_number(number: Column) -> Column:
         hexed = F.lower(number).startswith("x")
-        code = F.when(hexed, F.conv(F.substring(number, 2, 12), 16, 10)).otherwise(number).try_cast("bigint")
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        code = F.when(hexed, F.conv(F.substring(number, 2, 1 << 30), 16, 10)).otherwise(number).try_cast("bigint")
+        valid = F.coalesce(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.lit(False))
+        nothing = code.isin(*NOTHING) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
         safe = F.when(valid, code).otherwise(0xFFFD)
-        by_number = F.coalesce(F.element_at(table(WINDOWS), safe.cast("string")), F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32"))
-        chars = F.when(number != "", by_number).when(name != "", F.element_at(table(NAMED), name))
-        rest = F.substring(piece, F.length(F.regexp_extract(piece, pattern, 0)) + 1, F.length(piece))
-        return F.coalesce(F.concat(chars, rest), piece)
+        char = F.coalesce(F.element_at(table(WINDOWS), safe.cast("string")), F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32"))
+        return F.when(valid & nothing, "").otherwise(char)
+
+    def decoded(piece: Column) -> Column:
+        number, name, old = (F.regexp_extract(piece, p, 1) for p in (number_at, name_at, old_at))
+        rest = lambda pattern: F.substring(piece, F.length(F.regexp_extract(piece, pattern, 0)) + 1, F.length(piece))
+        named = F.element_at(table(NAMED), F.when(name != "", name))
+        return (
+            F.when(number != "", F.concat(by_number(number), rest(number_at))).when(named.isNotNull(), F.concat(named, rest(name_at)))
+            .when(old != "", F.concat(F.element_at(table(BARE), old), rest(old_at))).otherwise(piece)
+        )
 
-    return F.array_join(F.transform(F.split(t, "(?=&)"), decoded), "")
+    # Most pieces begin with no reference, and only the first does not begin with "&".
+    return F.array_join(F.transform(F.split(t, "(?=&)"), lambda piece: F.when(piece.startswith("&"), decoded(piece)).otherwise(piece)), "")
 
 
 def page_text(html: Column) -> Column:
     """Text of a page: some elements dropped whole, one line a block, single spaces, at most one blank line in a row.
 
-    A null page is empty.  A script or style ends at its first end tag; the other dropped elements may nest, and one
-    that never ends drops the rest of the page.
+    A null page is empty.  White space alone between two tags is nothing.  A script or style ends at its first end tag,
+    a comment at its first end; one that never ends drops the rest of the page, and so does one of the other dropped
+    elements, which may nest.  A "<" that begins no tag, or after which no tag ends, is text.  Linear in the page.
     """
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), _GAP, "><"), r"(?s)<!--.*?(?:-->|\z)", "")
+    last = F.substring_index(t, ">", -1)
+    # After the last ">" no tag can end, so what looks like one there is text; no pattern has to look for its end.
+    t = F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(last)), F.replace(last, F.lit("<"), F.lit("&lt;")))
     for tag in DROPPED[:2]:
-        t = F.regexp_replace(t, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", "")
+        t = F.regexp_replace(t, rf"(?is)<{tag}{_REST}.*?(?:</{tag}\s*>|\z)", "")
     t = _outside_dropped(t, DROPPED[2:])
-    t = F.regexp_replace(t, rf"(?i)</?({LINE_ENDS})(\s[^>]*)?/?>", "\n")
-    t = _references_decoded(F.regexp_replace(t, r"<[^>]*>", ""))
+    t = F.regexp_replace(t, rf"(?i)</?(?:{LINE_ENDS}){_REST}", "\n")
+    t = F.regexp_replace(t, rf"</?[A-Za-z][^\s/>]*+{_REST}|<[!?/][^>]*+>", "")
+    t = F.regexp_replace(_references_decoded(t), _LINES, "\n")
     t = F.regexp_replace(t, r"[ \t]+", " ")
-    t = F.regexp_replace(t, r" ?\n ?", "\n")
+    t = F.regexp_replace(t, r"(?U)(?<![^\S\n])[^\S\n]*+\n[^\S\n]*+", "\n")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return F.concat(F.regexp_replace(t, r"^[ \n]+|[ \n]+$", ""), F.lit("\n"))
+    return F.concat(F.regexp_replace(t, r"(?U)^\s++|(?<!\s)\s++\z", ""), F.lit("\n"))
 
 
 def document_record(texts: DataFrame) -> DataFrame:

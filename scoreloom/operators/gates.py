@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import normal as N
 from ..sources import answers
 from . import matching
-from .archive import occurrences
+from .search import UNICODE, occurrences
 
 # What a task may say.
 DIFFICULTIES = ("read", "write", "multi-step")
@@ -141,23 +141,17 @@ def manifest_consistency(entries: DataFrame, subject: str = "url") -> DataFrame:
     })
 
 
-def _whole_word(text: str) -> Column:
-    """A declared name stands in the text as whole words, whatever the case and the inner white space."""
-    pattern = F.concat(
-        F.lit(r"(?iU)(?<!\w)"),
-        F.regexp_replace(F.regexp_replace(N.strip(F.col("name")), r"([^\p{L}\p{N}_\s])", r"\\$1"), r"\s+", r"\\s+"),
-        F.lit(r"(?!\w)"),
-    )
-    return F.regexp_like(F.col(text), pattern)
-
-
 def prompt_names(prompts: DataFrame, names: DataFrame, key: str = "task_id") -> DataFrame:
     """Prompts that name no vendor or no product.  ``names``: name, kind (vendor or product); a blank one is an error.
 
     Without any declared name every prompt fails.
     """
     blank = names.filter(_blank("name")).select(F.lit("prompt-names").alias("gate"), F.col("kind").alias("subject"), F.lit("blank name").alias("problem"))
-    hits = occurrences(prompts, names.filter(~_blank("name")).select("name", "kind"), key, "name", _whole_word)
+    # White space inside a name is as wide as it likes: one blank in the name and in the text stands for any.
+    one_blank = lambda c: F.regexp_replace(c, r"(?U)\s+", " ")
+    texts = prompts.select(key, one_blank(F.col("text")).alias("text"))
+    declared = names.filter(~_blank("name")).select("name", "kind")
+    hits = occurrences(texts, declared, key, one_blank(N.strip(F.col("name"))), F.lit(True), F.lit(UNICODE))
     per = hits.groupBy(key).agg(F.bool_or(F.col("kind") == "vendor").alias("v"), F.bool_or(F.col("kind") == "product").alias("p"))
     named = violations(prompts.select(key).distinct().join(per, key, "left"), "prompt-names", F.col(key), {
         "names no vendor": ~F.coalesce(F.col("v"), F.lit(False)), "names no product": ~F.coalesce(F.col("p"), F.lit(False)),

@@ -84,11 +84,11 @@ def concepts(x: str) -> str:
 
 
 def page_text(x: str) -> str:
-    t = f"regexp_replace(coalesce({x}, ''), '<!--.*?-->', '', 'gs')"
+    t = f"regexp_replace(regexp_replace(coalesce({x}, ''), '>\\s+<', '><', 'g'), '<!--.*?(?:-->|\\z)', '', 'gs')"
     for tag in DROPPED:
-        t = f"regexp_replace({t}, '<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', '', 'gis')"
+        t = f"regexp_replace({t}, '<{tag}(\\s[^>]*)?>.*?(?:</{tag}\\s*>|\\z)', '', 'gis')"
     t = f"regexp_replace({t}, '</?({LINE_ENDS})(\\s[^>]*)?/?>', chr(10), 'gi')"
-    t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
+    t = f"regexp_replace({t}, '</?[A-Za-z][^>]*>|<[!?/][^>]*>', '', 'g')"
     for name, char in ENTITIES:
         t = f"replace({t}, '{name.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
     t = f"regexp_replace({t}, '[ \\t]+', ' ', 'g')"

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +145,73 @@ def test_html(spark):
     assert values(spark, H.page_text, *pages) == ["def\n", "xd\n", "a\n", "h\ni\n", "\u2019\U0001F600' \u00e9\u2026&lt;&nosuch;\ufffd\u20ac\ufffd\ufffd & &\n", "<nav>a\n", "ac\n", "aef\n"]
 
 
+def test_html_details(spark):
+    cases = {
+        "<html><head><title>T</title><style>.a{color:red}</style></head>\n<body><script>var x=1;</script><p>Hello <b>world</b></p></body></html>": "Hello world",
+        "<p>one</p><p>two</p>": "one\n\ntwo", "<p>A&amp;B</p>": "A&B", "<p>a     b\t\tc</p>": "a b c", "<html><body></body></html>": "",
+        "<nav>menu links</nav><p>real content</p><footer>copyright</footer>": "real content",
+        # White space alone between two tags is nothing, beside text it counts.
+        "<b>a</b> <b>b</b>&nbsp;<i>c</i>, <i>d</i>": "abc, d",
+        # References: the longest old name where there is no semicolon; numbers that stand for nothing.
+        "&ampx &copy2 &notit; &notin; &amp &nosuch &#65x&#1;&#xFFFE;y &#99999999999999999999;": "&x ©2 ¬it; ∉ & &nosuch Axy \ufffd",
+        # What is no tag is text; an end in quotes ends no tag; comments and scripts without an end drop the rest.
+        "a < b > c <3 <p title='x>y'>d": "a < b > c <3\nd", '<img alt="a > b">e <a x="1>f</a>': "e f", "g<!-- h": "g", "i<script>j</p>": "i", "k <p": "k <p", "l</>m</ n>o": "lmo",
+        # Lines end in several ways, and are bare of any white space.
+        "<pre>a\r\nb\rc\u2028d \u00a0\n\u00a0e</pre>": "a\nb\nc\nd\ne",
+    }
+    assert values(spark, H.page_text, *cases) == [v + "\n" for v in cases.values()]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["</nav>x" * 150_000, "<nav>x" * 150_000, "<nav>" * 100_000 + "x" + "</nav>" * 100_000, "<a " * 350_000, "<script " * 120_000, "<script>" * 120_000, "<!--" * 250_000, "&x" * 300_000, "&amp" * 200_000,
+     "\u00a0" * 500_000 + "x", " \n" * 300_000 + "x", "<p x='" * 150_000 + ">y", "<" * 1_000_000],
+    ids=["ends", "begins", "nested", "open", "script", "scripts", "comments", "names", "old", "blank", "lines", "quotes", "less"],
+)
+def test_html_time_is_linear(spark, page):
+    values(spark, H.page_text, "<p>warm</p>")
+    began = time.perf_counter()
+    values(spark, H.page_text, page)
+    assert time.perf_counter() - began < 15
+
+
+def test_search_equals_brute_force(spark):
+    """Names over several automata, with bounds of any word, in texts with letters whose lower case is longer."""
+    from scoreloom.operators import search
+
+    rng = random.Random(6)
+    parts = ["ab", "Ab", "é", "É", "İ", "ΑΣ", "_", "-", " ", "x", "\u0301", "中", "9"]
+    texts = [(k, "".join(rng.choices(parts, k=rng.randint(0, 12)))) for k in range(150)] + [(500, None), (501, "ab"), (501, "é")]
+    names = sorted({"".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(60)}) + [" ", ""]
+    every = [(n, f, b) for n in names for f in (False, True) for b in ("none", "ascii", "unicode")]
+    word = {"ascii": "A-Za-z0-9_", "unicode": "\\w\u0301"}
+
+    def holds(text: str, name: str, folds: bool, bounds: str) -> bool:
+        low = lambda s: "".join(c.lower() if len(c.lower()) == 1 else c for c in s) if folds else s
+        text, name = (low(text), low(name)) if folds else (text, name)
+        # Bounds are those of the text as it stands; folding changes no letter into another kind of character.
+        return re.search(re.escape(name) if bounds == "none" else rf"(?<![{word[bounds]}]){re.escape(name)}(?![{word[bounds]}])", text) is not None
+
+    want = sorted((k, n, f, b) for k, t in texts if t for n, f, b in every if n.strip() and holds(t, n, f, b))
+    df, declared = spark.createDataFrame(texts, "k int, text string"), spark.createDataFrame(every, "name string, f boolean, b string")
+    old, search.AUTOMATON_CHARS = search.AUTOMATON_CHARS, 1500
+    try:
+        got = search.occurrences(df, declared, "k", F.col("name"), F.col("f"), F.col("b")).collect()
+    finally:
+        search.AUTOMATON_CHARS = old
+    assert sorted(map(tuple, got)) == want
+    assert search.occurrences(df, declared.limit(0), "k", F.col("name"), F.col("f"), F.col("b")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["aAb" * 350_000, "中文" * 500_000, "ab_" * 350_000], ids=["letters", "prose", "words"])
+def test_search_time_is_linear(spark, text):
+    tokens = spark.createDataFrame([(f"tok{k}" * (1 + k % 9), "word") for k in range(2000)] + [("aab", "substring"), ("ab", "word"), ("文中", "cased")], "token string, kind string")
+    lines = spark.createDataFrame([(1, text)], "k int, text string")
+    began = time.perf_counter()
+    found = {r["token"] for r in A.token_leak_scan(lines, tokens, "k").collect()}
+    assert time.perf_counter() - began < 15 and found == {"a": {"aab"}, "中": {"文中"}}.get(text[0], set()) if text[:3] != "ab_" else not found
+
+
 def test_run_folders(spark, tmp_path):
     for folder in ("2026-07-23-no-context", "odd"):
         (tmp_path / folder / "runs").mkdir(parents=True)
