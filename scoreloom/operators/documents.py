@@ -138,15 +138,20 @@ def assemble_context(pages: DataFrame, budget_tokens: int, label: str) -> DataFr
 
     ``pages``: task_id, pos, role, url, text.  A fold over one task's pages, since what a cut page leaves free
     depends on its trimmed end.  Pages that the headers and the shortest bodies of those before them leave no room for
-    go first, so one row holds no more than the budget asks for, however many pages a task has.
+    go first, so one row holds no more than the budget asks for, however many pages a task has.  Null positions come
+    first, a null task_id is a task, a null url an empty one.
     """
     budget = budget_tokens * CHARS_PER_TOKEN
     text = F.substring(N.strip(F.coalesce("text", F.lit(""))), 1, budget + 1)
-    usable = pages.withColumn("_t", text).filter(F.col("_t") != "")
-    head = F.concat(F.lit(f"\n===== {label}: "), "url", F.lit(" =====\n"))
-    least = F.length(head) + F.least(F.length("_t"), F.lit(len(CUT_MARK)))
-    usable = summed_before(usable, ["task_id"], "pos", {"_least": least}, role_rank(F.col("role"))).filter(F.col("_least") < budget)
-    rows = usable.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(role_rank(F.col("role")).alias("rank"), "pos", head.alias("head"), F.col("_t").alias("text")))).alias("p"))
+    head = F.concat(F.lit(f"\n===== {label}: "), F.coalesce("url", F.lit("")), F.lit(" =====\n"))
+    usable = pages.select("task_id", "pos", role_rank(F.col("role")).alias("_rank"), head.alias("_head"), text.alias("_t")).filter(F.col("_t") != "")
+    least = F.length("_head") + F.least(F.length("_t"), F.lit(len(CUT_MARK)))
+    # Only lengths are run up; they grow along the order, so one place per task says which of its texts are read.
+    lengths = usable.select("task_id", "pos", "_rank", least.cast("long").alias("_least"))
+    fits = summed_before(lengths, ["task_id"], "pos", {"_before": F.col("_least")}, F.col("_rank")).filter(F.col("_before") < budget)
+    last = fits.groupBy(F.col("task_id").alias("_task")).agg(F.max(F.struct("_rank", "pos")).alias("_last"))
+    usable = usable.join(last, F.col("task_id").eqNullSafe(F.col("_task"))).filter(F.struct("_rank", "pos") <= F.col("_last"))
+    rows = usable.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(F.col("_rank").alias("rank"), "pos", F.col("_head").alias("head"), F.col("_t").alias("text")))).alias("p"))
     start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("blocks"))
 
     def step(acc: Column, page: Column) -> Column:
@@ -219,14 +224,55 @@ def _rule_pattern(pattern: Column) -> Column:
     """A robots pattern as a regular expression from the start: * any run, a last $ the end."""
     body = F.regexp_replace(pattern, r"\$$", "")
     quoted = F.regexp_replace(F.regexp_replace(body, r"([\\\[\](){}.+?^$|\-])", r"\\$1"), r"\*", ".*")
-    return F.concat(F.lit("(?s)^"), quoted, F.when(pattern.endswith("$"), "$").otherwise(""))
+    return F.concat(F.lit("(?s)^"), quoted, F.when(pattern.endswith("$"), r"\z").otherwise(""))
+
+
+#: A rule with a wildcard and neither a longer start nor a fixed end is found by so many characters of its longest piece.
+GRAM = 4
+
+
+def _anchor(pattern: Column) -> Column:
+    """(how, anchor): a string that every path has at its start, at its end, or somewhere, where the pattern matches it."""
+    body, ends = F.regexp_replace(pattern, r"\$$", ""), pattern.endswith("$")
+    parts = F.split(body, r"\*")
+    start, end = F.get(parts, F.lit(0)), F.when(ends & (F.size(parts) > 1), F.element_at(parts, -1)).otherwise("")
+    longest = F.array_max(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    return (
+        F.when((F.length(end) > F.length(start)), F.struct(F.lit("end").alias("how"), end.alias("anchor")))
+        .when((F.length(start) < GRAM) & (F.length(longest) >= GRAM), F.struct(F.lit("piece").alias("how"), F.left(longest, F.lit(GRAM)).alias("anchor")))
+        .otherwise(F.struct(F.lit("start").alias("how"), start.alias("anchor")))
+    )
+
+
+def _matching_rules(known: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, kind, pattern) of the rules of an address's host and group that match it.
+
+    Rules meet addresses by equality of their anchors: the path's starts and ends of the lengths that occur among the
+    host's rules, and its pieces of GRAM characters where the host has rules found by these.  Patterns are tried on what
+    is found, so a host's addresses do not meet all its rules.
+    """
+    own = rules.filter("pattern <> ''").select("host", F.col("agent").alias("agent_group"), "kind", "pattern", _anchor(F.col("pattern")).alias("_a"))
+    own = own.select("host", "agent_group", "kind", "pattern", "_a.how", "_a.anchor")
+    lengths = lambda how: F.collect_set(F.when(F.col("how") == how, F.length("anchor")))
+    shapes = own.groupBy("host", "agent_group").agg(lengths("start").alias("_starts"), lengths("end").alias("_ends"), F.bool_or(F.col("how") == "piece").alias("_pieces"))
+    n = F.length("path")
+    key = lambda how, text: F.struct(F.lit(how).alias("how"), text.alias("anchor"))
+    fits = lambda column: F.filter(column, lambda k: k <= n)
+    grams = F.when(F.col("_pieces") & (n >= GRAM), F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: key("piece", F.substring(F.col("path"), i, F.lit(GRAM)))))
+    keys = F.array_distinct(F.concat(
+        F.transform(fits("_starts"), lambda k: key("start", F.left(F.col("path"), k))), F.transform(fits("_ends"), lambda k: key("end", F.right(F.col("path"), k))),
+        F.coalesce(grams, F.array().cast("array<struct<how:string,anchor:string>>")),
+    ))
+    found = known.select("url", "host", "agent_group", "path").distinct().join(shapes, ["host", "agent_group"]).select("url", "host", "agent_group", "path", F.inline(keys))
+    hits = found.join(own, ["host", "agent_group", "how", "anchor"])
+    plain = ~F.col("pattern").rlike(r"\*|\$$") & (F.col("how") == "start")
+    return hits.filter(plain | F.regexp_like("path", _rule_pattern(F.col("pattern")))).select("url", "kind", "pattern")
 
 
 def url_verdict(urls: DataFrame, policy: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds allowed and rule.  ``urls``: url, host, path (with query).  The longest matching pattern wins, allow on a tie."""
     known = urls.join(policy, "host", "left")
-    own = rules.filter("pattern <> ''").select("host", F.col("agent").alias("agent_group"), "kind", "pattern")
-    hits = known.join(own, ["host", "agent_group"]).filter(F.regexp_like("path", _rule_pattern(F.col("pattern"))))
+    hits = _matching_rules(known, rules)
     width = F.length(F.regexp_replace(F.regexp_replace("pattern", r"\$$", ""), r"\*", ""))
     order = F.struct(width, (F.col("kind") == "allow").cast("int"), F.col("pattern"))
     best = hits.groupBy("url").agg(F.max_by(F.struct("kind", "pattern"), order).alias("r"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +22,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/scoreloom/{name}-{uuid.uuid4().hex}"
+
+
+def path_of(spark: SparkSession, folder: str):
+    """(file system, path) of a folder, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there.  The folder goes with the application."""
+    spark = df.sparkSession
+    folder = fresh_folder(spark, name)
+    schema = df.schema
+    df.write.parquet(folder)
+    system, path = path_of(spark, folder)
+    system.deleteOnExit(path)
+    return spark.read.schema(schema).parquet(folder)

@@ -212,6 +212,28 @@ def test_search_time_is_linear(spark, text):
     assert time.perf_counter() - began < 15 and found == {"a": {"aab"}, "中": {"文中"}}.get(text[0], set()) if text[:3] != "ab_" else not found
 
 
+def test_longest_rule_wins_among_many(spark):
+    """Rules found by their anchors decide as all rules of a host would."""
+    rng = random.Random(8)
+    pieces = ["/", "a", "bc", "*", ".html", "?id=", "$", "longer-piece", "é"]
+    rules = [("h" if k % 3 else "g", "*", k, rng.choice(["allow", "disallow"]), "/" + "".join(rng.choices(pieces, k=rng.randint(0, 5)))) for k in range(300)]
+    rules = [(h, a, k, kind, p if rng.random() < 0.7 else p.rstrip("$") + "$") for h, a, k, kind, p in rules] + [("h", "*", 900, "allow", ""), ("h", "*", 901, "allow", "*"), ("h", "*", 902, "disallow", "$"), ("g", "other", 903, "disallow", "/")]
+    paths = ["/" + "".join(rng.choices([p for p in pieces if p not in "*$"], k=rng.randint(0, 6))) for _ in range(200)] + ["", "/$", "/a*b"]
+    urls = sorted({(f"{h}{p}", h, p) for p in paths for h in ("h", "g", "none")})
+
+    def matches(pattern: str, path: str) -> bool:
+        body = "".join(".*" if c == "*" else re.escape(c) for c in pattern.removesuffix("$"))
+        return re.match(f"(?s){body}" + (r"\Z" if pattern.endswith("$") else ""), path) is not None
+
+    want = {}
+    for url, host, path in urls:
+        best = max(((len(p.removesuffix("$").replace("*", "")), kind == "allow", p.encode(), kind, p) for h, a, _, kind, p in rules if h == host and a == "*" and p and matches(p, path)), default=None)
+        want[url] = (best is None or best[3] == "allow", None if best is None else f"{best[3].capitalize()}: {best[4]}")
+    policy = spark.createDataFrame([(h, H.RULES, "*") for h in ("h", "g")], "host string, source string, agent_group string")
+    out = H.url_verdict(spark.createDataFrame(urls, "url string, host string, path string"), policy, spark.createDataFrame(rules, "host string, agent string, pos int, kind string, pattern string"))
+    assert {r["url"]: (r["allowed"], r["rule"]) for r in out.collect()} == want
+
+
 def test_run_folders(spark, tmp_path):
     for folder in ("2026-07-23-no-context", "odd"):
         (tmp_path / folder / "runs").mkdir(parents=True)
@@ -244,6 +266,41 @@ def test_running_sums_equal_a_window(spark):
     assert summed_before(rows.limit(0), ["k"], "pos", {"s": F.col("v")}).count() == 0
 
 
+def test_running_sums_with_an_outlier_and_null_keys(spark):
+    """One far position does not put the others into one range; null keys and positions stay."""
+    from scoreloom.operators import running
+
+    data = [(None if k % 2 else "c", p, 1) for k, p in enumerate([*range(4000), 10**15])] + [("c", None, 1)]
+    rows = spark.createDataFrame(data, "k string, pos long, v int").repartition(3)
+    seen = []
+    old, running.stored = running.stored, lambda df, name: seen.append(out := old(df, name)) or out
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = running.summed_before(rows, ["k"], "pos", {"s": F.col("v")}).collect()
+    finally:
+        running.stored = old
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for k, p, v in sorted(data, key=lambda r: (r[0] or "", r[1] is not None, r[1] or 0)):
+        want[k, p] = want.get(k, 0)
+        want[k] = want.get(k, 0) + v
+    assert {(r["k"], r["pos"]): r["s"] for r in got} == {k: v for k, v in want.items() if isinstance(k, tuple)} and len(got) == len(data)
+    sizes = [r["count"] for r in seen[0].groupBy("_range").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.6 * len(data)
+
+
+def test_breaker_keeps_a_null_condition(spark):
+    runs = spark.createDataFrame([(None, k, k % 3 == 0) for k in range(50)] + [("a", 10**12, True)], "condition string, pos long, format_failure boolean")
+    got = {r["condition"]: (r["runs"], r["failures"], r["trip_pos"]) for r in A.format_failure_breaker(runs, ["condition"]).collect()}
+    assert got == {None: (50, 17, 19), "a": (1, 1, None)}
+
+
+def test_context_keeps_null_tasks_and_positions(spark):
+    pages = [("t", None, "x", "u0", "first"), ("t", 1, "x", None, "second"), (None, 1, "x", "u2", "third")]
+    got = {r["task_id"]: r["context"] for r in H.assemble_context(spark.createDataFrame(pages, "task_id string, pos int, role string, url string, text string"), 100, "d").collect()}
+    assert got["t"].index("first") < got["t"].index("second") and "third" in got[None]
+
+
 def test_tokens_equal_brute_force(spark):
     rng = random.Random(4)
     parts = ["ab", "Ab", "abc", "x-ab", "ab_c", "AB cd", "cd", ".", " ", "\n", "a b", "é"]
