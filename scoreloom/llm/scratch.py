@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: dict[str, list[str]] = {}
+#: What each owner wrote, by the thread that wrote it: two pipelines of one driver keep their own tables.
+_WRITTEN: dict[tuple[int, str], list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,7 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, owner: str, partitions: list[str] | None = None) -> DataFrame:
-    """``df`` stored as Parquet in the shared folder and read back: lineage ends here and any executor can reread it."""
+    """``df`` stored as Parquet in the shared folder and read back: lineage ends here and any executor can reread it.
+    The table goes with ``free``, or with the application."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/scoreloom/{owner}/{uuid.uuid4().hex}"
     schema = df.schema
@@ -31,13 +34,15 @@ def written(df: DataFrame, owner: str, partitions: list[str] | None = None) -> D
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.parquet(path)
-    _WRITTEN.setdefault(owner, []).append(path)
+    _WRITTEN.setdefault((threading.get_ident(), owner), []).append(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(schema).parquet(path)
 
 
 def free(spark: SparkSession, owner: str) -> None:
-    """Remove what ``owner`` wrote.  Call it only when no DataFrame over those tables is still to run."""
-    for path in _WRITTEN.pop(owner, []):
+    """Remove what ``owner`` wrote from this thread.  Call it only when no DataFrame over those tables is still to run."""
+    for path in _WRITTEN.pop((threading.get_ident(), owner), []):
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
