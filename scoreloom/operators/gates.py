@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal as N
 from ..sources import answers
+from ..sources.staging import stored
 from . import matching
 from .search import UNICODE, occurrences
 
@@ -25,10 +26,10 @@ MIN_NOTE = 40
 OUTCOME_FIELDS = ("content_hash", "byte_size", "cache_file", "fetch_error")
 
 
-def violations(rows: DataFrame, gate: str, subject: Column, rules: dict[str, Column]) -> DataFrame:
-    """The rules (problem: condition that breaks it) that each row breaks.  One pass, no shuffle."""
+def violations(rows: DataFrame, gate: str, subject: Column, rules: dict[str, Column], *keep: str) -> DataFrame:
+    """The rules (problem: condition that breaks it) that each row breaks, with the columns ``keep``.  One pass, no shuffle."""
     named = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(problem)) for problem, broken in rules.items()]))
-    return rows.select(F.lit(gate).alias("gate"), subject.cast("string").alias("subject"), F.explode(named).alias("problem"))
+    return rows.select(F.lit(gate).alias("gate"), subject.cast("string").alias("subject"), F.explode(named).alias("problem"), *keep)
 
 
 def _blank(c: str) -> Column:
@@ -48,6 +49,31 @@ def task_schema(tasks: DataFrame) -> DataFrame:
     })
 
 
+def task_lists(tasks: DataFrame, file_prefix: str | None = None) -> DataFrame:
+    """Whole tasks with all their lists: a missing or empty one, a blank text, and every endpoint of the key by position.
+
+    ``tasks``: task_id, category, difficulty, prompt, notes, auth_flow, success_shape, required_scopes, key_parameters,
+    common_failure_modes (arrays), endpoints (array of method, path, api_version, operation_id, spec_file, spec_operation,
+    doc_only, doc_url).  An operation's file is under ``file_prefix``, where one is given.
+    """
+    empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    of_task = violations(tasks, "task-lists", F.col("task_id"), {
+        "no prompt": _blank("prompt"), "unknown category": ~F.coalesce(F.col("category"), F.lit("")).isin(*API_CATEGORIES),
+        "unknown difficulty": ~F.coalesce(F.col("difficulty"), F.lit("")).isin(*DIFFICULTIES), "notes are blank": F.col("notes").isNotNull() & _blank("notes"),
+        "no auth flow": _blank("auth_flow"), "no success shape": _blank("success_shape"), "no scopes list": F.col("required_scopes").isNull(),
+        "no parameters": empty("key_parameters"), "no failure modes": empty("common_failure_modes"), "no endpoints": empty("endpoints"),
+    })
+    points = tasks.select("task_id", F.posexplode("endpoints").alias("pos", "e")).select("task_id", "pos", "e.*")
+    spec = ~_blank("spec_operation") & ~_blank("spec_file")
+    doc = F.coalesce(F.col("doc_only"), F.lit(False)) & F.coalesce(F.col("doc_url").rlike("^https?://"), F.lit(False))
+    outside = F.lit(False) if file_prefix is None else spec & ~F.startswith("spec_file", F.lit(file_prefix))
+    of_point = violations(points, "task-lists", F.concat_ws(":", F.col("task_id").cast("string"), F.col("pos").cast("string")), {
+        "unknown method": ~F.coalesce(F.col("method"), F.lit("")).isin(*VERBS), "path does not start with a slash": ~F.coalesce(F.col("path"), F.lit("")).startswith("/"),
+        "no version": _blank("api_version"), "no operation id": _blank("operation_id"), "not anchored exactly once": spec == doc, "file outside the prefix": outside,
+    })
+    return of_task.unionByName(of_point)
+
+
 def docs_task_schema(tasks: DataFrame) -> DataFrame:
     """``tasks``: task_id, pub_number, pub_revision, pub_url; version and observations as variants: what was written,
     null or a text, and null or a map of texts."""
@@ -224,6 +250,28 @@ def cited_tolerance_rules(tolerances: DataFrame, keys: DataFrame) -> DataFrame:
     })
 
 
+def tolerance_sets(tolerances: DataFrame, tasks: DataFrame) -> DataFrame:
+    """What a task's tolerances amount to together.  ``tolerances``: task_id, kind, value, evidence, note; ``tasks``:
+    task_id, auth_flow.
+
+    One without evidence and note is a bare string; one that stands for no version accepts every answer that names none; a
+    style that the key's prose does not name is not what a reader sees; and styles that, with the key's own, are all the
+    known ones accept everything.
+    """
+    known = [style for style, _ in N.AUTH_STYLES]
+    rows = tolerances.join(tasks.select("task_id", "auth_flow"), "task_id", "left").withColumn("_v", F.lower(N.strip(F.coalesce("value", F.lit("")))))
+    bare = F.col("evidence").isNull() & F.col("note").isNull()
+    style = (F.col("kind") == "auth") & F.col("_v").isin(*known)
+    one = violations(rows, "tolerances", F.concat_ws(":", F.col("task_id").cast("string"), "kind", "value"), {
+        "bare string": bare, "stands for no version": ~bare & (F.col("kind") == "version") & (F.col("_v") != "") & (N.normalize_version(F.col("value")) == ""),
+        "key does not name it": ~bare & style & ~F.array_contains(N.auth_concepts(F.col("auth_flow")), F.col("_v")),
+    })
+    own = N.canonical_auth_flow(F.first("auth_flow"))
+    sets = rows.filter(style).groupBy("task_id").agg(F.array_union(F.collect_set("_v"), F.array(own)).alias("_all"), own.alias("_own"))
+    every = sets.filter((F.col("_own") != N.UNKNOWN_AUTH) & (F.size("_all") == len(known)))
+    return one.unionByName(every.select(F.lit("tolerances").alias("gate"), F.col("task_id").cast("string").alias("subject"), F.lit("accepts everything").alias("problem")))
+
+
 def robots_refusals(hosts: DataFrame, declared: DataFrame) -> DataFrame:
     """``hosts``: host, refused; ``declared``: host, reason."""
     refused = hosts.filter("refused").select("host").distinct()
@@ -279,6 +327,14 @@ def truncation_audit(texts: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def truncation_gate(audit: DataFrame, cohort: Column) -> DataFrame:
+    """(gate, subject, problem, blocks) of ``truncation_audit``'s rows that the budget cut away or that cannot be searched."""
+    found = violations(audit.withColumn("_cohort", cohort), "truncation", F.concat_ws(":", F.col("task_id").cast("string"), F.col("item").cast("string")), {
+        "cut away by the budget": F.col("truncated"), "text shorter than any spelling": ~F.col("searchable"),
+    }, "_cohort")
+    return severity(found, F.col("_cohort")).drop("_cohort")
+
+
 def disclosure(injected: DataFrame, anchors: DataFrame, declared: DataFrame) -> DataFrame:
     """Injected addresses that also anchor the key must be declared, and only those.  All three: task_id, url."""
     keys = ["task_id", "url"]
@@ -296,3 +352,25 @@ def run_gates(stages: list[DataFrame]) -> DataFrame:
     return per.agg(F.min_by(F.struct("gate", "violations", F.col("first.problem").alias("problem")), "stage").alias("f"), F.sum("violations").alias("total")).select(
         F.col("f.gate").alias("gate"), F.col("f.problem").alias("problem"), F.col("f.violations").alias("violations"), "total"
     )
+
+
+def run_gates_by_pack(packs: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """(pack, stage, problem, violations): for each pack the first stage that blocks it, nulls and 0 where none does.
+
+    ``packs``: pack; ``stages``: in order, a name and what finds violations (pack, problem) of the packs that it is given.
+    A stage is given only packs that no earlier one blocked, and nothing more is run once none is left.  What a stage
+    found is stored, one row a blocked pack, so that it is worked out once.
+    """
+    clean = every = packs.select("pack").distinct()
+    blocked: list[DataFrame] = []
+    for name, gate in stages:
+        found = gate(clean).groupBy("pack").agg(F.min("problem").alias("problem"), F.count("*").alias("violations")).withColumn("stage", F.lit(name))
+        found = stored(found, "gates")
+        blocked.append(found)
+        clean = clean.join(found.select("pack"), "pack", "left_anti")
+        if clean.isEmpty():
+            break
+    columns = ["stage", "problem", "violations"]
+    if not blocked:
+        return every.selectExpr("pack", "cast(null as string) stage", "cast(null as string) problem", "0L violations")
+    return every.join(union(blocked), "pack", "left").select("pack", *columns[:2], F.coalesce("violations", F.lit(0).cast("long")).alias("violations"))

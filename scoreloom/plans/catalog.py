@@ -15,6 +15,7 @@ from ..operators import gates as G
 from ..operators import matching as M
 from ..sources import answers as B
 from ..sources import archive as S
+from ..sources import publish as P
 from ..sources.staging import fresh_folder
 from . import sqltext as Q
 from . import views as V
@@ -59,6 +60,26 @@ def a6(spark, d):
     return spark.read.parquet(base).select("condition", "task_id", "run_index", "dim", "score")
 
 
+@query("a6_publish_condition", f"""SELECT condition, task_id, count(*) AS runs, {Q.mean('endpoint')} AS endpoint, count(*) FILTER (drifted) AS drifted
+  FROM (SELECT condition, task_id, CASE WHEN condition = 'c1' THEN 0.0 ELSE (pos % 5) / 4.0 END AS endpoint, false AS drifted FROM runs) GROUP BY ALL""", "runs")
+def a6b(spark, d):
+    """Every condition published with stale scores, then with fresh ones; c1 is refused, as some of its costs drifted."""
+    base, r = fresh_folder(spark, "published"), V.runs(spark, d).select("condition", "task_id", "pos", "cost_usd")
+    keys, means = ["task_id", "pos"], lambda x: x.groupBy("task_id").agg(F.count("*").alias("runs"), E.mean("endpoint").alias("endpoint"), F.count_if("drifted").alias("drifted"))
+    for fresh in (False, True):
+        for c in ("c0", "c1", "c2"):
+            mine = r.filter(F.col("condition") == c).drop("condition")
+            drifted = F.lit(fresh and c == "c1") & (F.col("pos") % 97 == 0)
+            score = F.col("pos") % 5 / 4.0 if fresh else F.lit(0.0)
+            scored = mine.withColumns({"endpoint": score, "drifted": drifted, "cost_usd": F.when(drifted, F.col("cost_usd") + 1).otherwise(F.col("cost_usd"))})
+            archive = mine.withColumns({"endpoint": F.lit(0.0), "drifted": F.lit(False)})
+            try:
+                P.publish_condition(scored, archive, base, c, keys, ["cost_usd"], ["endpoint"], means)
+            except P.NotPublished:
+                assert fresh and c == "c1"
+    return P.published(spark, base, P.AGGREGATE).select("condition", "task_id", "runs", "endpoint", "drifted")
+
+
 @query("a2_ground_truth_endpoints", "SELECT page_id // 10 AS task_id, CAST(row_number() OVER (PARTITION BY page_id // 10 ORDER BY pos) - 1 AS INTEGER) AS pos, method, path FROM endpoints WHERE side = 'gt'", "endpoints")
 def a2(spark, d):
     """Tasks of up to ten pages, so that no list grows with the tables."""
@@ -210,6 +231,46 @@ def b7(spark, d):
     return _rendered(spark, d, some_broken=False).select("page_id", F.col("raw_response").alias("answer"))
 
 
+@query("b7_render_docs_answers", """SELECT page_id, page_id % 4 <> 0 AS readable, '0' || page_id || '|AB "' || page_id || '"' AS catalogs, CASE WHEN page_id % 3 <> 0 THEN '35.0' || page_id % 10 END AS firmware,
+  CASE WHEN page_id % 2 = 0 THEN 'a' || chr(92) || chr(9) || 'b: #' || page_id END AS software, url AS publication, 'on ' || page_id AS lamp FROM (SELECT *, 1 AS one FROM pages) WHERE page_id % 4 <> 0
+  UNION ALL SELECT page_id, false, NULL, NULL, NULL, NULL, NULL FROM pages WHERE page_id % 4 = 0""")
+def b7b(spark, d):
+    """Docs answers written and read again: versions stay the text they are; one in four loses its end."""
+    k = F.col("page_id")
+    rows = table(spark, d, "pages").select(
+        "page_id", F.array(F.concat(F.lit("0"), k), F.concat(F.lit('AB "'), k, F.lit('"'))).alias("c"), F.when(k % 3 != 0, F.concat(F.lit("35.0"), k % 10)).alias("f"),
+        F.when(k % 2 == 0, F.concat(F.lit("a\\\tb: #"), k)).alias("s"), "url", F.create_map(F.lit("lamp"), F.concat(F.lit("on "), k)).alias("o"),
+    )
+    text = B.render_docs_answers(F.col("c"), F.col("f"), F.col("s"), F.col("url"), F.col("o"))
+    out = B.decode_docs_answers(rows.select("page_id", F.when(k % 4 == 0, F.regexp_replace(text, "`+$", "")).otherwise(text).alias("raw_response")), ("lamp",))
+    return out.select(
+        "page_id", (~F.col("format_failure")).alias("readable"), F.array_join("catalog_numbers", "|").alias("catalogs"), F.col("firmware_version").alias("firmware"), F.col("software_version").alias("software"), "publication",
+        F.try_element_at("observations", F.lit("lamp")).alias("lamp"),
+    )
+
+
+_REASONS = ["empty response", "no answer block", "invalid YAML", "not a mapping", "endpoints missing or empty", "endpoints[1] is not a mapping"]
+
+
+@query("b3_every_reason", f"SELECT page_id, {V.sql_pick('page_id % 7', *_REASONS)} AS reason FROM pages")
+def b3b(spark, d):
+    """One answer of each kind that fails, and one that does not."""
+    block = lambda body: f"text\n```answer-summary\n{body}\n```\n"
+    good = "- method: GET\n  path: /x\n"
+    texts = [" \n", "no block", block("a: [b"), block("- a"), block("endpoints: []"), block("endpoints:\n" + good + "- b"), block("endpoints:\n" + good)]
+    return B.decode_answers(table(spark, d, "pages").select("page_id", pick(F.col("page_id") % 7, *texts).alias("raw_response"))).select("page_id", F.col("failure_reason").alias("reason"))
+
+
+@query("a9_stored_files", "SELECT lang, sum(7 + length(CAST(doc_id AS VARCHAR)))::BIGINT AS bytes, sum(7 + length(CAST(doc_id AS VARCHAR)))::BIGINT // 4 AS tokens FROM documents GROUP BY lang")
+def a9b(spark, d):
+    """Ids written as JSON files by language, and measured where they lie."""
+    base, rows = fresh_folder(spark, "specs"), table(spark, d, "documents").select("lang", F.col("doc_id").alias("k"))
+    rows.write.partitionBy("lang").json(base)
+    files = S.stored_files(spark, base).withColumn("lang", F.regexp_extract("path", "/lang=([^/]+)/", 1))
+    parts = [S.spec_file_sizes(files.filter(F.col("lang") == r["lang"]).select("path", "length")).select(F.lit(r["lang"]).alias("lang"), "bytes", "tokens") for r in files.select("lang").distinct().collect()]
+    return G.union(parts)
+
+
 # --- normalizing functions ---
 
 
@@ -459,6 +520,35 @@ def d11(spark, d):
     return M.rescore(runs, _scored(spark, d).filter("o_orderkey % 4 <> 0"), ["o_orderkey"], ["endpoint"])
 
 
+@query("d11_rescored", """SELECT page_id, page_id % 3 AS run_index, CAST(CASE WHEN page_id % 11 = 0 THEN 0.25 WHEN page_id % 4 = 1 THEN NULL WHEN page_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS endpoint,
+  CASE WHEN page_id % 11 = 0 THEN true ELSE page_id % 4 = 1 END AS format_failure, CASE WHEN page_id % 11 = 0 THEN 'stale' WHEN page_id % 4 = 1 THEN 'no answer block' END AS failure_reason, length(url) AS cost, page_id % 3 + 1 AS n FROM pages""")
+def d11b(spark, d):
+    """Stored scores are stale: blocks are decoded and scored again; one page in eleven is of an unknown task."""
+    k = F.col("page_id")
+    point = lambda path: F.array(F.struct(F.lit("GET").alias("method"), path.alias("path"), F.lit("v1").alias("api_version")))
+    none = F.array().cast("array<string>")
+    text = B.render_answers(point(F.concat(F.when(k % 2 == 0, "/x/").otherwise("/y/"), k)), F.lit("bearer"), none, none)
+    runs = table(spark, d, "pages").select(
+        "page_id", (k % 3).alias("run_index"), F.when(k % 4 == 1, "nothing").otherwise(text).alias("raw_response"), F.lit(0.25).alias("endpoint"), F.lit(True).alias("format_failure"),
+        F.lit("stale").alias("failure_reason"), F.length("url").alias("cost"),
+    )
+    tasks = table(spark, d, "pages").filter("page_id % 11 <> 0").select("page_id", F.concat(F.lit("/x/"), k).alias("want"))
+    contract = M.Contract("api", ("endpoint",), {"endpoint": (F.get("endpoints", F.lit(0))["path"] == F.col("want")).cast("double")})
+    out = M.rescored(runs, tasks, contract, B.decode_answers, ["format_failure", "failure_reason"], ("page_id",))
+    return out.select("page_id", "run_index", "endpoint", "format_failure", "failure_reason", "cost", "n")
+
+
+@query("d10_score_cohorts", """SELECT o_orderkey, 0 AS run_index, cohort, dim, CASE WHEN o_orderkey % 5 = 0 OR o_custkey % 7 = 0 THEN NULL WHEN dim = 'endpoint' THEN (o_orderkey % 4) / 4.0 WHEN dim = 'method' THEN (o_orderkey % 2) / 1.0 ELSE (o_orderkey % 3) / 2.0 END AS score
+  FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'api' ELSE 'docs' END AS cohort FROM orders) JOIN (VALUES ('api', 'endpoint'), ('api', 'method'), ('docs', 'catalog_number')) t(cohort, dim) USING (cohort)""")
+def d10b(spark, d):
+    """Orders of two cohorts, each scored by its contract; failures and orders of unknown customers have no score."""
+    k = F.col("o_orderkey")
+    runs = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.lit(0).alias("run_index"), F.when(k % 2 == 0, "api").otherwise("docs").alias("cohort"), (k % 5 == 0).alias("format_failure"))
+    tasks = table(spark, d, "orders").filter("o_custkey % 7 <> 0").select("o_orderkey").distinct()
+    kinds = {"api": M.Contract("api", ("endpoint", "method"), {"endpoint": k % 4 / 4.0, "method": (k % 2).cast("double")}), "docs": M.Contract("docs", ("catalog_number",), {"catalog_number": k % 3 / 2.0})}
+    return M.score_cohorts(runs, tasks, kinds, ("o_orderkey",)).select("o_orderkey", "run_index", "cohort", "dim", "score")
+
+
 # --- aggregation ---
 
 

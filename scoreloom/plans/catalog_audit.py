@@ -36,10 +36,15 @@ def f1(spark, d):
     return A.unmatched_endpoints(_answers_off(spark, d), V.gt(spark, d))
 
 
-@query("f2_unmatched_all_conditions", f"SELECT task_id, method, path, 2 * n AS n FROM ({_OFF})", "endpoints")
+_OFF_THREE = _OFF.replace("pos % 4 = 1 THEN path || '/extra'", "pos % 3 = 1 THEN path || '/extra'")
+
+
+@query("f2_unmatched_all_conditions", f"SELECT task_id, method, path, CAST(sum(n) AS BIGINT) AS n FROM (({_OFF}) UNION ALL ({_OFF_THREE})) GROUP BY ALL", "endpoints")
 def f2(spark, d):
-    one = f1(spark, d)
-    return A.unmatched_all_conditions([one, one])
+    """Two conditions whose answers are wrong in different places."""
+    a = V.ans(spark, d)
+    other = a.withColumn("path", F.when(F.col("pos") % 3 == 1, F.concat("path", F.lit("/extra"))).otherwise(F.col("path")))
+    return A.unmatched_all_conditions([f1(spark, d), A.unmatched_endpoints(other, V.gt(spark, d))])
 
 
 @query("f3_consultation_rates", """SELECT task_id, runs, consulted, runs - consulted AS skipped, round_even((runs - consulted) / runs::DOUBLE, 3) AS skip_rate FROM (SELECT task_id, count(*) AS runs,
@@ -157,6 +162,13 @@ def f12(spark, d):
     return A.reconcile(*_published(spark, d), ["o_orderkey"], ["price"], ["status"])
 
 
+@query("f12_reconciled", "SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_orderkey % 5 = 0 THEN 'F' ELSE o_orderstatus END AS status FROM orders")
+def f12b(spark, d):
+    """What is published agrees in all that was transported, so its derived field is taken over."""
+    o, _ = _published(spark, d)
+    return A.reconciled(o, o.withColumn("status", F.when(F.col("o_orderkey") % 5 == 0, "F").otherwise(F.col("status"))), ["o_orderkey"], ["price"], ["status"])
+
+
 KINDS = ("substring", "cased", "cased-word", "word", "product-cased")
 
 
@@ -196,6 +208,34 @@ def g1(spark, d):
     return G.task_schema(t)
 
 
+@query("g1_task_lists", """SELECT 'task-lists' AS gate, subject, problem FROM (
+  SELECT CAST(page_id AS VARCHAR) AS subject, unnest(list_filter([CASE WHEN page_id % 7 = 0 THEN 'no prompt' END, CASE WHEN page_id % 5 = 1 THEN 'notes are blank' END, CASE WHEN page_id % 6 = 2 THEN 'no scopes list' END,
+    CASE WHEN page_id % 4 = 0 THEN 'no parameters' END, CASE WHEN page_id % 8 = 3 THEN 'no failure modes' END, CASE WHEN page_id % 9 < 2 THEN 'no endpoints' END, CASE WHEN page_id % 10 = 0 THEN 'no success shape' END], lambda x: x IS NOT NULL)) AS problem FROM pages
+  UNION ALL SELECT page_id || ':' || i, unnest(list_filter([CASE WHEN i = 1 AND page_id % 3 = 0 THEN 'unknown method' END, CASE WHEN page_id % 5 = 0 THEN 'path does not start with a slash' END, CASE WHEN i = 2 THEN 'no version' END,
+    CASE WHEN (page_id + i) % 4 IN (0, 3) THEN 'not anchored exactly once' END, CASE WHEN (page_id + i) % 4 IN (1, 3) AND page_id % 2 = 1 THEN 'file outside the prefix' END], lambda x: x IS NOT NULL))
+  FROM pages, range(3) t(i) WHERE page_id % 9 >= 2)""")
+def g1b(spark, d):
+    """Tasks of three endpoints, anchored in no, one or two ways, by an operation of one of two files."""
+    k, p = F.col("page_id"), table(spark, d, "pages")
+    none = F.array().cast("array<string>")
+
+    def point(i: int):
+        how = (k + i) % 4
+        return F.struct(
+            F.when((k % 3 == 0) & F.lit(i == 1), "get").otherwise("GET").alias("method"), F.when(k % 5 == 0, "x").otherwise("/x").alias("path"), F.lit(" " if i == 2 else "v1").alias("api_version"),
+            F.lit("op").alias("operation_id"), F.when(how.isin(1, 3), F.when(k % 2 == 1, "other/a.yaml").otherwise("specs/a.yaml")).alias("spec_file"), F.when(how.isin(1, 3), "op").alias("spec_operation"),
+            how.isin(2, 3).alias("doc_only"), F.when(how.isin(2, 3), "https://docs.example/a").alias("doc_url"),
+        )
+
+    points = F.array(*[point(i) for i in range(3)])
+    tasks = p.select(
+        k.alias("task_id"), F.lit("search-filter").alias("category"), F.lit("read").alias("difficulty"), F.when(k % 7 != 0, "ask").alias("prompt"), F.when(k % 5 == 1, " ").alias("notes"), F.lit("bearer").alias("auth_flow"),
+        F.when(k % 10 != 0, "list").alias("success_shape"), F.when(k % 6 != 2, none).alias("required_scopes"), F.when(k % 4 != 0, F.array(F.lit("x"))).otherwise(none).alias("key_parameters"),
+        F.when(k % 8 != 3, F.array(F.lit("404"))).alias("common_failure_modes"), F.when(k % 9 == 0, F.slice(points, 1, 0)).when(k % 9 != 1, points).alias("endpoints"),
+    )
+    return G.task_lists(tasks, "specs/")
+
+
 @query("g2_docs_task_schema", """SELECT 'docs-task-schema' AS gate, subject, problem FROM (SELECT CAST(page_id AS VARCHAR) AS subject, unnest(list_filter([CASE WHEN page_id % 4 = 0 THEN 'no publication number' END, CASE WHEN page_id % 5 = 0 THEN 'no publication revision' END,
   CASE WHEN page_id % 3 = 0 THEN 'no publication url' END, CASE WHEN page_id % 7 = 0 THEN 'version is not text' END, CASE WHEN page_id % 6 IN (1, 2) THEN 'observation is not text' END], lambda x: x IS NOT NULL)) AS problem FROM pages)""")
 def g2(spark, d):
@@ -305,6 +345,32 @@ def g8(spark, d):
     return G.roundtrip(both, _auth(spark, d).select(F.col("page_id").alias("task_id"), F.col("auth").alias("auth_flow")))
 
 
+_G8_API = """SELECT DISTINCT page_id // 10 AS t FROM endpoints WHERE side = 'gt'"""
+_G8 = f"""SELECT 'roundtrip' AS gate, 'api' AS cohort, CAST(t AS VARCHAR) AS subject, 'names no known style' AS problem, true AS blocks FROM ({_G8_API}) WHERE t % 7 = 3
+  UNION ALL SELECT 'roundtrip', 'api', CAST(t AS VARCHAR), 'no parameter is required, so none is scored', false FROM ({_G8_API}) WHERE t % 3 = 1
+  UNION ALL SELECT 'roundtrip', 'docs', CAST(doc_id AS VARCHAR), unnest(['direct: firmware_version scores below 1', 'parsed: firmware_version scores below 1']), true FROM documents WHERE doc_id % 11 = 0 AND doc_id % 13 <> 0
+  UNION ALL SELECT 'roundtrip', 'docs', CAST(doc_id AS VARCHAR), unnest(['every dimension is n/a', 'declares neither a catalog number nor a version']), true FROM documents WHERE doc_id % 13 = 0
+  UNION ALL SELECT 'roundtrip', 'docs', CAST(doc_id AS VARCHAR), 'declares one version without its partner', false FROM documents WHERE doc_id % 13 <> 0 AND doc_id % 5 <> 0"""
+
+
+@query("g8_roundtrip_contracts", _G8, "endpoints")
+def g8c(spark, d):
+    """Keys of both cohorts in all their dimensions: some name no style, no required parameter, a version that is none."""
+    from ..operators import roundtrip as R
+
+    t, k = F.col("task_id"), F.col("doc_id")
+    points = F.transform(F.array_sort(F.collect_list(F.struct("pos", "method", "path", "api_version"))), lambda e: F.struct(e["method"].alias("method"), e["path"].alias("path"), e["api_version"].alias("api_version")))
+    api = _keys(spark, d).groupBy("task_id").agg(points.alias("gt_endpoints"))
+    parameter = F.array(F.struct(F.lit("filters.x").alias("name"), (t % 3 == 0).alias("required")))
+    none = F.array().cast("array<struct<name:string,required:boolean>>")
+    api = api.withColumns({"gt_auth_flow": F.when(t % 7 != 3, "OAuth2: client credentials").otherwise("magic"), "gt_scopes": F.when(t % 2 == 0, F.array(F.lit("a:read # why"), F.lit('b "c"'))), "gt_parameters": F.when(t % 3 == 2, none).otherwise(parameter)})
+    docs = table(spark, d, "documents").select(
+        k.alias("task_id"), F.when(k % 13 != 0, F.array(F.concat(F.lit("AB-0"), k))).alias("gt_catalogs"), F.when((k % 11 == 0) & (k % 13 != 0), "latest").when(k % 13 != 0, "35.010").alias("gt_firmware"),
+        F.when((k % 13 != 0) & (k % 5 == 0), "V2.0").alias("gt_software"), F.lit("PUB-1").alias("gt_publication"), F.create_map(F.lit("lamp"), F.left("text", F.lit(40))).alias("gt_observations"),
+    )
+    return R.roundtrip_contracts({"api": api, "docs": docs})
+
+
 @query("g9_dimension_coverage", """SELECT 'dimension-coverage' AS gate, dim AS subject, unnest(list_filter([CASE WHEN known AND NOT seen AND reason IS NULL THEN 'not exercised and not declared' END, CASE WHEN known AND seen AND reason IS NOT NULL THEN 'declared but exercised' END,
   CASE WHEN known AND trim(reason) = '' THEN 'declared without reason' END, CASE WHEN NOT known THEN 'unknown dimension' END], lambda x: x IS NOT NULL)) AS problem FROM (SELECT dim, bool_or(known) AS known, coalesce(bool_or(seen), false) AS seen, max(reason) AS reason
   FROM (SELECT dim, true AS known, score IS NOT NULL AS seen, CASE dim WHEN 'auth_flow' THEN 'not public' WHEN 'endpoint' THEN ' ' END AS reason FROM scores UNION ALL SELECT 'extra', true, false, NULL UNION ALL SELECT 'odd', false, false, 'why') GROUP BY dim)""", "scores")
@@ -329,6 +395,47 @@ def g10(spark, d):
     return G.cited_tolerance_rules(t, t.filter("task_id % 3 = 1").select("task_id", "kind", F.lit("v1").alias("value")))
 
 
+_STYLES = [style for style, _ in Q.AUTH_STYLES]
+
+
+@query("g10_tolerance_sets", f"""WITH t AS (SELECT c_custkey AS k, unnest(range({len(_STYLES)})) AS i FROM customer), d AS (SELECT k, i, {_STYLES}[i + 1] AS value FROM t WHERE k % 20 = 0 OR i IN (k % 9, (k + 1) % 9))
+  SELECT 'tolerances' AS gate, subject, problem FROM (
+  SELECT k || ':auth:' || value AS subject, unnest(list_filter([CASE WHEN k % 3 = 0 THEN 'bare string' END, CASE WHEN k % 3 <> 0 AND i NOT IN (3, 5, 7) THEN 'key does not name it' END], lambda x: x IS NOT NULL)) AS problem FROM d
+  UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'accepts everything' FROM customer WHERE c_custkey % 20 = 0
+  UNION ALL SELECT c_custkey || ':version:' || CASE WHEN c_custkey % 2 = 0 THEN 'None' ELSE 'v2' END, 'stands for no version' FROM customer WHERE c_custkey % 2 = 0)""")
+def g10b(spark, d):
+    """Two styles a customer, all for one in twenty; the key's prose names three; one in three cites nothing."""
+    k = F.col("c_custkey")
+    styles = F.array(*map(F.lit, _STYLES))
+    rows = table(spark, d, "customer").select(k, F.posexplode(styles).alias("i", "value")).filter((k % 20 == 0) | F.col("i").isin(k % 9, (k + 1) % 9))
+    cited = F.when(k % 3 != 0, "https://docs.example/a").alias("evidence"), F.when(k % 3 != 0, "why").alias("note")
+    auth = rows.select(k.alias("task_id"), F.lit("auth").alias("kind"), "value", *cited)
+    version = table(spark, d, "customer").select(k.alias("task_id"), F.lit("version").alias("kind"), F.when(k % 2 == 0, "None").otherwise("v2").alias("value"), F.lit("https://docs.example/a").alias("evidence"), F.lit("why").alias("note"))
+    prose = F.lit("Authorization code, or a bearer token, or an API key")
+    return G.tolerance_sets(auth.unionByName(version), table(spark, d, "customer").select(k.alias("task_id"), prose.alias("auth_flow")))
+
+
+@query("g9_coverage_by_cohort", """SELECT 'dimension-coverage' AS gate, dim AS subject, 'not exercised and not declared' AS problem, cohort, cohort = 'docs' AS blocks FROM (SELECT c_mktsegment AS cohort_, CASE WHEN c_mktsegment < 'C' THEN 'docs' ELSE 'api' END AS cohort, c_mktsegment AS dim FROM customer GROUP BY 1) WHERE cohort_ > 'A'
+  UNION ALL SELECT 'dimension-coverage', 'odd', 'unknown dimension', 'api', false""")
+def g9b(spark, d):
+    """Market segments as dimensions that nothing exercises, and a declared one that does not exist."""
+    dims = table(spark, d, "customer").select(F.col("c_mktsegment").alias("dim")).distinct()
+    found = G.dimension_coverage(dims, dims.filter("false").withColumn("score", F.lit(1.0)), dims.limit(1).select(F.lit("odd").alias("dim"), F.lit("why").alias("reason")))
+    cohort = F.when((F.col("subject") < "C") & (F.col("subject") != "odd"), "docs").otherwise("api")
+    return G.severity(found.withColumn("cohort", cohort), F.col("cohort")).select("gate", "subject", "problem", "cohort", "blocks")
+
+
+@query("g15_truncation_gate", """SELECT 'truncation' AS gate, doc_id || ':' || doc_id % 5 AS subject, problem, doc_id % 2 = 0 AS blocks FROM (SELECT doc_id, unnest(list_filter([CASE WHEN contains(text, w) AND NOT contains(left(text, 300), w) THEN 'cut away by the budget' END,
+  CASE WHEN length(text) < length(w) THEN 'text shorter than any spelling' END], lambda x: x IS NOT NULL)) AS problem FROM (SELECT doc_id, text, right(text, 20) || CASE WHEN doc_id % 7 = 0 THEN repeat('z', 40) ELSE '' END AS w FROM documents))""")
+def g15b(spark, d):
+    """The end of each document as its item, with a tail that no document has for one in seven; even ones are docs."""
+    x, k = table(spark, d, "documents"), F.col("doc_id")
+    texts = x.select(k.alias("task_id"), F.col("text").alias("full"), F.left("text", F.lit(300)).alias("injected"))
+    item = F.concat(F.right("text", F.lit(20)), F.when(k % 7 == 0, "z" * 40).otherwise(""))
+    audit = G.truncation_audit(texts, x.select(k.alias("task_id"), (k % 5).alias("item"), F.array(item).alias("spellings")))
+    return G.truncation_gate(audit, F.when(F.col("task_id") % 2 == 0, "docs").otherwise("api"))
+
+
 _ROBOTS_HOSTS = "SELECT host, min(page_id) AS first, count(*) AS n FROM hosts GROUP BY host"
 
 
@@ -395,6 +502,38 @@ def g17(spark, d):
     return G.run_gates([docs, g6(spark, d)])
 
 
+_PACKED = "entries AS (SELECT pos // 10 AS pack, * REPLACE ('https://docs.example/' || (pos % 50) AS url) FROM manifest)"
+_G17 = f"""SELECT pack, CASE WHEN s.n IS NOT NULL THEN 'substitution' WHEN d.n IS NOT NULL THEN 'disclosure' WHEN m.n IS NOT NULL THEN 'validate' END AS stage,
+  CASE WHEN s.n IS NOT NULL THEN 'one text under several addresses' WHEN d.n IS NOT NULL THEN d.problem ELSE m.problem END AS problem, coalesce(s.n, d.n, m.n, 0) AS violations
+  FROM (SELECT DISTINCT pack FROM entries)
+  LEFT JOIN (SELECT pack, count(*) AS n FROM (SELECT pack, content_hash FROM entries WHERE byte_size >= 200 GROUP BY ALL HAVING count(DISTINCT url) > 1) GROUP BY pack) s USING (pack)
+  LEFT JOIN (SELECT pack, count(*) AS n, min(problem) AS problem FROM (SELECT pack, url, CASE WHEN bool_or(list_key = 'pages') AND bool_or(list_key = 'anchors') THEN CASE WHEN NOT bool_or(pos % 45 = 0) THEN 'overlap not declared' END
+    WHEN bool_or(pos % 45 = 0) THEN 'declared without overlap' END AS problem FROM entries GROUP BY ALL) WHERE problem IS NOT NULL GROUP BY pack) d USING (pack)
+  LEFT JOIN (SELECT CAST(subject AS BIGINT) // 10 AS pack, count(*) AS n, min(problem) AS problem FROM ({_G6}) WHERE CAST(subject AS BIGINT) % 3 = 0 GROUP BY 1) m USING (pack)"""
+
+
+@query("g17_run_gates_by_pack", V.with_views("manifest", _G17).replace("\nSELECT pack, CASE", ",\n" + _PACKED + "\nSELECT pack, CASE", 1))
+def g17b(spark, d):
+    """Packs of ten documents through three gates; the last one's violations count on every third document."""
+    m = V.manifest(spark, d).withColumns({"url": F.concat(F.lit("https://docs.example/"), (F.col("pos") % 50).cast("string")), "pack": F.floor(F.col("pos") / 10)})
+    of = lambda clean: m.join(clean, "pack", "left_semi")
+
+    def copies(clean):
+        same = of(clean).filter((F.col("byte_size") >= G.MIN_DUPLICATE_BYTES)).groupBy("pack", "content_hash").agg(F.count_distinct("url").alias("n")).filter("n > 1")
+        return same.select("pack", F.lit("one text under several addresses").alias("problem"))
+
+    def shown(clean):
+        x = of(clean).withColumn("task_id", F.col("pack"))
+        found = G.disclosure(x.filter("list_key = 'pages'"), x.filter("list_key = 'anchors'"), x.filter("pos % 45 = 0").select("task_id", "url").distinct())
+        return found.select(F.substring_index("subject", " ", 1).cast("long").alias("pack"), "problem")
+
+    def valid(clean):
+        mine = _manifest_flags(spark, d).filter("pos % 3 = 0").withColumn("pack", F.floor(F.col("pos") / 10)).join(clean, "pack", "left_semi")
+        return G.manifest_consistency(mine, "pos").select(F.floor(F.col("subject").cast("long") / 10).alias("pack"), "problem")
+
+    return G.run_gates_by_pack(m, [("substitution", copies), ("disclosure", shown), ("validate", valid)])
+
+
 # --- documents and crawl records ---
 
 

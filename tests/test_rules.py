@@ -234,6 +234,54 @@ def test_longest_rule_wins_among_many(spark):
     assert {r["url"]: (r["allowed"], r["rule"]) for r in out.collect()} == want
 
 
+def test_a_failed_audit_leaves_what_is_published(spark, tmp_path):
+    from scoreloom.sources import publish as P
+
+    base, keys = str(tmp_path / "out"), ["task_id", "run_index"]
+    schema = "task_id string, run_index int, raw_response string, score double"
+    archive = spark.createDataFrame([("t", k, f"text {k}", 0.0) for k in range(6)], schema)
+    totals = lambda x: x.agg(F.count("*").alias("n"), F.sum("score").alias("s"))
+    publish = lambda rows, c="c": P.publish_condition(rows, archive, base, c, keys, ["raw_response"], ["score"], totals)
+    files = lambda: sorted(str(f.relative_to(base)) for f in (tmp_path / "out").rglob("*.parquet"))
+    assert publish(archive).first() == (6, 0.0) and publish(archive, "d").first() == (6, 0.0)
+    before = files()
+    bad = {
+        "duplicate key": archive.union(archive.limit(1)), "not run": archive.limit(4), "drift: raw_response": archive.withColumn("raw_response", F.upper("raw_response")),
+        "not published": archive.union(spark.createDataFrame([("u", 0, "x", 1.0)], schema)),
+    }
+    for problem, rows in bad.items():
+        with pytest.raises(P.NotPublished, match=problem):
+            publish(rows.withColumn("score", F.lit(1.0)))
+        assert files() == before
+    with pytest.raises(Exception, match="no aggregate"):
+        P.publish_condition(archive, archive, base, "c", keys, ["raw_response"], ["score"], lambda x: x.select(F.raise_error(F.lit("no aggregate")).alias("n")))
+    assert files() == before
+    assert publish(archive.withColumn("score", F.lit(1.0))).first() == (6, 6.0)
+    assert {(r["condition"], r["score"]) for r in P.published(spark, base).collect()} == {("c", 1.0), ("d", 0.0)}
+    assert all("_staging" not in f and "_old" not in f for f in files())
+
+
+def test_gates_run_only_on_packs_that_are_clean(spark):
+    from scoreloom.operators import gates as G
+
+    packs, seen = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "pack string"), []
+
+    def gate(bad: list[str], problem: str):
+        def run(clean):
+            seen.append(sorted(r["pack"] for r in clean.collect()))
+            return clean.filter(F.col("pack").isin(bad)).select("pack", F.explode(F.array(F.lit(problem), F.lit(f"{problem} too"))).alias("problem"))
+
+        return run
+
+    got = G.run_gates_by_pack(packs, [("one", gate(["b"], "x")), ("two", gate(["b", "a"], "y"))]).collect()
+    assert {r["pack"]: tuple(r)[1:] for r in got} == {"a": ("two", "y", 2), "b": ("one", "x", 2), "c": (None, None, 0)}
+    assert seen == [["a", "b", "c"], ["a", "c"]]
+    seen.clear()
+    G.run_gates_by_pack(packs, [("one", gate(["a", "b", "c"], "x")), ("two", gate([], "y"))]).collect()
+    assert len(seen) == 1
+    assert {tuple(r)[1:] for r in G.run_gates_by_pack(packs, []).collect()} == {(None, None, 0)}
+
+
 def test_run_folders(spark, tmp_path):
     for folder in ("2026-07-23-no-context", "odd"):
         (tmp_path / folder / "runs").mkdir(parents=True)
