@@ -44,39 +44,46 @@ def consultation_rates(runs: DataFrame, prefix: str) -> DataFrame:
     return out.withColumn("skip_rate", F.bround(F.col("skipped") / F.col("runs"), 3))
 
 
+def _sole(wanted: DataFrame, index: DataFrame, within: list[str], versions: str, name: str) -> DataFrame:
+    """(within, versions, name): the one surface of ``index`` (within, marker, id) that a version stands for, where there
+    is one and no other.  Each distinct (within, versions) is looked up once, by equality of markers."""
+    asked = wanted.select(*within, versions).distinct().withColumn("marker", F.explode(F.array_distinct(versions)))
+    hits = asked.join(index, [*within, "marker"]).groupBy(*within, versions).agg(F.count_distinct("id").alias("_n"), F.min("id").alias(name))
+    return hits.filter("_n = 1").drop("_n")
+
+
 def classify_endpoints(endpoints: DataFrame, inventory: DataFrame, surfaces: DataFrame) -> DataFrame:
     """``endpoints`` (path, api_version, ...) with bucket: a surface, unrecognized, ambiguous or conflicted.
 
-    ``inventory``: id, npath (normalized, joined by /); ``surfaces``: id, markers (normalized array).
+    ``inventory``: id, npath (normalized, joined by /); ``surfaces``: id, markers (normalized array).  Surfaces are found
+    through inverted indexes, path to surfaces and marker to surfaces, and "the only one" by counting what they give; no
+    row meets all surfaces.
     """
-    marked = inventory.join(surfaces, "id").groupBy("npath").agg(F.array_sort(F.collect_set(F.struct("id", "markers"))).alias("candidates"))
-    every = surfaces.agg(F.array_sort(F.collect_set(F.struct("id", "markers"))).alias("all_surfaces"))
+    declared = surfaces.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("markers"))).alias("markers"))
+    placed = inventory.select("id", "npath").distinct().join(declared, "id")
+    by_marker = declared.select("id", F.explode("markers").alias("marker"))
+    by_path_marker = placed.select("npath", "id", F.explode("markers").alias("marker"))
+    paths = placed.groupBy("npath").agg(F.count("*").alias("_n"), F.min_by("id", "id").alias("_only"), F.min_by("markers", "id").alias("_markers"))
     rows = endpoints.withColumns(
         {
             "npath": F.array_join(N.normalize_path(F.col("path")), "/"),
-            "_by_path": N.version_segments(F.col("path")),
+            "_by_path": F.array_sort(F.array_distinct(N.version_segments(F.col("path")))),
             "_by_field": F.filter(F.array(N.normalize_version(F.col("api_version"))), lambda v: v != ""),
         }
-    )
-    joined = rows.join(marked, "npath", "left").crossJoin(F.broadcast(every))
-
-    def sole(candidates: Column, versions: Column) -> Column:
-        """The one candidate with a marker among the versions; null if none or several."""
-        hits = F.filter(candidates, lambda s: F.coalesce(F.arrays_overlap(s["markers"], versions), F.lit(False)))
-        return F.when(F.size(hits) == 1, F.get(hits, F.lit(0))["id"])
-
-    only = F.get(F.col("candidates"), F.lit(0))
-    stated = F.concat("_by_path", "_by_field")
-    elsewhere = sole(F.filter("all_surfaces", lambda s: s["id"] != only["id"]), stated)
-    misses = (F.size(only["markers"]) > 0) & ~F.coalesce(F.arrays_overlap(only["markers"], stated), F.lit(False))
-    by_path, by_field = sole(F.col("candidates"), F.col("_by_path")), sole(F.col("candidates"), F.col("_by_field"))
+    ).withColumn("_stated", F.array_sort(F.array_union("_by_path", "_by_field")))
+    joined = rows.join(paths, "npath", "left")
+    one, many = joined.filter("_n = 1"), joined.filter("_n > 1")
+    joined = joined.join(_sole(one, by_marker, [], "_stated", "_elsewhere"), ["_stated"], "left")
+    for versions, name in (("_by_path", "_p"), ("_by_field", "_f")):
+        joined = joined.join(_sole(many, by_path_marker, ["npath"], versions, name), ["npath", versions], "left")
+    misses = (F.size("_markers") > 0) & ~F.coalesce(F.arrays_overlap("_markers", "_stated"), F.lit(False))
     bucket = (
-        F.when(F.col("candidates").isNull(), "unrecognized")
-        .when(F.size("candidates") == 1, F.when(misses & elsewhere.isNotNull(), "conflicted").otherwise(only["id"]))
-        .when(by_path != by_field, "conflicted")
-        .otherwise(F.coalesce(by_path, by_field, F.lit("ambiguous")))
+        F.when(F.col("_n").isNull(), "unrecognized")
+        .when(F.col("_n") == 1, F.when(misses & F.col("_elsewhere").isNotNull(), "conflicted").otherwise(F.col("_only")))
+        .when(F.col("_p") != F.col("_f"), "conflicted")
+        .otherwise(F.coalesce("_p", "_f", F.lit("ambiguous")))
     )
-    return joined.withColumn("bucket", bucket).drop("candidates", "all_surfaces", "_by_path", "_by_field")
+    return joined.select(*[F.col(c) for c in endpoints.columns if c != "npath"], "npath", bucket.alias("bucket"))
 
 
 def classify_runs(classified: DataFrame, matches: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:

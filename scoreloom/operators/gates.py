@@ -140,16 +140,17 @@ def surface_declarations(surfaces: DataFrame, inventory: DataFrame) -> DataFrame
 
     whole = surfaces.agg(F.count("*").alias("n"), F.count_if("measured").alias("m"))
     shared = inventory.distinct().join(surfaces.select("id", "markers"), "id")
-    left, right = shared.alias("x"), shared.alias("y")
-    clash = left.join(right, (F.col("x.npath") == F.col("y.npath")) & (F.col("x.id") < F.col("y.id")))
-    undivided = clash.filter((F.size("x.markers") == 0) | (F.size("y.markers") == 0) | F.arrays_overlap("x.markers", "y.markers"))
+    # A shared path is divided where each of its surfaces has markers and no marker is that of two of them.
+    crowded = shared.groupBy("npath").agg(F.count_distinct("id").alias("n"), F.min(F.size("markers")).alias("least")).filter("n > 1 and least = 0")
+    twice = shared.select("npath", "id", F.explode("markers").alias("marker")).groupBy("npath", "marker").agg(F.count_distinct("id").alias("n")).filter("n > 1")
+    undivided = crowded.select("npath").union(twice.select("npath"))
     return union([
         say(whole.filter("n < 2"), F.lit("*"), "fewer than two surfaces"),
         say(whole.filter("m <> 1"), F.lit("*"), "not exactly one measured"),
         say(surfaces.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), F.col("id"), "declared more than once"),
         say(surfaces.join(inventory, "id", "left_anti"), F.col("id"), "empty inventory"),
         say(surfaces.filter(_blank("rationale")), F.col("id"), "no rationale"),
-        say(undivided.select(F.col("x.npath").alias("npath")).distinct(), F.col("npath"), "shared path without markers that divide it"),
+        say(undivided.distinct(), F.col("npath"), "shared path without markers that divide it"),
     ])
 
 

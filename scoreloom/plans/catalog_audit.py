@@ -687,13 +687,30 @@ def i1(spark, d):
     return out
 
 
-@query("i2_stream_breaker", """SELECT condition, count(*) AS runs, count(*) FILTER (format_failure) AS failures, min(CASE WHEN n >= 20 AND f / n > 0.2 THEN pos END) AS trip_pos
-  FROM (SELECT *, count(*) OVER w AS n, sum(format_failure::INT) OVER w AS f FROM runs WINDOW w AS (PARTITION BY condition ORDER BY pos ROWS UNBOUNDED PRECEDING)) GROUP BY condition""", "runs")
+_I2 = """SELECT condition, count(*) AS runs, count(*) FILTER (format_failure) AS failures, min(CASE WHEN n >= 20 AND f / n > 0.2 THEN pos END) AS trip_pos
+  FROM (SELECT *, count(*) OVER w AS n, sum(format_failure::INT) OVER w AS f FROM runs WINDOW w AS (PARTITION BY condition ORDER BY pos ROWS UNBOUNDED PRECEDING)) GROUP BY condition"""
+
+
+@query("i2_stream_breaker", _I2, "runs")
 def i2(spark, d):
     out = _streamed(spark, V.runs(spark, d).select("condition", "pos", "format_failure"), "condition string, pos long, format_failure boolean", jobs.stream_breaker, "update")
     return out.groupBy("condition").agg(F.max("runs").alias("runs"), F.max("failures").alias("failures"), F.min("trip_pos").alias("trip_pos"))
 
 
+@query("i2_stream_breaker_counts", _I2, "runs")
+def i2b(spark, d):
+    """The same counts by batches, each condition counted by ranges of positions."""
+    base, schema = fresh_folder(spark, "counts"), "condition string, pos long, format_failure boolean"
+    r = V.runs(spark, d).select("condition", "pos", "format_failure")
+    low, high = r.agg(F.min("pos"), F.max("pos")).first()
+    for k in range(3):
+        # A file a batch, in order of position.
+        r.filter(F.floor((F.col("pos") - low) * 3 / (high - low + 1)) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = jobs.read_stream(spark, f"{base}/in", schema, "parquet", files_per_trigger=1)
+    jobs.stream_breaker_counts(stream, f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    return jobs.breaker_counts(spark, f"{base}/state")
+
+
 @query("i3_stream_transcripts", """SELECT CAST(conv_id AS VARCHAR) AS run_id, count(*) FILTER (role = 'assistant') AS turns, coalesce(string_agg(CASE WHEN role = 'assistant' THEN 'tool' || turn END, ',' ORDER BY turn), '') AS tool_uses FROM conversations GROUP BY conv_id""")
 def i3(spark, d):
     c = table(spark, d, "conversations")

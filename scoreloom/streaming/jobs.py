@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators.archive import BREAKER_FLOOR, BREAKER_THRESHOLD
+from ..operators.running import summed_before
+from ..sources.staging import path_of
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -44,7 +48,7 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class _Breaker(StatefulProcessor):
     """Holds (runs, failures, position at which the breaker tripped) of one condition."""
 
-    threshold, floor = 0.20, 20
+    threshold, floor = BREAKER_THRESHOLD, BREAKER_FLOOR
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("counts", "n long, failures long, trip long")
@@ -81,6 +85,47 @@ def stream_breaker(runs: DataFrame) -> DataFrame:
     )
 
 
+_COUNTS = "condition string, runs long, failures long, trip_pos long"
+
+
+def breaker_counts(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
+    """condition, runs, failures, trip_pos after the last batch (of those before ``before``); empty where there is none."""
+    fs, at = path_of(spark, state)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    done = [int(n.split("=")[1]) for n in names if n.startswith("epoch=") and fs.exists(path_of(spark, f"{state}/{n}/_SUCCESS")[1])]
+    done = [e for e in done if before is None or e < before]
+    return spark.read.schema(_COUNTS).parquet(f"{state}/epoch={max(done)}") if done else spark.createDataFrame([], _COUNTS)
+
+
+def counted_batch(batch: DataFrame, counts: DataFrame) -> DataFrame:
+    """``counts`` after a batch of runs: two levels, running sums inside ranges of positions and totals of the ranges
+    before, so that a busy condition is counted by many tasks."""
+    failed = F.coalesce("format_failure", F.lit(False)).cast("long")
+    runs = batch.select("condition", "pos", failed.alias("_x"))
+    before = counts.select(F.col("condition").alias("_c"), "runs", "failures", "trip_pos")
+    rows = summed_before(runs, ["condition"], "pos", {"_n": F.lit(1).cast("long"), "_f": F.col("_x")}).join(before, F.col("condition").eqNullSafe(F.col("_c")), "left")
+    zero = F.lit(0).cast("long")
+    n, f = F.coalesce("runs", zero) + F.col("_n") + 1, F.coalesce("failures", zero) + F.col("_f") + F.col("_x")
+    trips = (n >= BREAKER_FLOOR) & (f / n > BREAKER_THRESHOLD)
+    new = rows.groupBy("condition").agg(F.max(n).alias("runs"), F.max(f).alias("failures"), F.coalesce(F.first("trip_pos"), F.min(F.when(trips, F.col("pos")))).alias("trip_pos"))
+    silent = counts.join(new.select(F.col("condition").alias("_c")), F.col("condition").eqNullSafe(F.col("_c")), "left_anti")
+    return new.unionByName(silent)
+
+
+def stream_breaker_counts(runs: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
+    """The breaker over a stream whose conditions may be busy: counts are a table, one folder a batch under ``state``.
+
+    A batch reads the counts that the batch before it left and writes its own, so one that is done again comes out the
+    same.  Read them by ``breaker_counts``.  ``runs``: condition, pos, format_failure.
+    """
+
+    def count(batch: DataFrame, epoch: int) -> None:
+        counts = breaker_counts(batch.sparkSession, state, epoch)
+        counted_batch(batch, counts).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+
+    return runs.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class _Transcript(StatefulProcessor):
     """Tool names and turns of one run until its result arrives; then one row, and the state goes.
 

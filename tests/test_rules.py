@@ -282,6 +282,34 @@ def test_gates_run_only_on_packs_that_are_clean(spark):
     assert {tuple(r)[1:] for r in G.run_gates_by_pack(packs, []).collect()} == {(None, None, 0)}
 
 
+def test_classified_as_the_rules_say(spark):
+    """Random surfaces and endpoints against the rules applied one endpoint at a time."""
+    rng = random.Random(11)
+    markers = {f"s{k}": rng.sample(["v1", "v2", "v3", "beta"], rng.randint(0, 2)) for k in range(6)}
+    placed = [(s, p) for s in markers for p in ("a", "b", "c", "d", "e") if rng.random() < 0.35]
+    points = [(k, "/".join(["", *rng.sample(["v1", "v2", "beta"], rng.randint(0, 2)), rng.choice("abcdefz")]), rng.choice(["v1", "V2", "none", "", None, "v3"])) for k in range(250)]
+
+    def bucket(path, version):
+        by_path = {x for x in path.split("/") if x in ("v1", "v2", "beta")}
+        field = {v for v in [(version or "").lower()] if v not in ("", "none")}
+        own = path.split("/")[-1]
+        have = sorted(s for s, p in placed if p == own)
+        sole = lambda names, said: hits[0] if len(hits := [s for s in names if set(markers[s]) & said]) == 1 else None
+        if not have:
+            return "unrecognized"
+        if len(have) == 1:
+            stated = by_path | field
+            elsewhere = sole([s for s in markers if s != have[0]], stated)
+            return "conflicted" if markers[have[0]] and not set(markers[have[0]]) & stated and elsewhere else have[0]
+        one, two = sole(have, by_path), sole(have, field)
+        return "conflicted" if one and two and one != two else one or two or "ambiguous"
+
+    df = spark.createDataFrame(points, "k int, path string, api_version string")
+    got = A.classify_endpoints(df, spark.createDataFrame(placed, "id string, npath string"), spark.createDataFrame(list(markers.items()), "id string, markers array<string>"))
+    want = {k: bucket(p, v) for k, p, v in points}
+    assert {r["k"]: r["bucket"] for r in got.collect()} == want and len(set(want.values())) > 5
+
+
 def test_run_folders(spark, tmp_path):
     for folder in ("2026-07-23-no-context", "odd"):
         (tmp_path / folder / "runs").mkdir(parents=True)
