@@ -70,6 +70,8 @@ PRIOR_FALSE = ((0.8, 0.18, 0.02), (0.5, 0.3, 0.2), (0.4, 0.4, 0.2), (0.01, 0.94,
 ROUNDS = 25
 BUCKETS = 4096
 THRESHOLD = 0.9
+#: A bucket's weight counts as if so many average candidates had it too.
+DRAWN = 4.0
 BLOCK = 256
 
 
@@ -176,10 +178,11 @@ def _features(loose: bool, passes: Column, c: Column) -> Column:
     shape = F.left(F.regexp_replace(F.regexp_replace(span, "[A-Za-z]+", "a"), "[0-9]+", "9"), F.lit(40))
     side = lambda x: F.coalesce(F.translate(F.regexp_replace(x, "[0-9]", "9"), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "a" * 52), F.lit(""))
     word = lambda x, pattern: F.lower(F.regexp_extract(F.coalesce(x, F.lit("")), pattern, 1))
+    # What hangs together is one feature: the classifier takes features as independent.
     values = [
-        F.concat(F.lit(f"{loose}"), passes.cast("string"), shape), F.least(F.length(span), F.lit(60)), F.length(_digits(F.left(span, F.lit(60)))), passes,
-        side(F.right(c["left"], F.lit(1))), side(F.left(c["right"], F.lit(1))),
-        word(c["left"], r"(\p{L}{1,20})[^\p{L}]{0,3}$"), word(c["right"], r"^[^\p{L}]{0,3}(\p{L}{1,20})"), F.regexp_extract(span, r"([^.@]{1,12})$", 1),
+        F.concat(F.lit(f"{loose}"), passes.cast("string"), shape, F.least(F.length(span), F.lit(40)).cast("string")),
+        F.concat(side(F.right(c["left"], F.lit(1))), F.lit("|"), side(F.left(c["right"], F.lit(1)))),
+        word(c["left"], r"(\p{L}{1,20})[^\p{L}]{0,3}$"), word(c["right"], r"^[^\p{L}]{0,3}(\p{L}{1,20})"), F.regexp_extract(span, r"([A-Za-z]{2,12})$", 1),
     ]
     return F.array(*[F.pmod(F.xxhash64(F.lit(k), v.cast("string")), F.lit(BUCKETS)).cast("int") for k, v in enumerate(values)])
 
@@ -281,9 +284,12 @@ def classifier(found: DataFrame) -> DataFrame:
     yes, no = F.sum(F.col("n") * F.round("q", 9)), F.sum(F.col("n") * (1 - F.round("q", 9)))
     sums = marked.select("kind", "n", "q", F.explode(F.array_append(F.array_distinct("features"), F.lit(-1))).alias("bucket")).groupBy("kind", "bucket").agg(yes.alias("yes"), no.alias("no"))
     whole = sums.filter("bucket < 0").select("kind", F.col("yes").alias("all_yes"), F.col("no").alias("all_no"))
-    weight = F.log((F.col("yes") + 0.5) / (F.col("all_yes") + 1)) - F.log((F.col("no") + 0.5) / (F.col("all_no") + 1))
+    # A bucket that few candidates have is drawn to the share of all, so its weight to 0.
+    share = (F.col("all_yes") + 0.5) / (F.col("all_yes") + F.col("all_no") + 1)
+    odds = F.log(share / (1 - share))
+    weight = F.log((F.col("yes") + DRAWN * share) / (F.col("no") + DRAWN * (1 - share))) - odds
     parts = sums.filter("bucket >= 0").join(F.broadcast(whole), "kind")
-    each = parts.groupBy("kind", F.log((F.col("all_yes") + 0.5) / (F.col("all_no") + 0.5)).alias("bias")).agg(F.map_from_entries(F.collect_list(F.struct("bucket", weight.alias("w")))).alias("w"))
+    each = parts.groupBy("kind", odds.alias("bias")).agg(F.map_from_entries(F.collect_list(F.struct("bucket", weight.alias("w")))).alias("w"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("w", b), F.lit(0.0)))
     return each.select("kind", "bias", dense.alias("weights"))
 
