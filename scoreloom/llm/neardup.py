@@ -282,7 +282,10 @@ def _linked(sized: DataFrame, texts: DataFrame, idf, owner: str, similarity: flo
         pairs = _first_pairs(left, similarity).union(near).distinct() if not leaders else _more_pairs(left, leaders, similarity)
         pairs = scratch.written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), owner)
         if not pairs.isEmpty():
-            one, two = texts.withColumnsRenamed({"node": "a", "text": "text_a"}), texts.withColumnsRenamed({"node": "b", "text": "text_b"})
+            # Only texts that stand in a pair of this round move; a later round has few of them.
+            named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            held = texts.join(named, "node", "left_semi")
+            one, two = held.withColumnsRenamed({"node": "a", "text": "text_a"}), held.withColumnsRenamed({"node": "b", "text": "text_b"})
             full = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
             scored = full.mapInArrow(lambda b: _similarities(b, idf.value), "a long, b long, similarity double")
             found = scratch.written(scored.filter(F.col("similarity") >= similarity).select("a", "b"), owner)
