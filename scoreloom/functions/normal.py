@@ -33,9 +33,13 @@ REHOSTING_HOSTS = (
 )
 
 
+#: White space of any script.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space (of any script) at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space (of any script) at either end; what stands between is not read."""
+    return F.trim(c, F.lit(WHITE))
 
 
 def _or_empty(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal as N
 from ..sources import answers as B
+from ..sources.staging import stored
 from . import matching as M
 
 DIRECT, PARSED = "direct", "parsed"
@@ -109,6 +110,8 @@ def roundtrip_contracts(keys: dict[str, DataFrame], registry: dict[str, Cohort]
             raise ValueError(f"no contract for cohort {name!r}; known: {', '.join(sorted(registry))}")
         cohort = registry[name]
         scores, unread = both_ways(rows, cohort)
+        # A few rows a task, read three times below: scored once.
+        scores = stored(scores, "roundtrip")
         low = scores.filter("score < 1").select("task_id", F.concat("via", F.lit(": "), "dim", F.lit(" scores below 1")).alias("problem"))
         lost = unread.select("task_id", F.concat(F.lit(f"{PARSED}: "), "reason").alias("problem"))
         none = scores.filter(F.col("via") == DIRECT).groupBy("task_id").agg(F.count("score").alias("n")).filter("n = 0").select("task_id", F.lit("every dimension is n/a").alias("problem"))
