@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 COUNTER_BITS = 20
 SLICES = 64
+#: Compressed texts that are opened at a time.
+OPENED = 64
 #: Growth of the number of leaders of a bucket from one round to the next.
 ROUND_GROWTH = 8
 #: From this size on a bucket is worth counting what its nodes share.  Shingles that so many nodes have are rare.
@@ -148,14 +151,28 @@ def _signatures(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands, pa.array(total)], ["id", "digest", "bands", "weight"])
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: they move several times, and are read where two of them meet."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        raw, off = textnum.buffers(batch.column(1))
+        small = [squeeze(raw[off[k] : off[k + 1]].tobytes()) for k in range(len(batch))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], ["node", "text"])
+
+
+def _opened(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the rows i to j of a column of compressed texts."""
+    expand = zstandard.ZstdDecompressor().decompress
+    texts = [expand(t) for t in column.slice(i, j - i).to_pylist()]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def _similarities(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.zeros(len(batch))
-        left, right = textnum.buffers(batch.column(2)), textnum.buffers(batch.column(3))
-        step = 64
-        for i in range(0, len(batch), step):
-            j = min(i + step, len(batch))
-            parts = [_weighted(raw[off[i] : off[j]], off[i : j + 1] - off[i], idf) for raw, off in (left, right)]
+        for i in range(0, len(batch), OPENED):
+            j = min(i + OPENED, len(batch))
+            parts = [_weighted(*_opened(column, i, j), idf) for column in (batch.column(2), batch.column(3))]
             h, t, w = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((h, t))
             h, t, w = h[order], t[order], w[order].astype(np.float64)
@@ -216,10 +233,11 @@ def _nodes(signed: DataFrame, owner: str) -> DataFrame:
 
 
 def _texts(base: DataFrame, wanted: DataFrame, repeats: bool, owner: str) -> DataFrame:
-    """(node, text), one row a node.  Rows that share id and text are summed up before they move."""
+    """(node, text), one row a node, the text compressed.  Rows that share id and text are summed up before they move."""
     rows = base.select("id", "digest", "text")
     rows = rows.dropDuplicates(["id", "digest"]) if repeats else rows
-    return scratch.written(rows.join(wanted, ["id", "digest"]).select("node", "text"), owner)
+    found = rows.join(wanted, ["id", "digest"]).select("node", "text")
+    return scratch.written(found.mapInArrow(_squeezed, "node long, text binary"), owner)
 
 
 def _repeats(signed: DataFrame, owner: str) -> DataFrame:
@@ -311,9 +329,8 @@ def _rare(sized: DataFrame, texts: DataFrame, idf, owner: str, similarity: float
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            raw, off = textnum.buffers(batch.column(1))
-            for i, _, data, own in textnum.blocks(raw, off):
-                h, t, w = _weighted(data, own, idf.value)
+            for i in range(0, len(batch), OPENED):
+                h, t, w = _weighted(*_opened(batch.column(1), i, min(i + OPENED, len(batch))), idf.value)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i + t]), pa.array(h.view(np.int64)), pa.array(w.astype(np.float64))], ["node", "h", "w"])
 
     held = texts.join(large.select("node"), "node", "left_semi").mapInArrow(spread, "node long, h long, w double")
