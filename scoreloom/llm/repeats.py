@@ -19,7 +19,7 @@ results; columns beside doc_id and text are kept by ``deduplicated``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,8 +33,12 @@ from . import scratch, textnum
 WINDOW = 50
 ANCHOR = 16
 SPAN = WINDOW - ANCHOR + 1
-#: Bytes of packed pieces that one task should hold; the number of parts follows from the input.
+#: Bytes of pieces that one group should hold, before they are packed; the number of parts follows from the input.
 PART_BYTES = 4_000_000
+#: Parts that one task takes in turn (about 100 MB packed), fewer only where cores would idle.
+TASK_PARTS = 256
+#: Packs whose rows are merged before they meet those of other packs.
+MERGED_PACKS = 4096
 LAST_DOC = np.int64(2**63 - 1)
 #: What a row is known by: its document, which alone decides who is smaller, and a digest of its text.
 ROW = ["_doc", "_row"]
@@ -166,79 +170,128 @@ ANCHORS_SCHEMA = pa.schema([("part", pa.int32()), ("docs", _BINARY), ("anchors",
 PIECES_SCHEMA = ANCHORS_SCHEMA.append(pa.field("bytes", _BINARY))
 
 
-def packed_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Minimizers by part: one row per pack of texts and part.  Those of two documents of the pack are known to be
-    shared: the part gets one place in the smallest document and one in the largest, the others are passed on."""
+Split = Callable[[np.ndarray], tuple[np.ndarray, list[tuple[int, int, int]]]]
+
+
+def _as_it_is(part: int) -> Split:
+    """All minimizers are of one part."""
+    return lambda anchor: (np.arange(len(anchor)), [(part, 0, len(anchor))] if len(anchor) else [])
+
+
+def _anchor_rows(docs: np.ndarray, own: np.ndarray, text: np.ndarray, start: np.ndarray, anchor: np.ndarray, split: Split, parts: int) -> dict[str, list]:
+    """Of minimizers that two documents have, one place in the smallest and one in the largest go to their part, the
+    others are passed on; of the rest, all go to their part.  ``own``: where each text begins, ``start`` counts from 0."""
     shrink = zstandard.ZstdCompressor(level=3)
-    for _, docs, _, own, text, start, _, anchor, _ in _packs(batches):
-        rows: dict[str, list] = {n: [] for n in ANCHORS_SCHEMA.names}
-        if not len(text):
-            continue
-        doc = docs[text, 0]
-        least, most = _extremes(anchor, doc)
-        sent = least == most
-        for end in (least, most):
-            sent[_one_each(anchor, np.flatnonzero((doc == end) & (least != most)))] = True
-        passed = np.flatnonzero(~sent)
-        for k in range(0, len(passed), KNOWN_PLACES):
-            one = passed[k : k + KNOWN_PLACES]
-            used, at = np.unique(text[one], return_inverse=True)
-            rows["part"].append(_any_part(docs[used[0]], parts))
-            rows["docs"].append(shrink.compress(docs[used].tobytes()))
-            rows["anchors"].append(b"")
-            rows["places"].append(shrink.compress(_differences(at, start[one] - own[text[one]])))
-            rows["known"].append(True)
-        text, start, anchor = text[sent], start[sent], anchor[sent]
-        order, groups = _by_part(anchor, parts)
-        text, start, anchor = text[order], start[order], anchor[order]
-        for part, a, b in groups:
-            used, at = np.unique(text[a:b], return_inverse=True)
-            rows["part"].append(part)
-            rows["docs"].append(shrink.compress(docs[used].tobytes()))
-            rows["anchors"].append(anchor[a:b].astype(np.uint32).tobytes())
-            rows["places"].append(shrink.compress(_differences(at, start[a:b] - own[text[a:b]])))
-            rows["known"].append(False)
-        yield pa.RecordBatch.from_pydict(rows, ANCHORS_SCHEMA)
+    rows: dict[str, list] = {n: [] for n in ANCHORS_SCHEMA.names}
+    doc = docs[text, 0]
+    least, most = _extremes(anchor, doc)
+    sent = least == most
+    for end in (least, most):
+        sent[_one_each(anchor, np.flatnonzero((doc == end) & (least != most)))] = True
+    passed = np.flatnonzero(~sent)
+    for k in range(0, len(passed), KNOWN_PLACES):
+        one = passed[k : k + KNOWN_PLACES]
+        used, at = np.unique(text[one], return_inverse=True)
+        rows["part"].append(_any_part(docs[used[0]], parts))
+        rows["docs"].append(shrink.compress(docs[used].tobytes()))
+        rows["anchors"].append(b"")
+        rows["places"].append(shrink.compress(_differences(at, start[one] - own[text[one]])))
+        rows["known"].append(True)
+    text, start, anchor = text[sent], start[sent], anchor[sent]
+    order, groups = split(anchor)
+    text, start, anchor = text[order], start[order], anchor[order]
+    for part, a, b in groups:
+        used, at = np.unique(text[a:b], return_inverse=True)
+        rows["part"].append(part)
+        rows["docs"].append(shrink.compress(docs[used].tobytes()))
+        rows["anchors"].append(anchor[a:b].astype(np.uint32).tobytes())
+        rows["places"].append(shrink.compress(_differences(at, start[a:b] - own[text[a:b]])))
+        rows["known"].append(False)
+    return rows
 
 
-def packed_pieces(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Pieces around shared minimizers by part.  Column ``starts``: packed starts.
+def packed_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Minimizers by part: one row per pack of texts and part, and those that are passed on."""
+    for _, docs, _, own, text, start, _, anchor, _ in _packs(batches):
+        if len(text):
+            yield pa.RecordBatch.from_pydict(_anchor_rows(docs, own, text, start, anchor, lambda a: _by_part(a, parts), parts), ANCHORS_SCHEMA)
+
 
-    Of equal pieces in a pack, those in the smallest document go to the part: all windows of the others start in that
-    document too, so they are repeated from end to end and their spans are passed on."""
+def _piece_rows(
+    docs: np.ndarray, own: np.ndarray, data: np.ndarray, begin: np.ndarray, text: np.ndarray, start: np.ndarray,
+    length: np.ndarray, anchor: np.ndarray, ident: np.ndarray, split: Split, parts: int,
+) -> dict[str, list]:
+    """Of equal pieces, those in the smallest document go to their part: all windows of the others start in that document
+    too, so they are repeated from end to end and their spans are passed on.  ``begin``: where a piece stands in ``data``."""
     shrink = zstandard.ZstdCompressor(level=3)
+    rows: dict[str, list] = {n: [] for n in PIECES_SCHEMA.names}
+    doc = docs[text, 0]
+    sent = _extremes(ident, doc)[0] == doc
+    passed = np.flatnonzero(~sent)
+    if len(passed):
+        of, low, high = _merged(text[passed], start[passed], start[passed] + length[passed])
+        rows["part"].append(_any_part(docs[of[0]], parts))
+        rows["docs"].append(shrink.compress(docs[of].tobytes()))
+        rows["anchors"].append(b"")
+        rows["places"].append(shrink.compress(np.stack([low - own[of], high - low], 1).tobytes()))
+        rows["known"].append(True)
+        rows["bytes"].append(b"")
+    text, start, length, anchor, begin = text[sent], start[sent], length[sent], anchor[sent], begin[sent]
+    order, groups = split(anchor)
+    text, start, length, anchor, begin = text[order], start[order], length[order], anchor[order], begin[order]
+    for part, a, b in groups:
+        used, at = np.unique(text[a:b], return_inverse=True)
+        rows["part"].append(part)
+        rows["docs"].append(shrink.compress(docs[used].tobytes()))
+        rows["anchors"].append(anchor[a:b].astype(np.uint32).tobytes())
+        rows["places"].append(shrink.compress(_differences(at, start[a:b] - own[text[a:b]], length[a:b])))
+        rows["known"].append(False)
+        rows["bytes"].append(shrink.compress(_gather(data, begin[a:b], length[a:b]).tobytes()))
+    return rows
+
+
+def packed_pieces(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Pieces around shared minimizers by part.  Column ``starts``: packed starts."""
     for batch, docs, data, own, text, start, length, anchor, ident in _packs(batches):
         wanted = [
             np.frombuffer(x, np.uint32).astype(np.int64) + own[k] for k, x in enumerate(batch.column("starts").to_pylist()) if x
         ]
         keep = np.isin(start, np.concatenate(wanted)) if wanted else np.zeros(len(start), bool)
         text, start, length, anchor, ident = text[keep], start[keep], length[keep], anchor[keep], ident[keep]
-        if not len(text):
-            continue
-        rows: dict[str, list] = {n: [] for n in PIECES_SCHEMA.names}
-        doc = docs[text, 0]
-        sent = _extremes(ident, doc)[0] == doc
-        passed = np.flatnonzero(~sent)
-        if len(passed):
-            of, begin, end = _merged(text[passed], start[passed], start[passed] + length[passed])
-            rows["part"].append(_any_part(docs[of[0]], parts))
-            rows["docs"].append(shrink.compress(docs[of].tobytes()))
-            rows["anchors"].append(b"")
-            rows["places"].append(shrink.compress(np.stack([begin - own[of], end - begin], 1).tobytes()))
-            rows["known"].append(True)
-            rows["bytes"].append(b"")
-        text, start, length, anchor = text[sent], start[sent], length[sent], anchor[sent]
-        order, groups = _by_part(anchor, parts)
-        text, start, length, anchor = text[order], start[order], length[order], anchor[order]
-        for part, a, b in groups:
-            used, at = np.unique(text[a:b], return_inverse=True)
-            rows["part"].append(part)
-            rows["docs"].append(shrink.compress(docs[used].tobytes()))
-            rows["anchors"].append(anchor[a:b].astype(np.uint32).tobytes())
-            rows["places"].append(shrink.compress(_differences(at, start[a:b] - own[text[a:b]], length[a:b])))
-            rows["known"].append(False)
-            rows["bytes"].append(shrink.compress(_gather(data, start[a:b], length[a:b]).tobytes()))
-        yield pa.RecordBatch.from_pydict(rows, PIECES_SCHEMA)
+        if len(text):
+            yield pa.RecordBatch.from_pydict(
+                _piece_rows(docs, own, data, start, text, start, length, anchor, ident, lambda a: _by_part(a, parts), parts), PIECES_SCHEMA
+            )
+
+
+def merged_packs(rows: pa.Table, parts: int) -> pa.Table:
+    """What several packs send to one part, as one pack of all their texts would send it; rows that are passed on stay.
+
+    So a minimizer sends two places, and a piece those of its smallest document, for all these packs.  The order in
+    which the rows arrive does not matter."""
+    schema = PIECES_SCHEMA if "bytes" in rows.column_names else ANCHORS_SCHEMA
+    rows = rows.select(schema.names).cast(schema)
+    known = rows.column("known").to_numpy()
+    new = rows.filter(pa.array(~known)).to_pylist()
+    if len(new) < 2:
+        return rows
+    ids, anchor, start, length = _unpacked(new)
+    docs, text = np.unique(ids, axis=0, return_inverse=True)
+    text = text.reshape(-1)
+    own = np.arange(len(docs), dtype=np.int64) << 32  # texts one after another, none over 2^31 bytes
+    order = np.lexsort((start, text))
+    split = _as_it_is(new[0]["part"])
+    if schema is ANCHORS_SCHEMA:
+        text, start, anchor = text[order], start[order], anchor[order]
+        out = _anchor_rows(docs, own, text, start + own[text], anchor, split, parts)
+    else:
+        grow = zstandard.ZstdDecompressor()
+        data = np.concatenate([np.frombuffer(grow.decompress(r["bytes"]), np.uint8) for r in new])
+        begin = np.cumsum(length) - length
+        ident = _ident(textnum.prefix_hash(data, textnum.BYTE_VALUES), begin, length)
+        text, start, length, anchor, begin, ident = (x[order] for x in (text, start, length, anchor, begin, ident))
+        out = _piece_rows(docs, own, data, begin, text, start + own[text], length, anchor, ident, split, parts)
+    return pa.concat_tables([rows.filter(pa.array(known)), pa.Table.from_pydict(out, schema)])
 
 
 def _merged(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -495,15 +548,28 @@ def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def spans(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def _by_task(packed: DataFrame, parts: int, merges: int, schema: str) -> DataFrame:
+    """``packed`` grouped by part; a task takes its parts in turn.  With ``merges`` over 1 the rows of a part are first
+    merged in that many groups, so that no minimizer sends a part more than two places for each."""
+    cores = packed.sparkSession.sparkContext.defaultParallelism
+    tasks = min(parts, max(32 * cores, -(-parts // TASK_PARTS)))
+    if merges > 1:
+        salted = packed.withColumn("salt", F.pmod(F.xxhash64("docs"), F.lit(merges)).cast("int"))
+        groups = salted.repartition(min(parts * merges, max(32 * cores, tasks)), "part", "salt").groupBy("part", "salt")
+        packed = groups.applyInArrow(lambda rows: merged_packs(rows, parts), schema)
+    return packed.repartition(tasks, "part").groupBy("part")
+
+
+def spans(docs: DataFrame, parts: int | None = None, merges: int | None = None) -> DataFrame:
     """(_doc, _row, spans): for each row with something to remove, the packed spans.
 
     ``docs``: _doc and _row (not null), text, and whatever else the caller joins the spans to: as both joins then read the
-    same columns, Spark shuffles the texts once.  The number of parts follows the bytes of the texts.
+    same columns, Spark shuffles the texts once.  The numbers of parts and of merged groups follow the bytes of the texts.
     """
-    if parts is None:
-        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(size) * 4 // PART_BYTES))
+    if parts is None or merges is None:
+        size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+        parts = parts or max(docs.sparkSession.sparkContext.defaultParallelism, -(-size * 4 // PART_BYTES))
+        merges = merges or max(1, -(-size // (MERGED_PACKS * PACK_BYTES)))
     few = max(1, parts // ANCHOR_PARTS)
     packed, bucketed = "part int, docs binary, anchors binary, places binary, known boolean", "bucket int, docs binary, values binary"
 
@@ -520,11 +586,11 @@ def spans(docs: DataFrame, parts: int | None = None) -> DataFrame:
         return _per_row(rows, np.int64, 2, "spans")
 
     anchors = docs.select(*ROW, "text").mapInArrow(lambda b: packed_anchors(b, few), packed)
-    shared = anchors.repartition(few, "part").groupBy("part").applyInArrow(shared_of_part, bucketed)
+    shared = _by_task(anchors, few, merges, packed).applyInArrow(shared_of_part, bucketed)
     starts = shared.groupBy("bucket").applyInArrow(starts_of, "_doc long, _row long, starts binary")
     rows = docs.join(starts, ROW)
     cut = rows.mapInArrow(lambda b: packed_pieces(b, parts), f"{packed}, bytes binary")
-    found = cut.repartition(parts, "part").groupBy("part").applyInArrow(spans_of_part, bucketed)
+    found = _by_task(cut, parts, merges, f"{packed}, bytes binary").applyInArrow(spans_of_part, bucketed)
     return found.groupBy("bucket").applyInArrow(spans_of, "_doc long, _row long, spans binary")
 
 
