@@ -89,7 +89,7 @@ def sharded(docs: DataFrame, owner: str = "sharding", shards: int = SHARDS) -> D
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.sha2(text, 256).alias("key"),
     )
-    rows = _ranged(rows, ["doc_id"], owner)
+    rows = _ranged(rows, ["doc_id", "text_crc32"], owner)
     groups = rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.sum("size").alias("bytes"))
     groups = scratch.written(groups, owner)
     sums = prefix_sums(groups, owner)

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from scoreloom.llm import ann, bpe, html, licenses, mixing, neardup, quality, repeats, sharding, textnum, toxicity
@@ -411,6 +412,41 @@ def test_repeats_of_many_documents_are_summed_up():
         assert set(sent) == set(found[3].astype(np.uint32).tolist()) and max(sent.values()) <= most
 
 
+def test_repeats_of_many_packs_are_merged(spark):
+    """Merged before they meet, packs give the same spans; a minimizer that all of them have sends two places."""
+    rng = random.Random(8)
+    pool = ["".join(rng.choices("abcd", k=rng.randint(60, 200))) for _ in range(12)]
+    data = [(rng.randint(0, 150), "".join(rng.choices(pool, k=rng.randint(1, 4))) + "".join(rng.choices("xyz", k=60))) for _ in range(200)]
+    keyed = repeats._keyed(spark.createDataFrame(data, "doc_id long, text string").repartition(20))
+    found = []
+    for merges in 1, 3:
+        rows_ = repeats.spans(keyed, parts=30, merges=merges).collect()
+        found.append(sorted((r["_doc"], r["_row"], tuple(repeats.union(r["spans"]))) for r in rows_))
+    assert found[0] == found[1] and len(found[0]) > 100
+    text = "".join(rng.choices("abcdefgh", k=300))
+    starts = repeats.pieces(np.frombuffer(text.encode(), np.uint8), np.array([0, 300]))[1].astype(np.uint32).tobytes()
+    batches = [pa.record_batch({"_doc": np.arange(k, k + 3), "_row": np.zeros(3, np.int64), "text": pa.array([text] * 3), "starts": pa.array([starts] * 3)}) for k in range(0, 300, 3)]
+    for packed, most in (repeats.packed_anchors, 2), (repeats.packed_pieces, 1):
+        sent = pa.Table.from_batches([out for b in batches for out in packed(iter([b]), 1)])
+        for order in np.arange(len(sent)), np.arange(len(sent))[::-1]:
+            out = repeats.merged_packs(sent.take(order), 1).to_pylist()
+            merged = [r for r in out if not r["known"]]
+            assert len(merged) == 1 and max(Counter(np.frombuffer(merged[0]["anchors"], np.uint32).tolist()).values()) <= most
+            grow = zstandard.ZstdDecompressor()
+            docs_ = [np.frombuffer(grow.decompress(r["docs"]), np.int64).reshape(-1, 2)[:, 0].tolist() for r in out]
+            assert {d for ids in docs_ for d in ids} == set(range(300)) and 0 in docs_[out.index(merged[0])]
+
+
+def test_tasks_of_repeats_are_bounded(spark):
+    """Tasks loop over parts: their number follows the cores, and the bytes only where a task would pass 100 MB."""
+    df = spark.createDataFrame([(0, b"")], "part int, docs binary")
+    cores = spark.sparkContext.defaultParallelism
+    for parts, tasks in (5, 5), (100_000, max(32 * cores, 391)):
+        grouped = repeats._by_task(df, parts, 1, "part int, docs binary")
+        plan = grouped.applyInArrow(lambda t: t, "part int, docs binary")._jdf.queryExecution().toString()
+        assert "hashpartitioning(part#" in plan and f", {tasks})" in plan.split("Physical Plan")[-1].replace(", REPARTITION_BY_NUM", ")")
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(4)
     text = bytes(rng.choices(b"ab", k=300)) + b"a" * 70 + bytes(rng.choices(b"ab", k=60))
@@ -466,6 +502,16 @@ def test_shards_of_rows_that_share_an_id(spark):
     assert min(of_text[crc("f" * 60)] | of_text[crc("g" * 30)]) >= max(max(of_text[crc(c * n)]) for c, n in [("a", 40), ("b", 70), ("c", 50), ("d", 90), ("e", 10)])
 
 
+def test_shards_of_rows_without_ids_are_many_ranges(spark):
+    """Rows without an id, or of one id, are split by the sums of their texts."""
+    data = [(None if k % 2 else 7, f"text {k}") for k in range(4000)]
+    out = sharding.sharded(spark.createDataFrame(data, "doc_id long, text string").repartition(8), shards=4).collect()
+    slots = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r["doc_id"] is not None, r["text_crc32"])):
+        slots[r["shard"]].append(r["slot"])
+    assert len(out) == 4000 and all(s == list(range(len(s))) for s in slots.values())
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     fine = [f"w{k}" for k in range(80)]
