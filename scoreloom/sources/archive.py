@@ -60,10 +60,14 @@ def manifest_urls(entries: DataFrame, include_anchors: bool = True) -> DataFrame
 
 
 def spec_operations(specs: DataFrame) -> DataFrame:
-    """(spec, operation_id, op_method, spec_path, accepted) of each operation with an id.  ``specs``: spec, body (JSON)."""
+    """(spec, operation_id, op_method, spec_path, accepted) of each operation with an id.  ``specs``: spec, body (JSON).
+
+    A body is read once: what is said beside an explode in one select is worked out for each row that comes of it.
+    """
     server = F.coalesce(F.get_json_object("body", "$.servers[0].url"), F.get_json_object("body", "$.basePath"), F.lit(""))
     paths = F.from_json(F.get_json_object("body", "$.paths"), "map<string,string>")
-    one = specs.select("spec", N.server_segments(server).alias("prefix"), F.explode(paths).alias("spec_path", "item"))
+    read = specs.select("spec", N.server_segments(server).alias("prefix"), paths.alias("paths"))
+    one = read.select("spec", "prefix", F.explode("paths").alias("spec_path", "item"))
     two = one.select("spec", "prefix", "spec_path", F.explode(F.from_json("item", "map<string,string>")).alias("verb", "op"))
     named = two.withColumn("operation_id", F.get_json_object("op", "$.operationId")).filter(F.lower("verb").isin(*HTTP_VERBS) & F.col("operation_id").isNotNull())
     return named.select("spec", "operation_id", F.upper("verb").alias("op_method"), "spec_path", N.anchor_paths(F.col("spec_path"), F.col("prefix")).alias("accepted"))
