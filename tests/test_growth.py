@@ -32,3 +32,10 @@ def test_description_of_a_host_with_many_pages(spark, tmp_path):
     same_as_sql(spark, "a5_spec_operations", folder)
     assert time.monotonic() - start < 20
     assert catalog._specs(spark, folder).selectExpr("max(length(body) - length(replace(body, 'operationId', '')))").first()[0] <= 1000 * 2 * len("operationId")
+
+
+def test_references_that_a_page_cuts_off(spark, tmp_path):
+    """Titles end inside a reference: what no semicolon ends is text, as the SQL has it."""
+    ends = ("&amp", "&lt", "&am", "&quot", "&#39", "&nbsp", "&copy", "&amp;amp", "&amp;&amp;&amp", "&amp;lt;", "&ampx;")
+    rows = [(k, "https://a.example/1", f"<html><body><header>a {e}</header><p>b{e} c</p></body></html>") for k, e in enumerate(ends)]
+    same_as_sql(spark, "h1_pages_to_text", folder_with(spark, tmp_path, "pages", rows, "page_id long, url string, html string"))
