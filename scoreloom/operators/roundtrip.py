@@ -88,10 +88,15 @@ def cohorts() -> dict[str, Cohort]:
 
 
 def both_ways(keys: DataFrame, cohort: Cohort) -> tuple[DataFrame, DataFrame]:
-    """(task_id, via, dim, score) of keys against themselves, and (task_id, reason) of keys whose text cannot be read."""
+    """(task_id, via, dim, score) of keys against themselves, and (task_id, reason) of keys whose text cannot be read.
+
+    Reading a text costs far more than a row's size says, so texts are dealt over a fixed number of tasks, which adaptive
+    execution does not make few, and what was read is stored: scores and reasons start from there.
+    """
     direct = keys.withColumns(cohort.answer)
     text = direct.withColumn("raw_response", cohort.render()).drop(*cohort.answer)
-    parsed = cohort.decode(text)
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parsed = stored(cohort.decode(text.repartition(tasks)).drop("raw_response", "block_text", "repaired_block_text"), "parsed")
     unread = parsed.filter("format_failure").select("task_id", F.col("failure_reason").alias("reason"))
     ways = ((DIRECT, direct), (PARSED, parsed.filter("not format_failure")))
     parts = [M.long_scores(cohort.score(rows), ["task_id"], cohort.dimensions).select("task_id", F.lit(via).alias("via"), "dim", "score") for via, rows in ways]

@@ -1,8 +1,12 @@
 """Queries on tables that are large, or filled, where their work once grew too fast or went astray."""
 
 import time
+from dataclasses import replace
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from scoreloom.operators import roundtrip as R
 from scoreloom.plans import catalog, catalog_audit  # noqa: F401
 
 from .compare import TABLES, connect, difference
@@ -39,3 +43,25 @@ def test_references_that_a_page_cuts_off(spark, tmp_path):
     ends = ("&amp", "&lt", "&am", "&quot", "&#39", "&nbsp", "&copy", "&amp;amp", "&amp;&amp;&amp", "&amp;lt;", "&ampx;")
     rows = [(k, "https://a.example/1", f"<html><body><header>a {e}</header><p>b{e} c</p></body></html>") for k, e in enumerate(ends)]
     same_as_sql(spark, "h1_pages_to_text", folder_with(spark, tmp_path, "pages", rows, "page_id long, url string, html string"))
+
+
+def test_answer_texts_are_read_once(spark):
+    """Scores and reasons once read every text for themselves, and on the fewest tasks that its bytes allow."""
+    seen, docs = spark.sparkContext.accumulator(0), R.cohorts()["docs"]
+
+    @F.pandas_udf("string")
+    def counted(texts):
+        seen.add(len(texts))
+        return texts
+
+    decode = lambda rows: docs.decode(rows.withColumn("raw_response", counted.asNondeterministic()("raw_response")))
+    keys = spark.range(40).selectExpr(
+        "id AS task_id", "array('A' || id) AS gt_catalogs", "if(id = 7, 'latest', '35.010') AS gt_firmware", "'35.010' AS gt_software", "'P' AS gt_publication", "map('lamp', 'on') AS gt_observations"
+    )
+    found = {(r["subject"], r["problem"]) for r in R.roundtrip_contracts({"docs": keys}, {"docs": replace(docs, decode=decode)}).collect()}
+    assert found == {("7", "direct: firmware_version scores below 1"), ("7", "parsed: firmware_version scores below 1")}
+    assert seen.value == 40
+    grouped = keys.groupBy("task_id").agg(*[F.first(c).alias(c) for c in keys.columns[1:]])
+    spread = replace(docs, decode=lambda rows: docs.decode(rows).withColumn("publication", F.spark_partition_id().cast("string")))
+    both, _ = R.both_ways(grouped, replace(spread, score=lambda rows: rows.select("task_id", *[F.col(next(c for c in ("publication", "answer_publication") if c in rows.columns)).alias(d) for d in docs.dimensions])))
+    assert both.filter("via = 'parsed'").select("score").distinct().count() > 1
