@@ -23,6 +23,8 @@ API_CATEGORIES = (
 DOCS_CATEGORIES = ("select-hardware", "verify-compatibility", "plan-revision-upgrade", "identify-replacement")
 MIN_DUPLICATE_BYTES = 200
 MIN_NOTE = 40
+#: Parts of a category that no list names.
+SALTS = 256
 OUTCOME_FIELDS = ("content_hash", "byte_size", "cache_file", "fetch_error")
 
 
@@ -91,22 +93,34 @@ def task_suite(tasks: DataFrame, expected: DataFrame | None, na: DataFrame, cate
     tasks of a category that does not apply, categories said not to apply that are none, and a suite without tasks.
 
     ``tasks``: task_id, stem, category; ``expected``: task_id; ``na``: category.
+
+    Categories are few and tasks many, so tasks do not move to meet them: those of ``categories`` that do not apply are
+    broadcast, no more than there are in that list.  What tasks call by another name is dealt by task beside its category.
     """
+    categories = list(categories)
+
     def say(df: DataFrame, subject: Column, problem: str) -> DataFrame:
         return df.select(F.lit("task-suite").alias("gate"), subject.cast("string").alias("subject"), F.lit(problem).alias("problem"))
 
     named = tasks.filter(~_blank("task_id"))
-    ids, not_applicable = named.select("task_id").distinct(), na.select("category").distinct()
+    # Counted before anything is joined: an anti join of plain ids is moved below their distinct, and sorts every task.
+    counts = named.groupBy("task_id").agg(F.count("*").alias("n"))
+    not_applicable = na.select("category").distinct()
+    known = F.col("category").isin(*categories)
+    salts = not_applicable.filter(~known).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    others = tasks.filter(~known).withColumn("_salt", F.pmod(F.xxhash64("task_id", "stem"), F.lit(SALTS)).cast("int"))
     parts = [
         say(named.filter(F.col("task_id").cast("string") != F.col("stem")), F.col("stem"), "id differs from the file's stem"),
-        say(named.groupBy("task_id").agg(F.count("*").alias("n")).filter("n > 1"), F.col("task_id"), "duplicate"),
-        say(tasks.join(not_applicable, "category", "left_semi"), F.col("stem"), "category does not apply"),
-        say(not_applicable.filter(~F.col("category").isin(*categories)), F.col("category"), "unknown category marked as not applicable"),
+        say(counts.filter("n > 1"), F.col("task_id"), "duplicate"),
+        say(tasks.filter(known).join(F.broadcast(not_applicable.filter(known)), "category", "left_semi"), F.col("stem"), "category does not apply"),
+        say(others.join(salts, ["category", "_salt"], "left_semi"), F.col("stem"), "category does not apply"),
+        say(not_applicable.filter(~known), F.col("category"), "unknown category marked as not applicable"),
         say(tasks.agg(F.count("*").alias("n")).filter("n = 0"), F.lit("*"), "no tasks"),
     ]
     if expected is not None:
-        wanted = expected.select("task_id").distinct()
-        parts += [say(wanted.join(ids, "task_id", "left_anti"), F.col("task_id"), "missing"), say(ids.join(wanted, "task_id", "left_anti"), F.col("task_id"), "unexpected")]
+        both = counts.join(expected.select("task_id").distinct().withColumn("_wanted", F.lit(True)), "task_id", "full")
+        problem = F.when(F.col("n").isNull(), "missing").otherwise("unexpected")
+        parts.append(both.filter("n is null or _wanted is null").select(F.lit("task-suite").alias("gate"), F.col("task_id").cast("string").alias("subject"), problem.alias("problem")))
     return union(parts)
 
 

@@ -1,11 +1,13 @@
 """Queries on tables that are large, or filled, where their work once grew too fast or went astray."""
 
+import re
 import time
 from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from scoreloom.operators import gates as G
 from scoreloom.operators import roundtrip as R
 from scoreloom.plans import catalog, catalog_audit  # noqa: F401
 
@@ -65,3 +67,22 @@ def test_answer_texts_are_read_once(spark):
     spread = replace(docs, decode=lambda rows: docs.decode(rows).withColumn("publication", F.spark_partition_id().cast("string")))
     both, _ = R.both_ways(grouped, replace(spread, score=lambda rows: rows.select("task_id", *[F.col(next(c for c in ("publication", "answer_publication") if c in rows.columns)).alias(d) for d in docs.dimensions])))
     assert both.filter("via = 'parsed'").select("score").distinct().count() > 1
+
+
+def test_suite_of_few_categories(spark):
+    """Tasks once met their categories in a task for each; anti joins of ids once sorted every task."""
+    rows = [(1, "1", "a"), (1, "x1", "a"), (2, "2", "odd"), (3, "3", None), (None, "4", "b"), (5, "5", "b")]
+    tasks = spark.createDataFrame(rows, "task_id long, stem string, category string")
+    expected = spark.createDataFrame([(1,), (6,), (6,), (None,)], "task_id long")
+    na = spark.createDataFrame([("a",), ("a",), ("odd",), (None,)], "category string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = G.task_suite(tasks, expected, na, ("a", "b"))
+        assert sorted((r["subject"] or "", r["problem"]) for r in found.collect()) == [
+            ("", "missing"), ("1", "category does not apply"), ("1", "duplicate"), ("2", "category does not apply"), ("2", "unexpected"), ("3", "unexpected"), ("5", "unexpected"), ("6", "missing"),
+            ("odd", "unknown category marked as not applicable"), ("x1", "category does not apply"), ("x1", "id differs from the file's stem"),
+        ]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"SortMergeJoin \[category#\d+\]", plan) and "LeftAnti" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
