@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,19 +150,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands, pa.array(total)], ["id", "digest", "bands", "weight"])
 
 
-def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed one by one: they move several times, and are read where two of them meet."""
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        raw, off = textnum.buffers(batch.column(1))
-        small = [squeeze(raw[off[k] : off[k + 1]].tobytes()) for k in range(len(batch))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], ["node", "text"])
-
-
 def _opened(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the rows i to j of a column of compressed texts."""
-    expand = zstandard.ZstdDecompressor().decompress
-    texts = [expand(t) for t in column.slice(i, j - i).to_pylist()]
+    texts = textnum.expanded(column.slice(i, j - i))
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
 
@@ -233,11 +222,11 @@ def _nodes(signed: DataFrame, owner: str) -> DataFrame:
 
 
 def _texts(base: DataFrame, wanted: DataFrame, repeats: bool, owner: str) -> DataFrame:
-    """(node, text), one row a node, the text compressed.  Rows that share id and text are summed up before they move."""
-    rows = base.select("id", "digest", "text")
+    """(node, text), one row a node.  Texts are compressed before they move, as they do so several times, and read where
+    two of them meet.  Rows that share id and text are summed up before they move."""
+    rows = base.select("id", "digest", F.arrow_udf(textnum.squeezed, "binary")("text").alias("text"))
     rows = rows.dropDuplicates(["id", "digest"]) if repeats else rows
-    found = rows.join(wanted, ["id", "digest"]).select("node", "text")
-    return scratch.written(found.mapInArrow(_squeezed, "node long, text binary"), owner)
+    return scratch.written(rows.join(wanted, ["id", "digest"]).select("node", "text"), owner)
 
 
 def _repeats(signed: DataFrame, owner: str) -> DataFrame:

@@ -560,12 +560,14 @@ def _by_task(packed: DataFrame, parts: int, merges: int, schema: str) -> DataFra
     return packed.repartition(tasks, "part").groupBy("part")
 
 
-def spans(docs: DataFrame, parts: int | None = None, merges: int | None = None) -> DataFrame:
+def spans(docs: DataFrame, parts: int | None = None, merges: int | None = None, moved: DataFrame | None = None) -> DataFrame:
     """(_doc, _row, spans): for each row with something to remove, the packed spans.
 
-    ``docs``: _doc and _row (not null), text, and whatever else the caller joins the spans to: as both joins then read the
-    same columns, Spark shuffles the texts once.  The numbers of parts and of merged groups follow the bytes of the texts.
+    ``docs``: _doc and _row (not null) and text.  ``moved``: the same rows as ``_squeezed`` gives them, with whatever else
+    the caller joins the spans to: as both joins then read the same columns, Spark shuffles the texts once.  The numbers of
+    parts and of merged groups follow the bytes of the texts.
     """
+    moved = _squeezed(docs) if moved is None else moved
     if parts is None or merges is None:
         size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
         parts = parts or max(docs.sparkSession.sparkContext.defaultParallelism, -(-size * 4 // PART_BYTES))
@@ -588,61 +590,101 @@ def spans(docs: DataFrame, parts: int | None = None, merges: int | None = None)
     anchors = docs.select(*ROW, "text").mapInArrow(lambda b: packed_anchors(b, few), packed)
     shared = _by_task(anchors, few, merges, packed).applyInArrow(shared_of_part, bucketed)
     starts = shared.groupBy("bucket").applyInArrow(starts_of, "_doc long, _row long, starts binary")
-    rows = docs.join(starts, ROW)
-    cut = rows.mapInArrow(lambda b: packed_pieces(b, parts), f"{packed}, bytes binary")
+    rows = moved.join(starts, ROW)
+    cut = rows.mapInArrow(lambda b: packed_pieces(textnum.expanded_batches(b, PACK_BYTES), parts), f"{packed}, bytes binary")
     found = _by_task(cut, parts, merges, f"{packed}, bytes binary").applyInArrow(spans_of_part, bucketed)
     return found.groupBy("bucket").applyInArrow(spans_of, "_doc long, _row long, spans binary")
 
 
+def _digest(raw: bytes, found: bytes | None) -> tuple[int, int, int, str]:
+    """n_bytes, n_removed, n_spans and kept_sha256 of a text."""
+    runs = union(found) if found else []
+    kept = cut(raw, runs)
+    return len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()
+
+
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for doc, text, found in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
-            raw = (text or "").encode()
-            runs = union(found) if found else []
-            kept = cut(raw, runs)
-            out.append((doc, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+        out = [(doc, *_digest((text or "").encode(), found)) for doc, text, found in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True)]
         yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _kept_text(text: pd.Series, found: pd.Series) -> pd.Series:
-    """Texts without their repeated bytes; a character that is cut in two goes whole."""
-    return pd.Series(
-        [cut(t.encode(), union(f)).decode("utf-8", "ignore") if t is not None and f else t for t, f in zip(text, found, strict=True)],
-        dtype=object,
-    )
+def _digests_of_squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_digests`` of doc_id, compressed text and spans."""
+    for batch in batches:
+        out = [_digest(raw, found) for raw, found in zip(textnum.expanded(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
+        columns = [pa.array([row[k] for row in out], pa.string() if k == 3 else pa.int64()) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _kept_text(text: pa.Array, found: pa.Array) -> pa.Array:
+    """Compressed texts, opened, without their repeated bytes; a character that is cut in two goes whole."""
+    whole, null = textnum.expanded(text), text.is_null().to_pylist()
+    return pa.array(
+        [
+            None if none else cut(t, union(f)).decode("utf-8", "ignore").encode() if f else t
+            for t, f, none in zip(whole, found.to_pylist(), null, strict=True)
+        ],
+        pa.binary(),
+    )
+
+
+def _whole_text(text: pa.Array) -> pa.Array:
+    null = text.is_null().to_pylist()
+    return pa.array([None if none else t for t, none in zip(textnum.expanded(text), null, strict=True)], pa.binary())
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """text and the other columns as ``row``, with the key of the row: its document (nulls last) and, where the table
-    has rows that share or lack an id, a digest of the text."""
-    columns = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    """text and the other columns, as _0, _1 and so on, with the key of the row: its document (nulls last) and, where the
+    table has rows that share or lack an id, a digest of the text."""
     digest = F.xxhash64("text")
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").isEmpty():
         digest = F.when(F.col("doc_id").isNull(), digest).otherwise(F.lit(0).cast("long"))
-    return columns.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_DOC)))).withColumn("_row", digest).drop("doc_id")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_DOC)))
+    return docs.select(doc.alias("_doc"), digest.alias("_row"), "text", *[F.col(c).alias(n) for c, n in _others(docs).items()])
+
+
+def _others(docs: DataFrame) -> dict[str, str]:
+    """The columns beside text, and their names while they move."""
+    return {c: f"_{k}" for k, c in enumerate(c for c in docs.columns if c != "text")}
+
+
+def _squeezed(keyed: DataFrame) -> DataFrame:
+    return keyed.withColumn("text", F.arrow_udf(textnum.squeezed, "binary")("text"))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """The columns of ``_keyed``, text compressed, and ``spans``, packed spans to remove or null.
+
+    The columns are apart, not a struct: of a struct Spark would move only the fields that are read later, so that the
+    rows of the two joins would differ and the texts move twice."""
+    keyed = _keyed(docs)
+    moved = _squeezed(keyed)
+    return moved.join(spans(keyed, moved=moved), ROW, "left")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """``text``, ``row`` (the other columns of ``docs``) and ``spans``, packed spans to remove or null."""
-    keyed = _keyed(docs)
-    return keyed.join(spans(keyed), ROW, "left").select("row", "text", "spans")
+    row = F.struct(*[F.col(n).alias(c) for c, n in _others(docs).items()]).alias("row")
+    return _marked(docs).select(row, F.arrow_udf(_whole_text, "binary")("text").cast("string").alias("text"), "spans")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated 50-byte strings cut from ``text``; all rows and columns stay, n_chars follows the text."""
-    cut_ = F.pandas_udf(_kept_text, "string")
-    out = with_spans(docs).select("row", cut_("text", "spans").alias("kept"))
-    follow: dict[str, Column] = {"text": F.col("kept")}
+    others = docs.drop("n_chars")
+    names = _others(others)
+    kept = F.arrow_udf(_kept_text, "binary")("text", "spans").cast("string").alias("kept")
+    out = _marked(others).select(kept, *names.values())
+    follow: dict[str, Column] = {"text": F.col("kept")} | {c: F.col(n) for c, n in names.items()}
     if "n_chars" in docs.columns:
         follow["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[(follow[c] if c in follow else F.col("row")[c]).alias(c) for c in docs.columns])
+    return out.select(*[follow[c].alias(c) for c in docs.columns])
 
 
 def op7_repeated_strings(spark, sf_dir: str) -> DataFrame:
     docs = scratch.table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = with_spans(docs).select(F.col("row.doc_id").alias("doc_id"), "text", "spans")
-    return marked.mapInPandas(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked = _marked(docs).select(_others(docs)["doc_id"], "text", "spans")
+    return marked.mapInArrow(_digests_of_squeezed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 OP7_SQL = """

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 BLOCK_BYTES = 1 << 17
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -71,6 +72,35 @@ def blocks(raw: np.ndarray, off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterat
         i = j
 
 
+def squeezed(column: pa.Array) -> pa.Array:
+    """Texts compressed one by one, for those that move between tasks: smaller than in the shuffle's own blocks."""
+    raw, off = buffers(column)
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    null = column.is_null().to_pylist() if column.null_count else [False] * len(column)
+    return pa.array([None if none else squeeze(raw[a:b].tobytes()) for none, a, b in zip(null, off, off[1:], strict=False)], pa.binary())
+
+
+def expanded(column: pa.Array) -> list[bytes]:
+    """The texts of a column of compressed ones; nulls are empty."""
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(t) if t is not None else b"" for t in column.to_pylist()]
+
+
+def expanded_batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches with their compressed column ``text`` opened, cut where their texts pass ``limit`` bytes (one longer text
+    is a batch of its own)."""
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        sizes = [zstandard.frame_content_size(t) if t is not None else 0 for t in batch.column(at).to_pylist()]
+        ends = np.cumsum([0, *sizes])
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, "right")) - 1)
+            part = batch.slice(i, j - i)
+            yield part.set_column(at, "text", pa.array(expanded(part.column(at)), pa.large_binary()))
+            i = j
+
+
 def prefix_hash(data: np.ndarray, values: np.ndarray) -> np.ndarray:
     """C with C[i] the weighted sum of the first i bytes: a substring's hash is (C[e] - C[s]) / MULTIPLIER**s."""
     out = np.zeros(len(data) + 1, np.uint64)

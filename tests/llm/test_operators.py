@@ -437,6 +437,48 @@ def test_repeats_of_many_packs_are_merged(spark):
             assert {d for ids in docs_ for d in ids} == set(range(300)) and 0 in docs_[out.index(merged[0])]
 
 
+@pytest.fixture
+def shuffled(spark):
+    """Plans as they are on tables that are too large for a broadcast, with their reused exchanges."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_repeats_move_texts_once_and_compressed(spark, shuffled, tmp_path):
+    """Both joins, with the starts and with the spans, read one exchange of the compressed texts."""
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for out in repeats.deduplicated(docs), repeats.op7_repeated_strings(spark, str(tmp_path)):
+        plan = shuffled(out)
+        assert plan.count("ReusedExchange") == 1 and "squeezed(text" in plan
+
+
+def test_near_duplicates_move_texts_compressed(spark, shuffled, monkeypatch):
+    """The join that picks the texts of a bucket's nodes moves compressed ones."""
+    monkeypatch.setattr(neardup.scratch, "written", lambda df, owner: df)
+    base = neardup._base(documents(spark))
+    wanted = base.select("id", "digest", F.col("id").alias("node"))
+    for many in False, True:
+        plan = shuffled(neardup._texts(base, wanted, many, "test"))
+        assert "Exchange" in plan and plan.index("Exchange") < plan.index("squeezed(")
+
+
+def test_compressed_texts_come_back_whole():
+    """Nulls stay nulls, and a batch is cut where its texts pass the limit."""
+    texts = ["", None, "é" * 40, "x" * 500, "ab"]
+    small = textnum.squeezed(pa.array(texts))
+    assert small.is_null().to_pylist() == [t is None for t in texts]
+    assert textnum.expanded(small) == [(t or "").encode() for t in texts]
+    batch = pa.record_batch({"_doc": pa.array(range(5)), "text": small})
+    for part in (batch, 0), (batch.slice(2), 2):
+        out = list(textnum.expanded_batches(iter([part[0]]), 100))
+        assert [d for b in out for d in b.column(0).to_pylist()] == list(range(part[1], 5)) and len(out) == 3
+        assert [t for b in out for t in b.column(1).to_pylist()] == [(t or "").encode() for t in texts[part[1] :]]
+
+
 def test_tasks_of_repeats_are_bounded(spark):
     """Tasks loop over parts: their number follows the cores, and the bytes only where a task would pass 100 MB."""
     df = spark.createDataFrame([(0, b"")], "part int, docs binary")
