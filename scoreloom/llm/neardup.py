@@ -37,6 +37,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 COUNTER_BITS = 20
 SLICES = 64
+#: Bits (2**25, 4 MB whatever the input) that tell which rows may be gone.
+GONE_BITS = 25
 #: Compressed texts that are opened at a time.
 OPENED = 64
 #: Growth of the number of leaders of a bucket from one round to the next.
@@ -386,13 +388,55 @@ def _by_document(base: DataFrame, nodes: DataFrame, roots: DataFrame | None) ->
     return joined.select("id", "digest", "doc_id", F.when(alone, F.col("id")).otherwise(F.col("best.first")).alias("class_id"), stands.alias("kept"))
 
 
+def _marked_bits(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << (size - 3), np.uint8)
+    for batch in batches:
+        at, bit = _bit(batch.column(0), size)
+        np.bitwise_or.at(bits, at, bit)
+    if bits.any():
+        parts = [part.tobytes() for part in np.split(bits, SLICES)]
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "bits": pa.array(parts, pa.binary())})
+
+
+def _bit(hashed: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    h = hashed.to_numpy(zero_copy_only=False).astype(np.int64) & ((1 << size) - 1)
+    return h >> 3, np.left_shift(1, h & 7).astype(np.uint8)
+
+
+def _either_slice(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    either = np.bitwise_or.reduce([np.frombuffer(raw.as_py(), np.uint8) for raw in rows.column("bits")])
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([either.tobytes()], pa.binary())})
+
+
+def _may_be(keys: DataFrame, size: int = GONE_BITS) -> Column:
+    """Whether a row's (id, digest) may be one of ``keys``: never false for one of them.  Rows of which it is false need not
+    move to meet the keys.  What comes to the driver is the table of bits."""
+    hashed = F.xxhash64("id", "digest")
+    parts = keys.select(hashed.alias("h")).mapInArrow(lambda b: _marked_bits(b, size), "slice int, bits binary")
+    by = {r["slice"]: r["bits"] for r in parts.groupBy("slice").applyInArrow(_either_slice, "slice int, bits binary").collect()}
+    empty = bytes((1 << (size - 3)) // SLICES)
+    bits = keys.sparkSession.sparkContext.broadcast(np.frombuffer(b"".join(by.get(k, empty) for k in range(SLICES)), np.uint8))
+
+    def among(h: pa.Array) -> pa.Array:
+        at, bit = _bit(h, size)
+        return pa.array((bits.value[at] & bit) != 0)
+
+    return F.arrow_udf(among, "boolean")(hashed)
+
+
+def _without(rows: DataFrame, gone: DataFrame, size: int = GONE_BITS) -> DataFrame:
+    """``rows`` whose (id, digest) is not in ``gone``.  Only those that may be gone move."""
+    marked = rows.withColumn("_may", _may_be(gone, size))
+    return marked.filter(~F.col("_may")).unionByName(marked.filter("_may").join(gone, ["id", "digest"], "left_anti")).drop("_may")
+
+
 def deduplicated(docs: DataFrame, owner: str = "neardup") -> DataFrame:
     """``docs`` with one row of each class, of the document with the smallest id; all columns stay."""
     found, repeats = _classes(docs, owner, SIMILARITY)
     gone = scratch.written(found.filter(~F.col("kept")).select("id", "digest").distinct(), owner)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("row"), node_id(F.col("doc_id"), F.col("text")).alias("id"), F.md5(text.cast("binary")).alias("digest"))
-    rows = rows.join(gone, ["id", "digest"], "left_anti")
+    rows = _without(rows, gone)
     if not repeats.isEmpty():
         once = rows.join(repeats, ["id", "digest"], "left_anti")
         rows = once.unionByName(rows.join(repeats, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]))
